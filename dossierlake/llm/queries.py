@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, sentencepieces
+from . import decontamination, licenses, secrets, sentencepieces, token_counts, topk, toxicity, urls
+from .common import fresh_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -40,3 +41,66 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(spark, table(spark, sf_dir, "documents"), ["doc_id"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in secrets.BASE], F.sha2(secrets.joined(F.col("spans"), secrets.BASE), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals by source, language and tokenizer version: the documents committed as one batch, then replayed."""
+    import public_tokenizers
+
+    store, docs = fresh_path(spark, "token-store"), table(spark, sf_dir, "documents")
+    for _ in range(2):  # the replay finds the batch committed and changes nothing
+        token_counts.commit(spark, store, "documents", docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "byte_bpe_50k@1")
+    return token_counts.totals(spark, store)
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, with the share of each item's words under tiles."""
+    found = decontamination.mark(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    leak = found.select("doc_id", F.explode("leaks").alias("x"))
+    return leak.select("doc_id", F.col("x.item_id").alias("item_id"), F.col("x.share").alias("share"), F.size("x.tiles").cast("long").alias("n_tiles"))
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document by sentence rules."""
+    found = licenses.recognise(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "license", F.array_join("licenses", ",").alias("licenses"), F.size("sentences").cast("long").alias("n_sentences"), F.array_join("sentences", ",").alias("sentences"))
+
+
+ORACLES["op7_license_scan"] = licenses.ORACLE
+
+
+@query
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows by inner product for every hundredth row."""
+    return topk.search(spark, table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op8_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(v.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document, learnt from the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    weights = toxicity.fit(spark, docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(spark, docs, weights, ["doc_id"])
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url: its rule's, else its aliases'."""
+    return urls.judge(spark, table(spark, sf_dir, "pages"), ["page_id"])
+
+
+ORACLES["op10_url_filter"] = urls.ORACLE
