@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, secrets, sentencepieces, token_counts, topk, toxicity, urls
+from . import decontamination, jaccard, licenses, secrets, sentencepieces, token_counts, topk, toxicity, urls
 from .common import fresh_path
 
 QUERIES, ORACLES = {}, {}
@@ -104,3 +104,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_url_filter"] = urls.ORACLE
+
+
+@query
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents at a Jaccard similarity of 0.8 over five-word shingles."""
+    return jaccard.join(spark, table(spark, sf_dir, "documents"))
