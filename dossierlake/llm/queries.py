@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, licenses, secrets, sentencepieces, token_counts, topk, toxicity, urls
+from . import decontamination, jaccard, licenses, secrets, sentencepieces, suffixes, token_counts, topk, toxicity, urls
 from .common import fresh_path
 
 QUERIES, ORACLES = {}, {}
@@ -31,7 +31,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     docs, model = table(spark, sf_dir, "documents"), piece_model()
     coded = sentencepieces.encode(spark, docs, model, ["doc_id"])
-    both = sentencepieces.decode(spark, coded, model, ["doc_id", "ids"])
+    return piece_digests(sentencepieces.decode(spark, coded, model, ["doc_id", "ids"]))
+
+
+def piece_digests(both: DataFrame) -> DataFrame:
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -110,3 +113,10 @@ ORACLES["op10_url_filter"] = urls.ORACLE
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents at a Jaccard similarity of 0.8 over five-word shingles."""
     return jaccard.join(spark, table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that a 400-byte string repeated anywhere covers."""
+    found = suffixes.dedup(spark, table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
