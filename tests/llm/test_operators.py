@@ -1,0 +1,334 @@
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from dossierlake.llm import common, decontamination, jaccard, licenses, queries, suffixes, token_counts, topk, toxicity, urls
+from pyspark.sql import functions as F
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def read(spark, name, where=SMALL):
+    return spark.read.parquet(f"{where}/{name}.parquet")
+
+
+# --- components ---
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 400)] + [(5, 5), (3, None), (900, 7), (901, 900)]
+    got = {r.node: r.component for r in common.components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 100 for i in range(100, 141)} | {i: 7 for i in [7, *range(200, 400), 900, 901]} | {5: 5}
+    assert common.components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- n-gram Jaccard join ---
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
+
+
+def brute_jaccard(rows):
+    sets, parent, inv = [], {}, collections.defaultdict(list)
+    for i, t in rows:
+        w = words(t)
+        sets.append((i, frozenset(tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))) if w else frozenset()))
+        parent[i] = i
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, s) in enumerate(sets):
+        seen = collections.Counter(j for x in s for j in inv[x])
+        for j, n in seen.items():
+            if 100 * n >= 80 * (len(s) + len(sets[j][1]) - n):
+                a, b = top(i), top(sets[j][0])
+                parent[max(a, b)] = min(a, b)
+        for x in s:
+            inv[x].append(k)
+    return sorted((i, len(s), top(i)) for i, s in sets)
+
+
+def groups(df):
+    return sorted((r.doc_id, r.n_shingles, r.component_id) for r in df.collect())
+
+
+def near_copies():
+    rng, vocab = np.random.default_rng(1), [f"w{i}" for i in range(400)]
+    base = list(rng.choice(vocab, 120))
+    rows, i = [], 10
+    for _ in range(60):  # a group of near copies that drift apart: a link chain longer than any one pair
+        base = list(base)
+        base[int(rng.integers(len(base)))] = f"x{i}"
+        rows.append((i, " ".join(base)))
+        i += 1
+    line = " ".join(rng.choice(vocab, 30))
+    for _ in range(80):  # a passage that many unrelated texts hold
+        rows.append((i, line + " " + " ".join(rng.choice(vocab, int(rng.integers(3, 60))))))
+        i += 1
+    for n in (1, 3, 4, 5, 6, 9, 10):  # sizes where the bound turns
+        for cut in (0, 1):
+            rows.append((i, " ".join(f"s{n}_{k}" for k in range(n + 4 + cut))))
+            i += 1
+    return rows + [(1, None), (2, ""), (3, " \t\n"), (4, "A b C"), (5, "a B c"), (6, "É é x y z w"), (7, "é é x y z w"), (8, "a b c"), (9, "w " * 40000 + "end")]
+
+
+def test_jaccard_equals_brute_force(spark):
+    rows = near_copies()
+    docs = spark.createDataFrame([(i, t, 0, 0, "s") for i, t in rows], "doc_id long, text string, node int, n int, component string")
+    assert groups(jaccard.join(spark, docs)) == brute_jaccard(rows)
+
+
+def test_jaccard_edge_rows(spark):
+    docs = spark.createDataFrame([(4, "a b c d e f"), (4, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (9, "q")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(spark, docs).collect()}
+    assert got == {(4, 2, 2), (None, 2, None), (2, 2, 2), (9, 1, 9)}
+    kept = sorted((r.doc_id is None, r.doc_id) for r in jaccard.keep_one(spark, docs).collect())
+    assert kept == [(False, 2), (False, 9), (True, None)]
+    assert jaccard.join(spark, docs.limit(0)).count() == 0
+
+
+def test_jaccard_on_documents(spark):
+    rows = [(r.doc_id, r.text) for r in read(spark, "documents").collect()]
+    assert groups(queries.op2_ngram_jaccard(spark, SMALL)) == brute_jaccard(rows)
+
+
+# --- suffix-array deduplication ---
+
+
+def brute_repeats(texts, size):
+    xs = [(t or "").encode() for t in texts]
+    seen = collections.Counter(x[s : s + size] for x in xs for s in range(len(x) - size + 1))
+    out = []
+    for x in xs:
+        mark = np.zeros(len(x) + 1, np.int32)
+        for s in range(len(x) - size + 1):
+            if seen[x[s : s + size]] > 1:
+                mark[s] += 1
+                mark[s + size] -= 1
+        gone = np.cumsum(mark)[: len(x)] > 0
+        out.append((len(x), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum()), hashlib.sha256(bytes(b for b, g in zip(x, gone, strict=True) if not g)).hexdigest()))
+    return sorted(out)
+
+
+def repeat_texts():
+    rng = np.random.default_rng(3)
+    piece = lambda n: "".join(rng.choice(list("abcdé \n"), n))
+    shared = [piece(n) for n in (399, 400, 401, 700, 1500)]
+    texts = [None, "", "short", "x" * 399, "x" * 900, "ab" * 600, piece(5000)]
+    for s in shared:
+        for _ in range(6):
+            texts.append(piece(int(rng.integers(0, 300))) + s[: int(rng.integers(380, len(s) + 1))] + piece(int(rng.integers(0, 300))))
+    texts += [texts[-1], piece(300) + shared[3] + shared[3][:450], shared[4] + piece(40) + shared[4]]
+    return texts
+
+
+@pytest.mark.parametrize("group", [4096, 3])
+def test_suffixes_equal_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(suffixes, "GROUP", group)
+    texts = repeat_texts()
+    docs = spark.createDataFrame([(None if k % 5 == 0 else k // 2, t, "d", 1) for k, t in enumerate(texts)], "doc_id long, text string, d string, runs int")
+    got = suffixes.dedup(spark, docs, ["doc_id"]).select("n_bytes", (F.col("n_bytes") - F.length("kept")).alias("r"), F.size("runs").alias("s"), F.sha2("kept", 256).alias("h")).collect()
+    assert sorted(map(tuple, got)) == brute_repeats(texts, 400)
+    assert suffixes.dedup(spark, docs.limit(0), ["doc_id"]).count() == 0
+
+
+def test_suffixes_on_documents(spark):
+    got = queries.op4_suffix_dedup(spark, SMALL).drop("doc_id").collect()
+    assert sorted(map(tuple, got)) == brute_repeats([r.text for r in read(spark, "documents").collect()], 400)
+
+
+def test_deep_shallow_sorts_and_measures(monkeypatch):
+    rng = np.random.default_rng(5)
+    strings = [bytes(rng.choice([97, 98], int(rng.integers(0, 300)))) for _ in range(60)] + [b"a" * n for n in (0, 63, 64, 65, 200, 200)] + [b"a" * 150 + bytes([n]) for n in range(9)] + [b"a\0", b"a"]
+    groups_ = rng.integers(0, 2, len(strings))
+    order, lcp = suffixes.deep_shallow(strings, groups_)
+    assert [(groups_[i], strings[i]) for i in order] == sorted((groups_[i], strings[i]) for i in range(len(strings)))
+    for a, b, n in zip(order, order[1:], lcp[1:], strict=False):
+        assert n == (-1 if groups_[a] != groups_[b] else suffixes.common_prefix(strings[a], strings[b]))
+
+
+# --- token counts ---
+
+
+def test_token_rollups(spark, tmp_path):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in queries.op5_token_counts(spark, SMALL).collect()}
+    want = collections.defaultdict(lambda: (0, 0))
+    for r in read(spark, "documents").collect():
+        n, m = want[r.source, r.lang]
+        want[r.source, r.lang] = n + 1, m + len(enc.encode_ordinary(r.text or ""))
+    assert got == dict(want)
+
+    store, path = str(tmp_path / "store"), P.path("byte_bpe_50k.tiktoken")
+    put = lambda name, rows, kind="op string, doc_id long, source string, lang string, text string, extra int": token_counts.commit(spark, store, name, spark.createDataFrame(rows, kind), path, P.PATTERN, "v1")
+    count = lambda t: len(enc.encode_ordinary(t))
+    totals = lambda: {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in token_counts.totals(spark, store).collect()}
+    assert token_counts.totals(spark, store).count() == 0
+    one = [("insert", 1, "a", "en", "one two three", 0), ("insert", 2, "a", "en", None, 0), ("insert", 3, None, "de", "vier", 0), ("insert", None, "a", "en", "five", 0)]
+    assert put("b1", one) and not put("b1", one)
+    assert totals() == {("a", "en"): (3, count("one two three") + count("five")), (None, "de"): (1, count("vier"))}
+    assert put("b2", [("revise", 1, "b", "en", "now much longer than before", 0), ("delete", 3, None, None, None, 0), ("delete", 77, "a", "en", "x", 0)])
+    assert not put("b2", [("delete", 2, "a", "en", None, 0)])
+    assert totals() == {("a", "en"): (2, count("five")), ("b", "en"): (1, count("now much longer than before"))}
+    assert put("b3", [("insert", 9, "c", "en", "x", 1), ("delete", 9, "c", "en", None, 2), ("insert", 8, "c", "en", "long " * 50000, 1)], "op string, doc_id long, source string, lang string, text string, seq int")
+    assert totals()["c", "en"] == (1, count("long " * 50000))
+    assert put("b4", []) and totals()["b", "en"][0] == 1
+
+
+# --- decontamination ---
+
+
+def test_tiles_are_longest_first_and_do_not_overlap():
+    known = decontamination._Numbers()
+    n = lambda t: decontamination.numbers(t, known)
+    item, doc = "a b c d e f g h i j k l", "x g h i j k l y a b c d e f z a b c d e"
+    tiles = decontamination.tile(n(item), n(doc))
+    assert sorted(t[2] for t in tiles) == [6, 6] and {t[0] for t in tiles} == {0, 6}
+    assert decontamination.tile(n("a b c d"), n("a b c d")) == [] and decontamination.tile(n("a b c d"), n("a b c d"), 4) == [(0, 0, 4)]
+    assert decontamination.tile(n("q q q q q q"), n("q q q q q q q q q q q q")) == [(0, 0, 6)]
+
+
+def brute_tiles(item, doc, least):
+    a, b, out = [False] * len(item), [False] * len(doc), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                k = 0
+                while i + k < len(item) and j + k < len(doc) and item[i + k] == doc[j + k] and not a[i + k] and not b[j + k]:
+                    k += 1
+                if k > best[0]:
+                    best = (k, i, j)
+        if best[0] < least:
+            return out
+        k, i, j = best
+        for x in range(k):
+            a[i + x] = b[j + x] = True
+        out += k
+
+
+def test_tiles_equal_brute_force():
+    rng, known = np.random.default_rng(2), decontamination._Numbers()
+    for _ in range(60):
+        item, doc = ([f"t{x}" for x in rng.integers(0, 4, int(rng.integers(1, 40)))] for _ in range(2))
+        tiles = decontamination.tile(decontamination.numbers(" ".join(item), known), decontamination.numbers(" ".join(doc), known), 3)
+        assert sum(t[2] for t in tiles) == brute_tiles(item, doc, 3)
+
+
+def test_leaks(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog again today"), (2, "one two"), (3, None), (4, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (None, "x y z")], "item_id long, text string")
+    rows = [(1, "so THE quick, brown fox jumps over the lazy dog again today!"), (2, "zeta eta theta iota kappa and then alpha beta gamma delta epsilon"), (3, "one three two"), (4, "well one two"), (5, None), (6, ""), (7, "word " * 60000 + "one two"), (None, "one two"), (4, "well one two")]
+    docs = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], "doc_id long, text string, leaks string, item_id int")
+    want = sorted([(1, 1), (2, 4), (4, 2), (4, 2), (7, 2), (-1, 2)])
+    for words_ in (1_000_000, 8):  # in one block, and in several
+        monkeypatch.setattr(decontamination, "BLOCK_WORDS", words_)
+        got = decontamination.mark(spark, docs, bench, ["doc_id"]).select("doc_id", F.explode("leaks.item_id").alias("i")).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.i) for r in got) == want
+    assert decontamination.mark(spark, docs, bench.limit(0), ["doc_id"]).where("size(leaks) > 0").count() == 0
+    assert decontamination.mark(spark, docs.limit(0), bench, ["doc_id"]).count() == 0
+
+
+def test_leaks_on_documents(spark):
+    items = [(r.item_id, " ".join(re.findall(r"\w+", r.text.lower()))) for r in read(spark, "benchmark").collect()]
+    docs = [(r.doc_id, " ".join(re.findall(r"\w+", (r.text or "").lower()))) for r in read(spark, "documents").collect()]
+    got = {(r.doc_id, r.item_id): r.share for r in queries.op6_decontamination(spark, SMALL).collect()}
+    assert {k for k, v in got.items() if v == 1} >= {(i, j) for i, t in docs for j, x in items if f" {x} " in f" {t} "}
+    texts, wanted = dict(docs), dict(items)
+    for (i, j), share in got.items():
+        assert share == pytest.approx(brute_tiles(wanted[j].split(), texts[i].split(), 5) / len(wanted[j].split()))
+
+
+# --- licences ---
+
+
+def test_license_edges(spark):
+    s = licenses.SENTENCES
+    mit = "\n".join([s["mit-grant"], "# " + s["mit-notice"], "// " + s["asis"]])
+    rows = [(1, mit), (2, None), (3, ""), (4, "Licensed   under the APACHE License, Version 2.0."), (5, s["bsd-source"] + " Other words. " + s["bsd-binary"] + " " + s["bsd-name"]), (6, s["asis"]), (7, "word " * 50000 + "\n" + s["mit-short"] + "\n" + s["ccbync4"]), (4, "Licensed under the Apache License, Version 2.0"), (None, s["mit-short"]), (8, s["asis"] + "\n" + s["mit-notice"] + "\n" + s["mit-grant"])]
+    docs = spark.createDataFrame([(i, t, "x", 2) for i, t in rows], "doc_id long, text string, license string, licenses int")
+    got = sorted(((r.doc_id or -1, r.license or "", ",".join(r.licenses)) for r in licenses.recognise(docs, ["doc_id"]).collect()), key=str)
+    want = [(1, "MIT", "MIT"), (2, "", ""), (3, "", ""), (4, "Apache-2.0", "Apache-2.0"), (5, "BSD-3-Clause", "BSD-3-Clause,BSD-2-Clause"), (6, "", ""), (7, "MIT", "MIT,CC-BY-NC-4.0"), (4, "Apache-2.0", "Apache-2.0"), (-1, "MIT", "MIT"), (8, "", "")]
+    assert got == sorted(want, key=str) and licenses.recognise(docs.limit(0), ["doc_id"]).count() == 0
+
+
+# --- exact top-k ---
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(4)
+    x = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(300)]
+    x += [(i, [0.5] * 8) for i in range(300, 420)]  # ties
+    x += [(600, None), (700, [1.0] * 7 + [None]), (800, [float("nan")] * 8), (900, [float("inf")] * 8), (None, [9.0] * 8), (1000, []), (42, x[42][1]), (100, x[100][1])]
+    vectors = spark.createDataFrame([(i, v, "q", 1.0) for i, v in x], "vec_id long, embedding array<double>, query_id string, score double")
+    fine = [(i, [math.floor(1024 * c) for c in v]) for i, v in x if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    want = []
+    for q in sorted({(i, tuple(v)) for i, v in fine if i % 100 == 0}):
+        best = sorted(((-sum(a * b for a, b in zip(q[1], v)), i) for i, v in fine if i != q[0]))[:10]
+        want += [(q[0], k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    for rows in (8192, 64):
+        got = topk.search(spark, vectors, "vec_id", "embedding", F.col("vec_id") % 100 == 0, block_rows=rows).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    few = topk.search(spark, vectors.where("vec_id in (0, 1, 2)"), "vec_id", "embedding", F.col("vec_id") == 0)
+    assert few.count() == 2 and topk.search(spark, vectors.limit(0), "vec_id", "embedding", F.col("vec_id") == 0).count() == 0
+
+
+# --- toxicity ---
+
+
+def test_toxicity_learns(spark):
+    found = queries.op9_toxicity(spark, "/root/testdata/sf0.1").join(read(spark, "labels", "/root/testdata/sf0.1"), "doc_id").collect()
+    held = [r for r in found if r.held_out]
+    assert {r.doc_id for r in held} == {r.doc_id for r in found if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    hit = sum(r.predicted and r.toxic for r in held)
+    assert hit / sum(r.predicted for r in held) > 0.9 and hit / sum(r.toxic for r in held) > 0.8
+
+
+def test_toxicity_edges(spark):
+    docs = spark.createDataFrame([(i, f"you vile {'scum' if i % 3 == 0 else 'friend'} number{i}", "x", 0.5) for i in range(90)] + [(100, None, "x", 0.0), (101, "", "x", 0.0), (None, "scum " * 50000, "x", 0.0)], "doc_id long, text string, toxic string, score double")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] * 2 + [(None, 1), (5, None), (777, 1)], "doc_id long, toxic int")
+    rates = toxicity.Rates(l1=0.5)
+    w = toxicity.train(spark, docs, labels, rates=rates)
+    got = {r.doc_id: r.score for r in toxicity.score(spark, docs, w, ["doc_id"]).collect()}
+    assert min(got[i] for i in range(0, 90, 3)) > max(got[i] for i in range(1, 90, 3)) and got[100] == got[101] and got[None] > 0.5
+    none = toxicity.train(spark, docs, labels.limit(0))
+    assert none.count() == 0 and toxicity.score(spark, docs, none, ["doc_id"]).where("score > 0.3").count() == 0
+    assert toxicity.score(spark, docs.limit(0), w, ["doc_id"]).count() == 0
+
+
+# --- url filters ---
+
+
+def test_urls(spark):
+    link = lambda u: f'<html><head><LINK href="{u}" rel="canonical"></head>'
+    meta = lambda u: f"<meta http-equiv='refresh' content='0; URL={u}'>"
+    rows = [
+        (1, "http://a.example.net/x", None), (2, "http://a.example.net/en/x", ""), (3, "https://B.Example.COM/de/q?x#y", "<p>canonical</p>"), (4, None, link("http://x.net/")), (5, "nonsense", link("http://x.net/")),
+        (6, "http://good.io/1", link("http://bad.net/")), (7, "http://good.io/2", meta("/1")), (8, "http://good.io/2#frag", ""), (9, "http://z.org/fr/", meta("http://bad.net/")), (10, "http://net", ""), (11, "http://netx/", ""), (12, "http://good.io/d/3", link("4")), (13, "http://good.io/d/4", ""), (6, "http://good.io/1", link("http://bad.net/")), (None, "http://q.org/de/", "<link rel=canonical href=//bad.net/>"),
+    ]
+    pages = spark.createDataFrame([(i, u, h, "r", 1) for i, u, h in rows], "page_id long, url string, html string, rule string, node int")
+    got = sorted(((r.page_id or -1, r.host, r.path, r.rule or "", r.verdict) for r in urls.judge(spark, pages, ["page_id"]).collect()))
+    want = [(1, "a.example.net", "/x", "net/", "block"), (2, "a.example.net", "/en/x", "example.net/en/", "allow"), (3, "b.example.com", "/de/q", "example.com/de/", "block"), (4, "", "", "", "allow"), (5, "", "", "", "allow"), (6, "good.io", "/1", "", "block"), (7, "good.io", "/2", "", "block"), (8, "good.io", "/2", "", "block"), (9, "z.org", "/fr/", "org/fr/", "allow"), (10, "net", "", "", "allow"), (11, "netx", "/", "", "allow"), (12, "good.io", "/d/3", "", "allow"), (13, "good.io", "/d/4", "", "allow"), (6, "good.io", "/1", "", "block"), (-1, "q.org", "/de/", "", "block")]
+    assert got == sorted(want)
+    import duckdb
+
+    con = duckdb.connect()
+    frame = pages.select("page_id", "url", "html").toPandas()
+    con.register("pages", frame)
+    assert sorted(((int(r[0]) if r[0] == r[0] and r[0] is not None else -1, r[1], r[2], r[3] or "", r[4]) for r in con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({urls.ORACLE})").fetchall())) == sorted(want)
+    log = spark.createDataFrame([("http://good.io/d/4", "http://bad.net/"), (None, "http://bad.net/")], "a string, b string")
+    assert {r.page_id: r.verdict for r in urls.judge(spark, pages, ["page_id"], edges=log).collect()}[12] == "block"
+    assert urls.judge(spark, pages.limit(0), ["page_id"]).count() == 0
