@@ -22,3 +22,6 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+from . import corpus  # noqa: E402, F401  registers its queries
