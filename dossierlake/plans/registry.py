@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import corpus  # noqa: E402, F401  registers its queries
+from . import corpus, review  # noqa: E402, F401  they register their queries

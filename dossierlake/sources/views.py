@@ -61,12 +61,13 @@ SELECT doc_id, line_no AS item_no, concat('1.', CAST(line_no AS STRING)) AS stru
 SELECT p_partkey % 50 AS doc_id, p_partkey AS line_no,
  concat(CAST(1 + p_partkey % 9 AS STRING), '.', CAST(1 + p_partkey % 7 AS STRING), ' 章', p_name, CASE WHEN p_partkey % 6 = 0 THEN '' ELSE concat(' ........ ', CAST(1 + p_size AS STRING)) END) AS line FROM part""",
     "v_cells": """
-SELECT l_orderkey AS sheet, 2 AS row, 1 AS col, '名称' AS value FROM lineitem WHERE l_linenumber = 1
-UNION ALL SELECT l_orderkey, 2, 2, '数量' FROM lineitem WHERE l_linenumber = 1
-UNION ALL SELECT l_orderkey, 2, 3, '单价' FROM lineitem WHERE l_linenumber = 1
+SELECT sheet, row, col, min(value) AS value FROM (
+SELECT l_orderkey AS sheet, 2 AS row, 1 AS col, '名称' AS value FROM lineitem
+UNION ALL SELECT l_orderkey, 2, 2, '数量' FROM lineitem
+UNION ALL SELECT l_orderkey, 2, 3, '单价' FROM lineitem
 UNION ALL SELECT l_orderkey, 2 + l_linenumber, 1, p_name FROM lineitem JOIN part ON l_partkey = p_partkey
 UNION ALL SELECT l_orderkey, 2 + l_linenumber, 2, CASE WHEN l_partkey % 10 = 0 THEN 'n/a' ELSE CAST(CAST(floor(l_quantity) AS INT) AS STRING) END FROM lineitem
-UNION ALL SELECT l_orderkey, 2 + l_linenumber, 3, CAST(CAST(floor(l_extendedprice) AS INT) AS STRING) FROM lineitem""",
+UNION ALL SELECT l_orderkey, 2 + l_linenumber, 3, CAST(CAST(floor(l_extendedprice) AS INT) AS STRING) FROM lineitem) c GROUP BY 1, 2, 3""",
 }
 SPARK_ONLY = {
     "v_lines": "SELECT doc_id, i AS line_no, l AS line FROM documents LATERAL VIEW posexplode(split(text, '\\\\n')) u AS i, l WHERE trim(l) <> ''",
