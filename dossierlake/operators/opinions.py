@@ -245,9 +245,11 @@ def match_cards(docs: DataFrame, cards_: DataFrame, doc: str = "doc_id", text: s
     heads = words.select("low").distinct().withColumn("g", F.left("low", F.lit(PREFIX))).groupBy("g").agg(F.collect_set("low").alias("lows"))
     short = heads.where(F.length("g") < PREFIX)
     body = docs.select(doc, F.lower(text).alias("__t"))
-    pieces = body.withColumn("g", F.explode(F.when(F.length("__t") >= PREFIX, grams(F.col("__t"), PREFIX)).otherwise(F.array().cast("array<string>"))))
+    # the substrings travel without the text, and come back as one list a document
+    pieces = body.select(doc, F.explode(F.when(F.length("__t") >= PREFIX, grams(F.col("__t"), PREFIX)).otherwise(F.array().cast("array<string>"))).alias("g"))
+    lists = pieces.join(heads, "g").groupBy(doc).agg(F.flatten(F.collect_list("lows")).alias("lows"))
     few = body.join(short, F.contains("__t", F.col("g")))  # triggers of fewer characters: a handful of rows
-    found = pieces.join(heads, "g").select(doc, "__t", "lows").unionByName(few.select(doc, "__t", "lows"))
+    found = body.join(lists, doc).unionByName(few.select(doc, "__t", "lows"))
     hit = found.select(doc, F.explode(F.filter("lows", lambda w: F.contains(F.col("__t"), w))).alias("low"))
     strong_hit = F.max(F.col("word").isin(*strong).cast("int")) if strong else F.lit(0)
     scored = hit.join(words, "low").groupBy(doc, "card_id", "confidence").agg(F.countDistinct("word").alias("overlap"), strong_hit.alias("strong"))
