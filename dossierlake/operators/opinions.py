@@ -235,8 +235,8 @@ def cards_of(rules: DataFrame, schema: str) -> DataFrame:
 PREFIX = 5
 
 
-def match_cards(docs: DataFrame, cards_: DataFrame, doc: str = "doc_id", text: str = "text", limit: int = 8, least: int = 2, generic: Sequence[str] = (), strong: Sequence[str] = ()) -> DataFrame:
-    """(doc, card_id, overlap, place): cards whose non-generic triggers stand in a document, most first.
+def overlaps(docs: DataFrame, cards_: DataFrame, doc: str = "doc_id", text: str = "text", generic: Sequence[str] = (), strong: Sequence[str] = ()) -> DataFrame:
+    """(doc, card_id, confidence, overlap, strong) of cards with a non-generic trigger in a document.
 
     Distinct triggers, not cards, meet the texts, and they meet by an equi-join: on the first ``PREFIX`` characters of the
     trigger among the substrings of the text, which a containment check then settles.
@@ -252,10 +252,18 @@ def match_cards(docs: DataFrame, cards_: DataFrame, doc: str = "doc_id", text: s
     found = body.join(lists, doc).unionByName(few.select(doc, "__t", "lows"))
     hit = found.select(doc, F.explode(F.filter("lows", lambda w: F.contains(F.col("__t"), w))).alias("low"))
     strong_hit = F.max(F.col("word").isin(*strong).cast("int")) if strong else F.lit(0)
-    scored = hit.join(words, "low").groupBy(doc, "card_id", "confidence").agg(F.countDistinct("word").alias("overlap"), strong_hit.alias("strong"))
+    return hit.join(words, "low").groupBy(doc, "card_id", "confidence").agg(F.countDistinct("word").alias("overlap"), strong_hit.alias("strong"))
+
+
+def _ranked(scored: DataFrame, doc: str, least: int) -> DataFrame:
     kept = scored.where((F.col("overlap") >= least) | ((F.lit(least) <= 2) & (F.col("strong") == 1)))
     order = Window.partitionBy(doc).orderBy(F.desc("overlap"), F.desc(F.col("confidence") == "high"), F.asc("card_id"))
-    return kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select(doc, "card_id", "overlap", "place")
+    return kept.withColumn("place", F.row_number().over(order)).select(doc, "card_id", "overlap", "place")
+
+
+def match_cards(docs: DataFrame, cards_: DataFrame, doc: str = "doc_id", text: str = "text", limit: int = 8, least: int = 2, generic: Sequence[str] = (), strong: Sequence[str] = ()) -> DataFrame:
+    """(doc, card_id, overlap, place): the ``limit`` cards with most triggers in a document, at least ``least``."""
+    return _ranked(overlaps(docs, cards_, doc, text, generic, strong), doc, least).where(F.col("place") <= limit)
 
 
 def same_project(docs: DataFrame, cards_: DataFrame, doc: str = "doc_id", name: str = "project_key", source: str = "project_name") -> DataFrame:
@@ -268,11 +276,12 @@ def same_project(docs: DataFrame, cards_: DataFrame, doc: str = "doc_id", name:
 def two_tier(docs: DataFrame, cards_: DataFrame, limit: int = 8, cross: int = 4, least: int = 2, **more) -> DataFrame:
     """Same-project matches with one shared trigger first; where they are few, others with ``least`` shared triggers."""
     own = same_project(docs, cards_)
-    one = match_cards(docs, cards_, limit=1 << 30, least=1, **more)
+    scored = overlaps(docs, cards_, **more)  # both tiers rank the same counts
+    one = _ranked(scored, "doc_id", 1)
     order = Window.partitionBy("doc_id").orderBy("place")
     mine = one.join(own, ["doc_id", "card_id"], "left_semi").withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).withColumn("match_scope", F.lit("same_project"))
     few = docs.select("doc_id").join(mine.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < max(2, limit // 2))
-    many = match_cards(docs, cards_, limit=1 << 30, least=least, **more)
+    many = _ranked(scored, "doc_id", least)
     other = many.join(own, ["doc_id", "card_id"], "left_anti").join(few, "doc_id").withColumn("place", F.row_number().over(order))
     other = other.where(F.col("place") <= F.least(F.lit(cross), F.lit(limit) - F.col("n"))).drop("n").withColumn("match_scope", F.lit("cross_project"))
     return mine.unionByName(other)
@@ -335,3 +344,57 @@ def representatives(rows: DataFrame, specs: Sequence[tuple[str, Sequence[str]]],
             used.add(pick)
             out.append((name, pick))
     return out
+
+
+# --- from cards to findings and evidence ---
+
+
+def work_item(c: Column, markers: Sequence[str], default: Column, least: int = 2, most: int = 18) -> Column:
+    """The subject of an opinion: its text before the earliest marker, without item numbers, if its length fits."""
+    text = tx.compact(c)
+    first = F.array_min(F.filter(F.transform(tx.strings(markers), lambda m: F.instr(text, m)), lambda p: p > 1))
+    subject = F.trim(F.regexp_replace(F.left(text, first - 1), r"^[0-9一二三四五六七八九十]+[、.)）]\s*", ""), F.lit(" ，。；:："))
+    fits = first.isNotNull() & F.length(subject).between(least, most)
+    return F.when(fits, subject).otherwise(default)
+
+
+def recommendation(partial: Column, absent: Column, templates: dict[str, str], base: Column) -> Column:
+    """What to write: vague points to make exact, missing points to add, the templates of both, then the base text."""
+    table = F.create_map(*[x for k, v in templates.items() for x in (F.lit(k), F.lit(v))]) if templates else F.create_map().cast("map<string,string>")
+    lines = F.array_distinct(F.filter(F.transform(F.concat(partial, absent), lambda n: table[n]), lambda v: v.isNotNull()))
+    part = lambda head, names: F.when(F.size(names) > 0, F.concat(F.lit(head), F.array_join(names, ", ")))
+    wording = F.when(F.size(lines) > 0, F.concat(F.lit("write: "), F.array_join(lines, "; ")))
+    return F.concat_ws("\n", part("make exact: ", partial), part("add: ", absent), wording, F.nullif(base, F.lit("")))
+
+
+def card_findings(aligned: DataFrame, markers: Sequence[str], templates: dict[str, str], cost_hint: str, base: str = "") -> DataFrame:
+    """Findings of aligned cards (doc_id, card_id, opinion, work_category, match_scope and what ``assess`` adds): resolved
+    ones go; another project's also needs a template for an open point, and no cost or measure hint in its opinion."""
+    open_ = F.concat("partial", "absent")
+    mapped = F.exists(open_, lambda n: n.isin(*templates)) if templates else F.lit(False)
+    kept = aligned.where((F.col("alignment") != "resolved") & ((F.col("match_scope") != "cross_project") | (mapped & ~F.col("opinion").rlike(cost_hint))))
+    rows = kept.select("doc_id", "card_id", work_item(F.col("opinion"), markers, F.col("work_category")).alias("work_item"), F.col("opinion").alias("finding"), recommendation(F.col("partial"), F.col("absent"), templates, F.lit(base)).alias("recommendation"), "alignment")
+    order = Window.partitionBy("doc_id", "work_item", "finding").orderBy("card_id")
+    return rows.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
+
+
+def experience_search(queries: DataFrame, cards_: DataFrame, k: int = 3) -> DataFrame:
+    """(query_id, card_id, place): cards whose triggers stand in the query; for queries without any, cards whose opinion holds
+    one of the query's words."""
+    hit = match_cards(queries, cards_, doc="query_id", text="query", limit=k, least=1).select("query_id", "card_id", "place")
+    lost = queries.join(hit.select("query_id").distinct(), "query_id", "left_anti")
+    word = lost.select("query_id", F.explode(F.transform(tx.query_tokens(F.col("query")), lambda t: F.lower(t))).alias("word"))
+    held = cards_.select("card_id", F.explode(F.array_distinct(tx.tokens(F.col("opinion")))).alias("word"))
+    near = word.join(held, "word").select("query_id", "card_id").distinct()
+    order = Window.partitionBy("query_id").orderBy("card_id")
+    return hit.unionByName(near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k))
+
+
+def fetch(actions: DataFrame, found: DataFrame, experience: DataFrame, texts: DataFrame, size: int = 1200) -> DataFrame:
+    """Results of planned actions (doc_id, query_id, tool, query): ``standards`` reads retrieved answers (query_id, answer),
+    ``experience`` reads card summaries (query_id, answer), ``snippet`` cuts the document's own text around the query."""
+    s = actions.where("tool = 'standards'").join(found, "query_id", "left")
+    e = actions.where("tool = 'experience'").join(experience, "query_id", "left")
+    words = F.split(F.col("query"), " ")
+    n = actions.where("tool = 'snippet'").join(texts.select("doc_id", "text"), "doc_id", "left").withColumn("answer", tx.snippet(F.col("text"), words, size)).drop("text")
+    return s.unionByName(e).unionByName(n).withColumn("answer", F.left(tx.blank(F.col("answer")), F.lit(size)))

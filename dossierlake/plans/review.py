@@ -375,6 +375,50 @@ def e4(spark, d):
     return op.assess(rows, POINTS, FALLBACK).select("doc_id", "card_id", "alignment", F.array_join("absent", ",").alias("absent"))
 
 
+MARKERS = (":", ",", " the ", ".")
+WORDING = {"order": "name the order", "amount": "give a number"}
+
+
+@query("p21_work_items", ctes("v_opinions") + r"""
+, t AS (SELECT row_index, item_index, regexp_replace(opinion, '\s+', '', 'g') AS x FROM v_opinions),
+p AS (SELECT *, list_min(list_filter([instr(x, ':'), instr(x, ','), instr(x, '.')], lambda q: q > 1)) AS f FROM t),
+s AS (SELECT *, trim(regexp_replace(left(x, f - 1), '^[0-9一二三四五六七八九十]+[、.)）]\s*', ''), ' ，。；:：') AS w FROM p)
+SELECT row_index, item_index, CASE WHEN f IS NOT NULL AND length(w) BETWEEN 2 AND 18 THEN w ELSE 'general' END AS work_item FROM s""")
+def p21(spark, d):
+    return opinions(spark, d).select("row_index", "item_index", op.work_item(F.col("opinion"), (":", ",", "."), F.lit("general")).alias("work_item"))
+
+
+@query("p22_recommendations", ctes("v_opinions", more=ALIGN + ", r AS (SELECT row_index, item_index, list_filter(names, lambda n, i: st[i] = 'vague') AS pa, list_filter(names, lambda n, i: st[i] = 'missing') AS ab FROM v)") + """
+SELECT row_index, item_index, concat_ws(chr(10), CASE WHEN len(pa) > 0 THEN concat('make exact: ', array_to_string(pa, ', ')) END, CASE WHEN len(ab) > 0 THEN concat('add: ', array_to_string(ab, ', ')) END,
+ CASE WHEN len(list_intersect(list_concat(pa, ab), ['order', 'amount'])) > 0 THEN concat('write: ', array_to_string(list_transform(list_filter(list_concat(pa, ab), lambda n: n IN ('order', 'amount')), lambda n: CASE n WHEN 'order' THEN 'name the order' ELSE 'give a number' END), '; ')) END, 'as built') AS text FROM r""")
+def p22(spark, d):
+    rows = assessed(spark, d)
+    return rows.select("row_index", "item_index", op.recommendation(F.col("partial"), F.col("absent"), WORDING, F.lit("as built")).alias("text"))
+
+
+@query("e5_card_findings")
+def e5(spark, d):
+    docs, cards = view(spark, d, "documents").withColumn("project_key", F.concat(F.lit("conv_"), F.col("doc_id"))), carded(spark, d)
+    hit = op.two_tier(docs, cards).join(cards.select("card_id", "opinion", "work_category"), "card_id").join(docs.select("doc_id", F.col("text").alias("evidence")), "doc_id")
+    return op.card_findings(op.assess(hit, POINTS, FALLBACK), MARKERS, WORDING, "price|cost").select("doc_id", "card_id", "work_item", "alignment", "recommendation")
+
+
+@query("r10_experience_search")
+def r10(spark, d):
+    return op.experience_search(view(spark, d, "v_queries"), carded(spark, d))
+
+
+@query("r11_evidence_fetch")
+def r11(spark, d):
+    queries, cards = view(spark, d, "v_queries"), carded(spark, d)
+    kind = F.when(F.col("query_id") % 3 == 0, "standards").when(F.col("query_id") % 3 == 1, "experience").otherwise("snippet")
+    actions = queries.select(F.col("query_id").alias("doc_id"), "query_id", kind.alias("tool"), "query")
+    found = rt.answers(queries, rt.retrieve(queries, view(spark, d, "v_rules"), stop=STOP))
+    hit = op.experience_search(queries, cards).join(cards.select("card_id", "opinion"), "card_id")
+    summaries = hit.groupBy("query_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("place", "opinion")))).alias("answer"))
+    return op.fetch(actions, found, summaries, view(spark, d, "documents")).select("doc_id", "query_id", "tool", F.md5("answer").alias("answer"))
+
+
 # --- findings ---
 
 
