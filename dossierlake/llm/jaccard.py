@@ -6,8 +6,9 @@ two sets at the threshold cannot avoid to share: ``n - ceil(t * n) + 1``. Produc
 up by pair, are partial overlaps; pairs whose sizes, positions and partial overlap cannot reach the bound
 ``ceil(t / (1 + t) * (n + m))`` go, the rest are compared over their whole sets.
 
-Groups are not expanded into all their pairs. First each column links its members in a chain, members that resemble
-each other side by side (chains by a min-hash and by size), and the verified links are contracted to components.
+Groups are not expanded into all their pairs. First each column links its members to a hub, the member whose prefix is
+shared most, and in chains, members that resemble each other side by side (by a min-hash and by size); of its hubs and
+neighbours, each document's few with most shared columns are verified, and the links found are contracted to components.
 Then only columns that still hold more than one component are multiplied out, between components only. A link between
 two documents already in one component changes no component, so no link between different groups is lost.
 
@@ -33,6 +34,7 @@ from .common import components, small_batches, written
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 80, 100
 SLOT_BITS = 24
+NEIGHBOURS = 3
 RANGE_ENTRIES = 1 << 20
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -40,7 +42,7 @@ _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 16:
             self.clear()
         self[word] = found
         return found
@@ -134,7 +136,7 @@ def frequency_table(spark: SparkSession, docs: DataFrame, text: str, total: int,
         for _, s in _distinct(batches, text, width):
             parts.append((s >> np.uint64(32)).astype(np.uint32))
             n += len(s)
-            if n >= 1 << 23:
+            if n >= 1 << 21:
                 yield out()
                 parts, n = [], 0
         if parts:
@@ -232,7 +234,8 @@ def _sets(spark: SparkSession, docs: DataFrame, text: str, nodes: DataFrame, wid
 
 
 def join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """``(key, n_shingles, component_id, n_links)`` of every row; n_links counts the links found of its node, at least."""
+    """``(key, n_shingles, component_id, links_verified)`` of every row. A component is joined by the links verified, which
+    are as few as its members need; links_verified counts those of the row's text, not all there are."""
     small_batches(spark)
     rows = written(spark, classes(docs, key, text, width), "classes")
     named = rows.where(F.col("node").isNotNull() & F.col(key).isNotNull())
@@ -249,12 +252,19 @@ def join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     nodes = written(spark, columns.select("node").distinct(), "nodes")
     sets = written(spark, _sets(spark, real, text, nodes, width), "sets")
 
-    # chains: linear in the size of a column
+    # hubs and chains: linear in the size of a column. A hub is the member whose prefix is shared most: copies of a text
+    # that differ from each other still link to what they were made from
+    shares = columns.groupBy("node", "n").agg(F.count("*").alias("k")).select("node", (F.col("k") / (F.col("n") - _least(F.col("n")) + 1)).alias("share"))
+    rated = columns.select("h", "node", "n").join(shares, "node")
+    hub = rated.groupBy("h").agg(F.max_by(F.struct(F.col("node").alias("p"), F.col("n").alias("m")), F.struct("share", "n", "node")).alias("x")).select("h", "x.*")
+    led = columns.select("h", "node", "n").join(hub, "h").select("node", "n", "p", "m", F.lit(True).alias("hub"))
     both = columns.select("h", "node", "n", "p1", "m1", F.lag("node").over(sized).alias("p2"), F.lag("n").over(sized).alias("m2"))
-    chain = both.select("node", "n", F.explode(F.array(F.struct(F.col("p1").alias("p"), F.col("m1").alias("m")), F.struct(F.col("p2").alias("p"), F.col("m2").alias("m")))).alias("x")).select("node", "n", "x.*")
+    chain = both.select("node", "n", F.explode(F.array(F.struct(F.col("p1").alias("p"), F.col("m1").alias("m")), F.struct(F.col("p2").alias("p"), F.col("m2").alias("m")))).alias("x")).select("node", "n", "x.*", F.lit(False).alias("hub"))
     near = lambda n, m: (n >= _least(m)) & (m >= _least(n))
-    pairs = chain.where(F.col("p").isNotNull() & near(F.col("n"), F.col("m"))).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-    tried = written(spark, pairs, "tried")
+    pairs = chain.unionByName(led).where((F.col("p") != F.col("node")) & near(F.col("n"), F.col("m"))).groupBy("node", "p", "hub").agg(F.count("*").alias("k"))
+    # a node's best few of either kind connect a group as well as all of them; what they leave apart is multiplied out below
+    best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("node", "hub").orderBy(F.desc("k"), "p"))).where(F.col("r") <= NEIGHBOURS)
+    tried = written(spark, best.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct(), "tried")
     links = written(spark, _overlaps(sets, tried), "links")
     first = components(spark, links)
 
@@ -283,7 +293,7 @@ def join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     group = ids.join(final.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("component", "id").alias("component")).join(degree, "node", "left")
     found = rows.join(group, "node", "left")
     alone = F.when(F.col(key).isNotNull(), F.coalesce("component", F.col(key)))
-    return found.select(key, F.col("n").alias("n_shingles"), alone.alias("component_id"), F.coalesce("count", F.lit(0)).alias("n_links"))
+    return found.select(key, F.col("n").alias("n_shingles"), alone.alias("component_id"), F.coalesce("count", F.lit(0)).alias("links_verified"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
