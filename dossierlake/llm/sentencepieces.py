@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 TABLE_ROWS = 1 << 17
-MEMO_ROWS = 1 << 18
+MEMO_ROWS = 1 << 16
 _RUN = re.compile(" +[^ ]*")
 
 
@@ -87,7 +87,7 @@ def chunk_table(spark: SparkSession, docs: DataFrame, blob: bytes, text: str = "
         for b in batches:
             for t in b[text].to_pylist():
                 seen.update(chunks(t or ""))
-                if len(seen) > MEMO_ROWS * 2:
+                if len(seen) > MEMO_ROWS * 4:
                     yield out()
                     seen.clear()
         yield out()

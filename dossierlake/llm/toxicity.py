@@ -49,7 +49,7 @@ class _Hashes(dict):
 
     def __missing__(self, word: str) -> tuple[int, int, int]:
         found = tuple(zlib.crc32(w.encode()) + 1 for w in (word, word[:4], word[:5]))
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 16:
             self.clear()
         self[word] = found
         return found
@@ -100,13 +100,12 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "d
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in batches:
-            ids = [np.unique(features(t, hashes)).astype("<u4").tobytes() for t in b[text].to_pylist()]
+            ids = [np.append(np.unique(features(t, hashes)), 1 << BITS).astype("<u4").tobytes() for t in b[text].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["h"], pa.array(ids, pa.binary()), b["__y"].cast(pa.int32())], ["h", "ids", "y"])
 
     def learnt(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("h")
-        bias = np.array([1 << BITS], np.uint32)
-        ids = [np.concatenate([np.frombuffer(x, "<u4"), bias]) for x in rows["ids"]]
+        ids = [np.frombuffer(x, "<u4") for x in rows["ids"]]  # views; the last of each is the bias
         used, z, n = _ftrl(ids, rows["y"].to_numpy(), rates)
         return pd.DataFrame({"id": used, "z": z, "n": n})
 
