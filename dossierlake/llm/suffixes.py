@@ -306,18 +306,14 @@ def _contexts(spark: SparkSession, docs: DataFrame, text: str, wanted: DataFrame
 
 def repeats(spark: SparkSession, docs: DataFrame, text: str = "text", size: int = SIZE, seed: int = SEED) -> DataFrame:
     """``(d, start, end)``: byte runs, by the MD5 digest of their text, that repeated strings cover; runs may overlap."""
-    found = _anchor_rows(docs, text, size, seed)
-    by = Window.partitionBy("g").orderBy("c", "d", "p", "lo")
-    near = found.select("*", F.lag("c").over(by).alias("c0"), F.lead("c").over(by).alias("c1"))
-    near = near.where("c0 is not null or c1 is not null")
-    marked = near.select("d", "p", "lo", "hi", "g", "c", F.coalesce((F.col("c0") == F.col("c")) | (F.col("c1") == F.col("c")), F.col("c0") == F.col("c"), F.col("c1") == F.col("c")).alias("whole"), F.coalesce(F.col("c0") != F.col("c"), F.lit(True)).alias("first"))
-    known = written(spark, marked, "anchors")
-    whole = known.where("whole").select("d", F.col("lo").alias("start"), (F.col("hi") + size).alias("end"))
-
+    found = written(spark, _anchor_rows(docs, text, size, seed), "anchors")
+    # counts combine before the shuffle and the joins below can be split, so a seed that a third of all rows hold is no
+    # hot task
+    each = found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "p", "lo")).alias("first"))
+    whole = found.join(each.where("n > 1").select("g", "c"), ["g", "c"], "left_semi").select("d", F.col("lo").alias("start"), (F.col("hi") + size).alias("end"))
     # one row for each different context of a seed that has several
-    one = known.where("first")
-    several = one.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
-    wanted = one.join(several, "g").select("d", "p", "lo", "g", "c", "whole", "k")
+    several = each.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
+    wanted = each.join(several, "g").select("first.*", "g", "c", (F.col("n") > 1).alias("whole"), "k")
     rows = written(spark, _contexts(spark, docs, text, written(spark, wanted, "wanted"), size, seed).dropDuplicates(["g", "c"]), "contexts")
     count = rows.where(F.col("k") <= GROUP).count()
     buckets = max(1, -(-count // BUCKET))
