@@ -21,7 +21,7 @@ are ignored; very long texts are compared whole.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -71,15 +71,25 @@ def _node(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _distinct(batches: Iterator[pa.RecordBatch], text: str, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Nodes of a partition with their shingles, each once (as far back as a bounded memory reaches)."""
+def _mark(text: str | None) -> int:
+    """64-bit number of a whole text: tells repeated texts without their shingles."""
+    return int.from_bytes(hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _distinct(batches: Iterator[pa.RecordBatch], text: str, width: int, wanted: Callable[[int], bool] = lambda mark: True) -> Iterator[tuple[int, np.ndarray]]:
+    """Nodes of a partition with their shingles, each once (as far back as a bounded memory reaches); only texts whose
+    mark is ``wanted`` are cut into shingles."""
     known, seen = _Numbers(), set()
     for b in batches:
         for t in b[text].to_pylist():
+            mark = _mark(t)
+            if mark in seen or not wanted(mark):
+                continue
             s = shingles(t, known, width)
+            if len(seen) >= 1 << 18:
+                seen.clear()
+            seen.add(mark)
             if len(s) and (node := _node(s)) not in seen:
-                if len(seen) >= 1 << 18:
-                    seen.clear()
                 seen.add(node)
                 yield node, s
 
@@ -98,15 +108,18 @@ def _chunked(rows: Iterator[tuple], names: Sequence[str], kinds: Sequence[pa.Dat
 
 
 def classes(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
-    """``(key, node, n)``: the shingle set of every row, by number, and its size; node null for an empty set."""
+    """``(key, node, n, mark)``: the shingle set of every row, by number, its size and the text's mark; node null for an
+    empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Numbers()
         for b in batches:
-            sets = [shingles(t, known, width) for t in b[text].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b[key], pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], [key, "node", "n"])
+            texts = b[text].to_pylist()
+            sets = [shingles(t, known, width) for t in texts]
+            nodes, sizes = [_node(s) if len(s) else None for s in sets], [len(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([b[key], *(pa.array(x, pa.int64()) for x in (nodes, sizes, map(_mark, texts)))], [key, "node", "n", "mark"])
 
-    return docs.select(key, text).mapInArrow(run, docs.select(key).schema.add("node", "long").add("n", "long"))
+    return docs.select(key, text).mapInArrow(run, docs.select(key).schema.add("node", "long").add("n", "long").add("mark", "long"))
 
 
 def frequency_table(spark: SparkSession, docs: DataFrame, text: str, total: int, width: int = WIDTH) -> np.ndarray:
@@ -202,7 +215,8 @@ def _overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _sets(spark: SparkSession, docs: DataFrame, text: str, nodes: DataFrame, width: int) -> DataFrame:
-    """``(node, s)``: whole sets of ``nodes``. A bit table of fixed size keeps most other sets from being shuffled."""
+    """``(node, s)``: whole sets of ``nodes(node, mark)``, cut from a text of each. A bit table of fixed size over the marks
+    keeps most other texts from being cut and shuffled."""
     bits = 27
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
@@ -210,7 +224,7 @@ def _sets(spark: SparkSession, docs: DataFrame, text: str, nodes: DataFrame, wid
         x[rows["bit"].to_numpy() & ((1 << 15) - 1)] = 1
         return pd.DataFrame({"block": [int(rows["bit"].iloc[0]) >> 15], "x": [np.packbits(x).tobytes()]})
 
-    bit = nodes.select((F.col("node").bitwiseAND((1 << bits) - 1)).alias("bit")).distinct()
+    bit = nodes.select((F.col("mark").bitwiseAND((1 << bits) - 1)).alias("bit")).distinct()
     table = np.zeros(1 << (bits - 3), np.uint8)
     for row in bit.groupBy(F.shiftright("bit", 15).alias("k")).applyInPandas(block, "block int, x binary").toLocalIterator():
         table[row["block"] << 12 : (row["block"] + 1) << 12] = np.frombuffer(row["x"], np.uint8)
@@ -218,14 +232,17 @@ def _sets(spark: SparkSession, docs: DataFrame, text: str, nodes: DataFrame, wid
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, out, size = shared.value, [], 0
-        for node, s in _distinct(batches, text, width):
-            at = node & ((1 << bits) - 1)
-            if marks[at >> 3] >> (7 - (at & 7)) & 1:
-                out.append((node, s.tobytes()))
-                size += len(s)
-                if size >= 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["node", "s"])
-                    out, size = [], 0
+
+        def wanted(mark: int) -> bool:
+            at = mark & ((1 << bits) - 1)
+            return bool(marks[at >> 3] >> (7 - (at & 7)) & 1)
+
+        for node, s in _distinct(batches, text, width, wanted):
+            out.append((node, s.tobytes()))
+            size += len(s)
+            if size >= 1 << 18:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["node", "s"])
+                out, size = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["node", "s"])
 
@@ -249,7 +266,8 @@ def join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     alike, sized = Window.partitionBy("h").orderBy("at", "node"), Window.partitionBy("h").orderBy("n", "node")
     chained = once.select("*", F.lag("node").over(alike).alias("p1"), F.lag("n").over(alike).alias("m1"), F.lead("node").over(alike).alias("next"))
     columns = written(spark, chained.where("p1 is not null or next is not null").drop("next"), "columns")
-    nodes = written(spark, columns.select("node").distinct(), "nodes")
+    marked = named.groupBy("node").agg(F.min("mark").alias("mark"))
+    nodes = written(spark, columns.select("node").distinct().join(marked, "node"), "nodes")
     sets = written(spark, _sets(spark, real, text, nodes, width), "sets")
 
     # hubs and chains: linear in the size of a column. A hub is the member whose prefix is shared most: copies of a text
