@@ -307,8 +307,7 @@ def _contexts(spark: SparkSession, docs: DataFrame, text: str, wanted: DataFrame
 def repeats(spark: SparkSession, docs: DataFrame, text: str = "text", size: int = SIZE, seed: int = SEED) -> DataFrame:
     """``(d, start, end)``: byte runs, by the MD5 digest of their text, that repeated strings cover; runs may overlap."""
     found = written(spark, _anchor_rows(docs, text, size, seed), "anchors")
-    # counts combine before the shuffle and the joins below can be split, so a seed that a third of all rows hold is no
-    # hot task
+    # counts combine before the shuffle; a context that very many rows hold can still make a hot task of the join below
     each = found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "p", "lo")).alias("first"))
     whole = found.join(each.where("n > 1").select("g", "c"), ["g", "c"], "left_semi").select("d", F.col("lo").alias("start"), (F.col("hi") + size).alias("end"))
     # one row for each different context of a seed that has several
