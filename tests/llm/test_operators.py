@@ -2,8 +2,10 @@ import collections
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from dossierlake.llm import common, decontamination, jaccard, licenses, queries, suffixes, token_counts, topk, toxicity, urls
@@ -265,6 +267,63 @@ def test_license_edges(spark):
     assert got == sorted(want, key=str) and licenses.recognise(docs.limit(0), ["doc_id"]).count() == 0
 
 
+NOTICES = {
+    "MIT": """Copyright (c) 2020 A. Name
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of Example Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.""",
+    "GPL-2.0-or-later": """This file is part of Foo. Foo is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+
+Foo is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of FITNESS.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty.""",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.""",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0": "To the extent possible under law, A. Name has waived all copyright and related or neighboring rights to This Work.",
+}
+
+
+def test_license_notices_wrapped_and_commented(spark):
+    rows, want = [], {}
+    for name, notice in NOTICES.items():
+        for mark, width in (("", 0), ("", 72), ("# ", 70), (" * ", 40), ("// ", 76), ("rem ", 60), ("", 25)):
+            lines = [l for p in notice.split("\n\n") for l in [*(textwrap.wrap(p.strip(), width, break_long_words=False, break_on_hyphens=False) if width else [p.strip()]), ""]]
+            for end in ("\n", "\r\n"):
+                want[len(rows)] = name
+                rows.append((len(rows), "words before\n\n" + end.join((mark + l).rstrip() for l in lines) + end + "int main;"))
+    got = {r.doc_id: r.license for r in licenses.recognise(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert {i: got[i] for i in got if got[i] != want[i]} == {} and len(got) == len(want)
+
+
+def test_license_query_keeps_what_its_sql_finds(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    assert sorted(map(tuple, queries.op7_license_scan(spark, SMALL).collect())) == sorted(con.execute(queries.ORACLES["op7_license_scan"]).fetchall())
+
+
 # --- exact top-k ---
 
 
