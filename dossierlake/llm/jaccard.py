@@ -12,6 +12,10 @@ neighbours, each document's few with most shared columns are verified, and the l
 Then only columns that still hold more than one component are multiplied out, between components only. A link between
 two documents already in one component changes no component, so no link between different groups is lost.
 
+Links are counted after that. All of them lie within components, so each component of three nodes or more is a product
+of its own, over whole sets: its nodes are dealt into blocks of bounded size, a pair of blocks is one unit of work and
+adds to its nodes' counts; pairs are never rows.
+
 Defined cases: lower case touches A-Z alone and words are split at ASCII white space; a text of fewer than ``width``
 words is one shingle; null and empty texts have no shingles, link with nothing and are their own component; equal texts
 link; repeated rows of one id are one document; rows with a null id get a null component and link nothing; other columns
@@ -35,6 +39,8 @@ WIDTH = 5
 NUMERATOR, DENOMINATOR = 80, 100
 SLOT_BITS = 24
 NEIGHBOURS = 3
+BLOCK_NODES, BLOCK_SHINGLES = 256, 1 << 19
+SLICE = 4096
 RANGE_ENTRIES = 1 << 20
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -250,9 +256,76 @@ def _sets(spark: SparkSession, docs: DataFrame, text: str, nodes: DataFrame, wid
     return wide.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """``(key, n_shingles, component_id, links_verified)`` of every row. A component is joined by the links verified, which
-    are as few as its members need; links_verified counts those of the row's text, not all there are."""
+def _linked_counts(x: list[np.ndarray], y: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each set of ``x`` with those of ``y``, and the reverse; without ``y``, of ``x`` with its other sets."""
+    sides = [x, x if y is None else y]
+    sizes = [np.array([len(s) for s in side], np.int64) for side in sides]
+    flat = [np.concatenate(side) for side in sides]
+    rows = [np.repeat(np.arange(len(side)), n) for side, n in zip(sides, sizes, strict=True)]
+    if y is None:
+        words, counts = np.unique(flat[0], return_counts=True)
+        words = words[counts > 1]
+    else:
+        words = np.intersect1d(flat[0], flat[1])
+    order = [np.argsort(f, kind="stable") for f in flat]
+    flat, rows = [f[o] for f, o in zip(flat, order, strict=True)], [r[o] for r, o in zip(rows, order, strict=True)]
+    both = np.zeros((len(sides[0]), len(sides[1])), np.int64)
+    for at in range(0, len(words), SLICE):
+        part, dense = words[at : at + SLICE], []
+        for side, f, r in zip(sides, flat, rows, strict=True):
+            lo, hi = np.searchsorted(f, part[0]), np.searchsorted(f, part[-1], "right")
+            col = np.searchsorted(part, f[lo:hi])
+            hit = part[col] == f[lo:hi]
+            m = np.zeros((len(side), len(part)), np.float32)
+            m[r[lo:hi][hit], col[hit]] = 1
+            dense.append(m)
+        both += (dense[0] @ dense[1].T).astype(np.int64)
+    linked = (both > 0) & (DENOMINATOR * both >= NUMERATOR * (sizes[0][:, None] + sizes[1][None, :] - both))
+    if y is None:
+        np.fill_diagonal(linked, False)
+    return linked.sum(axis=1), linked.sum(axis=0)
+
+
+def link_counts(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """``(node, count)``: all links of every node of ``members(node, component, n)`` with nodes of its component."""
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_NODES)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)))
+    large = members.groupBy("component").agg(F.count("*").alias("k"), blocks.cast("int").alias("blocks")).where("k > 2")
+    dealt = members.join(large, "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))
+    pairs = dealt.select("node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    unit = ["component", "lo", "hi"]
+    work = pairs.select("node", "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own").join(sets, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out() -> pa.RecordBatch:
+            x = [(n, np.frombuffer(s, np.uint64)) for n, own, s in held if own == now[1]]
+            y = [(n, np.frombuffer(s, np.uint64)) for n, own, s in held if own != now[1]]
+            if now[1] == now[2]:
+                nodes, found = [n for n, _ in x], _linked_counts([s for _, s in x], None)[0]
+            elif x and y:
+                nodes, found = [n for n, _ in x + y], np.concatenate(_linked_counts([s for _, s in x], [s for _, s in y]))
+            else:
+                nodes, found = [], []
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.int64())], ["node", "count"])
+
+        for b in batches:
+            for *u, own, n, s in zip(*(b[c].to_pylist() for c in [*unit, "own", "node", "s"]), strict=True):
+                if u != now:
+                    if held:
+                        yield out()
+                    now, held = u, []
+                held.append((n, own, s))
+        if held:
+            yield out()
+
+    dealt = work.repartition(*unit).sortWithinPartitions(*unit)
+    return dealt.mapInArrow(run, "node long, count long").groupBy("node").agg(F.sum("count").alias("count"))
+
+
+def join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, count: bool = True) -> DataFrame:
+    """``(key, n_shingles, component_id, links_verified)`` of every row. links_verified counts all other shingle sets that
+    the row's set links with; without ``count`` only the links that joined the components, as few as their members need."""
     small_batches(spark)
     rows = written(spark, classes(docs, key, text, width), "classes")
     named = rows.where(F.col("node").isNotNull() & F.col(key).isNotNull())
@@ -301,14 +374,20 @@ def join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     links = written(spark, links.unionByName(more), "links")
 
     # from nodes to documents
-    ids = written(spark, named.groupBy("node").agg(F.min(key).alias("id")), "ids")
+    ids = written(spark, named.groupBy("node").agg(F.min(key).alias("id"), F.first("n").alias("n")), "ids")
     # one document in several nodes (rows of one id with different texts) joins them
     several = named.select(key, "node").distinct().groupBy(key).agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a")
     spread = named.join(several.withColumnRenamed("a", "node"), "node", "left_semi").select("node", F.col(key).alias("b")).distinct().join(ids, "node").select(F.col("id").alias("a"), "b")
     edges = links.join(ids.select(F.col("node").alias("a"), F.col("id").alias("x")), "a").join(ids.select(F.col("node").alias("b"), F.col("id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     final = components(spark, edges.unionByName(spread))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
-    group = ids.join(final.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("component", "id").alias("component")).join(degree, "node", "left")
+    group = ids.join(final.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("component", "id").alias("component"), "n")
+    if count:
+        # a component of two nodes is one link at most, which has been verified
+        members = written(spark, group.join(degree, "node", "left_semi"), "members")
+        exact = link_counts(sets, members).withColumnRenamed("count", "all")
+        degree = written(spark, degree.join(exact, "node", "left").select("node", F.coalesce("all", "count").alias("count")), "degree")
+    group = group.drop("n").join(degree, "node", "left")
     found = rows.join(group, "node", "left")
     alone = F.when(F.col(key).isNotNull(), F.coalesce("component", F.col(key)))
     return found.select(key, F.col("n").alias("n_shingles"), alone.alias("component_id"), F.coalesce("count", F.lit(0)).alias("links_verified"))
@@ -317,7 +396,7 @@ def join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
 def keep_one(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents of a group beyond its smallest id; of repeated rows of that id one stays. Rows
     with a null id stay."""
-    found = written(spark, join(spark, docs, key, text), "groups")
+    found = written(spark, join(spark, docs, key, text, count=False), "groups")
     gone = found.where(F.col("component_id") != F.col(key)).select(key).distinct()
     kept = docs.join(gone, key, "left_anti").select(*docs.columns)
     again = written(spark, found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "again")

@@ -102,6 +102,24 @@ def test_jaccard_on_documents(spark):
     assert groups(queries.op2_ngram_jaccard(spark, SMALL)) == brute_jaccard(rows)
 
 
+def test_jaccard_counts_all_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 16)
+    monkeypatch.setattr(jaccard, "SLICE", 64)
+    rng = np.random.default_rng(5)
+    base, rows = [f"w{i}" for i in range(120)], [(1000 + i, t) for i, t in enumerate(["a b c d e f", "A b c d e f", "", None, "x y", "x y z"])]
+    for k in range(90):  # near copies of one text with up to three places changed: some pairs link and some do not
+        w = list(base)
+        for at in rng.integers(0, 120, k % 4):
+            w[at] = f"n{k}_{at}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.links_verified for r in jaccard.join(spark, docs).collect()}
+    sets = {i: frozenset(tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))) if (w := words(t)) else frozenset() for i, t in rows}
+    other = set(sets.values()) - {frozenset()}
+    want = {i: sum(t != s and 100 * len(s & t) >= 80 * len(s | t) for t in other) for i, s in sets.items()}
+    assert got == want and max(want.values()) > 3 * jaccard.NEIGHBOURS and len({want[k] for k in range(90)}) > 5
+
+
 # --- suffix-array deduplication ---
 
 
