@@ -870,4 +870,5 @@ def x1(spark, d):
     docs = jobs.source(spark, f"{d}/documents.parquet", view(spark, d, "documents").schema)
     out, failed = shared_path(spark, "audits"), shared_path(spark, "failed")
     jobs.audit(docs, lambda df: au.run(df, sd.located_lines(df), ALIASES, FINDINGS, TERMS), out, failed, shared_path(spark, "x1")).awaitTermination()
-    return spark.read.parquet(out).select("doc_id", "work_item", "n")
+    lost = spark.read.parquet(failed).select("doc_id", "error")
+    return spark.read.parquet(out).select("doc_id", "work_item", "n").unionByName(lost, allowMissingColumns=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,15 +21,52 @@ def source(spark: SparkSession, path: str, schema, files: int = 16) -> DataFrame
     return reader.option("pathGlobFilter", name).parquet(folder)
 
 
-def audit(stream: DataFrame, run: Callable[[DataFrame], DataFrame], out: str, failed: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch is audited and written under its number, so a replayed batch overwrites itself; a batch whose audit
-    raises goes to the failed table with its error."""
+#: Errors that a document's own data raise, and signs that a cluster failed instead.
+DATA = ("PythonException", "SparkRuntimeException", "SparkArithmeticException", "SparkDateTimeException", "SparkNumberFormatException", "USER_RAISED_EXCEPTION")
+CLUSTER = ("ExecutorLost", "FetchFailed", "OutOfMemory", "No space left", "Python worker exited unexpectedly")
+
+
+def _of_data(e: Exception) -> bool:
+    said = f"{type(e).__name__} {e}"
+    return any(x in said for x in DATA) and not any(x in said for x in CLUSTER)
+
+
+def _failing(df: DataFrame, run: Callable[[DataFrame], DataFrame], mark: Column, depth: int = 0, rest: int = 0) -> dict[int, str]:
+    """Marks of the documents whose own audit raises, with their errors: a part that raises is halved until one is left."""
+    part = df.where(F.pmod(mark, F.lit(1 << depth)) == rest)
+    try:
+        run(part).write.format("noop").mode("overwrite").save()
+        return {}
+    except Exception as e:
+        if not _of_data(e):
+            raise
+        marks = part.select(mark.alias("m")).distinct().limit(2).collect()
+        if len(marks) == 1:
+            return {marks[0]["m"]: str(e)[:500]}
+        if not marks:
+            raise
+    return _failing(df, run, mark, depth + 1, rest) | _failing(df, run, mark, depth + 1, rest + (1 << depth))
+
+
+def audit(stream: DataFrame, run: Callable[[DataFrame], DataFrame], out: str, failed: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
+    """Each micro-batch is audited and written under its number, so a replayed batch overwrites itself; documents whose own
+    audit raises go to the failed table with their error, the others are audited. Other errors fail the batch, which the
+    stream tries again when it is started anew. ``run`` audits each document by itself."""
+    mark = F.xxhash64(key)
 
     def batch(df: DataFrame, n: int) -> None:
+        bad: dict[int, str] = {}
         try:
             run(df).write.mode("overwrite").parquet(f"{out}/batch={n}")
-        except Exception as e:  # noqa: BLE001  the task fails, the stream goes on
-            df.withColumn("error", F.lit(str(e)[:500])).write.mode("overwrite").parquet(f"{failed}/batch={n}")
+        except Exception as e:
+            if not _of_data(e):
+                raise
+            bad = _failing(df, run, mark)
+            if not bad:
+                raise
+            run(df.where(~mark.isin(list(bad)))).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        errors = df.sparkSession.createDataFrame(list(bad.items()), "__m long, error string")
+        df.withColumn("__m", mark).join(F.broadcast(errors), "__m").drop("__m").write.mode("overwrite").parquet(f"{failed}/batch={n}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
