@@ -89,6 +89,8 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 50) -> D
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     star = current.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return star.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))

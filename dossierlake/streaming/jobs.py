@@ -97,8 +97,14 @@ def task_state(stream: DataFrame) -> DataFrame:
 
 
 def drain(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a streaming result over what is there and return the table it fills."""
-    spark = df.sparkSession
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a streaming result over what is there and return the table it fills: Parquet files beside the checkpoint, by
+    batch number, or, in complete mode, those of the last batch alone."""
+    spark, out = df.sparkSession, f"{checkpoint}-table"
+    spark.createDataFrame([], df.schema).write.mode("ignore").parquet(f"{out}/batch=none")
+
+    def batch(rows: DataFrame, n: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else n}")
+
+    q = df.writeStream.outputMode(mode).queryName(name).foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(out).select(*df.columns)

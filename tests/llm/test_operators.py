@@ -28,6 +28,11 @@ def test_components_of_chains_stars_and_loops(spark):
     assert common.components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_raise_when_they_have_not_settled(spark):
+    with pytest.raises(RuntimeError, match="settled"):
+        common.components(spark, spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), max_rounds=1)
+
+
 # --- n-gram Jaccard join ---
 
 

@@ -24,3 +24,15 @@ def test_audit_fails_the_batch_when_the_cluster_does(spark, tmp_path):
 
     with pytest.raises(Exception, match="ExecutorLostFailure"):
         start(spark, tmp_path, run).awaitTermination()
+
+
+@pytest.mark.parametrize("mode", ["append", "complete"])
+def test_drain_keeps_its_rows_out_of_the_driver(spark, tmp_path, mode):
+    docs = spark.range(40).select("id", (F.col("id") % 4).alias("k"))
+    docs.repartition(4).write.parquet(f"{tmp_path}/in")
+    stream = jobs.source(spark, f"{tmp_path}/in", docs.schema, files=1)  # several batches
+    rows = stream if mode == "append" else stream.groupBy("k").count()
+    found = jobs.drain(rows, f"drained_{mode}", mode, f"{tmp_path}/check")
+    want = [(i, i % 4) for i in range(40)] if mode == "append" else [(k, 10) for k in range(4)]
+    assert sorted(map(tuple, found.collect())) == want
+    assert found.inputFiles() and not spark.catalog.tableExists(f"drained_{mode}")
