@@ -14,7 +14,8 @@ two documents already in one component changes no component, so no link between
 
 Links are counted after that. All of them lie within components, so each component of three nodes or more is a product
 of its own, over whole sets: its nodes are dealt into blocks of bounded size, a pair of blocks is one unit of work and
-adds to its nodes' counts; pairs are never rows.
+adds to its nodes' counts; pairs are never rows, and the sets of a component of several blocks travel as differences from
+one of them.
 
 Defined cases: lower case touches A-Z alone and words are split at ASCII white space; a text of fewer than ``width``
 words is one shingle; null and empty texts have no shingles, link with nothing and are their own component; equal texts
@@ -30,6 +31,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,62 +41,128 @@ WIDTH = 5
 NUMERATOR, DENOMINATOR = 80, 100
 SLOT_BITS = 24
 NEIGHBOURS = 3
-BLOCK_NODES, BLOCK_SHINGLES = 256, 1 << 19
-SLICE = 4096
+BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 19
+SLICE, FEW = 4096, 32
+CHUNK = 1 << 18
+HOT_BITS = 10
+BAND = 1.3
 RANGE_ENTRIES = 1 << 20
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) >= 1 << 16:
-            self.clear()
-        self[word] = found
-        return found
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _M1
     h = (h ^ (h >> np.uint64(27))) * _M2
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None, known: _Numbers, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit numbers of a text's shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    x = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    size = min(width, len(x))
-    h = np.full(len(x) - size + 1, size, np.uint64)
-    for i in range(size):
-        h = h * _M3 + x[i : len(x) - size + 1 + i]
-    return np.unique(_mixed(h))
+_BYTES = np.arange(256, dtype=np.uint64)
+_BYTES[65:91] += np.uint64(32)  # A-Z count as a-z
+_VALUES = _mixed(_BYTES * _M3 + _M1)
+_INSIDE = np.ones(256, bool)
+_INSIDE[[32, *range(9, 14)]] = False
+_BASE = _M3 | np.uint64(1)
+
+
+class _Powers:
+    """Powers of the base and of its inverse, as many as the longest run of bytes hashed at once."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            n = max(n, CHUNK)
+            cls.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]))
+            cls.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)))]))
+        return cls.up, cls.down
+
+
+def _piece(x: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit numbers and starts of the words in a run of bytes, in which texts begin at ``begins``."""
+    inside = _INSIDE[x]
+    before, after = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    before[begins] = False
+    after[begins[begins > 0] - 1] = False
+    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    up, down = _Powers.to(len(x))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_VALUES[x] * up[: len(x)])])
+    return _mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _M1), start
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit numbers of the words of all texts of a batch, one text after another, and where each text's words begin (one
+    more for the end). A word's number is a running polynomial hash of its bytes: equal words have equal numbers."""
+    texts = pc.fill_null(texts, "")
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    edges = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    numbers, starts, low = [], [], 0
+    while low < len(data):
+        high = min(len(data), low + CHUNK)
+        while high < len(data):  # cut at white space; a longer word is taken whole
+            spaces = np.flatnonzero(~_INSIDE[data[low:high]])
+            if len(spaces):
+                high = low + int(spaces[-1]) + 1
+                break
+            high = min(len(data), high + CHUNK)
+        begins = edges[np.searchsorted(edges, low) : np.searchsorted(edges, high)] - low
+        found, start = _piece(data[low:high], begins)
+        numbers.append(found)
+        starts.append(start + low)
+        low = high
+    if not numbers:
+        return np.zeros(0, np.uint64), np.zeros(len(edges), np.int64)
+    return np.concatenate(numbers), np.searchsorted(np.concatenate(starts), edges)
+
+
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit numbers of its shingles."""
+    x, edges = words(texts)
+
+    def hashed(x: np.ndarray, size: int) -> np.ndarray:
+        h = np.full(len(x) - size + 1, size, np.uint64)
+        for i in range(size):
+            h = h * _M3 + x[i : len(x) - size + 1 + i]
+        return _mixed(h)
+
+    every = hashed(x, width) if len(x) >= width else x
+    out = []
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        n = high - low
+        if n < width:
+            out.append(hashed(x[low:high], n) if n else np.zeros(0, np.uint64))
+            continue
+        s = np.sort(every[low : high - width + 1])
+        out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+    return out
 
 
 def _node(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _mark(text: str | None) -> int:
-    """64-bit number of a whole text: tells repeated texts without their shingles."""
-    return int.from_bytes(hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _marks(texts: pa.Array) -> list[int]:
+    """64-bit numbers of whole texts: they tell repeated texts without their shingles."""
+    wide = pc.fill_null(texts, "").cast(pa.large_binary())
+    return [int.from_bytes(hashlib.blake2b(t.as_buffer() or b"", digest_size=8).digest(), "little", signed=True) for t in wide]
 
 
 def _distinct(batches: Iterator[pa.RecordBatch], text: str, width: int, wanted: Callable[[int], bool] = lambda mark: True) -> Iterator[tuple[int, np.ndarray]]:
     """Nodes of a partition with their shingles, each once (as far back as a bounded memory reaches); only texts whose
     mark is ``wanted`` are cut into shingles."""
-    known, seen = _Numbers(), set()
+    seen = set()
     for b in batches:
-        for t in b[text].to_pylist():
-            mark = _mark(t)
-            if mark in seen or not wanted(mark):
-                continue
-            s = shingles(t, known, width)
-            if len(seen) >= 1 << 18:
-                seen.clear()
-            seen.add(mark)
+        if len(seen) >= 1 << 18:
+            seen.clear()
+        take = []
+        for i, mark in enumerate(_marks(b[text])):
+            if mark not in seen and wanted(mark):
+                seen.add(mark)
+                take.append(i)
+        for s in shingle_sets(b[text].take(pa.array(take, pa.int64())), width):
             if len(s) and (node := _node(s)) not in seen:
                 seen.add(node)
                 yield node, s
@@ -118,12 +186,10 @@ def classes(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFra
     empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Numbers()
         for b in batches:
-            texts = b[text].to_pylist()
-            sets = [shingles(t, known, width) for t in texts]
+            sets = shingle_sets(b[text], width)
             nodes, sizes = [_node(s) if len(s) else None for s in sets], [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b[key], *(pa.array(x, pa.int64()) for x in (nodes, sizes, map(_mark, texts)))], [key, "node", "n", "mark"])
+            yield pa.RecordBatch.from_arrays([b[key], *(pa.array(x, pa.int64()) for x in (nodes, sizes, _marks(b[text])))], [key, "node", "n", "mark"])
 
     return docs.select(key, text).mapInArrow(run, docs.select(key).schema.add("node", "long").add("n", "long").add("mark", "long"))
 
@@ -185,7 +251,9 @@ def _least(n):
 
 
 def incidence(docs: DataFrame, text: str, shared, width: int = WIDTH) -> DataFrame:
-    """``(h, node, n, at)``: the prefix of every node; ``at`` packs a min-hash (32 bits) and the position (31 bits)."""
+    """``(h, sub, node, n, at)``: the prefix of every node; ``at`` packs a min-hash (32 bits) and the position (31 bits).
+    Columns that the frequency table calls hot are split into sub-columns by ranges of the min-hash, so that members that
+    resemble each other stay together; ``sub`` is 0 in the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -194,13 +262,16 @@ def incidence(docs: DataFrame, text: str, shared, width: int = WIDTH) -> DataFra
             for node, s in _distinct(batches, text, width):
                 n = len(s)
                 take = n - _least(n) + 1
-                order = np.lexsort((s, table[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))[:take]
+                level = table[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+                order = np.lexsort((s, level))[:take]
                 low = int(_mixed(s ^ _M1).min() >> np.uint64(33))
-                yield s[order].view(np.int64), np.full(take, node), np.full(take, n), (np.int64(low) << 31) + np.arange(take)
+                bits = np.maximum(level[order].astype(np.int64) - HOT_BITS, 0)
+                sub = np.where(bits > 0, 1 + (low >> np.maximum(31 - bits, 0)), 0)
+                yield s[order].view(np.int64), sub, np.full(take, node), np.full(take, n), (np.int64(low) << 31) + np.arange(take)
 
-        yield from _chunked(rows(), ["h", "node", "n", "at"], [pa.int64()] * 4, 1 << 16)
+        yield from _chunked(rows(), ["h", "sub", "node", "n", "at"], [pa.int64()] * 5, 1 << 16)
 
-    return docs.select(text).mapInArrow(run, "h long, node long, n long, at long")
+    return docs.select(text).mapInArrow(run, "h long, sub long, node long, n long, at long")
 
 
 def _overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -256,66 +327,111 @@ def _sets(spark: SparkSession, docs: DataFrame, text: str, nodes: DataFrame, wid
     return wide.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _linked_counts(x: list[np.ndarray], y: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each set of ``x`` with those of ``y``, and the reverse; without ``y``, of ``x`` with its other sets."""
-    sides = [x, x if y is None else y]
-    sizes = [np.array([len(s) for s in side], np.int64) for side in sides]
-    flat = [np.concatenate(side) for side in sides]
-    rows = [np.repeat(np.arange(len(side)), n) for side, n in zip(sides, sizes, strict=True)]
-    if y is None:
-        words, counts = np.unique(flat[0], return_counts=True)
-        words = words[counts > 1]
-    else:
-        words = np.intersect1d(flat[0], flat[1])
-    order = [np.argsort(f, kind="stable") for f in flat]
-    flat, rows = [f[o] for f, o in zip(flat, order, strict=True)], [r[o] for r, o in zip(rows, order, strict=True)]
-    both = np.zeros((len(sides[0]), len(sides[1])), np.int64)
-    for at in range(0, len(words), SLICE):
-        part, dense = words[at : at + SLICE], []
-        for side, f, r in zip(sides, flat, rows, strict=True):
-            lo, hi = np.searchsorted(f, part[0]), np.searchsorted(f, part[-1], "right")
-            col = np.searchsorted(part, f[lo:hi])
-            hit = part[col] == f[lo:hi]
-            m = np.zeros((len(side), len(part)), np.float32)
-            m[r[lo:hi][hit], col[hit]] = 1
-            dense.append(m)
-        both += (dense[0] @ dense[1].T).astype(np.int64)
-    linked = (both > 0) & (DENOMINATOR * both >= NUMERATOR * (sizes[0][:, None] + sizes[1][None, :] - both))
+def _overlap_matrix(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
+    """Sizes of the intersections of each set of ``x`` with those of ``y``, or with its other sets: rare elements add up by
+    their pairs, frequent ones as slices of a dense product."""
+    own, n, m = y is None, len(x), len(x if y is None else y)
+    sets = x if own else x + y
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+    held = np.diff(np.concatenate([first, [len(flat)]]))
+    rare = np.repeat(held <= FEW, held)
+    both = np.zeros(n * m, np.int64)
+    f, r = flat[rare], row[rare]
+    for d in range(1, FEW):
+        at = np.flatnonzero(f[d:] == f[:-d])
+        if not len(at):
+            break
+        a, b = r[at], r[at + d]
+        if own:
+            both += np.bincount(a * m + b, minlength=n * m) + np.bincount(b * m + a, minlength=n * m)
+        else:
+            across = (a < n) & (b >= n)
+            both += np.bincount(a[across] * m + b[across] - n, minlength=n * m)
+    both = both.reshape(n, m)
+    f, r = flat[~rare], row[~rare]
+    column = np.cumsum(np.concatenate([[0], (f[1:] != f[:-1]).astype(np.int64)])) if len(f) else f.astype(np.int64)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, SLICE):
+        at = slice(*np.searchsorted(column, [low, low + SLICE]))
+        dense = np.zeros((len(sets), min(SLICE, int(column[-1]) + 1 - low)), np.float32)
+        dense[r[at], column[at] - low] = 1
+        both += (dense[:n] @ (dense if own else dense[n:]).T).astype(np.int64)
+    return both
+
+
+def _linked_counts(x: Sequence[tuple], y: Sequence[tuple] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each set of ``x`` with those of ``y``, and the reverse; without ``y``, of ``x`` with its other sets. A set is
+    ``(n, shared, size, d)``: its size, and its difference ``d`` from a set of ``size`` that it shares ``shared`` with."""
+    (n, k, size, d), (m, j, _, e) = (tuple(zip(*side, strict=True)) for side in (x, y or x))
+    both = _overlap_matrix(list(d), None if y is None else list(e))
+    both = both + np.array(k)[:, None] + np.array(j)[None, :] - size[0]
+    linked = (both > 0) & (DENOMINATOR * both >= NUMERATOR * (np.array(n)[:, None] + np.array(m)[None, :] - both))
     if y is None:
         np.fill_diagonal(linked, False)
     return linked.sum(axis=1), linked.sum(axis=0)
 
 
-def link_counts(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """``(node, count)``: all links of every node of ``members(node, component, n)`` with nodes of its component."""
-    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_NODES)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)))
-    large = members.groupBy("component").agg(F.count("*").alias("k"), blocks.cast("int").alias("blocks")).where("k > 2")
-    dealt = members.join(large, "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))
-    pairs = dealt.select("node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+def _against(rows: DataFrame) -> DataFrame:
+    """Sets ``s`` of large components as their difference from the component's ``base`` set: near copies differ little, so
+    blocks of them are small and can be many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shared, size, out = [], [], []
+            for s, base in zip(b["s"], b["base"], strict=True):
+                p, q = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(base.as_buffer(), np.uint64)
+                d = np.setxor1d(p, q, assume_unique=True)
+                size.append(len(q))
+                shared.append((len(p) + len(q) - len(d)) // 2)
+                out.append(d.tobytes())
+            yield pa.RecordBatch.from_arrays([b["node"], b["component"], b["n"], pa.array(shared, pa.int64()), pa.array(size, pa.int64()), pa.array(out, pa.binary())], ["node", "component", "n", "shared", "size", "d"])
+
+    return rows.mapInArrow(run, "node long, component long, n long, shared long, size long, d binary")
+
+
+def link_counts(spark: SparkSession, sets: DataFrame, members: DataFrame) -> DataFrame:
+    """``(node, count)``: all links of every node of ``members(node, component, n)`` with nodes of its component.
+
+    A component that fits a block is one unit of work. A larger one is dealt into blocks, and every pair of blocks is a
+    unit; its sets travel as differences from the set of its largest node."""
+    large = members.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("size"), F.max_by("node", F.struct("n", "node")).alias("lead")).where("k > 2")
+    fits = (F.col("k") <= BLOCK_NODES) & (F.col("size") <= BLOCK_SHINGLES)
+    zero = F.lit(0).cast("long")
+    whole = members.join(large.where(fits).select("component"), "component").join(sets, "node").select("node", "component", "n", zero.alias("shared"), zero.alias("size"), F.col("s").alias("d"), F.lit(1).alias("blocks"))
+    base = large.where(~fits).select("component", F.col("lead").alias("node")).join(sets, "node").select("component", F.col("s").alias("base"))
+    far = written(spark, _against(members.join(large.where(~fits).select("component"), "component").join(sets, "node").join(base, "component").select("node", "component", "n", "s", "base")), "differences")
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_NODES)), F.ceil(F.sum(F.length("d")) / F.lit(8 * BLOCK_SHINGLES)))
+    many = far.join(far.groupBy("component").agg(blocks.cast("int").alias("blocks")), "component").select(*whole.columns)
+    dealt = whole.unionByName(many).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = ["component", "lo", "hi"]
-    work = pairs.select("node", "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own").join(sets, "node")
+    work = pairs.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "n", "shared", "size", "d")
+    names = work.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def out() -> pa.RecordBatch:
-            x = [(n, np.frombuffer(s, np.uint64)) for n, own, s in held if own == now[1]]
-            y = [(n, np.frombuffer(s, np.uint64)) for n, own, s in held if own != now[1]]
+            x, y = ([(node, (*rest, np.frombuffer(d, np.uint64))) for own, node, *rest, d in held if (own == now[1]) == mine] for mine in (True, False))
+            nodes, found = [n for n, _ in x + y], np.zeros(0, np.int64)
             if now[1] == now[2]:
-                nodes, found = [n for n, _ in x], _linked_counts([s for _, s in x], None)[0]
+                found = _linked_counts([s for _, s in x], None)[0]
             elif x and y:
-                nodes, found = [n for n, _ in x + y], np.concatenate(_linked_counts([s for _, s in x], [s for _, s in y]))
+                found = np.concatenate(_linked_counts([s for _, s in x], [s for _, s in y]))
             else:
-                nodes, found = [], []
+                nodes = []
             return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.int64())], ["node", "count"])
 
         for b in batches:
-            for *u, own, n, s in zip(*(b[c].to_pylist() for c in [*unit, "own", "node", "s"]), strict=True):
+            for *u, own, node, n, shared, size, d in zip(*(b[c].to_pylist() for c in names), strict=True):
                 if u != now:
                     if held:
                         yield out()
                     now, held = u, []
-                held.append((n, own, s))
+                held.append((own, node, n, shared, size, d))
         if held:
             yield out()
 
@@ -335,10 +451,10 @@ def join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     real = docs.where(F.col(key).isNotNull())
 
     # the incidence, a row for each node and shingle; a column with one member can link nothing
-    once = incidence(real, text, shared, width).repartition("h").groupBy("h", "node").agg(F.first("n").alias("n"), F.first("at").alias("at"))
-    alike, sized = Window.partitionBy("h").orderBy("at", "node"), Window.partitionBy("h").orderBy("n", "node")
+    once = incidence(real, text, shared, width).repartition("h", "sub").groupBy("h", "sub", "node").agg(F.first("n").alias("n"), F.first("at").alias("at"))
+    alike, sized = Window.partitionBy("h", "sub").orderBy("at", "node"), Window.partitionBy("h", "sub").orderBy("n", "node")
     chained = once.select("*", F.lag("node").over(alike).alias("p1"), F.lag("n").over(alike).alias("m1"), F.lead("node").over(alike).alias("next"))
-    columns = written(spark, chained.where("p1 is not null or next is not null").drop("next"), "columns")
+    columns = written(spark, chained.where("p1 is not null or next is not null or sub > 0").drop("next"), "columns")
     marked = named.groupBy("node").agg(F.min("mark").alias("mark"))
     nodes = written(spark, columns.select("node").distinct().join(marked, "node"), "nodes")
     sets = written(spark, _sets(spark, real, text, nodes, width), "sets")
@@ -349,7 +465,7 @@ def join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     rated = columns.select("h", "node", "n").join(shares, "node")
     hub = rated.groupBy("h").agg(F.max_by(F.struct(F.col("node").alias("p"), F.col("n").alias("m")), F.struct("share", "n", "node")).alias("x")).select("h", "x.*")
     led = columns.select("h", "node", "n").join(hub, "h").select("node", "n", "p", "m", F.lit(True).alias("hub"))
-    both = columns.select("h", "node", "n", "p1", "m1", F.lag("node").over(sized).alias("p2"), F.lag("n").over(sized).alias("m2"))
+    both = columns.select("node", "n", "p1", "m1", F.lag("node").over(sized).alias("p2"), F.lag("n").over(sized).alias("m2"))
     chain = both.select("node", "n", F.explode(F.array(F.struct(F.col("p1").alias("p"), F.col("m1").alias("m")), F.struct(F.col("p2").alias("p"), F.col("m2").alias("m")))).alias("x")).select("node", "n", "x.*", F.lit(False).alias("hub"))
     near = lambda n, m: (n >= _least(m)) & (m >= _least(n))
     pairs = chain.unionByName(led).where((F.col("p") != F.col("node")) & near(F.col("n"), F.col("m"))).groupBy("node", "p", "hub").agg(F.count("*").alias("k"))
@@ -362,14 +478,16 @@ def join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     # columns that still hold several components, multiplied out between components
     put = columns.join(first, "node", "left").select("h", "node", "n", F.col("at").bitwiseAND((1 << 31) - 1).alias("at"), F.coalesce("component", "node").alias("c"))
     mixed = put.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-    rest = written(spark, put.join(mixed, "h", "left_semi"), "mixed")
-    x = rest.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("c").alias("ca"))
-    y = rest.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("c").alias("cb"))
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))).cast("int")  # linked sets are in one band or in neighbouring ones
+    rest = written(spark, put.join(mixed, "h", "left_semi").withColumn("band", band), "mixed")
+    x = rest.select("h", "band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("c").alias("ca"))
+    y = rest.select("h", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("c").alias("cb"))
     need = F.ceil((F.col("na") + F.col("nb")) * NUMERATOR / F.lit(NUMERATOR + DENOMINATOR))
-    product = x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb")))
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    product = x.join(y, ["h", "band"]).where(ordered & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb")))
     product = product.where(F.lit(1) + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= need)
     sums = product.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    wanted = sums.where(F.col("k") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= need).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    wanted = sums.where(F.col("k") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= need).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti")
     more = _overlaps(sets, written(spark, wanted, "pairs"))
     links = written(spark, links.unionByName(more), "links")
 
@@ -385,7 +503,7 @@ def join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     if count:
         # a component of two nodes is one link at most, which has been verified
         members = written(spark, group.join(degree, "node", "left_semi"), "members")
-        exact = link_counts(sets, members).withColumnRenamed("count", "all")
+        exact = link_counts(spark, sets, members).withColumnRenamed("count", "all")
         degree = written(spark, degree.join(exact, "node", "left").select("node", F.coalesce("all", "count").alias("count")), "degree")
     group = group.drop("n").join(degree, "node", "left")
     found = rows.join(group, "node", "left")

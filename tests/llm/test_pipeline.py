@@ -4,7 +4,7 @@ import re
 import corpus_pipeline
 import numpy as np
 from dossierlake.llm import decontamination, queries, secrets, toxicity
-from test_operators import brute_jaccard, brute_tiles
+from test_llm_operators import brute_jaccard, brute_tiles
 
 SMALL = "/root/testdata/sf0.001"
 
