@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from . import scan as sc
 
 #: An item mark, what counts as no opinion, what stands around an item, a number or a threshold.
 ITEM_MARK = r"(?:^|[；;/]\s*)\d+[、.．]\s*"
@@ -232,59 +233,46 @@ def cards_of(rules: DataFrame, schema: str) -> DataFrame:
     return rules.where("index_source = 'review_experience'").select(F.from_json("full_text", schema).alias("c")).where("c is not null").select("c.*")
 
 
-PREFIX = 5
+#: Fixed value: the confidence that ranks first.
+SURE = "high"
 
 
-def overlaps(docs: DataFrame, cards_: DataFrame, doc: str = "doc_id", text: str = "text", generic: Sequence[str] = (), strong: Sequence[str] = ()) -> DataFrame:
-    """(doc, card_id, confidence, overlap, strong) of cards with a non-generic trigger in a document.
+def card_words(cards_: DataFrame, generic: Sequence[str] = (), strong: Sequence[str] = ()) -> DataFrame:
+    """One row for each distinct non-generic trigger of a card, in lower case: card_id, confidence, word, strong, project."""
+    rows = cards_.select("card_id", "confidence", F.explode(F.array_except("keywords", tx.strings(generic))).alias("w"), F.col("project_name").alias("project")).where(F.trim("w") != "")
+    mark = F.col("w").isin(*strong).cast("int") if strong else F.lit(0)
+    return rows.select("card_id", "confidence", F.lower("w").alias("word"), mark.alias("strong"), "project", "w").distinct().drop("w")
 
-    Distinct triggers, not cards, meet the texts, and they meet by an equi-join: on the first ``PREFIX`` characters of the
-    trigger among the substrings of the text, which a containment check then settles.
-    """
-    words = cards_.select("card_id", "confidence", F.explode(F.array_except("keywords", tx.strings(generic))).alias("word")).where(F.trim("word") != "").withColumn("low", F.lower("word"))
-    heads = words.select("low").distinct().withColumn("g", F.left("low", F.lit(PREFIX))).groupBy("g").agg(F.collect_set("low").alias("lows"))
-    short = heads.where(F.length("g") < PREFIX)
-    body = docs.select(doc, F.lower(text).alias("__t"))
-    # the substrings travel without the text, and come back as one list a document
-    pieces = body.select(doc, F.explode(F.when(F.length("__t") >= PREFIX, grams(F.col("__t"), PREFIX)).otherwise(F.array().cast("array<string>"))).alias("g"))
-    lists = pieces.join(heads, "g").groupBy(doc).agg(F.flatten(F.collect_list("lows")).alias("lows"))
-    few = body.join(short, F.contains("__t", F.col("g")))  # triggers of fewer characters: a handful of rows
-    found = body.join(lists, doc).unionByName(few.select(doc, "__t", "lows"))
-    hit = found.select(doc, F.explode(F.filter("lows", lambda w: F.contains(F.col("__t"), w))).alias("low"))
-    strong_hit = F.max(F.col("word").isin(*strong).cast("int")) if strong else F.lit(0)
-    return hit.join(words, "low").groupBy(doc, "card_id", "confidence").agg(F.countDistinct("word").alias("overlap"), strong_hit.alias("strong"))
-
-
-def _ranked(scored: DataFrame, doc: str, least: int) -> DataFrame:
-    kept = scored.where((F.col("overlap") >= least) | ((F.lit(least) <= 2) & (F.col("strong") == 1)))
-    order = Window.partitionBy(doc).orderBy(F.desc("overlap"), F.desc(F.col("confidence") == "high"), F.asc("card_id"))
-    return kept.withColumn("place", F.row_number().over(order)).select(doc, "card_id", "overlap", "place")
+
+def overlaps(docs: DataFrame, cards_: DataFrame, doc: str = "doc_id", text: str = "text", generic: Sequence[str] = (), strong: Sequence[str] = (), least: int = 1, limit: int | None = None) -> DataFrame:
+    """(doc, card_id, confidence, overlap, strong) of cards of which ``least`` non-generic triggers stand in a document, or,
+    where ``least`` is at most two, a strong one. Texts are scanned once, where they lie; with ``limit``, only the best of a
+    document and dictionary block come back."""
+    low = docs.select(doc, F.lower(text).alias("__t"))
+    return sc.card_hits(low, card_words(cards_, generic, strong), doc, "__t", least, limit).drop("own")
+
+
+def _best_first(doc: str):
+    return Window.partitionBy(doc).orderBy(F.desc("overlap"), F.desc(F.col("confidence") == SURE), F.asc("card_id"))
 
 
 def match_cards(docs: DataFrame, cards_: DataFrame, doc: str = "doc_id", text: str = "text", limit: int = 8, least: int = 2, generic: Sequence[str] = (), strong: Sequence[str] = ()) -> DataFrame:
     """(doc, card_id, overlap, place): the ``limit`` cards with most triggers in a document, at least ``least``."""
-    return _ranked(overlaps(docs, cards_, doc, text, generic, strong), doc, least).where(F.col("place") <= limit)
-
-
-def same_project(docs: DataFrame, cards_: DataFrame, doc: str = "doc_id", name: str = "project_key", source: str = "project_name") -> DataFrame:
-    """(doc, card_id) where one of the two project names contains the other; distinct names meet, not rows."""
-    a, b = docs.select(F.col(name).alias("__a")).distinct(), cards_.where(tx.blank(F.col(source)) != "").select(F.col(source).alias("__b")).distinct()
-    names = a.join(b, F.contains("__a", F.col("__b")) | F.contains("__b", F.col("__a")))
-    return docs.select(doc, F.col(name).alias("__a")).join(names, "__a").join(cards_.select("card_id", F.col(source).alias("__b")), "__b").select(doc, "card_id")
-
-
-def two_tier(docs: DataFrame, cards_: DataFrame, limit: int = 8, cross: int = 4, least: int = 2, **more) -> DataFrame:
-    """Same-project matches with one shared trigger first; where they are few, others with ``least`` shared triggers."""
-    own = same_project(docs, cards_)
-    scored = overlaps(docs, cards_, **more)  # both tiers rank the same counts
-    one = _ranked(scored, "doc_id", 1)
-    order = Window.partitionBy("doc_id").orderBy("place")
-    mine = one.join(own, ["doc_id", "card_id"], "left_semi").withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).withColumn("match_scope", F.lit("same_project"))
-    few = docs.select("doc_id").join(mine.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < max(2, limit // 2))
-    many = _ranked(scored, "doc_id", least)
-    other = many.join(own, ["doc_id", "card_id"], "left_anti").join(few, "doc_id").withColumn("place", F.row_number().over(order))
-    other = other.where(F.col("place") <= F.least(F.lit(cross), F.lit(limit) - F.col("n"))).drop("n").withColumn("match_scope", F.lit("cross_project"))
-    return mine.unionByName(other)
+    found = overlaps(docs, cards_, doc, text, generic, strong, least, limit)
+    return found.withColumn("place", F.row_number().over(_best_first(doc))).where(F.col("place") <= limit).select(doc, "card_id", "overlap", "place")
+
+
+def two_tier(docs: DataFrame, cards_: DataFrame, limit: int = 8, cross: int = 4, least: int = 2, doc: str = "doc_id", text: str = "text", name: str = "project_key", generic: Sequence[str] = (), strong: Sequence[str] = ()) -> DataFrame:
+    """Same-project matches (one name contains the other) with one shared trigger first; where they are few, others with
+    ``least`` shared triggers. (doc, card_id, overlap, place, match_scope). One scan of the texts serves both tiers."""
+    low = docs.select(doc, name, F.lower(text).alias("__t"))
+    found = sc.card_hits(low, card_words(cards_, generic, strong), doc, "__t", least, cross, name, 1, limit)
+    ranked = found.withColumn("place", F.row_number().over(Window.partitionBy(doc, "own").orderBy(F.desc("overlap"), F.desc(F.col("confidence") == SURE), F.asc("card_id"))))
+    kept = ranked.where((F.col("own") & (F.col("place") <= limit)) | (~F.col("own") & (F.col("place") <= cross)))
+    mine = F.sum(F.col("own").cast("int")).over(Window.partitionBy(doc))
+    few = (F.col("n") < max(2, limit // 2)) & (F.col("place") <= F.lit(limit) - F.col("n"))
+    rows = kept.withColumn("n", mine).where(F.col("own") | few)
+    return rows.select(doc, "card_id", "overlap", "place", F.when(F.col("own"), "same_project").otherwise("cross_project").alias("match_scope"))
 
 
 # --- reports ---

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from . import rules as rl
+from . import scan as sc
 
 #: BM25 and rank-fusion constants, the score floor.
 K1, B, EPSILON, FLOOR, RANK_CONSTANT = 1.5, 0.75, 0.25, 0.5, 60
@@ -118,8 +119,10 @@ def rerank(candidates: DataFrame, queries: DataFrame, text: str = "context", sto
 def tag_fallback(queries: DataFrame, found: DataFrame, tagged: DataFrame, k: int = 2, generic: str = "GEN") -> DataFrame:
     """For queries that found nothing: rules one of whose tags stands in the query, of the query's own code."""
     lost = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    tags = tagged.select("rule_id", F.col("level"), F.col("wbs_code").alias("__code"), F.explode("tags").alias("tag"))
-    hit = lost.join(tags, F.contains(F.col("query"), F.col("tag")) & ((tx.blank(F.col("wbs_code")).isin("", generic)) | (F.col("wbs_code") == F.col("__code"))))
+    tags = tagged.select("rule_id", "level", F.col("wbs_code").alias("__code"), F.explode("tags").alias("tag"))
+    word = sc.hits(lost, "query_id", "query", tags, "tag")
+    codes = lost.select("query_id", "wbs_code")
+    hit = word.join(tags, "tag").join(codes, "query_id").where(tx.blank(F.col("wbs_code")).isin("", generic) | (F.col("wbs_code") == F.col("__code")))
     return top(hit.select("query_id", "rule_id", "level").distinct(), k, [F.asc("level"), F.asc("rule_id")])
 
 

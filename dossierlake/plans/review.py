@@ -10,6 +10,7 @@ from ..operators import audit as au
 from ..operators import opinions as op
 from ..operators import retrieval as rt
 from ..operators import rules as rl
+from ..operators import scan as sc
 from ..operators import structure as st
 from ..sources import documents as sd
 from ..sources.shared import shared_path
@@ -318,11 +319,7 @@ def j12(spark, d):
 def j6(spark, d):
     docs = view(spark, d, "documents").select(F.concat(F.lit("conv_"), F.col("doc_id")).alias("b"))
     a, b = opinions(spark, d).select(F.col("project_name").alias("a")).distinct(), docs.distinct()
-    # containment of 'x_digits' names: each name meets the prefixes of the other side by an equi-join
-    pre = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.left(c, i))
-    down = a.select("a", F.explode(pre(F.col("a"))).alias("b")).join(b, "b")
-    up = b.select("b", F.explode(pre(F.col("b"))).alias("a")).join(a, "a").select("a", "b")
-    return down.select("a", "b").union(up).distinct()
+    return sc.containing(a, b)
 
 
 _GRAMS = "list_distinct(CASE WHEN length({c}) <= 3 THEN [{c}] ELSE list_transform(range(1, length({c}) - 1), lambda i: substring({c}, i, 3)) END)"
@@ -355,22 +352,43 @@ MATCH = f"""cards AS (SELECT row_index, item_index, {sql_words('opinion')} AS k
 m AS (SELECT doc_id, row_index, item_index, count(DISTINCT word) AS overlap FROM documents JOIN w ON contains(lower(text), low) GROUP BY 1, 2, 3)"""
 
 
-@query("r8_match_cards", ctes("v_opinions", more=MATCH) + "SELECT doc_id, count(*) AS cards, max(overlap) AS best FROM m WHERE overlap >= 2 GROUP BY 1")
+_CARD_ID = "concat('EXP_', upper(left(sha256(concat('conv_', CAST(row_index AS VARCHAR), chr(10), CASE WHEN row_index = 0 THEN '' ELSE CAST(row_index AS VARCHAR) END, chr(10), CASE WHEN item_index = 0 THEN '' ELSE CAST(item_index AS VARCHAR) END, chr(10), opinion)), 12)))"
+#: Cards with their triggers (one row each), and the triggers of a card in every document, as SQL.
+MATCH = f"""cw AS (SELECT *, {sql_words('opinion')} AS k FROM v_opinions),
+lab AS (SELECT v.row_index, v.item_index, count(h.code) FILTER (WHERE h.k BETWEEN 2 AND 4) AS s FROM v_opinions v LEFT JOIN hit h ON h.row_index = v.row_index AND h.item_index = v.item_index GROUP BY 1, 2),
+cards AS (SELECT {_CARD_ID} AS card_id, project_name, opinion, k, CASE WHEN s = 0 THEN 'medium' ELSE 'high' END AS confidence FROM cw JOIN lab USING (row_index, item_index)),
+wd AS (SELECT DISTINCT card_id, confidence, project_name, unnest(k) AS word FROM cards),
+tr AS (SELECT DISTINCT lower(word) AS low FROM wd),
+th AS (SELECT doc_id, low FROM documents JOIN tr ON contains(lower(text), low)),
+m AS (SELECT doc_id, card_id, confidence, project_name, count(*) AS overlap FROM th JOIN wd ON lower(word) = low GROUP BY 1, 2, 3, 4)"""
+_PLACE = "row_number() OVER (PARTITION BY {g} ORDER BY overlap DESC, confidence = 'high' DESC, card_id)"
+
+
+@query("r8_match_cards", ctes("v_opinions", more=f"{COUNTS}, {MATCH}") + f"SELECT doc_id, card_id, overlap, place FROM (SELECT *, {_PLACE.format(g='doc_id')} AS place FROM m WHERE overlap >= 2) WHERE place <= 8")
 def r8(spark, d):
-    found = op.match_cards(view(spark, d, "documents"), carded(spark, d), limit=1 << 30)
-    return found.groupBy("doc_id").agg(F.count("*").alias("cards"), F.max("overlap").alias("best"))
+    return op.match_cards(view(spark, d, "documents"), carded(spark, d))
+
 
+TIERS = f"""tm AS (SELECT *, concat('conv_', CAST(doc_id AS VARCHAR)) AS key FROM m),
+tw AS (SELECT *, contains(key, project_name) OR contains(project_name, key) AS own FROM tm),
+tp AS (SELECT *, {_PLACE.format(g='doc_id, own')} AS place FROM tw WHERE own OR overlap >= 2),
+tn AS (SELECT *, count(*) FILTER (WHERE own AND place <= 8) OVER (PARTITION BY doc_id) AS n FROM tp),
+tier AS (SELECT doc_id, card_id, overlap, place, CASE WHEN own THEN 'same_project' ELSE 'cross_project' END AS match_scope FROM tn WHERE (own AND place <= 8) OR (NOT own AND n < 4 AND place <= least(4, 8 - n)))"""
 
-@query("r9_two_tier_match")
+
+@query("r9_two_tier_match", ctes("v_opinions", more=f"{COUNTS}, {MATCH}, {TIERS}") + "SELECT doc_id, card_id, overlap, place, match_scope FROM tier")
 def r9(spark, d):
     docs = view(spark, d, "documents").withColumn("project_key", F.concat(F.lit("conv_"), F.col("doc_id")))
-    return op.two_tier(docs, carded(spark, d)).select("doc_id", "card_id", "overlap", "place", "match_scope")
+    return op.two_tier(docs, carded(spark, d))
+
+
+_REALIGN = ALIGN.replace("src AS (SELECT v.row_index, v.item_index, opinion AS o, coalesce(x.text, '') AS e FROM v_opinions v LEFT JOIN documents x ON x.doc_id = v.row_index)", "src AS (SELECT doc_id AS row_index, card_id AS item_index, opinion AS o, text AS e FROM b8 JOIN cards USING (card_id) JOIN documents USING (doc_id))")
 
 
-@query("e4_realigned_cards")
+@query("e4_realigned_cards", ctes("v_opinions", more=f"{COUNTS}, {MATCH}, b8 AS (SELECT * FROM (SELECT doc_id, card_id, {_PLACE.format(g='doc_id')} AS place FROM m WHERE overlap >= 2) WHERE place <= 8), {_REALIGN}") + "SELECT row_index AS doc_id, item_index AS card_id, alignment, array_to_string(list_filter(names, lambda n, i: st[i] = 'missing'), ',') AS absent FROM v")
 def e4(spark, d):
     docs = view(spark, d, "documents")
-    hit = op.match_cards(docs, carded(spark, d), limit=3)
+    hit = op.match_cards(docs, carded(spark, d))
     rows = hit.join(carded(spark, d).select("card_id", "opinion"), "card_id").join(docs.select("doc_id", F.col("text").alias("evidence")), "doc_id")
     return op.assess(rows, POINTS, FALLBACK).select("doc_id", "card_id", "alignment", F.array_join("absent", ",").alias("absent"))
 
