@@ -6,7 +6,8 @@ equal anchors, and only the suffixes at anchors (about one in 140) are kept. The
 span are its context.
 
 1. Anchors are grouped by a hash of their seed. An anchor that no other shares is dropped; where the whole context
-   occurs again, all its windows are repeats.
+   occurs again, all its windows are repeats. A context that occurs again in its own text is settled there, so a text that
+   repeats itself sends each context once.
 2. Contexts that share a seed but differ are fetched, dealt to tasks by seed, and sorted twice: as suffixes (from the
    anchor on) and as reversed prefixes (from the anchor back). Sorting is deep-shallow: a multikey quicksort, eight bytes a
    key, down to a shallow depth, then a blind trie for each group that still ties. The longest common prefixes of
@@ -245,25 +246,47 @@ def _twice(batches: Iterator[pa.RecordBatch], text: str, least: int) -> Iterator
                     yield digest, np.frombuffer(x, np.uint8)
 
 
+def _folded(found: tuple[np.ndarray, ...], size: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Anchors of a text, each (seed, context) once with its count, and the merged runs of those that occur again in it."""
+    p, lo, hi, g, c = found
+    order = np.lexsort((lo, c, g))
+    new = np.concatenate([[True], (g[order][1:] != g[order][:-1]) | (c[order][1:] != c[order][:-1])]) if len(p) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    count = np.diff(np.concatenate([first, [len(p)]]))
+    again = np.sort(order[np.repeat(count > 1, count)]) if len(p) else order
+    start, end = lo[again].astype(np.int64), hi[again].astype(np.int64) + size  # in the order of the text
+    if len(again):
+        reach = np.maximum.accumulate(end)
+        head = np.concatenate([[True], start[1:] > reach[:-1]])
+        start, end = start[head], reach[np.concatenate([np.flatnonzero(head)[1:] - 1, [len(again) - 1]])]
+    at = order[first]
+    return [p[at], lo[at], hi[at], g[at], c[at], count], [start, end]
+
+
 def _anchor_rows(docs: DataFrame, text: str, size: int, seed: int) -> DataFrame:
+    """``(d, p, lo, hi, g, c, n)``: anchors with their number in the text; runs that are settled there have n = 0, their start
+    in lo and their end in hi."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
 
         def out() -> pa.RecordBatch:
             digest = pa.array([d for d, a in parts for _ in range(len(a[0]))], pa.binary())
-            cols = [np.concatenate(c) for c in zip(*[a for _, a in parts], strict=True)]
-            return pa.RecordBatch.from_arrays([digest, *(pa.array(c.astype(np.int64)) for c in cols[:3]), *(pa.array(c.view(np.int64)) for c in cols[3:])], ["d", "p", "lo", "hi", "g", "c"])
+            cols = [np.concatenate([x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64) for x in c]) for c in zip(*[a for _, a in parts], strict=True)]
+            return pa.RecordBatch.from_arrays([digest, *(pa.array(c, pa.int64()) for c in cols)], ["d", "p", "lo", "hi", "g", "c", "n"])
 
         for digest, x in _twice(batches, text, size):
-            parts.append((digest, anchors(x, size, seed)))
-            n += len(parts[-1][1][0])
+            rows, (start, end) = _folded(anchors(x, size, seed), size)
+            none = np.zeros(len(start), np.int64)
+            parts += [(digest, rows), (digest, [none, start, end, none, none, none])]
+            n += len(rows[0]) + len(start)
             if n >= 1 << 15:
                 yield out()
                 parts, n = [], 0
         if parts:
             yield out()
 
-    return docs.select(text).mapInArrow(run, "d binary, p long, lo long, hi long, g long, c long")
+    return docs.select(text).mapInArrow(run, "d binary, p long, lo long, hi long, g long, c long, n long")
 
 
 def _bits(spark: SparkSession, values: DataFrame, column: str, bits: int = 27):
@@ -306,9 +329,11 @@ def _contexts(spark: SparkSession, docs: DataFrame, text: str, wanted: DataFrame
 
 def repeats(spark: SparkSession, docs: DataFrame, text: str = "text", size: int = SIZE, seed: int = SEED) -> DataFrame:
     """``(d, start, end)``: byte runs, by the MD5 digest of their text, that repeated strings cover; runs may overlap."""
-    found = written(spark, _anchor_rows(docs, text, size, seed), "anchors")
-    # counts combine before the shuffle; a context that very many rows hold can still make a hot task of the join below
-    each = found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "p", "lo")).alias("first"))
+    every = written(spark, _anchor_rows(docs, text, size, seed), "anchors")
+    found, settled = every.where("n > 0"), every.where("n = 0").select("d", F.col("lo").alias("start"), F.col("hi").alias("end"))
+    # counts combine before the shuffle; they are a table of their own, so that Spark can split the join with a context that
+    # very many texts hold
+    each = written(spark, found.groupBy("g", "c").agg(F.sum("n").alias("n"), F.min(F.struct("d", "p", "lo")).alias("first")), "contexts-counted")
     whole = found.join(each.where("n > 1").select("g", "c"), ["g", "c"], "left_semi").select("d", F.col("lo").alias("start"), (F.col("hi") + size).alias("end"))
     # one row for each different context of a seed that has several
     several = each.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
@@ -338,7 +363,7 @@ def repeats(spark: SparkSession, docs: DataFrame, text: str = "text", size: int
     big = rows.where(F.col("k") > GROUP).mapInArrow(hashed, "d binary, start long, h long, h2 long, whole boolean")
     twins = big.groupBy("h", "h2").agg(F.count("*").alias("k")).where("k > 1")
     hot = big.join(twins, ["h", "h2"], "left_semi").where("not whole").select("d", "start", (F.col("start") + size).alias("end"))
-    return whole.unionByName(small).unionByName(hot)
+    return settled.unionByName(whole).unionByName(small).unionByName(hot)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, keys: Sequence[str], text: str = "text", size: int = SIZE, seed: int = SEED) -> DataFrame:
