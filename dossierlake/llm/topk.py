@@ -4,8 +4,9 @@ Vectors become integers (floor of ``scale`` times each component). Candidates ar
 size, a stated set of queries into blocks likewise; each pair of blocks is one group. In a group every dimension has a
 list sorted by value. A query reads all its lists in step, from the end its weight prefers, and keeps for every
 candidate a lower bound (unread components at their worst) and an upper bound (unread components at the lists' present
-depth). A candidate whose upper bound stays below the k-th best score of the present leaders is out; once few are left,
-reading stops and only those are resolved to final scores. The best k of every block meet in a window by query.
+depth). A candidate whose upper bound stays below the k-th best lower bound is out. Lists are read on, ``STEPS`` times at
+most, until no outsider can qualify; scores are resolved only then, for the candidates that are left. The best k of every
+block meet in a window by query.
 
 Defined cases: vectors that are null or hold a null, NaN or infinite component take no part, nor do null ids; a shorter
 vector counts as padded with zeros; ties go to the smaller id; a query is never its own candidate; with fewer than k
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 8192
 ASK_ROWS = 128
+STEPS = 8
 
 
 def integers(vectors: DataFrame, vec_id: str, vec: str, scale: int = 1024) -> DataFrame:
@@ -56,32 +58,31 @@ class Lists:
         most, least = self.sorted[-1], self.sorted[0]
         slack = 1e-9 * (np.abs(q) @ np.maximum(np.abs(most), np.abs(least))) + 1e-6
         # what is read of each list, from its upper end and from its lower end, and where it is unread yet
-        read = np.zeros((2, n, dims))
-        unread = np.ones((2, n, dims))
+        read, unread = np.zeros((2, n, dims)), np.ones((2, n, dims))
         left = dict(enumerate([np.flatnonzero(self.ids != i) for i in query_ids]))
         columns, start = np.arange(dims), 0
-        for depth in dict.fromkeys(max(1, n * part // 4) for part in (1, 2, 3)) if n > 8 * k else ():
+        for step in range(1, STEPS + 1):
+            open_ = [j for j, rows in left.items() if len(rows) > k]
+            depth = -(-n * step // STEPS)
+            if not open_ or depth == start:
+                break
             for side, rows in ((0, slice(n - depth, n - start)), (1, slice(start, depth))):
                 at = self.order[rows]
                 read[side, at, columns], unread[side, at, columns] = self.sorted[rows], 0
             start = depth
-            front = self.sorted[n - depth], self.sorted[depth - 1]
-            open_ = [j for j, rows in left.items() if len(rows) > max(8 * k, n // 4)]
-            if not open_:
-                break
+            top, bottom = self.sorted[n - depth], self.sorted[depth - 1]  # the lists' present depth, from either end
             seen = read[0] @ up[:, open_] + read[1] @ down[:, open_]
             lower = seen + unread[0] @ (up[:, open_] * least[:, None]) + unread[1] @ (down[:, open_] * most[:, None])
-            upper = seen + unread[0] @ (up[:, open_] * front[0][:, None]) + unread[1] @ (down[:, open_] * front[1][:, None])
+            upper = seen + unread[0] @ (up[:, open_] * top[:, None]) + unread[1] @ (down[:, open_] * bottom[:, None])
             for c, j in enumerate(open_):
                 rows = left[j]
                 low = lower[rows, c]
-                leaders = rows[np.argpartition(low, len(low) - k)[len(low) - k :]]
-                kth = (self.x[leaders] @ q[j]).min()  # the present leaders' scores, resolved
+                kth = np.partition(low, len(low) - k)[len(low) - k]
                 left[j] = rows[upper[rows, c] + slack[j] >= kth]
         for j, rows in left.items():
             score = self.x[rows] @ q[j]
-            top = np.lexsort((self.ids[rows], -score))[:k]
-            yield query_ids[j], self.ids[rows][top], score[top]
+            best = np.lexsort((self.ids[rows], -score))[:k]
+            yield query_ids[j], self.ids[rows][best], score[best]
 
 
 def search(spark: SparkSession, vectors: DataFrame, vec_id: str, vec: str, queries: Column, k: int = 10, scale: int = 1024, block_rows: int = BLOCK_ROWS) -> DataFrame:
