@@ -1,22 +1,25 @@
 """Token counts as delta-maintained rollups.
 
-A store holds one folder of signed entries and one of signed totals for each committed batch. A batch of changes
-(``op``: insert, delete or revise; ``doc_id``, source, lang, text) is tokenized once; an insert adds its count, a delete
-takes the document's live count off, a revision does both. Totals by source, language and tokenizer version are sums of
-the batches' deltas, so no batch is ever read twice and no total is rewritten.
+A batch of changes (``op``: insert, delete or revise; ``doc_id``, source, lang, text) is tokenized once; an insert adds its
+count, a delete takes the document's live counts off, under whatever tokenizer versions they stand, a revision does both.
+The store keeps, by batch, the signed deltas of the totals and the totals that they lead to, and the live entries of
+documents, dealt into ``PARTS`` parts by a hash of the id. A commit reads only the parts that hold its deleted and revised
+documents, and writes those anew; other parts get one more segment, and are compacted when they have ``SEGMENTS``.
 
-A batch commits by name: its folders are written over, then a marker is made. A batch that broke off is repaired by
-running it again; a committed one is left alone, so a replay changes nothing.
+A commit is one small manifest, made last by a rename: it names the batch, the segments of every part and the totals in
+force. A batch that broke off leaves no manifest and is written over when it runs again; a committed one is left alone, so a
+replay changes nothing. One writer at a time.
 
 Defined cases: a null text counts as empty (0 tokens, 1 document); null source or language is a group of its own; a
 delete or revision of an unknown document takes nothing off; of several changes to one document in a batch the one with
-the largest ``seq`` counts if that column is there, else they are all inserts of repeated rows and each counts; changes
-with a null doc_id can only be inserted.
+the largest ``seq`` counts if that column is there (of equal ``seq``, one chosen by a hash of the change), else they are
+all inserts of repeated rows and each counts; changes with a null doc_id can only be inserted; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,18 +29,12 @@ from pyspark.sql import types as T
 
 from .common import small_batches
 
-ENTRY = "doc_id bigint, source string, lang string, tokenizer string, n_tokens bigint, n_bytes bigint, sign int"
-DELTA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint, n_bytes bigint"
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
-def _mark(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True).close()
+PARTS = 32
+SEGMENTS = 8
+KEYS = ["source", "lang", "tokenizer"]
+SUMS = ["n_docs", "n_tokens", "n_bytes"]
+ENTRY = "doc_id bigint, source string, lang string, tokenizer string, n_tokens bigint, n_bytes bigint"
+TOTAL = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint, n_bytes bigint"
 
 
 def counted(spark: SparkSession, changes: DataFrame, ranks: str, pattern: str, version: str) -> DataFrame:
@@ -63,44 +60,114 @@ def counted(spark: SparkSession, changes: DataFrame, ranks: str, pattern: str, v
     return changes.select(*keep, "text").mapInArrow(run, schema)
 
 
+# --- manifests ---
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _names(spark: SparkSession, store: str) -> list[str]:
+    """Names of the manifests, in order: a number and the batch."""
+    fs, where = _folder(spark, f"{store}/manifests")
+    return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(where)) if n[:1].isdigit()) if fs.exists(where) else []
+
+
+def _manifest(spark: SparkSession, store: str) -> dict:
+    names = _names(spark, store)
+    if not names:
+        return {"n": 0, "parts": {}, "totals": None}
+    return json.loads(spark.read.text(f"{store}/manifests/{names[-1]}", wholetext=True).first()[0])
+
+
+def _put(spark: SparkSession, store: str, batch: str, manifest: dict) -> None:
+    name = f"{manifest['n']:012d}-{batch}"
+    fs, part = _folder(spark, f"{store}/manifests/_{name}")
+    out = fs.create(part, True)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    if not fs.rename(part, _folder(spark, f"{store}/manifests/{name}")[1]):
+        raise OSError(f"the manifest of batch {batch} could not be put in place")
+
+
+def _segments(spark: SparkSession, store: str, parts: dict[str, list[str]], wanted: list[str] | None = None) -> DataFrame:
+    paths = [f"{store}/live/batch={b}/part={p}" for p, batches in parts.items() if wanted is None or p in wanted for b in batches]
+    return spark.read.schema(ENTRY).parquet(*paths) if paths else spark.createDataFrame([], ENTRY)
+
+
+# --- commits ---
+
+
+def _part() -> F.Column:
+    return F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)), F.lit(0)).cast("int")
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    """Rows by part; a part is written by several tasks, so its size has no bound in one."""
+    spread = rows.withColumn("part", _part()).repartition("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(8)))
+    spread.write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def _present(spark: SparkSession, path: str) -> list[str]:
+    fs, where = _folder(spark, path)
+    return sorted(s.getPath().getName()[5:] for s in fs.listStatus(where) if s.getPath().getName().startswith("part="))
+
+
+def _rolled(rows: DataFrame, sign: int) -> DataFrame:
+    return rows.groupBy(*KEYS).agg((F.count("*") * sign).alias("n_docs"), *[(F.sum(c) * sign).alias(c) for c in SUMS[1:]])
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
 def commit(spark: SparkSession, store: str, batch: str, changes: DataFrame, ranks: str, pattern: str, version: str) -> bool:
     """Add one batch of changes; False, and nothing done, if it was committed before."""
-    if _exists(spark, f"{store}/commits/{batch}"):
+    if any(n.split("-", 1)[1] == batch for n in _names(spark, store)):
         return False
+    before = _manifest(spark, store)
     picked = changes.select(F.lit("insert").alias("op") if "op" not in changes.columns else "op", "doc_id", "source", "lang", "text", *(["seq"] if "seq" in changes.columns else []))
     if "seq" in changes.columns:  # the last change of each document, found without its text
-        last = picked.where("doc_id is not null").groupBy("doc_id").agg(F.max("seq").alias("seq"))
-        picked = picked.join(last, ["doc_id", "seq"], "left_semi").unionByName(picked.where("doc_id is null")).drop("seq")
-    put = counted(spark, picked.where("op <> 'delete'"), ranks, pattern, version)
-    put = put.select("doc_id", "source", "lang", "tokenizer", "n_tokens", "n_bytes", F.lit(1).alias("sign"))
-    rows = put
-    if _exists(spark, f"{store}/entries"):
-        gone = picked.where("op <> 'insert'").select("doc_id").distinct()
-        off = live(spark, store).where(F.col("tokenizer") == version).join(gone, "doc_id", "left_semi").withColumn("sign", F.lit(-1))
-        rows = put.unionByName(off)
-    rows.write.mode("overwrite").parquet(f"{store}/entries/batch={batch}")
-    back = spark.read.schema(ENTRY).parquet(f"{store}/entries/batch={batch}")
-    back.groupBy("source", "lang", "tokenizer").agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"), F.sum(F.col("sign") * F.col("n_bytes")).alias("n_bytes")).write.mode("overwrite").parquet(f"{store}/deltas/batch={batch}")
-    _mark(spark, f"{store}/commits/{batch}")
+        named = picked.withColumn("h", F.xxhash64("op", "source", "lang", "text"))
+        last = named.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("seq", "h")).alias("x")).select("doc_id", "x.*")
+        same = [named[c].eqNullSafe(last[c]) for c in ("doc_id", "seq", "h")]
+        one = named.join(last, same[0] & same[1] & same[2], "left_semi").dropDuplicates(["doc_id"])
+        picked = one.unionByName(named.where("doc_id is null")).drop("seq", "h")
+    put = counted(spark, picked.where("op <> 'delete'"), ranks, pattern, version).drop("op")
+    gone = picked.where("op <> 'insert' and doc_id is not null").select("doc_id").distinct()
+    touched = [str(r["part"]) for r in gone.select(_part().alias("part")).distinct().collect()]  # PARTS rows at most
+    held = _segments(spark, store, before["parts"], touched)
+    off = held.join(gone, "doc_id", "left_semi")
+    full = [p for p, batches in before["parts"].items() if len(batches) >= SEGMENTS and p not in touched]
+    stay = held.join(gone, "doc_id", "left_anti").unionByName(_segments(spark, store, before["parts"], full))
+    # the new entries are written once, as tokenizing is the work; what is rewritten of old parts goes beside them
+    fresh, kept = f"{store}/live/batch={batch}", f"{store}/live/batch={batch}.kept"
+    _write(put, fresh)
+    new = spark.read.schema(ENTRY).parquet(fresh)
+    _rolled(new, 1).unionByName(_rolled(off, -1)).write.mode("overwrite").parquet(f"{store}/deltas/batch={batch}")
+    delta = spark.read.schema(TOTAL).parquet(f"{store}/deltas/batch={batch}")
+    base = spark.read.schema(TOTAL).parquet(f"{store}/totals/batch={before['totals']}") if before["totals"] else spark.createDataFrame([], TOTAL)
+    _summed(base.unionByName(delta)).coalesce(1).write.mode("overwrite").parquet(f"{store}/totals/batch={batch}")
+    parts = {p: list(batches) for p, batches in before["parts"].items()}
+    if touched or full:
+        _write(stay, kept)
+        left = _present(spark, kept)
+        for p in (*touched, *full):
+            parts[p] = [f"{batch}.kept"] if p in left else []
+    for p in _present(spark, fresh):
+        parts.setdefault(p, []).append(batch)
+    _put(spark, store, batch, {"n": before["n"] + 1, "parts": {p: b for p, b in parts.items() if b}, "totals": batch})
     return True
 
 
-def _committed(spark: SparkSession, store: str, kind: str, schema: str) -> DataFrame:
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/commits")
-    names = [s.getPath().getName() for s in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)] if _exists(spark, f"{store}/commits") else []
-    if not names:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{store}/{kind}/batch={n}" for n in names])
-
-
 def live(spark: SparkSession, store: str) -> DataFrame:
-    """Entries that are in force: those whose signs add up to more than nothing."""
-    rows = _committed(spark, store, "entries", ENTRY)
-    keys = ["doc_id", "source", "lang", "tokenizer", "n_tokens", "n_bytes"]
-    return rows.where("doc_id is not null").groupBy(*keys).agg(F.sum("sign").alias("n")).where("n > 0").select(*keys, F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("sign"))
+    """The entries in force."""
+    return _segments(spark, store, _manifest(spark, store)["parts"])
 
 
 def totals(spark: SparkSession, store: str) -> DataFrame:
     """n_docs, n_tokens and n_bytes by source, lang and tokenizer over all committed batches; empty groups go."""
-    rows = _committed(spark, store, "deltas", DELTA)
-    return rows.groupBy("source", "lang", "tokenizer").agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_bytes")]).where("n_docs <> 0 or n_tokens <> 0")
+    at = _manifest(spark, store)["totals"]
+    rows = spark.read.schema(TOTAL).parquet(f"{store}/totals/batch={at}") if at else spark.createDataFrame([], TOTAL)
+    return rows.where("n_docs <> 0 or n_tokens <> 0")

@@ -214,6 +214,33 @@ def test_token_rollups(spark, tmp_path):
     assert put("b4", []) and totals()["b", "en"][0] == 1
 
 
+def test_token_rollups_take_off_all_versions_and_compact(spark, tmp_path, monkeypatch):
+    import public_tokenizers as P
+
+    monkeypatch.setattr(token_counts, "PARTS", 2)
+    monkeypatch.setattr(token_counts, "SEGMENTS", 2)
+    store, path = str(tmp_path / "store"), P.path("byte_bpe_50k.tiktoken")
+    kind = "op string, doc_id long, source string, lang string, text string, seq int, part int"
+
+    def put(name, version, *rows):
+        return token_counts.commit(spark, store, name, spark.createDataFrame([(*r, 7) for r in rows], kind), path, P.PATTERN, version)
+
+    totals = lambda: {(r.source, r.tokenizer): r.n_docs for r in token_counts.totals(spark, store).collect()}
+    assert put("a", "v1", ("insert", 1, "s", "en", "one", 1), ("insert", 2, "s", "en", "two", 1))
+    assert put("b", "v2", ("insert", 1, "s", "en", "one", 1))
+    assert totals() == {("s", "v1"): 2, ("s", "v2"): 1}
+    assert put("c", "v2", ("delete", 1, None, None, None, 1)) and not put("c", "v2", ("delete", 2, None, None, None, 1))
+    assert totals() == {("s", "v1"): 1}
+    # of two changes with one seq a single one counts, also if they are equal
+    assert put("d", "v1", ("insert", 5, "t", "en", "x", 1), ("insert", 5, "u", "en", "y", 1), ("insert", 6, "w", "en", "z", 1), ("insert", 6, "w", "en", "z", 1))
+    assert sum(n for (s, _), n in totals().items() if s in "tu") == 1 and totals()["w", "v1"] == 1
+    for k in range(6):  # segments are compacted, and what was there stays
+        assert put(f"e{k}", "v1", *[("insert", 100 + 10 * k + i, "m", "en", "w", 1) for i in range(6)])
+    assert totals()["m", "v1"] == 36 and token_counts.live(spark, store).count() == 1 + 2 + 36
+    assert all(len(b) <= 3 for b in token_counts._manifest(spark, store)["parts"].values())
+    assert put("f", "v1", *[("delete", 100 + i, None, None, None, 1) for i in range(60)]) and ("m", "v1") not in totals()
+
+
 # --- decontamination ---
 
 
