@@ -13,12 +13,15 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a fresh one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a fresh one of our own only where it is unset and the
+    session is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             folder = current.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             folder = tempfile.mkdtemp(prefix="spark-")
             spark.sparkContext.setCheckpointDir(folder)
@@ -56,8 +59,10 @@ def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd")
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Texts can be long: bound the rows of an Arrow batch, and so the memory of a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Texts can be long: bound the rows of an Arrow batch, and so the memory of a Python worker. Its bytes are bounded by
+    spark.sql.execution.arrow.maxBytesPerBatch; a session that asks for fewer rows keeps its setting."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def ascii_lower(c: Column) -> Column:

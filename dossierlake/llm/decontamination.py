@@ -5,26 +5,33 @@ run of unmarked words is found by running Karp-Rabin hashes, verified and marked
 of ``least`` words is left; the tiles never overlap. The share of the item's words under tiles decides, so passages in
 another order are caught too.
 
-The benchmark is dealt into blocks of bounded size (``BLOCK_WORDS``); each block is broadcast in turn and every document is
-read once per block, so a larger benchmark takes more passes, not more memory. Documents never shuffle.
+Only items whose shared seeds could cover enough of their words are tiled; the bound is exact, so nothing is lost, and a
+seed that all items share makes none of them a candidate by itself.
+
+The benchmark is dealt into blocks of bounded size (``BLOCK_WORDS``). One block is broadcast, and documents never shuffle. Of
+several, each is broadcast, used and given up before the next; every pass reads the documents and writes its findings by
+row, so a larger benchmark takes more passes, not more memory.
 
 Defined cases: words are runs of letters, digits and underscores in lower case; an item of fewer than ``least`` words
 must occur as a whole; items and documents that are null or without words match nothing; repeated items and repeated
-documents each count; nulls in other columns are passed on; a very long text is read whole.
+documents each count, a row of the result for each; nulls in other columns are passed on; a very long text is read whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, written
 
 LEAST = 5
 SHARE = 0.5
@@ -98,40 +105,53 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int = LEAST) -> list[tuple[in
         at, h = b.hashes(low)
         places: dict[int, list[int]] = {}
         mine = a.hashes(low)
-        for i in np.flatnonzero(np.isin(h, mine[1])):
-            places.setdefault(int(h[i]), []).append(int(at[i]))
-        for i, x in zip(mine[0], mine[1], strict=True):
-            for j in places.get(int(x), ()):
-                if not a.taken[i : i + low].any() and not b.taken[j : j + low].any() and np.array_equal(item[i : i + low], doc[j : j + low]):
+        for i in np.flatnonzero(np.isin(h, mine[1]))[::-1]:
+            places.setdefault(int(h[i]), []).append(int(at[i]))  # the earliest is last
+        for i, x in zip(mine[0].tolist(), mine[1].tolist(), strict=True):
+            free = places.get(x)
+            if not free or a.taken[i : i + low].any():
+                continue
+            other = []  # places of another run with this hash
+            while free:
+                j = free.pop()  # a place once taken stays taken, so each is looked at once
+                if b.taken[j : j + low].any():
+                    continue
+                if np.array_equal(item[i : i + low], doc[j : j + low]):
                     a.taken[i : i + low] = b.taken[j : j + low] = True
-                    tiles.append((int(i), j, low))
+                    tiles.append((i, j, low))
+                    break
+                other.append(j)
+            free.extend(reversed(other))
         most = low - 1 if low > least else 0
     return tiles
 
 
 class _Block:
-    """Seeds of a block of items: for every seed hash, the items that hold it."""
+    """Seeds of a block of items: for every seed hash, the items that hold it, once for each place."""
 
     def __init__(self, items: Sequence[tuple[int, str]], least: int, known: _Numbers) -> None:
         self.items = [(i, x) for i, t in items if len(x := numbers(t, known))]
-        self.seeds: dict[int, tuple[np.ndarray, dict[int, list[int]]]] = {}
-        for size in {min(least, len(x)) for _, x in self.items}:
-            table: dict[int, list[int]] = {}
-            for k, (_, x) in enumerate(self.items):
-                if min(least, len(x)) == size:
-                    for h in np.unique(windows(x, size)).tolist():
-                        table.setdefault(h, []).append(k)
-            self.seeds[size] = (np.array(sorted(table), np.uint64), table)
+        self.sizes = np.array([len(x) for _, x in self.items], np.int64)
+        self.seeds = []
+        for size in sorted({min(least, len(x)) for _, x in self.items}):
+            held = [k for k, (_, x) in enumerate(self.items) if min(least, len(x)) == size]
+            h = np.concatenate([windows(self.items[k][1], size) for k in held])
+            item = np.repeat(held, [len(self.items[k][1]) - size + 1 for k in held])
+            order = np.argsort(h, kind="stable")
+            self.seeds.append((size, h[order], item[order]))
 
     def leaks(self, doc: np.ndarray, least: int, share: float) -> list[dict]:
-        found: set[int] = set()
-        for size, (hashes, table) in self.seeds.items():
-            h = windows(doc, size)
-            if len(h) and len(hashes):
-                at = np.searchsorted(hashes, h)
-                at[at == len(hashes)] = 0
-                for s in np.unique(h[hashes[at] == h]).tolist():
-                    found.update(table[s])
+        found: list[int] = []
+        for size, hashes, item in self.seeds:
+            h = np.unique(windows(doc, size))
+            low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
+            many = high - low
+            if not many.any():
+                continue
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            places = np.bincount(item[at], minlength=len(self.items))
+            # tiles cover no more words than the places of shared seeds do
+            found += np.flatnonzero((places > 0) & (places * size >= share * self.sizes)).tolist()
         out = []
         for k in sorted(found):
             i, x = self.items[k]
@@ -146,23 +166,38 @@ def mark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keys: Seque
     """``keys`` plus ``out``: the items that each document leaks, with their covered share and tiles."""
     small_batches(spark)
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    size = items.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    size = items.agg(F.sum(F.length("text")).alias("chars")).first()
     blocks = max(1, -(-(size["chars"] or 0) // (BLOCK_WORDS * 4)))
     keys = list(keys)
-    schema = docs.select(*keys).schema
-    rows = docs.select(*keys, F.col(text).alias("__text"), F.array().cast(LEAK).alias("__leaks"))
-    full = rows.schema
-    for block in range(blocks):
+
+    def pass_(rows: DataFrame, block: int, names: list[str], every: bool) -> tuple[DataFrame, Broadcast]:
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.toLocalIterator()])
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = _Numbers()
             seeds = _Block(shared.value, least, known)
             for b in batches:
-                had = b["__leaks"].to_pylist()
-                new = [[*old, *seeds.leaks(numbers(t, known), least, share)] for old, t in zip(had, b["__text"].to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(b[k] for k in keys), b["__text"], pa.array(new, _LEAK)], [*keys, "__text", "__leaks"])
-
-        rows = rows.mapInArrow(run, full)
-    return rows.select(*[F.col(f.name) for f in schema.fields], F.col("__leaks").alias(out))
+                found = [seeds.leaks(numbers(t, known), least, share) for t in b.column(len(names)).to_pylist()]
+                columns = [*(b.column(i) for i in range(len(names))), pa.array(found, _LEAK)]
+                some = pa.RecordBatch.from_arrays(columns, [*(f"c{i}" for i in range(len(names))), "leaks"])
+                yield some if every else some.filter(pa.array([bool(f) for f in found], pa.bool_()))
+
+        # columns go by place, so no name of the caller's can clash
+        wide = rows.select(*[F.col(n).alias(f"c{i}") for i, n in enumerate(names)], F.col(text).alias("t"))
+        schema = wide.drop("t").schema.add("leaks", T._parse_datatype_string(LEAK))
+        return wide.mapInArrow(run, schema), shared
+
+    if blocks == 1:
+        return pass_(docs, 0, keys, True)[0].toDF(*keys, out)
+    row = f"row{uuid.uuid4().hex}"
+    numbered = written(spark, docs.select(*dict.fromkeys([*keys, text])).withColumn(row, F.monotonically_increasing_id()), "documents")
+    found = None
+    for block in range(blocks):
+        some, shared = pass_(numbered, block, [row], False)
+        some = written(spark, some, "leaks")
+        shared.destroy()
+        found = some if found is None else found.unionByName(some)
+    all_ = found.groupBy("c0").agg(F.flatten(F.collect_list("leaks")).alias("l")).withColumnRenamed("c0", row)
+    kept = numbered.select(*keys, row).join(all_, row, "left")
+    return kept.select(*keys, F.coalesce("l", F.array().cast(LEAK)).alias(out))

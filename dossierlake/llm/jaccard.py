@@ -44,7 +44,7 @@ NEIGHBOURS = 3
 BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 19
 SLICE, FEW = 4096, 32
 CHUNK = 1 << 18
-HOT_BITS = 10
+HOT_BITS = 8
 BAND = 1.3
 RANGE_ENTRIES = 1 << 20
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -464,6 +464,7 @@ def join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     shares = columns.groupBy("node", "n").agg(F.count("*").alias("k")).select("node", (F.col("k") / (F.col("n") - _least(F.col("n")) + 1)).alias("share"))
     rated = columns.select("h", "node", "n").join(shares, "node")
     hub = rated.groupBy("h").agg(F.max_by(F.struct(F.col("node").alias("p"), F.col("n").alias("m")), F.struct("share", "n", "node")).alias("x")).select("h", "x.*")
+    hub = written(spark, hub, "hubs")  # a table of its own: Spark can split the join below where a column is hot
     led = columns.select("h", "node", "n").join(hub, "h").select("node", "n", "p", "m", F.lit(True).alias("hub"))
     both = columns.select("node", "n", "p1", "m1", F.lag("node").over(sized).alias("p2"), F.lag("n").over(sized).alias("m2"))
     chain = both.select("node", "n", F.explode(F.array(F.struct(F.col("p1").alias("p"), F.col("m1").alias("m")), F.struct(F.col("p2").alias("p"), F.col("m2").alias("m")))).alias("x")).select("node", "n", "x.*", F.lit(False).alias("hub"))
