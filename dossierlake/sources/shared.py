@@ -9,12 +9,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; our own folder only where the session names none."""
+    """A fresh path in the shared folder; our own folder only where a local session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             folder = current.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             folder = tempfile.mkdtemp(prefix="spark-")
             spark.sparkContext.setCheckpointDir(folder)
