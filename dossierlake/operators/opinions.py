@@ -157,12 +157,23 @@ def assess(rows: DataFrame, points: Sequence[Checkpoint], fallback: Sequence[Che
 # --- matching to sources and evidence ---
 
 
+def is_noise(line: Column, opinion: Column, noise: Sequence[tuple[str, str | Sequence[str]]]) -> Column:
+    """Whether a line holds the first term of a pair, and the opinion none of its second ones."""
+    out = F.lit(False)
+    for term, needed in noise:
+        wanted = F.lit(False)
+        for n in [needed] if isinstance(needed, str) else needed:
+            wanted = wanted | F.contains(opinion, F.lit(n))
+        out = out | (F.contains(line, F.lit(term)) & ~wanted)
+    return out
+
+
 def evidence(opinions: DataFrame, lines: DataFrame, key: str, words: str = "keywords", k: int = 3, noise: Sequence[tuple[str, str]] = (), opinion: str = "opinion") -> DataFrame:
     """The best ``k`` lines of each opinion's source: most keyword hits, then shorter, then earlier. ``noise``: (term in the
-    line, term the opinion must then hold). Columns: those of ``opinions``, line_no, line, hits, place."""
+    line, terms of which the opinion must then hold one). Columns: those of ``opinions``, line_no, line, hits, place."""
     rows = opinions.withColumn("__id", F.struct(*[c for c in opinions.columns if c != words])).join(lines, key)
-    for term, needed in noise:
-        rows = rows.where(~(F.contains("line", F.lit(term)) & ~F.contains(opinion, F.lit(needed))))
+    if noise:
+        rows = rows.where(~is_noise(F.col("line"), F.col(opinion), noise))
     rows = rows.withColumn("hits", F.size(tx.hits(F.col("line"), F.col(words)))).where("hits > 0")
     order = Window.partitionBy("__id").orderBy(F.desc("hits"), F.length("line"), F.asc("line_no"))
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("__id")

@@ -10,31 +10,44 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.shared import shared_path
 
 #: Titles of front matter, contents markers and entry patterns.
 FRONT = ("preface", "front matter", "foreword", "cover", "前言", "目录", "封面", "公告")
 MARKER = r"目\s*次"
-NUMBERED = r"^(\d+(?:\s*\.\s*\d+)*)\s*([一-鿿].+)$"
+NUMBERED = r"^(\d+(?:\s*\.\s*\d+)*)\s*(?!附录\s*[A-Za-zＡ-Ｚａ-ｚ])([一-鿿].+)$"
 APPENDIX = r"^(?:\d+\s*)?(附录\s*[A-Za-zＡ-Ｚａ-ｚ])\s*(.+)$"
 SPECIAL = r"^(本标准用词说明|引用标准名录|附\s*[:：].+)\s*(.*)$"
 TRAILING_PAGE = r"((?:\d\s*){1,3})\s*$"
 INLINE_MARK = r"(?<![\w一-鿿])\d{1,2}(?:\s*\.\s*\d+)*(?=\s*[一-鿿])"
 
 
-def leaves(nodes: DataFrame, spark: SparkSession, key: str = "node_id", parent: str = "parent_id", most: int = 64) -> DataFrame:
-    """Leaf nodes with text and their path of titles; all nodes with text, where no leaf has any.
+def levels(nodes: DataFrame, spark: SparkSession, key: str = "node_id", parent: str = "parent_id") -> DataFrame:
+    """All nodes that a root reaches, with their path of titles and depth (1 for a root).
 
-    The path grows one level a round by an equi-join on the parent, so depth, not size, sets the number of rounds.
+    The path grows one level a round by an equi-join on the parent, so depth, not size, sets the number of rounds. A level is
+    written before the next one reads it, so no level is computed twice. Nodes on a cycle have no root and are left out.
     """
     known = nodes.select(key, parent, "title", "text")
-    level = known.where(F.col(parent).isNull()).select(key, F.array("title").alias("path"), "text", F.lit(1).alias("depth"))
-    out = level
-    for depth in range(2, most):
+    level, out, depth = known.where(F.col(parent).isNull()).select(key, F.array("title").alias("path"), "text", F.lit(1).alias("depth")), None, 1
+    while True:
+        level = _kept(spark, level)
+        if out is not None and level.isEmpty():
+            return out
+        out, depth = level if out is None else out.unionByName(level), depth + 1
         level = level.select(F.col(key).alias(parent), "path").join(known, parent).select(key, F.concat("path", F.array(F.col("title"))).alias("path"), "text", F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    inner = known.where(F.col(parent).isNotNull()).select(F.col(parent).alias(key)).distinct()
+
+
+def _kept(spark: SparkSession, df: DataFrame) -> DataFrame:
+    path = shared_path(spark, "tree")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def leaves(nodes: DataFrame, spark: SparkSession, key: str = "node_id", parent: str = "parent_id") -> DataFrame:
+    """Leaf nodes with text and their path of titles; all nodes with text, where no leaf has any."""
+    out = levels(nodes, spark, key, parent)
+    inner = nodes.where(F.col(parent).isNotNull()).select(F.col(parent).alias(key)).distinct()
     full = out.where(tx.u_trim(tx.blank(F.col("text"))) != "")
     ends = full.join(inner, key, "left_anti")
     return full if ends.isEmpty() else ends
@@ -81,8 +94,9 @@ def tree_records(leaf: DataFrame, words: Sequence[str], source: str) -> DataFram
     return kept.select(tx.hash_id("T", F.lit(source), F.col("node_id")).alias("rule_id"), F.element_at("path", -1).alias("title"), tx.fallback_summary(F.element_at("path", -1), F.col("path"), F.col("text"), words).alias("content"), F.col("text").alias("full_text"), F.lit("pageindex").alias("index_source"), F.lit(source).alias("source_file"))
 
 
-def tree_statistics(leaf_or_nodes: DataFrame) -> DataFrame:
-    return leaf_or_nodes.agg(F.count("*").alias("nodes"), F.max("depth").alias("max_depth"))
+def tree_statistics(every: DataFrame) -> DataFrame:
+    """Number of nodes of any kind and the largest depth, of what ``levels`` returns."""
+    return every.agg(F.count("*").alias("nodes"), F.max("depth").alias("max_depth"))
 
 
 def page_quality(pages: DataFrame, least: int = 20, chars: int = 1000, share: float = 0.2) -> DataFrame:
@@ -108,7 +122,7 @@ def densify(sparse: DataFrame, counts: DataFrame) -> DataFrame:
     return every.join(one, ["doc_id", "page_no"], "left").withColumn("text", tx.blank(F.col("text")))
 
 
-def contents_pages(pages: DataFrame, marker: str = MARKER, stop: str = r"^(1|第1章|第一章)总则|^1General", within: int = 20, span: int = 12) -> DataFrame:
+def contents_pages(pages: DataFrame, marker: str = MARKER, stop: str = r"^(1|第1章|第一章)总则|^(?i:1General)", within: int = 20, span: int = 12) -> DataFrame:
     """(doc_id, page_no): from the first page with the marker up to where the main text starts, ``span`` pages at most."""
     start = pages.where((F.col("page_no") <= within) & F.col("text").rlike(marker)).groupBy("doc_id").agg(F.min("page_no").alias("a"))
     head = F.regexp_replace(tx.compact(F.left("text", F.lit(300))), r"^[^\dA-Za-z一-鿿]+", "")
@@ -133,7 +147,7 @@ def parse_lines(lines: DataFrame, doc: str = "doc_id", no: str = "line_no", line
         return rows.where(F.col("t").rlike(pattern)).select(doc, no, "t", structure.alias("structure"), title(first, rest).alias("title"), page.alias("page"))
 
     one = entries(NUMBERED, lambda first, rest: tx.without_leaders(rest))
-    two = entries(APPENDIX, lambda first, rest: F.trim(F.concat(F.regexp_replace(first, r"\s+", ""), F.lit(" "), tx.without_leaders(rest)))).where(~F.col("t").rlike(NUMBERED))
+    two = entries(APPENDIX, lambda first, rest: F.trim(F.concat(F.regexp_replace(first, r"\s+", ""), F.lit(" "), tx.without_leaders(rest))))
     three = entries(SPECIAL, lambda first, rest: F.trim(F.concat(tx.without_leaders(first), F.lit(" "), rest)), False).where(~F.col("t").rlike(NUMBERED) & ~F.col("t").rlike(APPENDIX))
     out = one.unionByName(two).unionByName(three).drop("t").where(F.length("title") >= 2)
     order = Window.partitionBy(doc, "structure", "title").orderBy(no)
