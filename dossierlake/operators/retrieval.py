@@ -1,4 +1,4 @@
-"""Hybrid retrieval for batches of queries: BM25, exact and hashed vector search, rank fusion, expansion, reranking."""
+"""Hybrid retrieval for batches of queries: BM25, exact vector search, rank fusion, expansion, reranking."""
 
 from __future__ import annotations
 
@@ -63,16 +63,26 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, slices: int = 32) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, slices: int = 32, fits: Column | None = None) -> DataFrame:
     """Exact nearest vectors: (query_id, vec_id, distance, rank). ``queries(query_id, q)`` meet the rows in ``slices``
-    blocks of vectors, so neither side has to be broadcast and each task keeps ``k`` a query."""
+    blocks of vectors, so neither side has to be broadcast and each task keeps ``k`` a query. ``fits``: a condition on the
+    columns of both sides that a vector must meet to be considered at all."""
     v = vectors.withColumn("__s", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int"))
     q = queries.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    pairs = q.join(v, "__s").select("query_id", "vec_id", "__s", squared_distance(F.col("q"), F.col("embedding")).alias("distance"))
+    both = q.join(v, "__s")
+    pairs = (both if fits is None else both.where(fits)).select("query_id", "vec_id", "__s", squared_distance(F.col("q"), F.col("embedding")).alias("distance"))
     near = top(pairs.withColumn("__g", F.concat_ws("/", "query_id", "__s")), k, [F.asc("distance"), F.asc("vec_id")], "__g", "__r")
     return top(near.select("query_id", "vec_id", "distance"), k, [F.asc("distance"), F.asc("vec_id")])
 
 
+def nearest_rules(queries: DataFrame, vectors: DataFrame, rules: DataFrame, k: int, generic: str = "GEN") -> DataFrame:
+    """Dense recall with its filter before the cut: (query_id, rule_id, rank) of active rules of the query's life cycle.
+    ``queries``: query_id, q, lifecycle; ``vectors``: vec_id, which is the rule's id, and embedding."""
+    meta = rules.where((F.col("status") == "active") & (F.col("index_source") != rl.EXPERIENCE)).select(F.col("rule_id").alias("vec_id"), "lifecycle_phase")
+    fits = (F.col("lifecycle_phase") == generic) | (F.col("lifecycle_phase") == F.col("lifecycle"))
+    return nearest(queries, vectors.join(meta, "vec_id"), k, fits=fits).select("query_id", F.col("vec_id").alias("rule_id"), "rank")
+
+
 def ranked(lists: DataFrame) -> DataFrame:
     """(query_id, engine, rank) from scores, ties to the smaller id."""
     w = Window.partitionBy("query_id", "engine").orderBy(F.desc("score"), F.asc("rule_id"))

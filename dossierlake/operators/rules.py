@@ -177,8 +177,9 @@ def gate(rules: DataFrame) -> DataFrame:
 
 
 def sample_rows(rules: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``n`` random rows: the sampling operator, whose limit is its purpose."""
-    return rules.orderBy(F.rand(seed)).limit(max(1, n))
+    """``n`` rows chosen by a hash of their id and the seed, so however they are partitioned: the sampling operator, whose
+    limit is its purpose."""
+    return rules.orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("rule_id").cast("string"))), "rule_id").limit(max(1, n))
 
 
 # --- numbering ---

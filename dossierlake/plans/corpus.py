@@ -39,10 +39,9 @@ def p1(spark, d):
     return rl.metadata(view(spark, d, "v_rules")).withColumn("full_text", F.md5("full_text"))
 
 
-@query("p2_safe_int", "SELECT conv_id, turn, coalesce(try_cast(trim(left(text, 2)) AS INT), -1) AS n FROM conversations WHERE NOT regexp_matches(trim(left(text, 2)), '[^0-9A-Za-z]')")
+@query("p2_safe_int", "SELECT page_id, coalesce(try_cast(regexp_extract(url, '[0-9]+') AS INT), -1) AS n FROM pages")
 def p2(spark, d):
-    rows = view(spark, d, "conversations").where(~F.trim(F.left("text", F.lit(2))).rlike("[^0-9A-Za-z]"))
-    return rows.select("conv_id", "turn", tx.safe_int(F.left("text", F.lit(2)), -1).alias("n"))
+    return view(spark, d, "pages").select("page_id", tx.safe_int(F.regexp_extract("url", "[0-9]+", 0), -1).alias("n"))
 
 
 @query("p3_display_text", ctes("v_rules") + f"SELECT rule_id, md5({DISPLAY}) AS text FROM v_rules")
@@ -156,9 +155,18 @@ def j2(spark, d):
     return rl.code_matches(view(spark, d, "v_queries"), view(spark, d, "v_rules"))
 
 
+def retrieved(spark, d):
+    """The ranked lists of both engines: BM25 over all active rules, and exact vector search over all eligible ones."""
+    queries, rules, vectors = view(spark, d, "v_queries"), view(spark, d, "v_rules"), view(spark, d, "embeddings")
+    lexical = rt.top(rt.bm25(queries, rt.active_texts(rules)), 6, [F.round("score", 9).desc(), F.asc("rule_id")])
+    asked = queries.select("query_id", "lifecycle").join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+    dense = rt.nearest_rules(asked, vectors, rules, 6)
+    return dense.select("query_id", F.lit("dense").alias("engine"), "rank", "rule_id").unionByName(lexical.select("query_id", F.lit("lexical").alias("engine"), "rank", "rule_id"))
+
+
 @query("j3_full_texts", ctes("v_retrieval", "v_rules") + "SELECT query_id, engine, h.rule_id, md5(coalesce(nullif(content, ''), 'cut')) AS full_text FROM v_retrieval h LEFT JOIN v_rules r ON r.rule_id = h.rule_id")
 def j3(spark, d):
-    hits = view(spark, d, "v_retrieval").withColumn("fallback", F.lit("cut"))
+    hits = retrieved(spark, d).withColumn("fallback", F.lit("cut"))
     return rl.full_texts(hits, view(spark, d, "v_rules")).select("query_id", "engine", "rule_id", F.md5("full_text").alias("full_text"))
 
 
@@ -258,7 +266,7 @@ def a17(spark, d):
     return rows.select("rule_id", F.array_join("issues", ",").alias("issues"))
 
 
-@query("a17_gate_sample")
+@query("a17_gate_sample", ctes("v_rules") + "SELECT avg(CAST(index_source = 'pageindex' AND length(trim(content)) >= 30 AS INT)) AS pass_ratio, count(*) AS n FROM (SELECT * FROM v_rules ORDER BY md5(concat('0/', CAST(rule_id AS VARCHAR))), rule_id LIMIT 10)")
 def a17s(spark, d):
     rows = rl.gate(rl.sample_rows(view(spark, d, "v_rules"), 10).withColumn("full_text", F.col("content")))
     return rows.agg(F.avg(F.col("passed").cast("int")).alias("pass_ratio"), F.count("*").alias("n"))
@@ -422,7 +430,7 @@ def r3(spark, d):
 
 @query("r4_rank_fusion", ctes("v_retrieval") + "SELECT query_id, rule_id, round(sum(1.0 / (60 + rank)), 9) AS score, array_to_string(list_sort(list(DISTINCT engine)), ',') AS engines FROM v_retrieval GROUP BY 1, 2")
 def r4(spark, d):
-    return rt.fuse(view(spark, d, "v_retrieval")).withColumn("score", F.round("score", 9))
+    return rt.fuse(retrieved(spark, d)).withColumn("score", F.round("score", 9))
 
 
 ORDER = "round(score, 12) DESC, level, coalesce(-try_cast(left(replace(publish_date, '-', ''), 8) AS INT), 0), rule_id"
@@ -431,19 +439,19 @@ FUSED = f"fused AS (SELECT query_id, rule_id, sum(1.0 / (60 + rank)) AS score FR
 
 @query("k1_resolution_order", ctes("v_retrieval", "v_rules", more=FUSED) + "SELECT query_id, rule_id, rank FROM cut WHERE rank <= 10")
 def k1(spark, d):
-    merged = rt.fuse(view(spark, d, "v_retrieval")).join(view(spark, d, "v_rules").select("rule_id", "level", "publish_date"), "rule_id")
+    merged = rt.fuse(retrieved(spark, d)).join(view(spark, d, "v_rules").select("rule_id", "level", "publish_date"), "rule_id")
     return rt.top(merged, 10, rt.resolution_order()).select("query_id", "rule_id", "rank")
 
 
 @query("k2_recall_cut", ctes("v_retrieval") + "SELECT query_id, engine, rule_id, rank FROM v_retrieval WHERE rank <= 3")
 def k2(spark, d):
-    lists = view(spark, d, "v_retrieval").withColumn("g", F.concat_ws("/", "query_id", "engine"))
+    lists = retrieved(spark, d).withColumn("g", F.concat_ws("/", "query_id", "engine"))
     return rt.top(lists, 3, [F.asc("rank")], "g", "k").select("query_id", "engine", "rule_id", "rank")
 
 
 @query("w9_rank_lists", ctes("v_retrieval") + "SELECT query_id, engine, rule_id, CAST(row_number() OVER (PARTITION BY query_id, engine ORDER BY 100 - rank DESC, rule_id) AS INT) AS rank FROM v_retrieval")
 def w9(spark, d):
-    return rt.ranked(view(spark, d, "v_retrieval").withColumn("score", 100 - F.col("rank"))).select("query_id", "engine", "rule_id", "rank")
+    return rt.ranked(retrieved(spark, d).withColumn("score", 100 - F.col("rank"))).select("query_id", "engine", "rule_id", "rank")
 
 
 NEAR = f"""live AS (SELECT rule_id, source_file, seq_index, regexp_replace({DISPLAY}, '^\\s+|\\s+$', '', 'g') AS t FROM v_rules WHERE {LIVE}),
@@ -456,7 +464,7 @@ CONTEXT = f"""CASE WHEN index_source = 'pageindex' THEN concat('[node]', chr(10)
 
 @query("r5_expand_context", ctes("v_retrieval", "v_rules", more=NEAR) + f"SELECT query_id, engine, h.rule_id, md5({CONTEXT}) AS context FROM v_retrieval h JOIN v_rules r ON r.rule_id = h.rule_id LEFT JOIN near ON near.rule_id = h.rule_id")
 def r5(spark, d):
-    return rt.expand(view(spark, d, "v_retrieval").drop("rank"), view(spark, d, "v_rules")).withColumn("context", F.md5("context"))
+    return rt.expand(retrieved(spark, d).drop("rank"), view(spark, d, "v_rules")).withColumn("context", F.md5("context"))
 
 
 RERANK = f"""words AS (SELECT query_id, list_filter(list_distinct({TOKENS.format(c="query")}), lambda t: length(t) >= 2 AND NOT list_contains({sql_list(STOP)}, t)) AS w FROM v_queries),
@@ -468,7 +476,7 @@ pos AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC
 @query("r6_lexical_rerank", ctes("v_retrieval", "v_rules", more=f"{FUSED}, picked AS (SELECT * FROM cut WHERE rank <= 10), {NEAR}, {RERANK}") + "SELECT query_id, rule_id, CAST(overlap AS INT) AS overlap, position FROM pos")
 def r6(spark, d):
     rules, queries = view(spark, d, "v_rules"), view(spark, d, "v_queries")
-    merged = rt.fuse(view(spark, d, "v_retrieval")).join(rules.select("rule_id", "level", "publish_date"), "rule_id")
+    merged = rt.fuse(retrieved(spark, d)).join(rules.select("rule_id", "level", "publish_date"), "rule_id")
     cut = rt.top(merged, 10, rt.resolution_order()).select("query_id", "rule_id", "rank")
     return rt.rerank(rt.expand(cut, rules), queries, stop=STOP).select("query_id", "rule_id", "overlap", "position")
 
@@ -490,7 +498,10 @@ def r7(spark, d):
     return rt.answers(queries, found).withColumn("answer", F.md5("answer"))
 
 
-@query("r7_retrieve_hybrid")
+HYBRID = RETRIEVE.replace("fusedl AS (SELECT query_id, rule_id, 1.0 / (60 + rank) AS score FROM lexical)", "fusedl AS (SELECT query_id, rule_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, rule_id, rank FROM lexical UNION ALL SELECT query_id, rule_id, rank FROM v_retrieval WHERE engine = 'dense') GROUP BY 1, 2)").replace("picked AS (SELECT query_id", "picked AS (SELECT * FROM (SELECT query_id").replace("FROM fusedl JOIN v_rules USING (rule_id))", "FROM fusedl JOIN v_rules USING (rule_id)) WHERE rank <= 10)")
+
+
+@query("r7_retrieve_hybrid", ctes("v_retrieval", "v_rules", "v_queries", more=HYBRID) + "SELECT query_id, position, rule_id, CAST(overlap AS INT) AS overlap FROM pos WHERE position <= 2")
 def r7h(spark, d):
-    queries, dense = view(spark, d, "v_queries"), view(spark, d, "v_retrieval").where("engine = 'dense'")
+    queries, dense = view(spark, d, "v_queries"), retrieved(spark, d).where("engine = 'dense'")
     return rt.retrieve(queries, view(spark, d, "v_rules"), dense=dense, stop=STOP).select("query_id", "position", "rule_id", "overlap")

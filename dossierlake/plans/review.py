@@ -112,7 +112,10 @@ def c10(spark, d):
     return opinions(spark, d).select("row_index", "item_index", F.array_join(op.extensions(F.col("opinion"), LEX, F.lit("DEFAULT")), ",").alias("codes"))
 
 
-@query("c11_trigger_words")
+_LEX_WORDS = sql_list([k for e in LEX for k in e.keywords])
+
+
+@query("c11_trigger_words", ctes("v_opinions", more=f"a AS (SELECT row_index, item_index, list_concat(list_filter({_LEX_WORDS}, lambda k: contains(lower(opinion), lower(k))), list_filter(regexp_extract_all(opinion, '[A-Za-z0-9]{{2,}}|[一-鿿]{{2,8}}'), lambda t: NOT list_contains({sql_list(STOP)}, t))) AS w FROM v_opinions)") + "SELECT row_index, item_index, array_to_string(list_filter(w, lambda t, i: list_position(w, t) = i)[1:10], ',') AS words FROM a")
 def c11(spark, d):
     return opinions(spark, d).select("row_index", "item_index", F.array_join(op.triggers(F.col("opinion"), LEX, STOP), ",").alias("words"))
 
@@ -171,27 +174,43 @@ def p15(spark, d):
     return opinions(spark, d).select("row_index", "item_index", text.alias("template"))
 
 
-@query("p11_search_queries")
+_CARD_ID = "concat('EXP_', upper(left(sha256(concat('conv_', CAST(row_index AS VARCHAR), chr(10), CASE WHEN row_index = 0 THEN '' ELSE CAST(row_index AS VARCHAR) END, chr(10), CASE WHEN item_index = 0 THEN '' ELSE CAST(item_index AS VARCHAR) END, chr(10), opinion)), 12)))"
+#: Cards with their triggers (one row each), and the triggers of a card in every document, as SQL.
+MATCH = f"""cw AS (SELECT *, {sql_words('opinion')} AS k FROM v_opinions),
+lab AS (SELECT v.row_index, v.item_index, count(h.code) FILTER (WHERE h.k BETWEEN 2 AND 4) AS s FROM v_opinions v LEFT JOIN hit h ON h.row_index = v.row_index AND h.item_index = v.item_index GROUP BY 1, 2),
+cards AS (SELECT row_index, item_index, {_CARD_ID} AS card_id, project_name, opinion, k, CASE WHEN s = 0 THEN 'medium' ELSE 'high' END AS confidence FROM cw JOIN lab USING (row_index, item_index)),
+wd AS (SELECT DISTINCT card_id, confidence, project_name, unnest(k) AS word FROM cards),
+tr AS (SELECT DISTINCT lower(word) AS low FROM wd),
+th AS (SELECT doc_id, low FROM documents JOIN tr ON contains(lower(text), low)),
+m AS (SELECT doc_id, card_id, confidence, project_name, count(*) AS overlap FROM th JOIN wd ON lower(word) = low GROUP BY 1, 2, 3, 4)"""
+_PLACE = "row_number() OVER (PARTITION BY {g} ORDER BY overlap DESC, confidence = 'high' DESC, card_id)"
+KINDS = f"""lex(o, code, w, kw) AS (VALUES {lex_values()}), lexn AS (SELECT row_index, item_index, code, len(list_filter(kw, lambda k: contains(lower(opinion), k))) AS n FROM v_opinions, lex),
+cat AS (SELECT row_index, item_index, coalesce(max_by(code, (n, code)) FILTER (WHERE n > 0), 'OTHER') AS work_category FROM lexn GROUP BY 1, 2),
+full_cards AS (SELECT c.*, work_category, coalesce(h.code, 'complete') AS dimension FROM cards c JOIN cat USING (row_index, item_index) LEFT JOIN (SELECT row_index, item_index, code FROM hit WHERE hit.k = 1) h USING (row_index, item_index))"""
+CARDS = ctes("v_opinions", more=f"{COUNTS}, {MATCH}, {KINDS}")
+
+
+@query("p11_search_queries", CARDS + "SELECT row_index, item_index, array_to_string(list_filter(q, lambda t, i: list_position(q, t) = i), ' ') AS query FROM (SELECT row_index, item_index, list_concat(k[1:5], [work_category], CASE WHEN dimension = 'complete' THEN ['material', 'acceptance'] ELSE ['sequence'] END) AS q FROM full_cards)")
 def p11(spark, d):
     extra = F.when(F.col("dimension") == "complete", F.array(F.lit("material"), F.lit("acceptance"))).otherwise(F.array(F.lit("sequence")))
     q = F.array_join(F.array_distinct(F.concat(F.slice("keywords", 1, 5), F.array("work_category"), extra)), " ")
     return classified(spark, d).select("row_index", "item_index", q.alias("query"))
 
 
-@query("p13_cards")
+@query("p13_cards", CARDS + "SELECT card_id, project_name, work_category, dimension, confidence, array_to_string(k, ',') AS keywords FROM full_cards")
 def p13(spark, d):
     return op.cards(classified(spark, d)).select("card_id", "project_name", "work_category", "dimension", "confidence", F.array_join("keywords", ",").alias("keywords"))
 
 
-@query("p14_card_rules")
+@query("p14_card_rules", CARDS + "SELECT card_id AS rule_id, project_name AS source_file, row_index * 100 + item_index AS seq_index, md5(t) AS content, left(t, 700) AS condensed_content FROM (SELECT *, concat('[experience] ', work_category, ' / ', dimension, chr(10), 'opinion: ', opinion, chr(10), 'keywords: ', array_to_string(k, ', ')) AS t FROM full_cards)")
 def p14(spark, d):
-    return op.card_rules(op.cards(classified(spark, d))).select("rule_id", "source_file", "seq_index", "condensed_content", F.length("full_text").alias("n_chars"))
+    return op.card_rules(op.cards(classified(spark, d))).select("rule_id", "source_file", "seq_index", F.md5("content").alias("content"), "condensed_content")
 
 
-@query("s15_cards_back")
+@query("s15_cards_back", CARDS + "SELECT card_id, project_name, md5(opinion) AS opinion, CAST(len(k) AS INT) AS n_keywords FROM full_cards")
 def s15(spark, d):
     schema = "card_id string, project_name string, opinion string, keywords array<string>"
-    return op.cards_of(op.card_rules(op.cards(classified(spark, d))), schema).select("card_id", "project_name", F.size("keywords").alias("n_keywords"))
+    return op.cards_of(op.card_rules(op.cards(classified(spark, d))), schema).select("card_id", "project_name", F.md5("opinion").alias("opinion"), F.size("keywords").alias("n_keywords"))
 
 
 STATUS = """
@@ -362,18 +381,6 @@ MATCH = f"""cards AS (SELECT row_index, item_index, {sql_words('opinion')} AS k
 m AS (SELECT doc_id, row_index, item_index, count(DISTINCT word) AS overlap FROM documents JOIN w ON contains(lower(text), low) GROUP BY 1, 2, 3)"""
 
 
-_CARD_ID = "concat('EXP_', upper(left(sha256(concat('conv_', CAST(row_index AS VARCHAR), chr(10), CASE WHEN row_index = 0 THEN '' ELSE CAST(row_index AS VARCHAR) END, chr(10), CASE WHEN item_index = 0 THEN '' ELSE CAST(item_index AS VARCHAR) END, chr(10), opinion)), 12)))"
-#: Cards with their triggers (one row each), and the triggers of a card in every document, as SQL.
-MATCH = f"""cw AS (SELECT *, {sql_words('opinion')} AS k FROM v_opinions),
-lab AS (SELECT v.row_index, v.item_index, count(h.code) FILTER (WHERE h.k BETWEEN 2 AND 4) AS s FROM v_opinions v LEFT JOIN hit h ON h.row_index = v.row_index AND h.item_index = v.item_index GROUP BY 1, 2),
-cards AS (SELECT {_CARD_ID} AS card_id, project_name, opinion, k, CASE WHEN s = 0 THEN 'medium' ELSE 'high' END AS confidence FROM cw JOIN lab USING (row_index, item_index)),
-wd AS (SELECT DISTINCT card_id, confidence, project_name, unnest(k) AS word FROM cards),
-tr AS (SELECT DISTINCT lower(word) AS low FROM wd),
-th AS (SELECT doc_id, low FROM documents JOIN tr ON contains(lower(text), low)),
-m AS (SELECT doc_id, card_id, confidence, project_name, count(*) AS overlap FROM th JOIN wd ON lower(word) = low GROUP BY 1, 2, 3, 4)"""
-_PLACE = "row_number() OVER (PARTITION BY {g} ORDER BY overlap DESC, confidence = 'high' DESC, card_id)"
-
-
 @query("r8_match_cards", ctes("v_opinions", more=f"{COUNTS}, {MATCH}") + f"SELECT doc_id, card_id, overlap, place FROM (SELECT *, {_PLACE.format(g='doc_id')} AS place FROM m WHERE overlap >= 2) WHERE place <= 8")
 def r8(spark, d):
     return op.match_cards(view(spark, d, "documents"), carded(spark, d))
@@ -511,7 +518,7 @@ def p23(spark, d):
 
 
 def _answers(spark, d):
-    item = F.struct(F.col("dimension").alias("tool"), F.left("finding", F.lit(40)).alias("query"), F.col("work_item"), "dimension", "finding", F.col("origin").alias("reason"), F.col("work_item").alias("recommendation"))
+    item = F.struct(F.col("dimension").alias("tool"), F.col("finding").alias("query"), F.col("work_item"), "dimension", "finding", F.col("origin").alias("reason"), F.col("work_item").alias("recommendation"))
     return view(spark, d, "v_findings").groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("answer"))
 
 
@@ -754,7 +761,7 @@ def d5(spark, d):
 
 
 def _wrapped(spark, d):
-    rows = view(spark, d, "v_toc_text").where("line_no % 5 <> 0")
+    rows = view(spark, d, "v_toc_text")
     parts = F.split(F.regexp_replace("line", r"^([\d.]+) ", "$1 "), " (?=\\.{4})|(?<=\\.) (?=\\d)")
     return rows.select("doc_id", F.posexplode(parts).alias("i", "line"), "line_no").select("doc_id", (F.col("line_no") * 10 + F.col("i")).alias("line_no"), "line")
 
@@ -764,10 +771,13 @@ def d6(spark, d):
     return st.parse_wrapped(_wrapped(spark, d))
 
 
+def _inline(spark, d):
+    return view(spark, d, "v_toc_text").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), " ").alias("text"))
+
+
 @query("d7_contents_inline")
 def d7(spark, d):
-    text = view(spark, d, "v_toc_text").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), " ").alias("text"))
-    return st.parse_inline(text)
+    return st.parse_inline(_inline(spark, d))
 
 
 @query("d8_best_parse")
@@ -775,7 +785,8 @@ def d8(spark, d):
     lines = view(spark, d, "v_toc_text")
     a = st.parse_lines(lines).withColumnRenamed("line_no", "no")
     b = st.parse_wrapped(_wrapped(spark, d)).withColumnRenamed("line_no", "no")
-    return st.best_mode([a, b]).select("doc_id", "structure", "title", "page", "mode_no")
+    c = st.parse_inline(_inline(spark, d))
+    return st.best_mode([a, b, c]).select("doc_id", "structure", "title", "page", "mode_no")
 
 
 @query("d9_contents_accepted", ctes("v_toc_text", more=TOC) + "SELECT doc_id, count(*) AS n, count(page) AS with_page FROM toc GROUP BY 1 HAVING count(*) >= 10 AND count(page) >= 0.75 * count(*)")
@@ -829,7 +840,7 @@ def t11(spark, d):
     return asked.join(stored, "cache_key", "left").select("event_id", F.coalesce(F.col("expires") >= F.col("created_at"), F.lit(False)).alias("hit"))
 
 
-@query("t12_call_log")
+@query("t12_call_log", ctes("v_calls") + "SELECT status, count(*) AS n FROM v_calls GROUP BY 1")
 def t12(spark, d):
     path = shared_path(spark, "calls")
     rows = view(spark, d, "v_calls")
@@ -884,7 +895,7 @@ def _calls(spark, d):
     return events.select("event_id", F.col("ts").cast("timestamp").alias("created_at"), (F.col("event_type") == "view").alias("cache_hit"), F.col("event_type").alias("status"), F.concat_ws("_", "user_id", "event_type").alias("cache_key"))
 
 
-@query("x3_first_requests")
+@query("x3_first_requests", "SELECT DISTINCT concat(CAST(user_id AS VARCHAR), '_', event_type) AS cache_key FROM events")
 def x3(spark, d):
     out = shared_path(spark, "x3")
     return jobs.drain(jobs.first_requests(_calls(spark, d), "cache_key", "created_at", "40 days"), f"x3_{out[-8:]}", "append", out).select("cache_key")

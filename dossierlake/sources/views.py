@@ -24,7 +24,7 @@ SELECT doc_id AS rule_id, source AS source_file, lang AS category,
  CASE WHEN doc_id % 14 = 0 THEN substring(text, 1, 200) ELSE '' END AS condensed_content
 FROM documents""",
     "v_queries": """
-SELECT item_id AS query_id, substring(text, 1, 120) AS query,
+SELECT item_id AS query_id, text AS query,
  CASE WHEN item_id % 3 = 0 THEN 'GEN' ELSE concat('0', CAST(1 + item_id % 4 AS STRING), '-0', CAST(1 + item_id % 3 AS STRING), '-0', CAST(1 + item_id % 6 AS STRING)) END AS wbs_code,
  'BUILD' AS lifecycle FROM benchmark""",
     "v_opinions": """
@@ -43,9 +43,6 @@ SELECT l_orderkey AS bill_id, l_linenumber AS row_no, concat(p_name, ' ', p_type
  l_quantity AS quantity, p_retailprice AS price FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "v_sections": """
 SELECT doc_id, line_no AS section_no, CASE line_no % 4 WHEN 0 THEN 'A' WHEN 3 THEN 'B' ELSE 'A' END AS section_type, line AS text FROM v_lines""",
-    "v_retrieval": """
-SELECT query_id, 'dense' AS engine, k + 1 AS rank, (query_id * 7 + k * 3) % 200 AS rule_id FROM v_queries CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5)) AS t(k)
-UNION ALL SELECT query_id, 'lexical', k + 1, (query_id * 7 + k * 6) % 200 FROM v_queries CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5)) AS t(k)""",
     "v_findings": """
 SELECT conv_id AS doc_id, turn AS issue_no, role AS work_item, CASE turn % 4 WHEN 0 THEN 'complete' WHEN 1 THEN 'method' WHEN 2 THEN 'split' ELSE 'logic' END AS dimension,
  text AS finding, turn % 2 = 0 AS has_controls, CASE WHEN turn % 3 = 0 THEN 'ai_final' ELSE 'local' END AS origin FROM conversations""",
@@ -55,11 +52,15 @@ UNION ALL SELECT concat('r', CAST(r_regionkey AS STRING)), 'root', r_name, '' FR
 UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), concat('r', CAST(n_regionkey AS STRING)), n_name, CASE WHEN n_nationkey % 5 = 0 THEN 'Preface text of nation' ELSE '' END FROM nation
 UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), concat('n', CAST(s_nationkey AS STRING)), s_name, concat('Supplier balance ', CAST(s_suppkey AS STRING)) FROM supplier""",
     "v_toc": """
-SELECT doc_id, line_no AS item_no, concat('1.', CAST(line_no AS STRING)) AS structure, substring(line, 1, 20) AS title,
- CASE WHEN (doc_id + line_no) % 3 = 0 THEN line_no + 1 END AS physical_index FROM v_lines WHERE line_no < 12""",
+SELECT doc_id, line_no AS item_no, concat('1.', CAST(line_no AS STRING)) AS structure, line AS title,
+ CASE WHEN (doc_id + line_no) % 3 = 0 THEN CAST(floor(line_no / 10) AS INT) + 1 END AS physical_index FROM v_lines""",
     "v_toc_text": """
 SELECT p_partkey % 50 AS doc_id, p_partkey AS line_no,
- concat(CAST(1 + p_partkey % 9 AS STRING), '.', CAST(1 + p_partkey % 7 AS STRING), ' 章', p_name, CASE WHEN p_partkey % 6 = 0 THEN '' ELSE concat(' ........ ', CAST(1 + p_size AS STRING)) END) AS line FROM part""",
+ CASE p_partkey % 23
+  WHEN 5 THEN concat('附录 ', chr(CAST(65 + p_partkey % 5 AS INT)), ' 材', p_name, ' ..... ', CAST(1 + p_size AS STRING))
+  WHEN 7 THEN concat('3 附录', chr(CAST(65 + p_partkey % 5 AS INT)), ' 章', p_name, ' ... ', CAST(1 + p_size AS STRING))
+  WHEN 9 THEN concat('附：', p_name, ' .... ', CAST(1 + p_size AS STRING))
+  ELSE concat(CAST(1 + p_partkey % 9 AS STRING), '.', CAST(1 + p_partkey % 7 AS STRING), ' 章', p_name, CASE WHEN p_partkey % 6 = 0 THEN '' ELSE concat(' ........ ', CAST(1 + p_size AS STRING)) END) END AS line FROM part""",
     "v_cells": """
 SELECT sheet, row, col, min(value) AS value FROM (
 SELECT l_orderkey AS sheet, 2 AS row, 1 AS col, '名称' AS value FROM lineitem
@@ -76,6 +77,20 @@ SELECT doc_id, CAST(floor(line_no / 10) AS INT) + 1 AS page_no,
  listagg(line, chr(10)) WITHIN GROUP (ORDER BY line_no) AS text, count(*) AS tokens FROM v_lines GROUP BY 1, 2""",
 }
 DUCKDB_ONLY = {
+    "v_retrieval": r"""
+WITH tok AS (SELECT rule_id, regexp_extract_all(lower(CASE WHEN is_washed AND trim(condensed_content) <> '' THEN condensed_content ELSE content END), '[\p{L}\p{N}]+') AS t FROM v_rules WHERE status = 'active' AND trim(content) <> ''),
+st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
+post AS (SELECT term, rule_id, dl, count(*) AS tf FROM (SELECT rule_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY 1, 2, 3),
+raw AS (SELECT term, ln((SELECT n FROM st) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM post GROUP BY 1),
+idf AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+qt AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}]+')) AS term FROM v_queries) GROUP BY 1, 2),
+sc AS (SELECT query_id, rule_id, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN idf USING (term) JOIN post USING (term) CROSS JOIN st GROUP BY 1, 2 HAVING score > 0.5),
+ds AS (SELECT q.vec_id AS query_id, r.rule_id, list_sum(list_transform(range(1, 65), lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(v.embedding[i] AS DOUBLE)) * (CAST(q.embedding[i] AS DOUBLE) - CAST(v.embedding[i] AS DOUBLE)))) AS distance
+ FROM embeddings q JOIN v_queries ON query_id = q.vec_id, embeddings v JOIN v_rules r ON r.rule_id = v.vec_id
+ WHERE r.status = 'active' AND index_source <> 'review_experience' AND lifecycle_phase IN ('GEN', lifecycle))
+SELECT query_id, engine, rank, rule_id FROM (
+ SELECT query_id, 'dense' AS engine, row_number() OVER (PARTITION BY query_id ORDER BY distance, rule_id) AS rank, rule_id FROM ds
+ UNION ALL SELECT query_id, 'lexical', row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, rule_id), rule_id FROM sc) WHERE rank <= 6""",
     "v_lines": """
 SELECT doc_id, u.i AS line_no, u.l AS line
 FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents) d,
