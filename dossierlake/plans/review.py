@@ -377,10 +377,6 @@ def carded(spark, d):
     return op.cards(classified(spark, d))
 
 
-MATCH = f"""cards AS (SELECT row_index, item_index, {sql_words('opinion')} AS k FROM v_opinions), w AS (SELECT row_index, item_index, lower(unnest(k)) AS low, unnest(k) AS word FROM cards),
-m AS (SELECT doc_id, row_index, item_index, count(DISTINCT word) AS overlap FROM documents JOIN w ON contains(lower(text), low) GROUP BY 1, 2, 3)"""
-
-
 @query("r8_match_cards", ctes("v_opinions", more=f"{COUNTS}, {MATCH}") + f"SELECT doc_id, card_id, overlap, place FROM (SELECT *, {_PLACE.format(g='doc_id')} AS place FROM m WHERE overlap >= 2) WHERE place <= 8")
 def r8(spark, d):
     return op.match_cards(view(spark, d, "documents"), carded(spark, d))
