@@ -294,6 +294,20 @@ def test_leaks(spark, monkeypatch):
     assert decontamination.mark(spark, docs.limit(0), bench, ["doc_id"]).count() == 0
 
 
+def test_leaks_with_common_seeds_and_clashing_names(spark, monkeypatch):
+    line = "all items share these five"
+    bench = spark.createDataFrame([(i, f"{line} " + " ".join(f"w{i}_{k}" for k in range(9))) for i in range(30)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, (line + " ") * 4000, "x", 3), (2, f"{line} " + " ".join(f"w7_{k}" for k in range(9)), "y", 4), (2, "twice", "z", 5)], "c0 long, text string, leaks string, t int")
+    for words_ in (1_000_000, 40):
+        monkeypatch.setattr(decontamination, "BLOCK_WORDS", words_)
+        got = decontamination.mark(spark, docs, bench, ["c0", "leaks", "t", "text"], out="found")
+        assert got.columns == ["c0", "leaks", "t", "text", "found"]
+        assert sorted((r.c0, r.leaks, r.t, [x.item_id for x in r.found]) for r in got.collect()) == [(1, "x", 3, []), (2, "y", 4, [7]), (2, "z", 5, [])]
+    known = decontamination._Numbers()
+    item, doc = decontamination.numbers("a b c d e " * 3, known), decontamination.numbers("a b c d e " * 20000, known)
+    assert decontamination.tile(item, doc) == [(0, 0, 15)]
+
+
 def test_leaks_on_documents(spark):
     items = [(r.item_id, " ".join(re.findall(r"\w+", r.text.lower()))) for r in read(spark, "benchmark").collect()]
     docs = [(r.doc_id, " ".join(re.findall(r"\w+", (r.text or "").lower()))) for r in read(spark, "documents").collect()]
@@ -406,6 +420,36 @@ def test_toxicity_learns(spark):
     assert hit / sum(r.predicted for r in held) > 0.9 and hit / sum(r.toxic for r in held) > 0.8
 
 
+def test_toxicity_weights_equal_plain_ftrl(spark):
+    rng = np.random.default_rng(3)
+    vocab = ["vile", "scum", "friend", "tree", "house", "river", "stone", "bird"]
+    rows = [(i, " ".join(rng.choice(vocab, 6)) + (" vile scum" if i % 3 == 0 else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    rates = toxicity.Rates(l1=0.3, passes=2)
+    got = {r.id: r.w for r in toxicity.train(spark, docs, labels, rates=rates).collect()}
+    # one coordinate after another, as the algorithm is published: rows in order of their hashed id
+    order = [r.doc_id for r in docs.select("doc_id").orderBy(F.xxhash64("doc_id")).collect()]
+    known, texts, z, n = toxicity._Hashes(), dict(rows), collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= rates.l1:
+            return 0.0
+        return -(z[i] - math.copysign(rates.l1, z[i])) / ((rates.beta + math.sqrt(n[i])) / rates.alpha + rates.l2)
+
+    for _ in range(rates.passes):
+        for d in order:
+            ids = [*sorted(set(toxicity.features(texts[d], known).tolist())), 1 << toxicity.BITS]
+            w = {i: weight(i) for i in ids}
+            g = 1 / (1 + math.exp(-max(-30, min(30, sum(w.values()))))) - (d % 3 == 0)
+            for i in ids:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / rates.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    want = {i: weight(i) for i in list(z) if weight(i)}
+    assert set(got) == set(want) and len(want) > 5 and all(math.isclose(got[i], w, rel_tol=1e-9) for i, w in want.items())
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(i, f"you vile {'scum' if i % 3 == 0 else 'friend'} number{i}", "x", 0.5) for i in range(90)] + [(100, None, "x", 0.0), (101, "", "x", 0.0), (None, "scum " * 50000, "x", 0.0)], "doc_id long, text string, toxic string, score double")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] * 2 + [(None, 1), (5, None), (777, 1)], "doc_id long, toxic int")
