@@ -250,7 +250,8 @@ SURE = "high"
 
 def card_words(cards_: DataFrame, generic: Sequence[str] = (), strong: Sequence[str] = ()) -> DataFrame:
     """One row for each distinct non-generic trigger of a card, in lower case: card_id, confidence, word, strong, project."""
-    rows = cards_.select("card_id", "confidence", F.explode(F.array_except("keywords", tx.strings(generic))).alias("w"), F.col("project_name").alias("project")).where(F.trim("w") != "")
+    project = F.col("project_name") if "project_name" in cards_.columns else F.lit(None).cast("string")
+    rows = cards_.select("card_id", "confidence", F.explode(F.array_except("keywords", tx.strings(generic))).alias("w"), project.alias("project")).where(F.trim("w") != "")
     mark = F.col("w").isin(*strong).cast("int") if strong else F.lit(0)
     return rows.select("card_id", "confidence", F.lower("w").alias("word"), mark.alias("strong"), "project", "w").distinct().drop("w")
 

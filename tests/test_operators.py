@@ -3,6 +3,7 @@ from dossierlake.operators import audit as au
 from dossierlake.operators import opinions as op
 from dossierlake.operators import retrieval as rt
 from dossierlake.operators import rules as rl
+from dossierlake.operators import scan as sc
 from dossierlake.operators import structure as st
 from dossierlake.sources import documents as sd
 from pyspark.sql import functions as F
@@ -256,3 +257,43 @@ def test_sources_and_sinks(spark, tmp_path):
     sd.write_reports(report, str(tmp_path / "r"), "project_name")
     assert spark.read.json(str(tmp_path / "r")).count() == 2
     assert sd.registry_jobs(spark.createDataFrame([("p", "c"), ("", "c"), ("p", None)], "path string, category string")).count() == 1
+
+
+# --- dictionary scans, deep trees, contents with appendices ---
+
+
+def test_cards_are_matched_in_blocks_as_in_one(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Red door, green wall", "alpha site"), (2, "a red roof and a DOOR", None), (3, None, "x"), (4, "", "alpha"), (5, "nothing here", "beta")], "doc_id long, text string, project_key string")
+    cards = spark.createDataFrame([("a", "high", ["red", "door", "Red", " "], "alpha"), ("b", "medium", ["door", "wall", "green"], "gamma"), ("c", "high", ["roof", "red"], "beta"), ("d", "medium", ["nothing", "the"], "")], "card_id string, confidence string, keywords array<string>, project_name string")
+    want = {(1, "a"): 3, (1, "b"): 3, (2, "a"): 3, (2, "c"): 2}
+    for most in (200_000, 2):
+        monkeypatch.setattr(sc, "BLOCK_WORDS", most)
+        assert {(r.doc_id, r.card_id): r.overlap for r in op.match_cards(docs, cards).collect()} == want
+        assert [(r.doc_id, r.card_id) for r in op.match_cards(docs, cards, limit=1).orderBy("doc_id").collect()] == [(1, "a"), (2, "a")]
+        tiers = {(r.doc_id, r.card_id): r.match_scope for r in op.two_tier(docs, cards).collect()}
+        assert tiers == {(1, "a"): "same_project", (1, "b"): "cross_project", (2, "a"): "cross_project", (2, "c"): "cross_project"}
+        names = sc.containing(spark.createDataFrame([("ab",), ("abc",), (" ",), (None,)], "a string"), spark.createDataFrame([("b",), ("xabcx",), ("q",)], "b string"))
+        assert sorted(map(tuple, names.collect())) == [("ab", "b"), ("ab", "xabcx"), ("abc", "b"), ("abc", "xabcx")]
+    strong = op.match_cards(docs, cards, strong=["nothing"]).where("doc_id = 5").collect()
+    assert [(r.card_id, r.overlap) for r in strong] == [("d", 1)]
+    assert op.match_cards(docs, cards.limit(0)).count() == 0 and op.match_cards(docs.limit(0), cards).count() == 0
+
+
+def test_trees_of_any_depth(spark):
+    rows = [(str(i), None if i == 0 else str(i - 1), f"t{i}", "text" if i == 99 else "") for i in range(100)] + [("x", "y", "loop", "t"), ("y", "x", "loop", "t")]
+    nodes = spark.createDataFrame(rows, "node_id string, parent_id string, title string, text string")
+    leaf = st.leaves(nodes, spark).collect()
+    assert [(r.node_id, r.depth, len(r.path)) for r in leaf] == [("99", 100, 100)]
+    assert st.tree_statistics(st.levels(nodes, spark)).collect()[0][:] == (100, 100)
+
+
+def test_contents_lines_with_appendices(spark):
+    lines = ["1 总则 ........ 3", "2.1 基本规定 12", "1 附录A 材料 12", "附录 B 试验方法 …… 30", "附：条文说明 41", "no entry"]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "doc_id long, line_no int, line string")
+    got = [(r.structure, r.title, r.page) for r in st.parse_lines(rows).orderBy("line_no").collect()]
+    assert got[:4] == [("1", "总则", 3), ("2.1", "基本规定", 12), ("附录A", "附录A 材料", 12), ("附录B", "附录B 试验方法", 30)] and got[4][0] is None and got[4][2] == 41
+
+
+def test_contents_stop_ignores_case(spark):
+    pages = spark.createDataFrame([(1, 1, "目 次\n1 a"), (1, 2, "2 b"), (1, 3, "1 GENERAL\nbody"), (1, 4, "more")], "doc_id long, page_no int, text string")
+    assert sorted(r.page_no for r in st.contents_pages(pages).collect()) == [1, 2]
