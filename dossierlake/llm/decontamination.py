@@ -143,11 +143,14 @@ class _Block:
     def leaks(self, doc: np.ndarray, least: int, share: float) -> list[dict]:
         found: list[int] = []
         for size, hashes, item in self.seeds:
-            h = np.unique(windows(doc, size))
-            low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
-            many = high - low
-            if not many.any():
+            h = windows(doc, size)
+            low = np.searchsorted(hashes, h)
+            low[low == len(hashes)] = 0
+            h = np.unique(h[hashes[low] == h])
+            if not len(h):
                 continue
+            low = np.searchsorted(hashes, h)
+            many = np.searchsorted(hashes, h, "right") - low
             at = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
             places = np.bincount(item[at], minlength=len(self.items))
             # tiles cover no more words than the places of shared seeds do
