@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from ..sources.shared import shared_path
 
 EXPERIENCE = "review_experience"
 TREE = "pageindex"
@@ -185,15 +186,39 @@ def sample_rows(rules: DataFrame, n: int, seed: int = 0) -> DataFrame:
 # --- numbering ---
 
 
-def renumber(rules: DataFrame, group: str, order: str) -> DataFrame:
-    return rules.withColumn("seq_index", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
+def running(rows: DataFrame, group: str, order: str, amount: str | None = None) -> DataFrame:
+    """``rows``, which should be narrow, with __no, their place in their group from 1, and __before, the sum of ``amount``
+    over the rows before them.
+
+    Ranges of (group, order) are counted apart and moved on by what the ranges before them hold, so a group may span any
+    number of tasks. The ranges are written, as both passes must see the same ones.
+    """
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, "ranges")
+    value = F.col(amount).cast("long") if amount else F.lit(0).cast("long")
+    rows.repartitionByRange(group, order).withColumn("__p", F.spark_partition_id()).write.parquet(path)
+    kept = spark.read.schema(rows.select(*rows.columns, F.lit(0).alias("__p")).schema).parquet(path)
+    sums = kept.groupBy(F.col(group).alias("__g"), F.col("__p").alias("__q")).agg(F.count("*").alias("__n"), F.sum(value).alias("__s"))
+    earlier = Window.partitionBy("__g").orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("__g", "__q", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n"), F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__s"))
+    here = Window.partitionBy(group, "__p").orderBy(order)
+    rest = here.rowsBetween(Window.unboundedPreceding, -1)
+    placed = kept.withColumn("__no", F.row_number().over(here)).withColumn("__before", F.coalesce(F.sum(value).over(rest), F.lit(0)))
+    both = placed.join(base, placed[group].eqNullSafe(base["__g"]) & (placed["__p"] == base["__q"]))
+    return both.select(*rows.columns, (F.col("__no") + F.col("__n")).alias("__no"), (F.col("__before") + F.col("__s")).alias("__before"))
+
+
+def renumber(rules: DataFrame, group: str, order: str, key: str = "rule_id") -> DataFrame:
+    """Rules numbered from 0 within their group. Only the ids are sorted; ``key`` is unique."""
+    at = running(rules.select(*dict.fromkeys([group, order, key])), group, order).select(key, (F.col("__no") - 1).cast("int").alias("__at"))
+    kept = [F.col("__at").alias(c) if c == "seq_index" else F.col(c) for c in dict.fromkeys([*rules.columns, "seq_index"])]
+    return rules.drop("seq_index").join(at, key).select(*kept)
 
 
 def append_numbers(stored: DataFrame, new: DataFrame, group: str = "source_file", order: str = "rule_id") -> DataFrame:
-    """New rules numbered after the largest position that their source holds."""
+    """New rules numbered after the largest position that their source holds. ``order`` is unique."""
     top = stored.groupBy(group).agg(F.max("seq_index").alias("__top"))
-    at = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return new.join(top, group, "left").withColumn("seq_index", F.coalesce(F.col("__top"), F.lit(-1)) + at).drop("__top")
+    placed = renumber(new, group, order, order).join(top, group, "left")
+    return placed.withColumn("seq_index", F.coalesce(F.col("__top"), F.lit(-1)) + F.col("seq_index") + 1).select(*dict.fromkeys([*new.columns, "seq_index"]))
 
 
 # --- table writes: each returns the new state of the table ---
@@ -255,18 +280,18 @@ def windows(blocks: DataFrame, doc: str, block: str, heading: str, text: str, si
 
     A block is its heading line and its text; blocks are two characters apart. Blocks and windows whose stripped text
     has fewer than ``least`` characters are left out; windows left out still advance. Nothing longer than a window is
-    ever put together, so a document of any length works.
+    ever put together, and the places of blocks come from ``running``, so a document of any length works. The numbers of
+    a document's blocks are distinct.
     """
     size, overlap = max(1, size), max(0, min(overlap, max(1, size) - 1))
     step = max(1, size - overlap)
     t = tx.u_trim(tx.blank(F.col(text)))
     h = tx.or_default(tx.u_trim(F.col(heading)), "untitled")
-    order = Window.partitionBy(doc).orderBy(block)
-    parts = blocks.select(doc, block, h.alias("h"), t.alias("t")).where(F.length("t") >= least).withColumn("x", F.concat(F.lit("### "), F.col("h"), F.lit("\n"), F.col("t")))
-    parts = parts.withColumn("n", F.length("x")).withColumn("no", F.row_number().over(order))
-    parts = parts.withColumn("start", F.sum(F.col("n") + 2).over(order) - F.col("n") - 2).withColumn("end", F.col("start") + F.col("n"))
-    total = parts.groupBy(doc).agg(F.max("end").alias("total"), F.max("no").alias("last"))
-    parts = parts.join(total, doc).withColumn("y", F.when(F.col("no") < F.col("last"), F.concat("x", F.lit("\n\n"))).otherwise(F.col("x")))
+    parts = blocks.select(doc, F.col(block).alias("__b"), h.alias("h"), t.alias("t")).where(F.length("t") >= least).withColumn("x", F.concat(F.lit("### "), F.col("h"), F.lit("\n"), F.col("t")))
+    at = running(parts.select(doc, "__b", (F.length("x") + 2).alias("__step")), doc, "__b", "__step")
+    at = at.select(doc, "__b", F.col("__no").alias("no"), F.col("__before").alias("start"), (F.col("__before") + F.col("__step") - 2).alias("end"))
+    total = at.groupBy(doc).agg(F.max("end").alias("total"), F.max("no").alias("last"))
+    parts = parts.join(at.join(total, doc), [doc, "__b"]).withColumn("y", F.when(F.col("no") < F.col("last"), F.concat("x", F.lit("\n\n"))).otherwise(F.col("x")))
     until = F.col("start") + F.length("y")
     count = F.when(F.col("total") <= size, F.lit(1)).otherwise(1 + F.ceil((F.col("total") - size) / F.lit(step)))
     # a window w covers [w * step, w * step + size): the windows that a block touches, without a join

@@ -15,11 +15,17 @@ from ..sources.shared import shared_path
 #: Titles of front matter, contents markers and entry patterns.
 FRONT = ("preface", "front matter", "foreword", "cover", "前言", "目录", "封面", "公告")
 MARKER = r"目\s*次"
-NUMBERED = r"^(\d+(?:\s*\.\s*\d+)*)\s*(?!附录\s*[A-Za-zＡ-Ｚａ-ｚ])([一-鿿].+)$"
+NUMBERED = r"^(\d+(?:\s*\.\s*\d+)*)\s*(?!附录)([一-鿿].+)$"
 APPENDIX = r"^(?:\d+\s*)?(附录\s*[A-Za-zＡ-Ｚａ-ｚ])\s*(.+)$"
 SPECIAL = r"^(本标准用词说明|引用标准名录|附\s*[:：].+)\s*(.*)$"
 TRAILING_PAGE = r"((?:\d\s*){1,3})\s*$"
-INLINE_MARK = r"(?<![\w一-鿿])\d{1,2}(?:\s*\.\s*\d+)*(?=\s*[一-鿿])"
+ENGLISH, ENGLISH_INLINE = r"(?i)^\s*\d*\s*Contents\b", r"(?i)InContents"
+CLOSING = r"本(?:规范|标准)用词说明|引用标准名录|附\s*[:：]\s*条文说明"
+INLINE_MARK = (
+    r"(?U)(?<![\w一-鿿])(?:附录\s*[A-Za-zＡ-Ｚａ-ｚ](?=\s*[一-鿿])|[A-Za-zＡ-Ｚａ-ｚ]\s*\.\s*\d+(?=\s*[一-鿿])"
+    rf"|\d{{1,2}}(?:\s*\.\s*\d+)*(?!\s*(?:{CLOSING}))(?=\s*[一-鿿])|{CLOSING})"
+)
+GLUED_PAGE = r"([…⋯·.]\s*)(\d{1,3})(?=\d{1,2}\s*[.．]\s*\d+\s*[一-鿿])"
 
 
 def levels(nodes: DataFrame, spark: SparkSession, key: str = "node_id", parent: str = "parent_id") -> DataFrame:
@@ -136,9 +142,24 @@ def _page(body: Column) -> tuple[Column, Column]:
     return F.trim(F.regexp_replace(body, TRAILING_PAGE, "")), F.when(digits != "", digits.cast("int"))
 
 
+def before_english(lines: DataFrame, doc: str, no: str, line: str) -> DataFrame:
+    """The lines before a second, English contents: it starts with a line of its own, or inside one."""
+    order = Window.partitionBy(doc).orderBy(no)
+    own, inside = (F.row_number().over(order) > 1) & F.col(line).rlike(ENGLISH), F.col(line).rlike(ENGLISH_INLINE)
+    rows = lines.withColumn("__own", own).withColumn("__at", F.when(F.col("__own") | inside, F.col(no)))
+    rows = rows.withColumn("__cut", F.min("__at").over(Window.partitionBy(doc)))
+    kept = rows.where(F.col("__cut").isNull() | (F.col(no) < F.col("__cut")) | ((F.col(no) == F.col("__cut")) & ~F.col("__own")))
+    return kept.withColumn(line, F.get(F.split(line, ENGLISH_INLINE), F.lit(0))).select(*lines.columns)
+
+
+def _first_of_each(entries: DataFrame, doc: str, no: str) -> DataFrame:
+    order = Window.partitionBy(doc, "structure", "title").orderBy(no)
+    return entries.where(F.length("title") >= 2).withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
+
+
 def parse_lines(lines: DataFrame, doc: str = "doc_id", no: str = "line_no", line: str = "line") -> DataFrame:
     """Contents entries, one a line: (doc, no, structure, title, page); the first of repeated ones stays."""
-    rows = lines.select(doc, no, tx.u_trim(F.col(line)).alias("t")).where(F.length("t") >= 3)
+    rows = before_english(lines, doc, no, line).select(doc, no, tx.u_trim(F.col(line)).alias("t")).where(F.length("t") >= 3)
 
     def entries(pattern: str, title, keep: bool = True) -> DataFrame:
         rest, page = _page(tx.without_leaders(F.regexp_extract("t", pattern, 2)))
@@ -149,54 +170,90 @@ def parse_lines(lines: DataFrame, doc: str = "doc_id", no: str = "line_no", line
     one = entries(NUMBERED, lambda first, rest: tx.without_leaders(rest))
     two = entries(APPENDIX, lambda first, rest: F.trim(F.concat(F.regexp_replace(first, r"\s+", ""), F.lit(" "), tx.without_leaders(rest))))
     three = entries(SPECIAL, lambda first, rest: F.trim(F.concat(tx.without_leaders(first), F.lit(" "), rest)), False).where(~F.col("t").rlike(NUMBERED) & ~F.col("t").rlike(APPENDIX))
-    out = one.unionByName(two).unionByName(three).drop("t").where(F.length("title") >= 2)
-    order = Window.partitionBy(doc, "structure", "title").orderBy(no)
-    return out.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
+    return _first_of_each(one.unionByName(two).unionByName(three).drop("t"), doc, no)
 
 
 def parse_inline(contents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Contents entries of texts that hold many in one line: markers and the bodies between them, zipped by position."""
-    flat = tx.u_trim(F.regexp_replace(F.regexp_replace(tx.blank(F.col(text)), r"#+", " "), r"(?U)\s+", " "))
+    """Contents entries of texts that hold many in one line: markers and the bodies between them, zipped by position. A page
+    number that runs into the next marker is cut off it; markers are numbers, appendices, letters or closing titles."""
+    flat = F.get(F.split(tx.blank(F.col(text)), r"(?i)\n\s*\d*\s*Contents\b|InContents|\sContents\s"), F.lit(0))
+    flat = F.regexp_replace(F.regexp_replace(flat, "#+", " "), r"(?U)\s+", " ")
+    flat = F.regexp_replace(F.trim(F.regexp_replace(flat, GLUED_PAGE, "$1$2 ")), rf"^.*?{MARKER}", "")
     marks = F.regexp_extract_all(flat, F.lit(INLINE_MARK), 0)
     bodies = F.slice(F.split(flat, INLINE_MARK), 2, 1 << 30)
     rows = contents.select(doc, F.posexplode(F.arrays_zip(marks.alias("m"), bodies.alias("b"))).alias("no", "z"))
-    rest, page = _page(tx.without_leaders(F.col("z.b")))
-    out = rows.select(doc, "no", F.regexp_replace("z.m", r"\s+", "").alias("structure"), tx.without_leaders(rest).alias("title"), page.alias("page")).where(F.length("title") >= 2)
-    order = Window.partitionBy(doc, "structure", "title").orderBy("no")
-    return out.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
+    body = tx.without_leaders(F.col("z.b"))
+    rest, page = _page(body)
+    mark, name = F.replace(F.regexp_replace("z.m", r"(?U)\s+", ""), F.lit("．"), F.lit(".")), tx.without_leaders(rest)
+    closing = mark.rlike(f"^(?:{CLOSING})$")
+    titled = F.when(closing, F.trim(F.concat(F.regexp_replace(mark, "附[:：]", "附 "), F.lit(" "), name))).when(F.startswith(mark, F.lit("附录")), F.trim(F.concat(mark, F.lit(" "), name))).otherwise(name)
+    return _first_of_each(rows.where(body != "").select(doc, "no", F.when(~closing, mark).alias("structure"), titled.alias("title"), page.alias("page")), doc, "no")
+
+
+#: The shapes of wrapped contents lines.
+W_SKIP = re.compile(r"目|次|目次|[\s·•…⋯.。:：,，、\-—一]+")
+W_PAGE = re.compile(r"\d{1,3}")
+W_HEADER = re.compile(r"\d+(?:\s*\.\s*\d+)*\s+[一-鿿]")
+W_STOP = ("附录", "本标准用词说明", "引用标准名录")
+W_SUB, W_SUB_TITLED = re.compile(r"[.．]\s*\d+\s*"), re.compile(r"[.．]\s*\d+\s+[一-鿿]")
+W_NUMBERED = re.compile(r"(\d+(?:\s*\.\s*\d+)*)\s+((?!附录)[一-鿿].+)")
+W_APPENDIX, W_APPENDIX_ALONE = re.compile(r"(?:\d+\s*)?(附录\s*[A-Za-zＡ-Ｚａ-ｚ])\s*(.+)"), re.compile(r"附录\s*[A-Za-zＡ-Ｚａ-ｚ]")
+W_SPECIAL = re.compile(r"本标准用词说明|引用标准名录|附\s*[:：].+")
+
+
+def _bare(t: str) -> str:
+    return re.sub(r"\s+", " ", re.sub(r"[·•…⋯.。:：]+", " ", t)).strip(" ,，、一-—")
+
+
+def _wrapped_head(texts: Sequence[str], i: int) -> tuple[tuple[str | None, str] | None, int]:
+    """The entry that starts at a line, if any, and the first line after its title."""
+    t, *more = texts[i : i + 3]
+    after = i + 1
+    if W_PAGE.fullmatch(t) and more:
+        if W_SUB_TITLED.match(more[0]):
+            t, after = t + more[0], i + 2
+        elif W_SUB.fullmatch(more[0]) and len(more) > 1 and "一" <= more[1][0] <= "鿿":
+            t, after = f"{t}{more[0]} {more[1]}", i + 3
+        else:
+            return None, after
+    elif W_APPENDIX_ALONE.fullmatch(t) and more:
+        t, after = f"{t} {more[0]}", i + 2
+    entry = None
+    if m := W_NUMBERED.fullmatch(t):
+        entry = re.sub(r"\s+", "", m[1]), _bare(m[2])
+    elif m := W_APPENDIX.fullmatch(t):
+        name = re.sub(r"\s+", "", m[1])
+        entry = name, f"{name} {_bare(m[2])}".strip()
+    elif W_SPECIAL.fullmatch(t):
+        entry = None, _bare(t)
+    return (entry if entry and len(entry[1]) >= 2 else None), after
 
 
 def parse_wrapped(lines: DataFrame, doc: str = "doc_id", no: str = "line_no", line: str = "line", ahead: int = 5) -> DataFrame:
-    """Contents entries whose title, leaders and page stand on lines of their own. The cursor moves over what it has used, so
-    this runs by document, over its few contents pages."""
-    leader, number, header = re.compile(r"[\s·•…⋯.。:：,，、\-—一]+"), re.compile(r"\d{1,3}"), re.compile(r"^(\d+(?:\s*\.\s*\d+)*)\s+([一-鿿].*)$")
+    """Contents entries whose number, title, leaders and page may stand on lines of their own. The cursor moves over what it
+    has used, so this runs by document, over its few contents pages."""
 
     def parse(part: pd.DataFrame) -> pd.DataFrame:
         rows = [(n, t.strip()) for n, t in part.sort_values(no)[[no, line]].itertuples(index=False) if t and t.strip()]
-        out, i, seen = [], 0, set()
-        while i < len(rows):
-            n, t = rows[i]
-            i += 1
-            m = header.match(t)
-            if not m:
+        rows = [(n, t) for n, t in rows if not W_SKIP.fullmatch(t)]
+        texts, out, i = [t for _, t in rows], {}, 0
+        while i < len(texts):
+            at, (entry, i) = i, _wrapped_head(texts, i)
+            if entry is None:
                 continue
             page = None
-            for j in range(i, min(len(rows), i + ahead)):
-                if number.fullmatch(rows[j][1]):
-                    page, i = int(rows[j][1]), j + 1
+            for j, t in enumerate(texts[i : i + ahead], i):
+                if W_PAGE.fullmatch(t):
+                    page, i = int(t), j + 1
                     break
-                if header.match(rows[j][1]):
+                if W_HEADER.match(t) or t.startswith(W_STOP):
                     break
-                if not leader.fullmatch(rows[j][1]):
-                    continue
-            key = re.sub(r"\s+", "", m[1]), re.sub(r"[·•…⋯.。:：]+", " ", m[2]).strip()
-            if len(key[1]) >= 2 and key not in seen:
-                seen.add(key)
-                out.append((part[doc].iloc[0], n, key[0], key[1], page))
-        return pd.DataFrame(out, columns=[doc, no, "structure", "title", "page"]).astype({"page": "Int64"})
+            out.setdefault(entry, (part[doc].iloc[0], rows[at][0], *entry, page))
+        return pd.DataFrame(list(out.values()), columns=[doc, no, "structure", "title", "page"]).astype({"page": "Int64"})
 
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema.fields}
-    return lines.groupBy(doc).applyInPandas(parse, f"{doc} {kinds[doc]}, {no} {kinds[no]}, structure string, title string, page int")
+    kept = before_english(lines, doc, no, line)
+    return kept.groupBy(doc).applyInPandas(parse, f"{doc} {kinds[doc]}, {no} {kinds[no]}, structure string, title string, page int")
 
 
 def best_mode(modes: Sequence[DataFrame], doc: str = "doc_id") -> DataFrame:

@@ -18,9 +18,14 @@ ANCESTRY = """CASE WHEN wbs_code IN ('', 'GEN') THEN ['GEN'] ELSE list_append(li
 TOKENS = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
 
 
+def placed(spark, d):
+    """The rules, numbered within their source by ranges instead of one window over each source."""
+    return rl.renumber(view(spark, d, "v_rules"), "source_file", "rule_id")
+
+
 @query("s1_rule_scan", ctes("v_rules") + "SELECT rule_id, source_file, seq_index, status FROM v_rules WHERE status = 'active'")
 def s1(spark, d):
-    return rl.scan(view(spark, d, "v_rules")).select("rule_id", "source_file", "seq_index", "status")
+    return rl.scan(placed(spark, d)).select("rule_id", "source_file", "seq_index", "status")
 
 
 @query("s2_rule_lookup", ctes("v_rules") + "SELECT rule_id, wbs_code, level FROM v_rules WHERE rule_id IN (SELECT item_id * 3 FROM benchmark)")
@@ -31,12 +36,12 @@ def s2(spark, d):
 
 @query("s11_vector_payload", ctes("v_rules") + f"SELECT rule_id, md5({DISPLAY}) AS document, level, md5(left(content, 2000)) AS full_text, left(condensed_content, 500) AS condensed_content FROM v_rules WHERE trim(content) <> ''")
 def s11(spark, d):
-    return rl.payload(view(spark, d, "v_rules")).select("rule_id", F.md5("document").alias("document"), "level", F.md5("full_text").alias("full_text"), "condensed_content")
+    return rl.payload(placed(spark, d)).select("rule_id", F.md5("document").alias("document"), "level", F.md5("full_text").alias("full_text"), "condensed_content")
 
 
 @query("p1_rule_metadata", ctes("v_rules") + "SELECT rule_id, source_file, category, wbs_code, lifecycle_phase, status, index_source, level, seq_index, publish_date, is_washed, left(condensed_content, 500) AS condensed_content, md5(left(content, 2000)) AS full_text FROM v_rules")
 def p1(spark, d):
-    return rl.metadata(view(spark, d, "v_rules")).withColumn("full_text", F.md5("full_text"))
+    return rl.metadata(placed(spark, d)).withColumn("full_text", F.md5("full_text"))
 
 
 @query("p2_safe_int", "SELECT page_id, coalesce(try_cast(regexp_extract(url, '[0-9]+') AS INT), -1) AS n FROM pages")
@@ -66,12 +71,12 @@ def p6(spark, d):
 
 @query("p7_stable_ids", ctes("v_rules") + "SELECT rule_id, concat('R_', upper(left(sha256(concat(source_file, chr(10), CASE WHEN seq_index = 0 THEN '' ELSE CAST(seq_index AS VARCHAR) END)), 12))) AS hash_id FROM v_rules")
 def p7(spark, d):
-    return view(spark, d, "v_rules").select("rule_id", tx.hash_id("R", F.col("source_file"), F.col("seq_index")).alias("hash_id"))
+    return placed(spark, d).select("rule_id", tx.hash_id("R", F.col("source_file"), F.col("seq_index")).alias("hash_id"))
 
 
 @query("p7_uuid5_ids")
 def p7u(spark, d):
-    return view(spark, d, "v_rules").select("rule_id", tx.uuid5_prefix(F.concat_ws("#", "source_file", "seq_index")).alias("uid"))
+    return placed(spark, d).select("rule_id", tx.uuid5_prefix(F.concat_ws("#", "source_file", "seq_index")).alias("uid"))
 
 
 @query("p8_fallback_summary")
@@ -147,7 +152,7 @@ SELECT a.rule_id, right(b.t, 200) AS prev_text, left(c.t, 200) AS next_text FROM
 LEFT JOIN live b ON b.source_file = a.source_file AND b.seq_index = a.seq_index - 1
 LEFT JOIN live c ON c.source_file = a.source_file AND c.seq_index = a.seq_index + 1""")
 def j1(spark, d):
-    return rl.neighbours(view(spark, d, "v_rules"))
+    return rl.neighbours(placed(spark, d))
 
 
 @query("j2_code_matches", ctes("v_rules", "v_queries") + f"SELECT DISTINCT q.query_id, r.rule_id FROM (SELECT query_id, unnest({ANCESTRY}) AS code FROM v_queries) q JOIN v_rules r ON r.wbs_code = q.code")
@@ -279,7 +284,7 @@ def w1(spark, d):
 
 @query("w2_append_numbers", ctes("v_rules") + "SELECT n.rule_id, CAST(coalesce(t.m, -1) + row_number() OVER (PARTITION BY n.source_file ORDER BY n.rule_id) AS INT) AS seq_index FROM (SELECT * FROM v_rules WHERE rule_id % 2 = 0) n LEFT JOIN (SELECT source_file, max(seq_index) AS m FROM v_rules WHERE rule_id % 2 = 1 GROUP BY 1) t ON t.source_file = n.source_file")
 def w2(spark, d):
-    rules = view(spark, d, "v_rules")
+    rules = placed(spark, d)
     return rl.append_numbers(rules.where("rule_id % 2 = 1"), rules.where("rule_id % 2 = 0")).select("rule_id", "seq_index")
 
 
@@ -386,7 +391,7 @@ def t8(spark, d):
     docs = view(spark, d, "documents").withColumn("block", F.lit(0))
     chunks = rl.windows(docs, "doc_id", "block", "source", "text")
     made = chunks.select(tx.hash_id("K", F.col("doc_id"), F.col("window_no")).alias("rule_id"), F.col("heading").alias("source_file"), lx.weighted(tx.compact(F.concat_ws("\n", "heading", "text")), LEX)["code"].alias("wbs_code"), F.col("window_no"))
-    return rl.append_numbers(view(spark, d, "v_rules"), made).select("rule_id", "source_file", "wbs_code", "seq_index")
+    return rl.append_numbers(placed(spark, d), made).select("rule_id", "source_file", "wbs_code", "seq_index")
 
 
 # --- retrieval ---
@@ -464,7 +469,7 @@ CONTEXT = f"""CASE WHEN index_source = 'pageindex' THEN concat('[node]', chr(10)
 
 @query("r5_expand_context", ctes("v_retrieval", "v_rules", more=NEAR) + f"SELECT query_id, engine, h.rule_id, md5({CONTEXT}) AS context FROM v_retrieval h JOIN v_rules r ON r.rule_id = h.rule_id LEFT JOIN near ON near.rule_id = h.rule_id")
 def r5(spark, d):
-    return rt.expand(retrieved(spark, d).drop("rank"), view(spark, d, "v_rules")).withColumn("context", F.md5("context"))
+    return rt.expand(retrieved(spark, d).drop("rank"), placed(spark, d)).withColumn("context", F.md5("context"))
 
 
 RERANK = f"""words AS (SELECT query_id, list_filter(list_distinct({TOKENS.format(c="query")}), lambda t: length(t) >= 2 AND NOT list_contains({sql_list(STOP)}, t)) AS w FROM v_queries),
@@ -475,7 +480,7 @@ pos AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC
 
 @query("r6_lexical_rerank", ctes("v_retrieval", "v_rules", more=f"{FUSED}, picked AS (SELECT * FROM cut WHERE rank <= 10), {NEAR}, {RERANK}") + "SELECT query_id, rule_id, CAST(overlap AS INT) AS overlap, position FROM pos")
 def r6(spark, d):
-    rules, queries = view(spark, d, "v_rules"), view(spark, d, "v_queries")
+    rules, queries = placed(spark, d), view(spark, d, "v_queries")
     merged = rt.fuse(retrieved(spark, d)).join(rules.select("rule_id", "level", "publish_date"), "rule_id")
     cut = rt.top(merged, 10, rt.resolution_order()).select("query_id", "rule_id", "rank")
     return rt.rerank(rt.expand(cut, rules), queries, stop=STOP).select("query_id", "rule_id", "overlap", "position")
@@ -494,7 +499,7 @@ picked AS (SELECT query_id, rule_id, row_number() OVER (PARTITION BY query_id OR
 @query("r7_retrieve_batch", ctes("v_rules", "v_queries", more=RETRIEVE) + "SELECT q.query_id, md5(CASE WHEN trim(query) = '' THEN 'empty query' ELSE coalesce(a, 'nothing found') END) AS answer FROM v_queries q LEFT JOIN (SELECT query_id, string_agg(context, chr(10) ORDER BY position) AS a FROM pos WHERE position <= 2 GROUP BY 1) USING (query_id)")
 def r7(spark, d):
     queries = view(spark, d, "v_queries")
-    found = rt.retrieve(queries, view(spark, d, "v_rules"), stop=STOP)
+    found = rt.retrieve(queries, placed(spark, d), stop=STOP)
     return rt.answers(queries, found).withColumn("answer", F.md5("answer"))
 
 
@@ -504,4 +509,4 @@ HYBRID = RETRIEVE.replace("fusedl AS (SELECT query_id, rule_id, 1.0 / (60 + rank
 @query("r7_retrieve_hybrid", ctes("v_retrieval", "v_rules", "v_queries", more=HYBRID) + "SELECT query_id, position, rule_id, CAST(overlap AS INT) AS overlap FROM pos WHERE position <= 2")
 def r7h(spark, d):
     queries, dense = view(spark, d, "v_queries"), retrieved(spark, d).where("engine = 'dense'")
-    return rt.retrieve(queries, view(spark, d, "v_rules"), dense=dense, stop=STOP).select("query_id", "position", "rule_id", "overlap")
+    return rt.retrieve(queries, placed(spark, d), dense=dense, stop=STOP).select("query_id", "position", "rule_id", "overlap")

@@ -735,7 +735,7 @@ _LEAD = "regexp_replace(regexp_replace(regexp_replace({c}, '[·•…⋯.。:：
 _ENTRY = r"^(\d+(?:\s*\.\s*\d+)*)\s*([一-鿿].+)$"
 _APPENDIX = r"^(?:\d+\s*)?(附录\s*[A-Za-zＡ-Ｚａ-ｚ])\s*(.+)$"
 _SPECIAL = r"^(本标准用词说明|引用标准名录|附\s*[:：].+)\s*(.*)$"
-_IS_APPENDIX = r"regexp_matches(t, '^\d+(?:\s*\.\s*\d+)*\s*附录\s*[A-Za-zＡ-Ｚａ-ｚ]')"
+_IS_APPENDIX = r"regexp_matches(t, '^\d+(?:\s*\.\s*\d+)*\s*附录')"
 
 
 def _parts(kind: str, pattern: str, where: str) -> str:

@@ -297,3 +297,35 @@ def test_contents_lines_with_appendices(spark):
 def test_contents_stop_ignores_case(spark):
     pages = spark.createDataFrame([(1, 1, "目 次\n1 a"), (1, 2, "2 b"), (1, 3, "1 GENERAL\nbody"), (1, 4, "more")], "doc_id long, page_no int, text string")
     assert sorted(r.page_no for r in st.contents_pages(pages).collect()) == [1, 2]
+
+
+def test_positions_span_ranges(spark):
+    rows = spark.createDataFrame([("a" if i % 3 else None, i, i % 5) for i in range(500)], "g string, i long, n int").repartition(7)
+    got = {(r.g, r.i): (r["__no"], r["__before"]) for r in rl.running(rows, "g", "i", "n").collect()}
+    want, seen = {}, {}
+    for i in range(500):
+        g = "a" if i % 3 else None
+        no, total = seen.get(g, (0, 0))
+        want[g, i] = no + 1, total
+        seen[g] = no + 1, total + i % 5
+    assert got == want
+    assert rl.running(rows.limit(0), "g", "i").count() == 0
+
+
+def test_contents_in_other_shapes(spark):
+    def wrapped(*lines):
+        df = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "doc_id int, line_no int, line string")
+        return [(r.structure, r.title, r.page) for r in st.parse_wrapped(df).orderBy("line_no").collect()]
+
+    assert wrapped("目", "次", "附录A", "材料", "……", "30", "本标准用词说明", "41") == [("附录A", "附录A 材料", 30), (None, "本标准用词说明", 41)]
+    assert wrapped("2", ".1 基本规定", "7", "3", ".2", "防水层", "9") == [("2.1", "基本规定", 7), ("3.2", "防水层", 9)]
+    assert wrapped("1 总则", "附录B 表格", "12", "1 总则", "3", "\nContents", "9 末尾", "44") == [("1", "总则", None), ("附录B", "附录B 表格", 12)]
+    assert wrapped("1 附录说明", "5") == []
+
+    def inline(text):
+        return [(r.structure, r.title, r.page) for r in st.parse_inline(spark.createDataFrame([(1, text)], "doc_id int, text string")).orderBy("no").collect()]
+
+    assert inline("目次 6.3 基坑 …… 406.4 沉井 …… 42 附录A 材料 … 50 A.1 一般规定 … 51 本标准用词说明 … 60 附：条文说明 引 … 61") == [("6.3", "基坑", 40), ("6.4", "沉井", None), ("附录A", "附录A 材料", 50), ("A.1", "一般规定", 51), (None, "本标准用词说明", 60), (None, "附 条文说明 引", 61)]
+    assert inline("1 总则 … 1 Contents 2 术语 … 2") == [("1", "总则", 1)] and inline("") == [] and inline(None) == []
+    lines = spark.createDataFrame([(1, 0, "Contents"), (1, 1, "1 总则 … 3"), (1, 2, "2 术语 … 4InContents 5 其他"), (1, 3, "3 后面 … 9")], "doc_id int, line_no int, line string")
+    assert [(r.structure, r.page) for r in st.parse_lines(lines).orderBy("line_no").collect()] == [("1", 3), ("2", 4)]
