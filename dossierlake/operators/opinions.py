@@ -1,6 +1,6 @@
 """Opinion mining: split free text into items, classify them, match them to sources, judge their alignment with evidence.
 
-Everything but the fuzzy ratio is a column expression over the opinion row; lexicons and checkpoints are parameters.
+Everything but the fuzzy ratio is a column expression or a join; lexicons, checkpoints and guides are parameters.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
@@ -190,30 +191,56 @@ def with_evidence(opinions: DataFrame, lines: DataFrame, texts: DataFrame, key:
     return rows.withColumn("evidence", F.when(F.size("snippets") > 0, F.array_join("snippets", " ")).otherwise(tx.blank(F.col("__whole")))).drop("__whole")
 
 
-def grams(c: Column, n: int = 3) -> Column:
-    size = F.length(c)
-    return F.when(size <= n, F.array(c)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - n + 1)), lambda i: F.substring(c, i, F.lit(n)))))
+def snippets(found: DataFrame, source: str, words: str = "keywords", size: int = 600, names: int = 6) -> DataFrame:
+    """What ``evidence`` found with source_file, location, the first keywords that matched, the text around them and the score."""
+    matched = F.slice(tx.hits(F.col("line"), F.col(words)), 1, names)
+    text = tx.snippet(F.col("line"), F.col(words), size)
+    return found.select("*", F.col(source).cast("string").alias("source_file"), F.concat(F.lit("line "), F.col("line_no") + 1).alias("location"), matched.alias("matched_keywords"), text.alias("text"), F.col("hits").alias("match_score"))
 
 
-def blocked_pairs(left: DataFrame, right: DataFrame, shared: int = 1, n: int = 3) -> DataFrame:
-    """Pairs of distinct names (a, b) that share at least ``shared`` character n-grams: an equi-join, no cross product."""
-    a = left.select("a").distinct().select("a", F.explode(grams(F.col("a"), n)).alias("g"))
-    b = right.select("b").distinct().select("b", F.explode(grams(F.col("b"), n)).alias("g"))
-    return a.join(b, "g").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= shared).select("a", "b")
+def candidates(left: DataFrame, right: DataFrame, share: float = 0.45) -> DataFrame:
+    """Pairs of distinct names (a, b) with ``shared``, the number of characters they have in common as multisets, where that is
+    at least ``share`` of the longer name. No such pair is lost.
 
+    Each occurrence of a character is a token of its own. Names with ``t`` tokens in common meet in their rarest ``n - t + 1``,
+    so only those are joined.
+    """
+
+    def tokens(df: DataFrame, name: str) -> DataFrame:
+        chars = F.filter(F.split(F.col(name), ""), lambda x: x != "")
+        numbered = F.transform(chars, lambda x, k: F.concat(x, F.size(F.filter(F.slice(chars, 1, k + 1), lambda y: y == x)).cast("string")))
+        return df.select(name).where(F.length(name) > 0).distinct().select(name, numbered.alias(f"t{name}"))
+
+    a, b = tokens(left, "a"), tokens(right, "b")
+    every = a.select(F.explode("ta").alias("g")).unionByName(b.select(F.explode("tb").alias("g")))
+    rare = every.groupBy("g").agg(F.count("*").alias("f"))
+
+    def rarest(df: DataFrame, name: str) -> DataFrame:
+        size = F.size(f"t{name}")
+        rows = df.select(name, (size - F.ceil(share * size) + 1).alias("p"), F.explode(f"t{name}").alias("g")).join(rare, "g")
+        place = F.row_number().over(Window.partitionBy(name).orderBy("f", "g"))
+        return rows.withColumn("k", place).where("k <= p").select(name, "g")
+
+    met = rarest(a, "a").join(rarest(b, "b"), "g").select("a", "b").distinct()
+    rows = met.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
+    return rows.where(F.col("shared") >= share * F.greatest(F.size("ta"), F.size("tb"))).select("a", "b", "shared")
 
-def fuzzy(pairs: DataFrame, cutoff: float = 0.45) -> DataFrame:
-    """Best candidate of each name by Ratcliff-Obershelp ratio (ties to the smaller name), with its quality label."""
+
+def fuzzy(left: DataFrame, right: DataFrame, cutoff: float = 0.45) -> DataFrame:
+    """The best name b of each a by Ratcliff-Obershelp ratio (ties to the smaller name), with its quality label. Only pairs
+    whose common characters allow the cutoff are compared."""
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
-    return _best(pairs.withColumn("score", ratio("a", "b")), cutoff)
+    pairs = candidates(left, right, cutoff / 2).where(2 * F.col("shared") >= cutoff * (F.length("a") + F.length("b")))
+    return _best(pairs.drop("shared").withColumn("score", ratio("a", "b")), cutoff)
 
 
-def fuzzy_edit(pairs: DataFrame, cutoff: float = 0.45) -> DataFrame:
+def fuzzy_edit(left: DataFrame, right: DataFrame, cutoff: float = 0.45) -> DataFrame:
     """As ``fuzzy``, by edit distance: one minus the distance over the longer length."""
+    pairs = candidates(left, right, cutoff).drop("shared")
     return _best(pairs.withColumn("score", 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))), cutoff)
 
 
@@ -224,9 +251,180 @@ def _best(scored: DataFrame, cutoff: float, middle: float = 0.68) -> DataFrame:
     return best.withColumn("quality", label)
 
 
+def match_sources(names: DataFrame, files: DataFrame, mapping: DataFrame, cutoff: float = 0.45) -> DataFrame:
+    """(project_name, matched_file, match_type, quality, score, file_type) of distinct names: the file that ``mapping``
+    (project_name, path) names, else the closest of ``files`` (name) by its stem."""
+    every = names.select("project_name").where(tx.blank(F.col("project_name")) != "").distinct()
+    known = every.join(mapping.select("project_name", F.col("path").alias("matched_file")), "project_name")
+    stems = files.select("name", F.regexp_replace("name", r"\.[^.]*$", "").alias("b"))
+    lost = every.join(known, "project_name", "left_anti").select(F.col("project_name").alias("a"))
+    near = fuzzy_edit(lost, stems.select("b"), cutoff).join(stems.groupBy("b").agg(F.min("name").alias("matched_file")), "b")
+    rows = known.select("*", F.lit("mapping").alias("match_type"), F.lit("mapped").alias("quality"), F.lit(1.0).alias("score"))
+    rows = rows.unionByName(near.select(F.col("a").alias("project_name"), "matched_file", F.lit("fuzzy").alias("match_type"), "quality", "score"))
+    return rows.withColumn("file_type", F.lower(F.regexp_extract("matched_file", r"\.([^.]*)$", 1)))
+
+
+# --- attribution ---
+
+
+@dataclass(frozen=True)
+class Profile:
+    """What an attribution stands for: the question behind it, why it matters, how it carries over, what to ask for."""
+
+    label: str
+    question: str = ""
+    cause: str = ""
+    principle: str = ""
+    checks: tuple[str, ...] = ()
+    artifacts: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Case:
+    """A text for opinions with one of ``words``, of a pattern, or of a dimension, where they are given."""
+
+    text: str
+    words: tuple[str, ...] = ()
+    pattern: str = ""
+    dimension: str = ""
+
+
+@dataclass(frozen=True)
+class Guide:
+    """The tables by which opinions are attributed and cards are written. ``fixes``, ``backgrounds`` and ``reasons`` hold
+    templates with {category} and {opinion}; the last template of each pair is the default."""
+
+    patterns: Sequence[lx.Entry]
+    attributions: Sequence[lx.Entry]
+    labels: dict[str, str]
+    profiles: dict[str, Profile]
+    intents: dict[str, Sequence[str]]
+    usual: tuple[dict[str, str], str]
+    risks: tuple[Sequence[Case], str]
+    fixes: tuple[dict[str, str], str]
+    asks: tuple[dict[str, Sequence[str]], Sequence[str]]
+    backgrounds: tuple[dict[str, str], str]
+    reasons: tuple[dict[str, str], str]
+    extensions: Sequence[lx.Entry] = ()
+    no_label: str = "judgement"
+    no_category: str = "OTHER"
+
+
+def by_case(cases: Sequence[Case], default: str, text: Column, pattern: Column, dimension: Column) -> Column:
+    """The text of the first case that holds."""
+    out = F.lit(default)
+    for c in reversed(cases):
+        holds = F.exists(tx.strings(c.words), lambda w: F.contains(text, w)) if c.words else F.lit(True)
+        if c.pattern:
+            holds = holds & (pattern == c.pattern)
+        if c.dimension:
+            holds = holds & (dimension == c.dimension)
+        out = F.when(holds, c.text).otherwise(out)
+    return out
+
+
+def search_query(words: Column, category: Column, dimension: Column, guide: Guide, limit: int = 5) -> Column:
+    """Words of a search of the standards: the first triggers, the category unless it is the default, the dimension's words."""
+    table, rest = guide.asks
+    extra = tx.strings(rest)
+    for name, more in table.items():
+        extra = F.when(dimension == name, tx.strings(more)).otherwise(extra)
+    own = F.when(category != guide.no_category, F.array(category)).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.array_distinct(F.concat(F.slice(words, 1, limit), own, extra)), " ")
+
+
+def evidence_reference(c: Column, category: Column, kind: Column, refs: Sequence[lx.Entry], rule: str, logic: str, own: str, default: str) -> Column:
+    """For rules the first reference with a keyword in opinion or category; the text itself for logic; else the default."""
+    return F.when(kind == logic, own).when(kind == rule, lx.first_hit(F.concat_ws(" ", c, category), refs, default)).otherwise(default)
+
+
+def attribute(rows: DataFrame, guide: Guide) -> DataFrame:
+    """Opinions (opinion, work_category, dimension, keywords) with their fifteen attribution columns."""
+    c, category, dimension = F.col("opinion"), F.col("work_category"), F.col("dimension")
+    struct = lambda p: F.struct(*[F.lit(v).alias(n) for n, v in (("label", p.label), ("question", p.question), ("cause", p.cause), ("principle", p.principle))], tx.strings(p.checks).alias("checks"), tx.strings(p.artifacts).alias("artifacts"))
+    profile = F.create_map(*[x for k, p in guide.profiles.items() for x in (F.lit(k), struct(p))])
+    out = rows.withColumn("__p", lx.labels(c, guide.patterns, guide.no_label)).withColumn("__a", lx.labels(c, guide.attributions, guide.no_label))
+    first, more = lambda n: F.get(n, F.lit(0)), lambda n: F.slice(n, 2, 3)
+    out = out.withColumn("__f", F.coalesce(profile[first("__a")], struct(Profile(guide.no_label))))
+    pattern = first("__p")
+    return out.select(
+        *rows.columns,
+        pattern.alias("problem_pattern"),
+        template(pattern, guide.labels, guide.no_label).alias("problem_pattern_label"),
+        more("__p").alias("secondary_patterns"),
+        first("__a").alias("professional_attribution"),
+        F.col("__f.label").alias("professional_attribution_label"),
+        more("__a").alias("secondary_professional_attributions"),
+        F.col("__f.question").alias("engineer_question"),
+        lx.implied(F.col("__p"), guide.intents, template(dimension, *guide.usual)).alias("review_intents"),
+        F.col("__f.cause").alias("root_cause"),
+        by_case(*guide.risks, F.concat_ws(" ", c, category), pattern, dimension).alias("risk_if_ignored"),
+        F.col("__f.principle").alias("generalization_rule"),
+        F.col("__f.checks").alias("review_questions"),
+        F.col("__f.artifacts").alias("required_artifacts"),
+        template(pattern, *guide.fixes, category=category).alias("fix_template"),
+        search_query(F.col("keywords"), category, dimension, guide).alias("standard_query"),
+    )
+
+
+def gap(alignment: Column, evidence: Column, covered: Column, partial: Column, absent: Column) -> Column:
+    """What the source lacks, in words, for rows that ``assess`` judged."""
+    part = lambda head, names: F.when(F.size(names) > 0, F.concat(F.lit(head), F.array_join(names, ", ")))
+    return (
+        F.when(alignment == "no_action", "agreed or praised: no finding")
+        .when((alignment == "undecided") & (tx.blank(evidence) == ""), "no passage of the source to compare with")
+        .when(alignment == "undecided", "no point to compare")
+        .when(alignment == "resolved", "the source covers every point")
+        .otherwise(F.concat_ws("; ", part("covered: ", covered), part("vague: ", partial), part("missing: ", absent)))
+    )
+
+
 # --- experience cards ---
 
 
+def full_cards(rows: DataFrame, guide: Guide) -> DataFrame:
+    """The 43 fields of a card. ``rows``: opinions that ``classify``, ``attribute`` and ``assess`` have seen, with engineer,
+    project_type, file_type, matched_file, scheme_related, scheme_evidence, evidence_type and evidence_ref."""
+    c, category, dimension = F.col("opinion"), F.col("work_category"), F.col("dimension")
+    text = gap(F.col("alignment"), F.col("evidence"), F.col("covered"), F.col("partial"), F.col("absent"))
+    asked = F.when(F.col("alignment") == "no_action", "no finding: nothing to check").otherwise(F.concat(F.lit("the expert asks: "), F.col("engineer_question")))
+    points = [F.col(a).alias(b) for a, b in (("covered", "covered_points"), ("partial", "partial_points"), ("absent", "missing_points"), ("assessments", "checkpoint_assessments"))]
+    chain = F.struct(c.alias("source_opinion"), F.slice("scheme_evidence", 1, 3).alias("scheme_evidence"), *points, F.col("alignment").alias("alignment_status"), text.alias("scheme_gap"), asked.alias("expert_intent"), F.col("generalization_rule").alias("transfer_principle"))
+    same = lambda *names: [F.col(n) for n in names]
+    return rows.select(
+        tx.hash_id("EXP", F.col("project_name"), F.col("row_index"), F.col("item_index"), c).alias("id"),
+        F.col("project_name").alias("source_project"), F.col("engineer").alias("source_engineer"), F.col("row_index").alias("source_row"), F.col("item_index").alias("source_item"), c.alias("source_opinion"),
+        *same("project_type", "file_type", "matched_file", "work_category", "dimension"),
+        template(dimension, *guide.backgrounds, category=category).alias("background"),
+        template(dimension, *guide.reasons, opinion=tx.clean(c)).alias("reason"),
+        *same("problem_pattern", "problem_pattern_label", "secondary_patterns", "professional_attribution", "professional_attribution_label", "secondary_professional_attributions"),
+        *same("engineer_question", "review_intents", "root_cause", "risk_if_ignored", "generalization_rule", "review_questions", "required_artifacts", "fix_template", "standard_query", "scheme_evidence"),
+        F.col("alignment").alias("alignment_status"), *points, text.alias("scheme_gap"), asked.alias("expert_intent"), chain.alias("evidence_chain"),
+        *same("evidence_type", "evidence_ref"),
+        extensions(F.concat_ws(" ", "project_name", c), guide.extensions, category).alias("extension_rules"),
+        F.col("keywords").alias("trigger_keywords"),
+        F.when(F.col("scheme_related") & (F.size("keywords") > 0), SURE).otherwise("medium").alias("confidence"),
+        F.current_timestamp().alias("created_at"),
+    )
+
+
+#: The fields of a card that its rule's text holds, in this order.
+RULE_TEXT = "work_category dimension trigger_keywords source_opinion background reason problem_pattern_label professional_attribution_label engineer_question review_intents root_cause risk_if_ignored generalization_rule alignment_status covered_points partial_points missing_points scheme_gap expert_intent review_questions required_artifacts fix_template extension_rules evidence_type evidence_ref".split()
+SHORT_TEXT = "work_category dimension professional_attribution_label alignment_status source_opinion scheme_gap generalization_rule".split()
+
+
+def full_card_rules(cards_: DataFrame, size: int = 700) -> DataFrame:
+    """Corpus rules of full cards: a text of all they say, its condensed form, tags, position and the card as JSON."""
+    kinds = dict(cards_.dtypes)
+    said = lambda n: F.array_join(n, ", ") if kinds[n].startswith("array") else tx.blank(F.col(n))
+    body = F.concat_ws("\n", F.lit("[experience]"), *[F.concat(F.lit(f"{n}: "), said(n)) for n in RULE_TEXT])
+    return cards_.select(
+        F.col("id").alias("rule_id"), body.alias("content"), F.left(F.concat_ws(" | ", *[said(n) for n in SHORT_TEXT]), F.lit(size)).alias("condensed_content"),
+        F.concat("trigger_keywords", F.array("dimension", "work_category")).alias("tags"), (F.col("source_row") * 100 + F.col("source_item")).alias("seq_index"),
+        F.lit("review_experience").alias("index_source"), F.lit(True).alias("is_washed"), F.lit("active").alias("status"), F.col("reason").alias("summary"), F.to_json(F.struct(*cards_.columns)).alias("full_text"),
+    )
+
+
 def cards(rows: DataFrame) -> DataFrame:
     """Cards from classified opinions: id, source, trigger words, confidence and the fields that rules are made of."""
     sure = F.when(F.size("secondary") == 0, "medium").otherwise("high")
@@ -239,7 +437,7 @@ def card_rules(cards_: DataFrame, size: int = 700) -> DataFrame:
     return cards_.select(F.col("card_id").alias("rule_id"), F.col("project_name").alias("source_file"), body.alias("content"), F.left(body, F.lit(size)).alias("condensed_content"), (F.col("row_index") * 100 + F.col("item_index")).alias("seq_index"), F.lit("review_experience").alias("index_source"), F.to_json(F.struct(*cards_.columns)).alias("full_text"))
 
 
-def cards_of(rules: DataFrame, schema: str) -> DataFrame:
+def cards_of(rules: DataFrame, schema: str | StructType) -> DataFrame:
     """Cards read back from experience rules by their stored JSON."""
     return rules.where("index_source = 'review_experience'").select(F.from_json("full_text", schema).alias("c")).where("c is not null").select("c.*")
 
@@ -320,6 +518,26 @@ def top_values(rows: DataFrame, group: str, value: str, k: int) -> DataFrame:
     return counted.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), F.asc(value)))).where(F.col("place") <= k)
 
 
+def with_examples(rows: DataFrame, group: str, order: Sequence[str], k: int, fields: Sequence[str]) -> DataFrame:
+    """(group, n, examples): the size of each group and the ``fields`` of its first ``k`` rows."""
+    counted = rows.groupBy(group).agg(F.count("*").alias("n"))
+    some = first_rows(rows, group, order, k).groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", F.struct(*fields).alias("e")))), lambda s: s["e"]).alias("examples"))
+    return counted.join(some, group)
+
+
+def category_methods(rows: DataFrame, order: Sequence[str], patterns: int = 5, dimensions: int = 4) -> DataFrame:
+    """(work_category, n, top_patterns, top_dimensions): the most frequent of each category, ties to the one seen first."""
+
+    def best(value: str, k: int, name: str) -> DataFrame:
+        counted = rows.groupBy("work_category", value).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("seen"))
+        placed = counted.withColumn("place", F.row_number().over(Window.partitionBy("work_category").orderBy(F.desc("n"), "seen"))).where(F.col("place") <= k)
+        pairs = F.sort_array(F.collect_list(F.struct("place", F.col(value).alias("code"), "n")))
+        return placed.groupBy("work_category").agg(F.transform(pairs, lambda s: F.struct(s["code"].alias("code"), s["n"].alias("n"))).alias(name))
+
+    sizes = rows.groupBy("work_category").agg(F.count("*").alias("n"))
+    return sizes.join(best("problem_pattern", patterns, "top_patterns"), "work_category").join(best("dimension", dimensions, "top_dimensions"), "work_category")
+
+
 def status_distribution(rows: DataFrame) -> DataFrame:
     by = rows.groupBy("project_name", "alignment").agg(F.count("*").alias("n"))
     return by.groupBy("project_name").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("alignment", "n"))))).alias("statuses"))

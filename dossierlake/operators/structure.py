@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources.shared import shared_path
+from . import rules as rl
 
 #: Titles of front matter, contents markers and entry patterns.
 FRONT = ("preface", "front matter", "foreword", "cover", "前言", "目录", "封面", "公告")
@@ -100,6 +101,20 @@ def tree_records(leaf: DataFrame, words: Sequence[str], source: str) -> DataFram
     return kept.select(tx.hash_id("T", F.lit(source), F.col("node_id")).alias("rule_id"), F.element_at("path", -1).alias("title"), tx.fallback_summary(F.element_at("path", -1), F.col("path"), F.col("text"), words).alias("content"), F.col("text").alias("full_text"), F.lit("pageindex").alias("index_source"), F.lit(source).alias("source_file"))
 
 
+def ingest(rules: DataFrame, leaf: DataFrame, words: Sequence[str], source: str, least: float = 0.7, sample: int = 10) -> DataFrame:
+    """The rule table after a tree is taken in: its records replace those of the same source, older rules of that source or
+    category retire. Where fewer than ``least`` of a sample of the records pass the gate, or there are none, nothing changes."""
+    new = tree_records(leaf, words, source)
+    passed = rl.gate(rl.sample_rows(new, sample)).agg(F.avg(F.col("passed").cast("int"))).first()[0]
+    if passed is None or passed < least:
+        return rules
+    kept = rules.where((F.col("source_file") != source) | (F.col("index_source") != rl.TREE))
+    old = rl.superseded(kept, leaf.sparkSession.createDataFrame([(source,)], "category string"))
+    made = rl.renumber(new, "source_file", "rule_id").withColumns({"category": F.lit(source), "status": F.lit("active")})
+    filled = [F.col(c) if c in made.columns else F.lit(None).cast(t).alias(c) for c, t in rules.dtypes]
+    return rl.union_kept(rl.retire(kept, old), made.select(*filled))
+
+
 def tree_statistics(every: DataFrame) -> DataFrame:
     """Number of nodes of any kind and the largest depth, of what ``levels`` returns."""
     return every.agg(F.count("*").alias("nodes"), F.max("depth").alias("max_depth"))

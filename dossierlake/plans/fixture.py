@@ -1,6 +1,7 @@
 """Small lexicons and patterns that the registered queries pass to the operators; parameters, not part of them."""
 
 from ..functions.lexicon import Entry, FindingRule
+from ..operators.opinions import Case, Guide, Profile
 
 LEX = (
     Entry("LIC", 3, ("license", "mit ")),
@@ -32,6 +33,37 @@ PRICES = (("red", 950.0), ("PROMO", 0.0))
 STOP = ("the", "of", "and", "to")
 
 
+ATTRIBUTIONS = (Entry("basis", pattern="er|ent"), Entry("scope", pattern="la|le"), Entry("grant", pattern="icense"))
+PROFILES = {
+    "basis": Profile("basis of work", "which basis holds", "work without a basis cannot be checked", "find the basis first", ("is it named", "is it current"), ("drawing",)),
+    "scope": Profile("scope of work", "where does it end", "open limits are paid twice", "draw the limits first", ("are the limits drawn",), ("plan", "list")),
+    "grant": Profile("grant", "who allows it", "work may stop", "ask for the grant", (), ("licence",)),
+    "judgement": Profile("expert judgement", "does it apply here", "no case is like another", "go back to the text", ("same object",), ("note",)),
+}
+GUIDE = Guide(
+    patterns=FAMILIES,
+    attributions=ATTRIBUTIONS,
+    labels={"complete": "parts left out", "method": "unfit method", "split": "work not split", "logic": "order at odds"},
+    profiles=PROFILES,
+    intents=INTENTS,
+    usual=({"complete": "guide", "method": "quality"}, "review"),
+    risks=((Case("grant at risk", words=("license", "MIT ")), Case("price at risk", pattern="split"), Case("order at risk", pattern="logic"), Case("gaps on site", dimension="complete")), "loop stays open"),
+    fixes=({"complete": "add to {category}: parts and limits", "split": "split the work"}, "state {category} with limits"),
+    asks=({"complete": ("material", "acceptance")}, ("sequence",)),
+    backgrounds=({"complete": "{category} needs its parts named"}, "{category} needs its order"),
+    reasons=({"complete": "[{opinion}] points are missing"}, "[{opinion}] check the order"),
+    extensions=LEX,
+)
+FOCUS = {"LIC": "grant, notice", "ENG": "terms"}
+REFERENCES = (Entry("STD-1", keywords=("license",)), Entry("STD-2", keywords=("tion", "GER")))
+
+
+def sql_case(column: str, table: dict[str, str], default: str) -> str:
+    """A CASE over a table of texts; templates hold SQL expressions in braces."""
+    quoted = lambda t: "concat('" + t.replace("{", "', ").replace("}", ", '") + "')"
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {quoted(v)}" for k, v in table.items()) + f" ELSE {quoted(default)} END"
+
+
 def sql_list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 

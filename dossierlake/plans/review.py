@@ -16,7 +16,7 @@ from ..sources import documents as sd
 from ..sources.shared import shared_path
 from ..sources.views import ctes, view
 from ..streaming import jobs
-from .fixture import FAMILIES, FINDINGS, INTENTS, LEX, PRICES, STOP, family_values, lex_values, sql_list
+from .fixture import ATTRIBUTIONS, FAMILIES, FINDINGS, FOCUS, GUIDE, INTENTS, LEX, PRICES, PROFILES, REFERENCES, STOP, family_values, lex_values, sql_case, sql_list
 from .registry import query
 
 TERMS = ("tion", "ing", "que", "ent", "der", "und")
@@ -135,6 +135,26 @@ def c14(spark, d):
     return found.select("doc_id", "rule_id", F.array_join("missing", ",").alias("missing"))
 
 
+_NAMED = "SELECT conv_id, turn, text, coalesce(p_name, 'nothing like it') AS project_name FROM conversations LEFT JOIN part ON p_partkey = conv_id + 1"
+_MAPPED = "SELECT DISTINCT p_name AS project_name, concat(p_name, '.docx') AS path FROM part WHERE p_name LIKE 'small%'"
+
+
+@query("c16_matched_load", f"""WITH nm AS ({_NAMED}), mp AS ({_MAPPED}), i AS (SELECT conv_id, turn, project_name, CAST(i AS INT) AS item_index FROM (SELECT *, {ITEMS.format(c='text', p=_PARTS, f=_FLAT)} AS items FROM nm) t, LATERAL (SELECT unnest(range(1, len(items) + 1)) AS i) u),
+b AS (SELECT DISTINCT concat(p_name, ' ', p_type) AS b FROM part), s AS (SELECT a.project_name, b, 1 - levenshtein(a.project_name, b) / greatest(length(a.project_name), length(b)) AS score FROM (SELECT DISTINCT project_name FROM nm WHERE project_name NOT IN (SELECT project_name FROM mp)) a, b),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_name ORDER BY round(score, 9) DESC, b) AS k FROM s WHERE score >= 0.45) WHERE k = 1)
+SELECT i.conv_id, i.turn, item_index, i.project_name, coalesce(path, concat(b, '.xlsx'), '') AS matched_file, CASE WHEN path IS NOT NULL THEN 'mapping' WHEN b IS NOT NULL THEN 'fuzzy' ELSE '' END AS match_type,
+ CASE WHEN path IS NOT NULL THEN 'mapped' WHEN b IS NULL THEN 'none' WHEN contains(i.project_name, b) OR contains(b, i.project_name) THEN 'high' WHEN score >= 0.68 THEN 'medium' ELSE 'low' END AS quality
+FROM i LEFT JOIN mp ON mp.project_name = i.project_name LEFT JOIN f ON f.project_name = i.project_name""")
+def c16m(spark, d):
+    part = view(spark, d, "part")
+    said = view(spark, d, "conversations").join(part.select((F.col("p_partkey") - 1).alias("conv_id"), F.col("p_name").alias("project_name")), "conv_id", "left")
+    rows = op.load(said.select("conv_id", "turn", F.coalesce("project_name", F.lit("nothing like it")).alias("project_name"), F.col("text").alias("opinion")))
+    mapping = part.where("p_name LIKE 'small%'").select(F.col("p_name").alias("project_name"), F.concat("p_name", F.lit(".docx")).alias("path")).distinct()
+    found = op.match_sources(rows, part.select(F.concat(F.concat_ws(" ", "p_name", "p_type"), F.lit(".xlsx")).alias("name")), mapping)
+    out = op.classify(rows, LEX, FAMILIES, FAMILIES, INTENTS).join(found, "project_name", "left")
+    return out.select("conv_id", "turn", "item_index", "project_name", tx.blank(F.col("matched_file")).alias("matched_file"), tx.blank(F.col("match_type")).alias("match_type"), F.coalesce("quality", F.lit("none")).alias("quality"))
+
+
 @query("c16_opinion_load")
 def c16(spark, d):
     rows = op.load(opinions(spark, d).drop("item_index"))
@@ -190,10 +210,75 @@ full_cards AS (SELECT c.*, work_category, coalesce(h.code, 'complete') AS dimens
 CARDS = ctes("v_opinions", more=f"{COUNTS}, {MATCH}, {KINDS}")
 
 
-@query("p11_search_queries", CARDS + "SELECT row_index, item_index, array_to_string(list_filter(q, lambda t, i: list_position(q, t) = i), ' ') AS query FROM (SELECT row_index, item_index, list_concat(k[1:5], [work_category], CASE WHEN dimension = 'complete' THEN ['material', 'acceptance'] ELSE ['sequence'] END) AS q FROM full_cards)")
+#: Attribution of every card's opinion as SQL: the codes, then the texts that follow from them.
+_ACOUNTS = COUNTS.replace("fam", "afam").replace("cnt", "acnt").replace("hit AS", "ahit AS").replace(family_values(), family_values(ATTRIBUTIONS))
+_FIELD = lambda name: sql_case("professional_attribution", {k: name(p) for k, p in PROFILES.items()}, "judgement")
+BUNDLE = f"""{_ACOUNTS}, lists(code, l) AS (VALUES {_LISTS}),
+pl AS (SELECT row_index, item_index, max(code) FILTER (WHERE k = 1) AS c, string_agg(code, ',' ORDER BY k) FILTER (WHERE k BETWEEN 2 AND 4) AS s, flatten(list(l ORDER BY k)) AS f FROM hit JOIN lists USING (code) GROUP BY 1, 2),
+al AS (SELECT row_index, item_index, max(code) FILTER (WHERE k = 1) AS c, string_agg(code, ',' ORDER BY k) FILTER (WHERE k BETWEEN 2 AND 4) AS s FROM ahit GROUP BY 1, 2),
+codes AS (SELECT fc.*, coalesce(pl.c, 'judgement') AS problem_pattern, coalesce(pl.s, '') AS secondary_patterns, coalesce(al.c, 'judgement') AS professional_attribution, coalesce(al.s, '') AS secondary_professional_attributions,
+ coalesce(array_to_string(list_filter(f, lambda x, i: list_position(f, x) = i), ','), {sql_case("dimension", *GUIDE.usual)}) AS review_intents FROM full_cards fc LEFT JOIN pl USING (row_index, item_index) LEFT JOIN al USING (row_index, item_index)),
+bundle AS (SELECT *, {sql_case("problem_pattern", GUIDE.labels, "judgement")} AS problem_pattern_label, {_FIELD(lambda p: p.label)} AS professional_attribution_label, {_FIELD(lambda p: p.question)} AS engineer_question,
+ {_FIELD(lambda p: p.cause)} AS root_cause, {_FIELD(lambda p: p.principle)} AS generalization_rule, {_FIELD(lambda p: ";".join(p.checks))} AS review_questions, {_FIELD(lambda p: ";".join(p.artifacts))} AS required_artifacts,
+ CASE WHEN contains(opinion, 'license') OR contains(opinion, 'MIT ') THEN 'grant at risk' WHEN problem_pattern = 'split' THEN 'price at risk' WHEN problem_pattern = 'logic' THEN 'order at risk' WHEN dimension = 'complete' THEN 'gaps on site' ELSE 'loop stays open' END AS risk_if_ignored,
+ {sql_case("problem_pattern", *[t.replace("{category}", "{work_category}") if isinstance(t, str) else {k: v.replace("{category}", "{work_category}") for k, v in t.items()} for t in GUIDE.fixes])} AS fix_template,
+ array_to_string(list_filter(q, lambda t, i: list_position(q, t) = i), ' ') AS standard_query
+ FROM (SELECT *, list_concat(k[1:5], CASE WHEN work_category <> 'OTHER' THEN [work_category] ELSE [] END, CASE WHEN dimension = 'complete' THEN ['material', 'acceptance'] ELSE ['sequence'] END) AS q FROM codes))"""
+BUNDLED = ctes("v_opinions", more=f"{COUNTS}, {MATCH}, {KINDS}, {BUNDLE}")
+FIELDS = "problem_pattern problem_pattern_label secondary_patterns professional_attribution professional_attribution_label secondary_professional_attributions engineer_question review_intents root_cause risk_if_ignored generalization_rule review_questions required_artifacts fix_template standard_query".split()
+
+
+def attributed(spark, d):
+    return op.attribute(classified(spark, d), GUIDE)
+
+
+def plain(df, *names, by=","):
+    """Columns with their arrays as text."""
+    kinds = dict(df.dtypes)
+    return [F.array_join(n, ";" if n in ("review_questions", "required_artifacts") else by).alias(n) if kinds[n] == "array<string>" else F.col(n) for n in names]
+
+
+@query("c7_full_attribution", BUNDLED + f"SELECT row_index, item_index, {', '.join(FIELDS)} FROM bundle")
+def c7f(spark, d):
+    rows = attributed(spark, d)
+    return rows.select("row_index", "item_index", *plain(rows, *FIELDS))
+
+
+@query("p15_text_builders", BUNDLED + f"SELECT row_index, item_index, {sql_case('dimension', {'complete': '{work_category} needs its parts named'}, '{work_category} needs its order')} AS background, CASE dimension WHEN 'complete' THEN concat('[', o, '] points are missing') ELSE concat('[', o, '] check the order') END AS reason, risk_if_ignored, fix_template, {sql_case('work_category', FOCUS, 'all')} AS focus, concat('the expert asks: ', engineer_question) AS intent FROM (SELECT *, trim(regexp_replace(opinion, '\s+', ' ', 'g')) AS o FROM bundle)")
+def p15b(spark, d):
+    c, t = F.col, op.template
+    rows = attributed(spark, d)
+    return rows.select("row_index", "item_index", t(c("dimension"), *GUIDE.backgrounds, category=c("work_category")).alias("background"), t(c("dimension"), *GUIDE.reasons, opinion=tx.clean(c("opinion"))).alias("reason"), "risk_if_ignored", "fix_template", t(c("work_category"), FOCUS, "all").alias("focus"), F.concat(F.lit("the expert asks: "), "engineer_question").alias("intent"))
+
+
+@query("c8_evidence_reference", CARDS + "SELECT row_index, item_index, CASE WHEN regexp_matches(opinion, 'the|der') THEN CASE WHEN contains(lower(opinion), 'license') THEN 'STD-1' WHEN contains(lower(concat(opinion, ' ', work_category)), 'tion') OR contains(lower(concat(opinion, ' ', work_category)), 'ger') THEN 'STD-2' ELSE 'experience' END WHEN regexp_matches(opinion, 'and|que') THEN 'own text' ELSE 'experience' END AS evidence_ref FROM full_cards")
+def c8r(spark, d):
+    return with_reference(classified(spark, d)).select("row_index", "item_index", "evidence_ref")
+
+
+def with_reference(rows):
+    c = F.col("opinion")
+    rows = rows.withColumn("evidence_type", op.evidence_type(c, HINTS, F.lit(""), "logic"))
+    return rows.withColumn("evidence_ref", op.evidence_reference(c, F.col("work_category"), F.col("evidence_type"), REFERENCES, "rule", "logic", "own text", "experience"))
+
+
+def whole_cards(spark, d):
+    """All opinions as cards of 43 fields, judged against the document of their row."""
+    rows = with_reference(attributed(spark, d))
+    lines = view(spark, d, "v_lines").withColumnRenamed("doc_id", "row_index")
+    found = op.snippets(op.evidence(rows.select("row_index", "item_index", "opinion", "keywords"), lines, "row_index"), "row_index")
+    proof = F.struct("place", F.struct("source_file", "location", "matched_keywords", "text", "match_score").alias("e"))
+    found = found.groupBy("row_index", "item_index").agg(F.transform(F.sort_array(F.collect_list(proof)), lambda s: s["e"]).alias("scheme_evidence"))
+    docs = view(spark, d, "documents").select(F.col("doc_id").alias("row_index"), F.col("text").alias("evidence"), F.col("source").alias("matched_file"))
+    rows = rows.join(found, ["row_index", "item_index"], "left").join(docs, "row_index", "left")
+    none = F.array().cast(found.schema["scheme_evidence"].dataType)
+    rows = rows.withColumns({"scheme_evidence": F.coalesce("scheme_evidence", none), "engineer": F.lit(""), "project_type": F.lit("scheme"), "file_type": F.lit("txt"), "scheme_related": F.col("row_index") % 2 == 0, "evidence": tx.blank(F.col("evidence"))})
+    return op.full_cards(op.assess(rows, POINTS, FALLBACK), GUIDE)
+
+
+@query("p11_search_queries", CARDS + "SELECT row_index, item_index, array_to_string(list_filter(q, lambda t, i: list_position(q, t) = i), ' ') AS query FROM (SELECT row_index, item_index, list_concat(k[1:5], CASE WHEN work_category <> 'OTHER' THEN [work_category] ELSE [] END, CASE WHEN dimension = 'complete' THEN ['material', 'acceptance'] ELSE ['sequence'] END) AS q FROM full_cards)")
 def p11(spark, d):
-    extra = F.when(F.col("dimension") == "complete", F.array(F.lit("material"), F.lit("acceptance"))).otherwise(F.array(F.lit("sequence")))
-    q = F.array_join(F.array_distinct(F.concat(F.slice("keywords", 1, 5), F.array("work_category"), extra)), " ")
+    q = op.search_query(F.col("keywords"), F.col("work_category"), F.col("dimension"), GUIDE)
     return classified(spark, d).select("row_index", "item_index", q.alias("query"))
 
 
@@ -234,6 +319,31 @@ def assessed(spark, d, docs=None):
     return op.assess(opinions(spark, d).join(docs, "row_index", "left").withColumn("evidence", tx.blank(F.col("evidence"))), POINTS, FALLBACK)
 
 
+_WHOLE = ctes("v_opinions", more=f"{COUNTS}, {MATCH}, {KINDS}, {BUNDLE}, {ALIGN}")
+_JUDGED = "SELECT b.*, alignment, array_to_string(list_filter(names, lambda n, i: st[i] = 'covered'), ',') AS covered_points, array_to_string(list_filter(names, lambda n, i: st[i] = 'vague'), ',') AS partial_points, array_to_string(list_filter(names, lambda n, i: st[i] = 'missing'), ',') AS missing_points, e FROM bundle b JOIN v USING (row_index, item_index)"
+_GAP = """CASE WHEN alignment = 'no_action' THEN 'agreed or praised: no finding' WHEN alignment = 'undecided' AND e = '' THEN 'no passage of the source to compare with' WHEN alignment = 'undecided' THEN 'no point to compare' WHEN alignment = 'resolved' THEN 'the source covers every point'
+ ELSE concat_ws('; ', CASE WHEN covered_points <> '' THEN concat('covered: ', replace(covered_points, ',', ', ')) END, CASE WHEN partial_points <> '' THEN concat('vague: ', replace(partial_points, ',', ', ')) END, CASE WHEN missing_points <> '' THEN concat('missing: ', replace(missing_points, ',', ', ')) END) END"""
+SHOWN = [f for f in FIELDS if f not in ("standard_query",)]
+
+
+@query("p13_whole_cards", _WHOLE + f"SELECT card_id AS id, row_index AS source_row, item_index AS source_item, work_category, dimension, {', '.join(SHOWN)}, alignment AS alignment_status, covered_points, partial_points, missing_points, {_GAP} AS scheme_gap, array_to_string(k, ',') AS trigger_keywords, CASE WHEN row_index % 2 = 0 AND len(k) > 0 THEN 'high' ELSE 'medium' END AS confidence FROM ({_JUDGED})")
+def p13w(spark, d):
+    rows = whole_cards(spark, d)
+    return rows.select(*plain(rows, "id", "source_row", "source_item", "work_category", "dimension", *SHOWN, "alignment_status", "covered_points", "partial_points", "missing_points", "scheme_gap", "trigger_keywords", "confidence"))
+
+
+@query("p14_whole_card_rules", _WHOLE + f"SELECT card_id AS rule_id, row_index * 100 + item_index AS seq_index, concat_ws(' | ', work_category, dimension, professional_attribution_label, alignment, opinion, {_GAP}, generalization_rule)[1:700] AS condensed_content FROM ({_JUDGED})")
+def p14w(spark, d):
+    return op.full_card_rules(whole_cards(spark, d)).select("rule_id", "seq_index", "condensed_content")
+
+
+@query("s15_whole_cards_back", _WHOLE + "SELECT card_id AS id, problem_pattern, v.alignment AS alignment_status FROM bundle JOIN v USING (row_index, item_index)")
+def s15w(spark, d):
+    cards = whole_cards(spark, d)
+    rules = op.full_card_rules(cards)
+    return op.cards_of(rules, cards.schema).select("id", "problem_pattern", "alignment_status")
+
+
 @query("e1_checkpoints", ctes("v_opinions", more=ALIGN) + "SELECT row_index, item_index, array_to_string(names, ',') AS names FROM v")
 def e1(spark, d):
     return opinions(spark, d).select("row_index", "item_index", F.array_join(op.expected(F.col("opinion"), POINTS, FALLBACK), ",").alias("names"))
@@ -282,6 +392,41 @@ def a1(spark, d):
     return op.facets(rows, ["project_name"], ["pattern"])
 
 
+_FACETS = ("dimension", "work_category", "problem_pattern", "professional_attribution", "risk_if_ignored", "confidence")
+
+
+@query("a1_all_facets", BUNDLED + " UNION ALL ".join(["SELECT 'project_name' AS facet, project_name AS value, count(*) AS n FROM bundle GROUP BY 2", *[f"SELECT '{f}', {f}, count(*) FROM bundle GROUP BY 2" for f in _FACETS], "SELECT 'review_intents', x, count(*) FROM (SELECT unnest(string_split(review_intents, ',')) AS x FROM bundle) GROUP BY 2"]))
+def a1f(spark, d):
+    rows = attributed(spark, d).withColumn("confidence", F.when(F.size("secondary") == 0, "medium").otherwise("high"))
+    return op.facets(rows, ["project_name", *_FACETS], ["review_intents"])
+
+
+def _examples(column: str, k: int) -> str:
+    return BUNDLED + f"SELECT {column}, count(*) AS n, array_to_string(list(project_name ORDER BY row_index, item_index)[1:{k}], ',') AS examples FROM bundle GROUP BY 1"
+
+
+@query("a3_pattern_examples", _examples("problem_pattern", 5))
+def a3p(spark, d):
+    rows = op.with_examples(attributed(spark, d), "problem_pattern", ["row_index", "item_index"], 5, ["project_name", "opinion", "root_cause"])
+    return rows.select("problem_pattern", "n", F.array_join(F.transform("examples", lambda e: e["project_name"]), ",").alias("examples"))
+
+
+@query("a3_attribution_examples", _examples("professional_attribution", 6))
+def a3a(spark, d):
+    rows = op.with_examples(attributed(spark, d), "professional_attribution", ["row_index", "item_index"], 6, ["project_name", "opinion", "engineer_question"])
+    return rows.select("professional_attribution", "n", F.array_join(F.transform("examples", lambda e: e["project_name"]), ",").alias("examples"))
+
+
+_TOP = "(SELECT work_category, string_agg(concat({c}, ':', CAST(n AS VARCHAR)), ',' ORDER BY n DESC, s) AS t FROM (SELECT *, row_number() OVER (PARTITION BY work_category ORDER BY n DESC, s) AS k FROM (SELECT work_category, {c}, count(*) AS n, min((row_index, item_index)) AS s FROM bundle GROUP BY 1, 2)) WHERE k <= {k} GROUP BY 1)"
+
+
+@query("a3_category_methods", BUNDLED + f"SELECT work_category, n, p.t AS top_patterns, q.t AS top_dimensions FROM (SELECT work_category, count(*) AS n FROM bundle GROUP BY 1) JOIN {_TOP.format(c='problem_pattern', k=5)} p USING (work_category) JOIN {_TOP.format(c='dimension', k=4)} q USING (work_category)")
+def a3c(spark, d):
+    rows = op.category_methods(attributed(spark, d), ["row_index", "item_index"])
+    text = lambda n: F.array_join(F.transform(n, lambda s: F.concat_ws(":", s["code"], s["n"].cast("string"))), ",").alias(n)
+    return rows.select("work_category", "n", text("top_patterns"), text("top_dimensions"))
+
+
 @query("a3_methodology", ctes("v_opinions", more=f"{COUNTS}, one AS (SELECT v.row_index, v.item_index, project_name, coalesce(code, 'judgement') AS pattern FROM v_opinions v LEFT JOIN (SELECT * FROM hit WHERE k = 1) h ON h.row_index = v.row_index AND h.item_index = v.item_index)") + "SELECT project_name, pattern, n, place FROM (SELECT *, row_number() OVER (PARTITION BY project_name ORDER BY n DESC, pattern) AS place FROM (SELECT project_name, pattern, count(*) AS n FROM one GROUP BY 1, 2)) WHERE place <= 5")
 def a3(spark, d):
     rows = opinions(spark, d).withColumn("pattern", lx.top_label(F.col("opinion"), FAMILIES, "judgement"))
@@ -317,16 +462,22 @@ def a16(spark, d):
 
 
 EVIDENCE = f"""kw AS (SELECT row_index, item_index, opinion, {sql_words('opinion')} AS k FROM v_opinions),
-hit AS (SELECT row_index, item_index, line_no, line, len(list_filter(k, lambda w: contains(lower(line), lower(w)))) AS hits FROM kw JOIN v_lines ON doc_id = row_index
+hit AS (SELECT row_index, item_index, k, line_no, line, len(list_filter(k, lambda w: contains(lower(line), lower(w)))) AS hits FROM kw JOIN v_lines ON doc_id = row_index
  WHERE NOT (contains(line, 'the') AND NOT contains(opinion, 'tion'))),
 ev AS (SELECT *, row_number() OVER (PARTITION BY row_index, item_index ORDER BY hits DESC, length(line), line_no) AS place FROM hit WHERE hits > 0)"""
 
 
-@query("j11_evidence_lines", ctes("v_opinions", "v_lines", more=EVIDENCE) + "SELECT row_index, item_index, line_no, CAST(hits AS INT) AS hits, place FROM ev WHERE place <= 3")
+_AROUND = r"""sn AS (SELECT *, length(t) AS n, list_min(list_filter(list_transform(k, lambda w: instr(lower(t), lower(w))), lambda p: p > 0)) AS f FROM (SELECT *, trim(regexp_replace(line, '\s+', ' ', 'g')) AS t FROM ev WHERE place <= 3)),
+sw AS (SELECT *, greatest(0, f - 201) AS a, least(n, greatest(0, f - 201) + 600) AS z FROM sn),
+sx AS (SELECT *, CASE WHEN z - a < 600 THEN greatest(0, z - 600) ELSE a END AS g FROM sw)"""
+
+
+@query("j11_evidence_lines", ctes("v_opinions", "v_lines", more=f"{EVIDENCE}, {_AROUND}") + "SELECT row_index, item_index, line_no, CAST(hits AS INT) AS match_score, place, CAST(row_index AS VARCHAR) AS source_file, concat('line ', CAST(line_no + 1 AS VARCHAR)) AS location, array_to_string(list_filter(k, lambda w: contains(lower(line), lower(w)))[1:6], ',') AS matched_keywords, CASE WHEN n <= 600 THEN t WHEN f IS NULL THEN left(t, 600) ELSE concat(CASE WHEN g > 0 THEN '...' ELSE '' END, substring(t, g + 1, z - g), CASE WHEN z < n THEN '...' ELSE '' END) END AS text FROM sx")
 def j11(spark, d):
     rows = opinions(spark, d).withColumn("keywords", words(F.col("opinion")))
     lines = view(spark, d, "v_lines").withColumnRenamed("doc_id", "row_index")
-    return op.evidence(rows, lines, "row_index", noise=[("the", "tion")]).select("row_index", "item_index", "line_no", "hits", "place")
+    found = op.snippets(op.evidence(rows, lines, "row_index", noise=[("the", "tion")]), "row_index")
+    return found.select("row_index", "item_index", "line_no", "match_score", "place", "source_file", "location", F.array_join("matched_keywords", ",").alias("matched_keywords"), "text")
 
 
 @query("f5_evidence_noise", ctes("v_lines", "v_opinions") + "SELECT row_index, item_index, line_no FROM v_opinions JOIN v_lines ON doc_id = row_index WHERE contains(line, 'the') AND NOT contains(opinion, 'tion')")
@@ -351,26 +502,21 @@ def j6(spark, d):
     return sc.containing(a, b)
 
 
-_GRAMS = "list_distinct(CASE WHEN length({c}) <= 3 THEN [{c}] ELSE list_transform(range(1, length({c}) - 1), lambda i: substring({c}, i, 3)) END)"
-
-
-@query("j7_fuzzy_edit", f"""
+@query("j7_fuzzy_edit", """
 WITH a AS (SELECT DISTINCT p_name AS a FROM part), b AS (SELECT DISTINCT concat(p_name, ' ', p_type) AS b FROM part),
-p AS (SELECT DISTINCT a, b FROM (SELECT a, unnest({_GRAMS.format(c='a')}) AS g FROM a) JOIN (SELECT b, unnest({_GRAMS.format(c='b')}) AS g FROM b) USING (g)),
-s AS (SELECT a, b, 1 - levenshtein(a, b) / greatest(length(a), length(b)) AS score FROM p)
+s AS (SELECT a, b, 1 - levenshtein(a, b) / greatest(length(a), length(b)) AS score FROM a, b)
 SELECT a, b, round(score, 6) AS score, CASE WHEN contains(a, b) OR contains(b, a) THEN 'high' WHEN score >= 0.68 THEN 'medium' ELSE 'low' END AS quality
 FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(score, 9) DESC, b) AS k FROM s WHERE score >= 0.45) WHERE k = 1""")
 def j7(spark, d):
     names = view(spark, d, "part")
-    pairs = op.blocked_pairs(names.select(F.col("p_name").alias("a")), names.select(F.concat_ws(" ", "p_name", "p_type").alias("b")))
-    return op.fuzzy_edit(pairs).withColumn("score", F.round("score", 6))
+    best = op.fuzzy_edit(names.select(F.col("p_name").alias("a")), names.select(F.concat_ws(" ", "p_name", "p_type").alias("b")))
+    return best.withColumn("score", F.round("score", 6))
 
 
 @query("j7_fuzzy_ratio")
 def j7r(spark, d):
     names = view(spark, d, "part")
-    pairs = op.blocked_pairs(names.select(F.col("p_name").alias("a")), names.select(F.concat_ws(" ", "p_name", "p_type").alias("b")))
-    return op.fuzzy(pairs)
+    return op.fuzzy(names.select(F.col("p_name").alias("a")), names.select(F.concat_ws(" ", "p_name", "p_type").alias("b")))
 
 
 def carded(spark, d):
@@ -668,6 +814,35 @@ def s4(spark, d):
     return sd.mapping(rows, ["a", "b"], "o_orderkey")
 
 
+@query("s3_rule_json_file", "SELECT count(*) AS loaded, count(*) FILTER (WHERE doc_id % 7 <> 0) AS stored FROM documents")
+def s3f(spark, d):
+    path = shared_path(spark, "rules_json")
+    view(spark, d, "documents").select(F.when(F.col("doc_id") % 7 != 0, F.col("doc_id").cast("string")).alias("rule_id"), "text").write.json(path)
+    return sd.rules_json(spark, path, "rule_id string, text string", lines=True)[1]
+
+
+@query("s4_mapping_file", "SELECT concat('cust_', CAST(o_custkey AS VARCHAR)) AS project_name, max_by(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE o_orderstatus END, o_orderkey) AS path FROM orders GROUP BY 1")
+def s4f(spark, d):
+    path = shared_path(spark, "mapping") + ".csv"
+    view(spark, d, "orders").select(F.concat(F.lit("cust_"), F.col("o_custkey")).alias("project_name"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).otherwise("").alias("a"), F.col("o_orderstatus").alias("b"), "o_orderkey").write.option("header", True).csv(path)
+    return sd.mapping(sd.read_mapping(spark, path).withColumn("o_orderkey", F.col("o_orderkey").cast("long")), ["a", "b"], "o_orderkey")
+
+
+@query("s5_inventory", "SELECT 'part' AS kind, CAST(count(DISTINCT r_name) AS INT) AS files FROM region")
+def s5(spark, d):
+    path = shared_path(spark, "files")
+    view(spark, d, "region").select("r_name", "r_regionkey").write.partitionBy("r_name").json(path)
+    return sd.inventory(spark, path, "part-*").agg(F.lit("part").alias("kind"), F.count("*").cast("int").alias("files"))
+
+
+@query("s16_registry", "SELECT page_id, url AS path, CASE WHEN page_id % 4 = 0 THEN 'a' ELSE 'b' END AS category FROM pages WHERE url <> '' AND page_id % 4 IN (0, 1)")
+def s16(spark, d):
+    path = shared_path(spark, "registry")
+    kind = F.when(F.col("page_id") % 4 == 0, "a").when(F.col("page_id") % 4 == 1, "b").when(F.col("page_id") % 4 == 2, "")
+    view(spark, d, "pages").select("page_id", F.col("url").alias("path"), kind.alias("category")).write.json(path)
+    return sd.registry_jobs(spark.read.schema("page_id long, path string, category string").json(path))
+
+
 # --- structure ---
 
 LEAVES = """tree AS (SELECT node_id, title, text, [title] AS path, 1 AS depth FROM v_tree WHERE parent_id IS NULL UNION ALL SELECT v.node_id, v.title, v.text, list_append(tree.path, v.title), depth + 1 FROM v_tree v JOIN tree ON v.parent_id = tree.node_id),
@@ -699,6 +874,14 @@ def t9(spark, d):
     return st.tree_records(st.leaves(view(spark, d, "v_tree"), spark), ("balance",), "world").select("rule_id", "title", "content")
 
 
+@query("t9_tree_job", ctes("v_tree", "v_rules", more=LEAVES, recursive=True) + """SELECT CAST(rule_id AS VARCHAR) AS rule_id, source_file, index_source, CASE WHEN status = 'active' AND index_source <> 'pageindex' AND (source_file = 'en' OR category = 'en') THEN 'inactive' ELSE status END AS status FROM v_rules WHERE source_file <> 'en' OR index_source <> 'pageindex'
+UNION ALL SELECT concat('T_', upper(left(sha256(concat('en', chr(10), node_id)), 12))), 'en', 'pageindex', 'active' FROM leaf WHERE lower(path[len(path)]) NOT IN ('preface', 'cover') AND lower(path[1]) NOT IN ('preface', 'cover')""")
+def t9j(spark, d):
+    rules = view(spark, d, "v_rules").withColumn("rule_id", F.col("rule_id").cast("string"))
+    leaf = st.leaves(view(spark, d, "v_tree"), spark)
+    return st.ingest(rules, leaf, ("balance",), "en").select("rule_id", "source_file", "index_source", "status")
+
+
 PAGEQ = r"q AS (SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 20) AS fulln, CAST(sum(length(regexp_replace(text, '^\s+|\s+$', '', 'g'))) AS BIGINT) AS chars, CAST(sum(tokens) AS BIGINT) AS tokens FROM v_doc_pages GROUP BY 1)"
 
 
@@ -850,6 +1033,23 @@ def t13(spark, d):
     return view(spark, d, "v_tasks").groupBy("project_name").agg(F.max_by("status", F.struct("created_at", "task_id")).alias("status"))
 
 
+@query("t13_task_transitions", ctes("v_tasks") + "SELECT task_id, CASE WHEN task_id % 7 = 0 THEN 'CANCELLED' ELSE status END AS status, CASE WHEN status = 'COMPLETED' THEN concat('out/', CAST(task_id AS VARCHAR)) ELSE '' END AS path, CASE WHEN status = 'RUNNING' THEN 'late' ELSE '' END AS error FROM v_tasks WHERE task_id % 11 <> 0 OR task_id % 2 = 0")
+def t13t(spark, d):
+    """Every task is added and updated; some are cancelled; some are deleted, of which the even ones are added anew before."""
+    tasks, odd = view(spark, d, "v_tasks"), F.col("task_id") % 2 == 1
+    none = F.lit("")
+
+    def event(rows, no, kind, status, path=none, error=none):
+        return rows.select("task_id", F.lit(no).alias("event_no"), F.lit(kind).alias("kind"), status.alias("status"), path.alias("path"), error.alias("error"))
+
+    rows = event(tasks.where(~odd & (F.col("task_id") % 11 == 0)), 0, "delete", none)
+    rows = rows.unionByName(event(tasks, 1, "update", F.lit("PENDING")))
+    path = F.when(F.col("status") == "COMPLETED", F.concat(F.lit("out/"), "task_id")).otherwise("")
+    rows = rows.unionByName(event(tasks, 2, "update", F.col("status"), path, F.when(F.col("status") == "RUNNING", "late").otherwise("")))
+    rows = rows.unionByName(event(tasks.where("task_id % 7 = 0"), 3, "status", F.lit("CANCELLED")))
+    return jobs.task_states(rows.unionByName(event(tasks.where(odd & (F.col("task_id") % 11 == 0)), 4, "delete", none)))
+
+
 @query("k3_oldest_pending", ctes("v_tasks") + "SELECT task_id, status FROM v_tasks WHERE status = 'PENDING' ORDER BY created_at, task_id LIMIT 1")
 def k3(spark, d):
     return view(spark, d, "v_tasks").where("status = 'PENDING'").orderBy("created_at", "task_id").limit(1).select("task_id", "status")
@@ -905,13 +1105,16 @@ def x5(spark, d):
     return jobs.drain(rows.groupBy("task_id").agg(F.max_by("status", "ts").alias("status")), f"x5_{out[-8:]}", "complete", out)
 
 
-@query("x2_incremental_index", ctes("v_rules") + "SELECT count(DISTINCT rule_id) AS rules FROM v_rules WHERE status = 'active' AND regexp_matches(content, '[\\p{L}\\p{N}]')")
+@query("x2_incremental_index", ctes("v_rules") + "SELECT count(DISTINCT rule_id) AS rules FROM v_rules WHERE status = 'active' AND rule_id % 10 <> 3 AND regexp_matches(content, '[\\p{L}\\p{N}]')")
 def x2(spark, d):
+    """All documents arrive; then every rule comes again, a tenth of them retired."""
     docs = jobs.source(spark, f"{d}/documents.parquet", view(spark, d, "documents").schema)
-    rows = docs.select(F.col("doc_id").alias("rule_id"), F.when(F.col("doc_id") % 11 == 0, "inactive").otherwise("active").alias("status"), F.col("text").alias("content"), F.lit(False).alias("is_washed"), F.lit("").alias("condensed_content"))
+    rules = lambda df: df.select(F.col("doc_id").alias("rule_id"), F.when(F.col("doc_id") % 11 == 0, "inactive").otherwise("active").alias("status"), F.col("text").alias("content"), F.lit(False).alias("is_washed"), F.lit("").alias("condensed_content"))
     out = shared_path(spark, "postings")
-    jobs.index(rows, out, shared_path(spark, "x2")).awaitTermination()
-    return spark.read.parquet(out).agg(F.countDistinct("rule_id").alias("rules"))
+    jobs.index(rules(docs), out, shared_path(spark, "x2")).awaitTermination()
+    again = rules(view(spark, d, "documents")).withColumn("status", F.when(F.col("rule_id") % 10 == 3, "inactive").otherwise(F.col("status")))
+    jobs.refresh(again, out, 1_000_000)
+    return jobs.postings_now(spark, out).agg(F.countDistinct("rule_id").alias("rules"))
 
 
 @query("x1_continuous_audit")

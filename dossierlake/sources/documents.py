@@ -17,9 +17,9 @@ QUANTITY = ("数量", "量")
 PRICE = ("单", "价")
 
 
-def rules_json(spark: SparkSession, path: str, schema: str, key: str = "rule_id") -> tuple[DataFrame, DataFrame]:
-    """Rules of a JSON file that have an id, and one row of counts (loaded, stored)."""
-    rows = spark.read.schema(f"{schema}, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
+def rules_json(spark: SparkSession, path: str, schema: str, key: str = "rule_id", lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rules of a JSON file, or of a folder of JSON ``lines``, that have an id, and one row of counts (loaded, stored)."""
+    rows = spark.read.schema(f"{schema}, _bad string").option("multiLine", not lines).option("columnNameOfCorruptRecord", "_bad").json(path)
     return _with_id(rows.drop("_bad"), key)
 
 

@@ -50,7 +50,7 @@ SELECT conv_id AS doc_id, turn AS issue_no, role AS work_item, CASE turn % 4 WHE
 SELECT 'root' AS node_id, CAST(NULL AS STRING) AS parent_id, 'World' AS title, '' AS text
 UNION ALL SELECT concat('r', CAST(r_regionkey AS STRING)), 'root', r_name, '' FROM region
 UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), concat('r', CAST(n_regionkey AS STRING)), n_name, CASE WHEN n_nationkey % 5 = 0 THEN 'Preface text of nation' ELSE '' END FROM nation
-UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), concat('n', CAST(s_nationkey AS STRING)), s_name, concat('Supplier balance ', CAST(s_suppkey AS STRING)) FROM supplier""",
+UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), concat('n', CAST(s_nationkey AS STRING)), s_name, concat('Supplier balance and address, number ', CAST(s_suppkey AS STRING)) FROM supplier""",
     "v_toc": """
 SELECT doc_id, line_no AS item_no, concat('1.', CAST(line_no AS STRING)) AS structure, line AS title,
  CASE WHEN (doc_id + line_no) % 3 = 0 THEN CAST(floor(line_no / 10) AS INT) + 1 END AS physical_index FROM v_lines""",

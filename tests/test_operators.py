@@ -133,7 +133,7 @@ def test_match_cards_equals_containment(spark):
 def test_fuzzy(spark):
     a = spark.createDataFrame([("green garden wall",), ("zzz",)], "a string")
     b = spark.createDataFrame([("green garden walls 2",), ("green gate",)], "b string")
-    got = {r.a: (r.b, r.quality) for r in op.fuzzy(op.blocked_pairs(a, b)).collect()}
+    got = {r.a: (r.b, r.quality) for r in op.fuzzy(a, b).collect()}
     assert got == {"green garden wall": ("green garden walls 2", "high")}
 
 
@@ -325,7 +325,42 @@ def test_contents_in_other_shapes(spark):
     def inline(text):
         return [(r.structure, r.title, r.page) for r in st.parse_inline(spark.createDataFrame([(1, text)], "doc_id int, text string")).orderBy("no").collect()]
 
-    assert inline("目次 6.3 基坑 …… 406.4 沉井 …… 42 附录A 材料 … 50 A.1 一般规定 … 51 本标准用词说明 … 60 附：条文说明 引 … 61") == [("6.3", "基坑", 40), ("6.4", "沉井", None), ("附录A", "附录A 材料", 50), ("A.1", "一般规定", 51), (None, "本标准用词说明", 60), (None, "附 条文说明 引", 61)]
+    assert inline("目次 6.3 基坑 …… 406.4 沉井 …… 42 附录A 材料 … 50 A.1 其他规定 … 51 本标准用词说明 … 60 附：条文说明 引 … 61") == [("6.3", "基坑", 40), ("6.4", "沉井", None), ("附录A", "附录A 材料", 50), ("A.1", "其他规定", 51), (None, "本标准用词说明", 60), (None, "附 条文说明 引", 61)]
     assert inline("1 总则 … 1 Contents 2 术语 … 2") == [("1", "总则", 1)] and inline("") == [] and inline(None) == []
     lines = spark.createDataFrame([(1, 0, "Contents"), (1, 1, "1 总则 … 3"), (1, 2, "2 术语 … 4InContents 5 其他"), (1, 3, "3 后面 … 9")], "doc_id int, line_no int, line string")
     assert [(r.structure, r.page) for r in st.parse_lines(lines).orderBy("line_no").collect()] == [("1", 3), ("2", 4)]
+
+
+def test_no_close_name_is_lost(spark):
+    import random
+
+    def far(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row[0] = row[0], i
+            for k, y in enumerate(b, 1):
+                old, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, old + (x != y))
+        return row[-1]
+
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choices("aabcde", k=rng.randrange(1, 9)))
+    left, right = sorted({"Lane", "ab", *(name() for _ in range(25))}), sorted({"Line", "abc", *(name() for _ in range(25))})
+    want = {}
+    for a in left:
+        best = max(right, key=lambda b: (round(1 - far(a, b) / max(len(a), len(b)), 9), [-ord(c) for c in b] + [1]))
+        if 1 - far(a, best) / max(len(a), len(best)) >= 0.45:
+            want[a] = best
+    a, b = spark.createDataFrame([(x,) for x in [*left, "", None]], "a string"), spark.createDataFrame([(x,) for x in [*right, "", None]], "b string")
+    assert {r.a: r.b for r in op.fuzzy_edit(a, b).collect()} == want
+
+
+def test_tree_ingestion_replaces_and_retires(spark):
+    rows = [rule(1, source_file="s", index_source="pageindex"), rule(2, source_file="s"), rule(3, source_file="t", category="s"), rule(4, source_file="t")]
+    rules = spark.createDataFrame(rows, RULE).withColumn("rule_id", F.col("rule_id").cast("string"))
+    text = "a leaf whose text is long enough for the gate"
+    leaf = spark.createDataFrame([("n1", ["R", "A"], text), ("n2", ["R", "preface"], text)], "node_id string, path array<string>, text string")
+    got = {r.rule_id: (r.status, r.index_source, r.seq_index) for r in st.ingest(rules, leaf, ("leaf",), "s").collect()}
+    new = [k for k in got if k.startswith("T_")]
+    assert len(new) == 1 and got.pop(new[0]) == ("active", "pageindex", 0)
+    assert {k: v[0] for k, v in got.items()} == {"2": "inactive", "3": "inactive", "4": "active"}
+    assert st.ingest(rules, leaf.withColumn("text", F.lit("too short, it is")), ("leaf",), "s").count() == 4

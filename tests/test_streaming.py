@@ -36,3 +36,22 @@ def test_drain_keeps_its_rows_out_of_the_driver(spark, tmp_path, mode):
     want = [(i, i % 4) for i in range(40)] if mode == "append" else [(k, 10) for k in range(4)]
     assert sorted(map(tuple, found.collect())) == want
     assert found.inputFiles() and not spark.catalog.tableExists(f"drained_{mode}")
+
+
+def test_index_refresh_drops_retired_and_replays(spark, tmp_path):
+    row = "rule_id long, status string, content string, is_washed boolean, condensed_content string"
+    make = lambda *r: spark.createDataFrame([(i, s, t, False, "") for i, s, t in r], row)
+    out = str(tmp_path / "index")
+    jobs.refresh(make((1, "active", "a b"), (2, "active", "b"), (3, "inactive", "c")), out, 0)
+    changed = make((1, "active", "a d"), (2, "inactive", "b"), (3, "active", "c"))
+    for _ in range(2):
+        jobs.refresh(changed, out, 1)
+        assert {(r.rule_id, r.term) for r in jobs.postings_now(spark, out).collect()} == {(1, "a"), (1, "d"), (3, "c")}
+    jobs.refresh(changed, out, 2)
+    assert spark.read.parquet(f"{out}/rules/batch=2").count() == 0 and jobs.postings_now(spark, out).count() == 3
+
+
+def test_task_states(spark):
+    rows = [(1, 1, "update", "PENDING", "", ""), (1, 2, "update", "DONE", "p", ""), (1, 3, "status", "CANCELLED", None, None), (2, 1, "update", "PENDING", "", ""), (2, 2, "delete", None, None, None), (3, 1, "delete", None, None, None), (3, 2, "update", "FAILED", None, "why")]
+    events = spark.createDataFrame(rows, "task_id int, event_no int, kind string, status string, path string, error string")
+    assert {tuple(r) for r in jobs.task_states(events).collect()} == {(1, "CANCELLED", "p", ""), (3, "FAILED", "", "why")}
