@@ -564,6 +564,16 @@ def representatives(rows: DataFrame, specs: Sequence[tuple[str, Sequence[str]]],
     return out
 
 
+def benchmark_cases(rows: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], group: str = "project_name") -> DataFrame:
+    """(spec, group, hints, opinions, dimensions, work_categories) of the representative group of each spec: its opinions in
+    order, and the sorted distinct dimensions and categories of classified rows."""
+    hints = dict(specs)
+    picks = rows.sparkSession.createDataFrame([(s, g, list(hints[s])) for s, g in representatives(rows, specs, group)], f"spec string, {group} string, hints array<string>")
+    said = F.transform(F.sort_array(F.collect_list(F.struct("row_index", "item_index", "opinion"))), lambda s: s["opinion"])
+    cases = rows.join(F.broadcast(picks.select(group)), group, "left_semi").groupBy(group).agg(said.alias("opinions"), F.sort_array(F.collect_set("dimension")).alias("dimensions"), F.sort_array(F.collect_set("work_category")).alias("work_categories"))
+    return picks.join(cases, group)
+
+
 # --- from cards to findings and evidence ---
 
 

@@ -244,7 +244,7 @@ def c7f(spark, d):
     return rows.select("row_index", "item_index", *plain(rows, *FIELDS))
 
 
-@query("p15_text_builders", BUNDLED + f"SELECT row_index, item_index, {sql_case('dimension', {'complete': '{work_category} needs its parts named'}, '{work_category} needs its order')} AS background, CASE dimension WHEN 'complete' THEN concat('[', o, '] points are missing') ELSE concat('[', o, '] check the order') END AS reason, risk_if_ignored, fix_template, {sql_case('work_category', FOCUS, 'all')} AS focus, concat('the expert asks: ', engineer_question) AS intent FROM (SELECT *, trim(regexp_replace(opinion, '\s+', ' ', 'g')) AS o FROM bundle)")
+@query("p15_text_builders", BUNDLED + f"SELECT row_index, item_index, {sql_case('dimension', {'complete': '{work_category} needs its parts named'}, '{work_category} needs its order')} AS background, CASE dimension WHEN 'complete' THEN concat('[', o, '] points are missing') ELSE concat('[', o, '] check the order') END AS reason, risk_if_ignored, fix_template, {sql_case('work_category', FOCUS, 'all')} AS focus, concat('the expert asks: ', engineer_question) AS intent FROM (SELECT *, trim(regexp_replace(opinion, '\\s+', ' ', 'g')) AS o FROM bundle)")
 def p15b(spark, d):
     c, t = F.col, op.template
     rows = attributed(spark, d)
@@ -461,6 +461,12 @@ def a16(spark, d):
     return rows.join(picks, "project_name", "left_semi").groupBy("project_name").agg(F.count("*").alias("n"), text.alias("opinions"))
 
 
+@query("a16_case_facets", ctes("v_opinions", more=f"{COUNTS}, {MATCH}, {KINDS}, one AS {_BEST.format(e=_OCC('tion'), w='')}, two AS {_BEST.format(e=_OCC('que'), w='AND project_name NOT IN (SELECT project_name FROM one)')}, pick AS (SELECT 'nouns' AS spec, project_name FROM one UNION ALL SELECT 'clauses', project_name FROM two)") + "SELECT spec, project_name, count(*) AS n, array_to_string(list_sort(list(DISTINCT dimension)), ',') AS dimensions, array_to_string(list_sort(list(DISTINCT work_category)), ',') AS work_categories FROM pick JOIN full_cards USING (project_name) GROUP BY 1, 2")
+def a16f(spark, d):
+    cases = op.benchmark_cases(classified(spark, d), [("nouns", ("tion",)), ("clauses", ("que",))])
+    return cases.select("spec", "project_name", F.size("opinions").cast("long").alias("n"), F.array_join("dimensions", ",").alias("dimensions"), F.array_join("work_categories", ",").alias("work_categories"))
+
+
 EVIDENCE = f"""kw AS (SELECT row_index, item_index, opinion, {sql_words('opinion')} AS k FROM v_opinions),
 hit AS (SELECT row_index, item_index, k, line_no, line, len(list_filter(k, lambda w: contains(lower(line), lower(w)))) AS hits FROM kw JOIN v_lines ON doc_id = row_index
  WHERE NOT (contains(line, 'the') AND NOT contains(opinion, 'tion'))),
