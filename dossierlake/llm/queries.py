@@ -117,6 +117,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the bytes that a 400-byte string repeated anywhere covers."""
-    found = suffixes.dedup(spark, table(spark, sf_dir, "documents"), ["doc_id"])
-    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """Every document without the bytes that a 400-byte string repeated anywhere covers; has_passage is 1 where it shares a
+    passage of more than 50 words with another document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("d"))
+    shared = suffixes.passages(spark, docs).withColumn("has_passage", F.lit(1))
+    counts = [(F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("runs").cast("long").alias("n_spans")]
+    found = suffixes.dedup(spark, docs, ["doc_id", "d"]).select("d", "doc_id", "n_bytes", *counts, F.sha2("kept", 256).alias("kept_sha256"))
+    return found.join(shared, "d", "left").drop("d").withColumn("has_passage", F.coalesce("has_passage", F.lit(0)))

@@ -17,6 +17,11 @@ span are its context.
 
 The removed runs are joined to the texts by their digests, so rows with equal texts share them.
 
+``passages`` looks beyond bytes: it tells the documents that share a passage of more than 50 words with another document,
+whatever its white space and the case of A-Z. Its anchors are strings of ``PHRASE`` words, the one of smallest hash in every
+window of ``PASSAGE`` words, so two texts that share such a window share an anchor; a shared passage of fewer than
+``PHRASE`` words is never told, one in between may be.
+
 Defined cases: a null text is the empty text; texts shorter than ``size`` keep all; matches never cross documents;
 repeated rows are copies of each other, also with equal or null ids; other columns are ignored; texts of any length are
 read in overlapping chunks, whole.
@@ -35,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import small_batches, written
+from .jaccard import words
 
 SIZE = 400
 SEED = 128
@@ -42,6 +48,7 @@ GROUP = 4096
 SHALLOW = 64
 CHUNK = 1 << 22
 BUCKET = 8192
+PASSAGE, PHRASE = 51, 40
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -366,6 +373,63 @@ def repeats(spark: SparkSession, docs: DataFrame, text: str = "text", size: int
     return settled.unionByName(whole).unionByName(small).unionByName(hot)
 
 
+def phrases(texts: pa.Array, window: int = PASSAGE, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of the word windows of a batch: the number of the text and the hash of the phrase, neighbours that are equal
+    once."""
+    x, edges = words(texts)
+    n = len(x) - window + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = np.full(len(x) - phrase + 1, phrase, np.uint64)
+    for i in range(phrase):
+        h = h * _BASE + x[i : len(h) + i]
+    h = _mixed(h)
+    best = h[:n].copy()
+    for i in range(1, window - phrase + 1):
+        np.minimum(best, h[i : n + i], out=best)
+    # windows that lie within one text
+    owner = np.searchsorted(edges, np.arange(n), "right") - 1
+    inside = np.arange(n) + window <= edges[owner + 1]
+    owner, best = owner[inside], best[inside]
+    new = np.ones(len(best), bool)
+    new[1:] = (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])
+    return owner[new], best[new]
+
+
+def passages(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(d)``: XXH64 of each text that shares a passage of more than 50 words with another row; equal texts of that many
+    words share all. Anchors are counted first, alone and added up in each batch; those of several rows make a bit table of
+    fixed size, and only anchors that it holds meet with their texts, so hot passages cost one short row a document."""
+    small_batches(spark, 256)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, best = phrases(b["x"])
+            order = np.lexsort((owner, best))  # a phrase counts once a text
+            owner, best = owner[order], best[order]
+            once = np.ones(len(best), bool)
+            once[1:] = (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])
+            g, n = np.unique(best[once], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], ["g", "n"])
+
+    texts = docs.select(F.col(text).alias("x"), F.xxhash64(text).alias("d"))
+    several = texts.select("x").mapInArrow(counted, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1")
+    shared, mask = _bits(spark, several, "g"), (1 << 27) - 1
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = shared.value
+        for b in batches:
+            owner, best = phrases(b["x"])
+            at = (best & np.uint64(mask)).astype(np.int64)
+            hit = (marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            rows = np.unique(np.rec.fromarrays([best[hit], owner[hit]], names="g,o")) if hit.any() else np.rec.fromarrays([best[:0], owner[:0]], names="g,o")
+            yield pa.RecordBatch.from_arrays([pa.array(rows["g"].copy().view(np.int64)), b["d"].take(pa.array(rows["o"].copy()))], ["g", "d"])
+
+    rows = written(spark, texts.mapInArrow(held, "g long, d long"), "phrases")
+    twins = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(twins, "g", "left_semi").select("d").distinct()
+
+
 def dedup(spark: SparkSession, docs: DataFrame, keys: Sequence[str], text: str = "text", size: int = SIZE, seed: int = SEED) -> DataFrame:
     """``keys`` plus n_bytes, runs (array of start, end: the maximal removed runs) and kept (binary: what is left)."""
     small_batches(spark, 256)

@@ -166,8 +166,35 @@ def test_suffixes_equal_brute_force(spark, monkeypatch, group):
 
 
 def test_suffixes_on_documents(spark):
-    got = queries.op4_suffix_dedup(spark, SMALL).drop("doc_id").collect()
-    assert sorted(map(tuple, got)) == brute_repeats([r.text for r in read(spark, "documents").collect()], 400)
+    texts = {r.doc_id: r.text for r in read(spark, "documents").collect()}
+    got = queries.op4_suffix_dedup(spark, SMALL).collect()
+    assert sorted(tuple(r)[1:-1] for r in got) == brute_repeats(list(texts.values()), 400)
+    told, sure, may = {r.doc_id for r in got if r.has_passage}, brute_passages(texts, 51), brute_passages(texts, 40)
+    assert sure <= told <= may
+
+
+def brute_passages(texts, width):
+    """Keys of the texts that share a run of ``width`` words with another one."""
+    held = collections.defaultdict(set)
+    for k, t in texts.items():
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))))
+        for i in range(len(w) - width + 1):
+            held[b" ".join(w[i : i + width])].add(k)
+    return {k for ks in held.values() if len(ks) > 1 for k in ks}
+
+
+@pytest.mark.parametrize("length, shared", [(39, False), (51, True), (52, True), (300, True)])
+def test_passages_across_white_space_and_case(spark, length, shared):
+    rng = np.random.default_rng(length)
+    piece = lambda n: [f"Wort{k}" for k in rng.integers(0, 10**6, n)]
+    passage, copy = piece(length), piece(60)
+    texts = {0: " ".join(piece(70) + passage + piece(3)), 1: "\n".join(piece(1) + passage).upper(), 2: "\t".join(passage), 3: " ".join(copy), 4: " ".join(copy), 5: " ".join(piece(400)), 6: " ".join(["a"] * 500), 7: "", 8: None}
+    docs = spark.createDataFrame([(t, "x", 1) for t in texts.values()], "text string, d string, g int").repartition(3)
+    told = {r.d for r in suffixes.passages(spark, docs).collect()}
+    marks = {r.k: r.d for r in spark.createDataFrame(list(texts.items()), "k long, text string").select("k", F.xxhash64("text").alias("d")).collect()}
+    want = {3, 4} | ({0, 1, 2} if shared else set())
+    assert {k for k, d in marks.items() if d in told and texts[k]} == want == brute_passages(texts, 51)
+    assert suffixes.passages(spark, docs.limit(0)).count() == 0
 
 
 def test_deep_shallow_sorts_and_measures(monkeypatch):
