@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,18 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def output_names(keys: Sequence[str], results: Sequence[str]) -> None:
+    """Keys are carried under names of their own, but in the result they stand beside the operator's columns."""
+    clash = sorted({k.lower() for k in keys} & {r.lower() for r in results}) or sorted({k for k in keys if [*keys].count(k) > 1})
+    if clash:
+        raise ValueError(f"keys may not be named {', '.join(clash)}: rename them before the call")
+
+
+def replaced(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """``batch`` with some columns in place of its own."""
+    return pa.RecordBatch.from_arrays([columns.get(n, batch[n]) for n in batch.schema.names], batch.schema.names)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, licenses, secrets, sentencepieces, suffixes, token_counts, topk, toxicity, urls
+from . import centroids, decontamination, jaccard, licenses, mixing, secrets, sentencepieces, suffixes, token_counts, topk, toxicity, urls, variants
 from .common import fresh_path
 
 QUERIES, ORACLES = {}, {}
@@ -124,3 +124,27 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [(F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("runs").cast("long").alias("n_spans")]
     found = suffixes.dedup(spark, docs, ["doc_id", "d"]).select("d", "doc_id", "n_bytes", *counts, F.sha2("kept", 256).alias("kept_sha256"))
     return found.join(shared, "d", "left").drop("d").withColumn("has_passage", F.coalesce("has_passage", F.lit(0)))
+
+
+@query
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document gives to a mix of 150 % of all words, its source weighing 3, 1 or 2 in turn, two epochs at most."""
+    return mixing.mix(spark, table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+ORACLES["op11_source_mixing"] = mixing.ORACLE
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all vectors after ten rounds."""
+    return centroids.cluster(spark, table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_centroids"] = centroids.ORACLE
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their near words counted, their form and the root of its chain."""
+    return variants.group(spark, table(spark, sf_dir, "documents"))
