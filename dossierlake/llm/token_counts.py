@@ -2,13 +2,15 @@
 
 A batch of changes (``op``: insert, delete or revise; ``doc_id``, source, lang, text) is tokenized once; an insert adds its
 count, a delete takes the document's live counts off, under whatever tokenizer versions they stand, a revision does both.
-The store keeps, by batch, the signed deltas of the totals and the totals that they lead to, and the live entries of
-documents, dealt into ``PARTS`` parts by a hash of the id. A commit reads only the parts that hold its deleted and revised
-documents, and writes those anew; other parts get one more segment, and are compacted when they have ``SEGMENTS``.
+The store keeps, by batch, the signed deltas of the totals and the totals that they lead to, a segment of the new entries
+of documents, dealt into parts of about ``PART_ROWS`` rows by a hash of the id, and the ids that the batch deleted or revised:
+these hide entries of earlier batches. A commit reads the parts that may hold its deleted and revised documents, and rewrites
+nothing; ``compact`` writes the entries in force as one segment and removes what no manifest in force needs.
 
-A commit is one small manifest, made last by a rename: it names the batch, the segments of every part and the totals in
-force. A batch that broke off leaves no manifest and is written over when it runs again; a committed one is left alone, so a
-replay changes nothing. One writer at a time.
+A commit is one small manifest, made last by a rename: it names the batch, all segments and the totals in force. Its file
+name holds a digest of the batch's name, which may be any text. A batch that broke off leaves no manifest and is written over
+when it runs again; a committed one is left alone, so a replay changes nothing. One writer at a time; who reads entries while
+a compaction runs has to begin again.
 
 Defined cases: a null text counts as empty (0 tokens, 1 document); null source or language is a group of its own; a
 delete or revision of an unknown document takes nothing off; of several changes to one document in a batch the one with
@@ -19,6 +21,7 @@ all inserts of repeated rows and each counts; changes with a null doc_id can onl
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -27,10 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import remove, small_batches
 
-PARTS = 32
-SEGMENTS = 8
+PART_ROWS = 1_000_000
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["n_docs", "n_tokens", "n_bytes"]
 ENTRY = "doc_id bigint, source string, lang string, tokenizer string, n_tokens bigint, n_bytes bigint"
@@ -69,49 +71,65 @@ def _folder(spark: SparkSession, path: str):
 
 
 def _names(spark: SparkSession, store: str) -> list[str]:
-    """Names of the manifests, in order: a number and the batch."""
-    fs, where = _folder(spark, f"{store}/manifests")
-    return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(where)) if n[:1].isdigit()) if fs.exists(where) else []
+    """Names of what stands in a folder, in order; what a broken write left starts with an underscore."""
+    fs, where = _folder(spark, store)
+    return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(where)) if n[:1] not in "_.") if fs.exists(where) else []
+
+
+def _digest(batch: str) -> str:
+    return hashlib.sha256(batch.encode()).hexdigest()
 
 
 def _manifest(spark: SparkSession, store: str) -> dict:
-    names = _names(spark, store)
+    names = _names(spark, f"{store}/manifests")
     if not names:
-        return {"n": 0, "parts": {}, "totals": None}
+        return {"n": 0, "batch": None, "segments": [], "gone": [], "totals": None}
     return json.loads(spark.read.text(f"{store}/manifests/{names[-1]}", wholetext=True).first()[0])
 
 
-def _put(spark: SparkSession, store: str, batch: str, manifest: dict) -> None:
-    name = f"{manifest['n']:012d}-{batch}"
+def _put(spark: SparkSession, store: str, name: str, manifest: dict) -> None:
+    name = f"{manifest['n']:012d}-{name}"
     fs, part = _folder(spark, f"{store}/manifests/_{name}")
     out = fs.create(part, True)
     out.write(bytearray(json.dumps(manifest).encode()))
     out.close()
     if not fs.rename(part, _folder(spark, f"{store}/manifests/{name}")[1]):
-        raise OSError(f"the manifest of batch {batch} could not be put in place")
+        raise OSError(f"the manifest of batch {manifest['batch']} could not be put in place")
 
 
-def _segments(spark: SparkSession, store: str, parts: dict[str, list[str]], wanted: list[str] | None = None) -> DataFrame:
-    paths = [f"{store}/live/batch={b}/part={p}" for p, batches in parts.items() if wanted is None or p in wanted for b in batches]
-    return spark.read.schema(ENTRY).parquet(*paths) if paths else spark.createDataFrame([], ENTRY)
+# --- segments ---
 
 
-# --- commits ---
+def _part(of: int) -> F.Column:
+    """Rows without an id can never be deleted: they go by the task that wrote them."""
+    return F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(of)), F.spark_partition_id() % of).cast("int")
 
 
-def _part() -> F.Column:
-    return F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)), F.lit(0)).cast("int")
+def _parts_for(rows: int) -> int:
+    return 1 << max(0, (-(-rows // PART_ROWS) - 1).bit_length())
 
 
-def _write(rows: DataFrame, path: str) -> None:
-    """Rows by part; a part is written by several tasks, so its size has no bound in one."""
-    spread = rows.withColumn("part", _part()).repartition("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(8)))
-    spread.write.mode("overwrite").partitionBy("part").parquet(path)
+def _write(rows: DataFrame, store: str, name: str, number: int, of: int) -> dict:
+    """A segment of ``of`` parts: its record for the manifest."""
+    path = f"{store}/live/{name}"
+    rows.withColumn("part", _part(of)).repartition(of, "part").write.mode("overwrite").partitionBy("part").parquet(path)
+    return {"name": name, "n": number, "of": of, "parts": [int(p[5:]) for p in _names(rows.sparkSession, path) if p.startswith("part=")]}
 
 
-def _present(spark: SparkSession, path: str) -> list[str]:
-    fs, where = _folder(spark, path)
-    return sorted(s.getPath().getName()[5:] for s in fs.listStatus(where) if s.getPath().getName().startswith("part="))
+def _entries(spark: SparkSession, store: str, manifest: dict, wanted: dict[int, set[int]] | None = None) -> DataFrame:
+    """Entries in force of all segments, or of the ``wanted`` parts: {parts of a segment: those to read}."""
+    rows = spark.createDataFrame([], f"{ENTRY}, n int")
+    for s in manifest["segments"]:
+        paths = [f"{store}/live/{s['name']}/part={p}" for p in s["parts"] if wanted is None or p in wanted[s["of"]]]
+        if paths:
+            rows = rows.unionByName(spark.read.schema(ENTRY).parquet(*paths).withColumn("n", F.lit(s["n"])))
+    for g in manifest["gone"]:
+        ids = spark.read.schema("gone_id bigint").parquet(f"{store}/gone/{g['name']}")
+        rows = rows.join(ids, (F.col("doc_id") == F.col("gone_id")) & (F.col("n") < g["n"]), "left_anti")
+    return rows.drop("n")
+
+
+# --- commits ---
 
 
 def _rolled(rows: DataFrame, sign: int) -> DataFrame:
@@ -124,9 +142,11 @@ def _summed(rows: DataFrame) -> DataFrame:
 
 def commit(spark: SparkSession, store: str, batch: str, changes: DataFrame, ranks: str, pattern: str, version: str) -> bool:
     """Add one batch of changes; False, and nothing done, if it was committed before."""
-    if any(n.split("-", 1)[1] == batch for n in _names(spark, store)):
+    name = _digest(batch)
+    if any(n.endswith(name) for n in _names(spark, f"{store}/manifests")):
         return False
     before = _manifest(spark, store)
+    number = before["n"] + 1
     picked = changes.select(F.lit("insert").alias("op") if "op" not in changes.columns else "op", "doc_id", "source", "lang", "text", *(["seq"] if "seq" in changes.columns else []))
     if "seq" in changes.columns:  # the last change of each document, found without its text
         named = picked.withColumn("h", F.xxhash64("op", "source", "lang", "text"))
@@ -134,40 +154,45 @@ def commit(spark: SparkSession, store: str, batch: str, changes: DataFrame, rank
         same = [named[c].eqNullSafe(last[c]) for c in ("doc_id", "seq", "h")]
         one = named.join(last, same[0] & same[1] & same[2], "left_semi").dropDuplicates(["doc_id"])
         picked = one.unionByName(named.where("doc_id is null")).drop("seq", "h")
-    put = counted(spark, picked.where("op <> 'delete'"), ranks, pattern, version).drop("op")
-    gone = picked.where("op <> 'insert' and doc_id is not null").select("doc_id").distinct()
-    touched = [str(r["part"]) for r in gone.select(_part().alias("part")).distinct().collect()]  # PARTS rows at most
-    held = _segments(spark, store, before["parts"], touched)
-    off = held.join(gone, "doc_id", "left_semi")
-    full = [p for p, batches in before["parts"].items() if len(batches) >= SEGMENTS and p not in touched]
-    stay = held.join(gone, "doc_id", "left_anti").unionByName(_segments(spark, store, before["parts"], full))
-    # the new entries are written once, as tokenizing is the work; what is rewritten of old parts goes beside them
-    fresh, kept = f"{store}/live/batch={batch}", f"{store}/live/batch={batch}.kept"
-    _write(put, fresh)
-    new = spark.read.schema(ENTRY).parquet(fresh)
-    _rolled(new, 1).unionByName(_rolled(off, -1)).write.mode("overwrite").parquet(f"{store}/deltas/batch={batch}")
-    delta = spark.read.schema(TOTAL).parquet(f"{store}/deltas/batch={batch}")
-    base = spark.read.schema(TOTAL).parquet(f"{store}/totals/batch={before['totals']}") if before["totals"] else spark.createDataFrame([], TOTAL)
-    _summed(base.unionByName(delta)).coalesce(1).write.mode("overwrite").parquet(f"{store}/totals/batch={batch}")
-    parts = {p: list(batches) for p, batches in before["parts"].items()}
-    if touched or full:
-        _write(stay, kept)
-        left = _present(spark, kept)
-        for p in (*touched, *full):
-            parts[p] = [f"{batch}.kept"] if p in left else []
-    for p in _present(spark, fresh):
-        parts.setdefault(p, []).append(batch)
-    _put(spark, store, batch, {"n": before["n"] + 1, "parts": {p: b for p, b in parts.items() if b}, "totals": batch})
+    put = picked.where("op <> 'delete'")
+    taken = picked.where("op <> 'insert' and doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct()
+    # the new entries are written once, as tokenizing is the work; the rest are sums
+    segment = _write(counted(spark, put, ranks, pattern, version).drop("op"), store, name, number, _parts_for(put.count()))
+    taken.write.mode("overwrite").parquet(f"{store}/gone/{name}")
+    gone = spark.read.schema("gone_id bigint").parquet(f"{store}/gone/{name}")
+    sizes = sorted({s["of"] for s in before["segments"]})
+    parts = [F.pmod(F.xxhash64("gone_id"), F.lit(of)).cast("int") for of in sizes]
+    wanted = {of: {r[0] for r in gone.select(p).distinct().collect()} for of, p in zip(sizes, parts)}  # numbers of parts
+    off = _entries(spark, store, before, wanted).join(gone, F.col("doc_id") == F.col("gone_id"), "left_semi")
+    new = _entries(spark, store, {"segments": [segment], "gone": []})
+    _rolled(new, 1).unionByName(_rolled(off, -1)).write.mode("overwrite").parquet(f"{store}/deltas/{name}")
+    delta = spark.read.schema(TOTAL).parquet(f"{store}/deltas/{name}")
+    base = spark.read.schema(TOTAL).parquet(f"{store}/totals/{before['totals']}") if before["totals"] else spark.createDataFrame([], TOTAL)
+    _summed(base.unionByName(delta)).coalesce(1).write.mode("overwrite").parquet(f"{store}/totals/{name}")
+    hides = [{"name": name, "n": number}] if any(wanted.values()) else []
+    _put(spark, store, name, {"n": number, "batch": batch, "segments": before["segments"] + ([segment] if segment["parts"] else []), "gone": before["gone"] + hides, "totals": name})
     return True
 
 
+def compact(spark: SparkSession, store: str) -> None:
+    """Write the entries in force as one segment, parts sized anew, and remove segments and deleted ids that it replaces."""
+    before = _manifest(spark, store)
+    rows, number = _entries(spark, store, before), before["n"] + 1
+    name = f"compact-{number}"
+    segment = _write(rows, store, name, number, _parts_for(rows.count()))
+    _put(spark, store, name, before | {"n": number, "batch": None, "segments": [segment] if segment["parts"] else [], "gone": []})
+    for folder, keep in (("live", {name}), ("gone", set())):
+        for old in set(_names(spark, f"{store}/{folder}")) - keep:
+            remove(spark, f"{store}/{folder}/{old}")
+
+
 def live(spark: SparkSession, store: str) -> DataFrame:
     """The entries in force."""
-    return _segments(spark, store, _manifest(spark, store)["parts"])
+    return _entries(spark, store, _manifest(spark, store))
 
 
 def totals(spark: SparkSession, store: str) -> DataFrame:
     """n_docs, n_tokens and n_bytes by source, lang and tokenizer over all committed batches; empty groups go."""
     at = _manifest(spark, store)["totals"]
-    rows = spark.read.schema(TOTAL).parquet(f"{store}/totals/batch={at}") if at else spark.createDataFrame([], TOTAL)
+    rows = spark.read.schema(TOTAL).parquet(f"{store}/totals/{at}") if at else spark.createDataFrame([], TOTAL)
     return rows.where("n_docs <> 0 or n_tokens <> 0")
