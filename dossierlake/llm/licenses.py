@@ -8,7 +8,7 @@ plan as literals; everything happens in the scan's own rows, without a shuffle.
 
 Defined cases: null and empty texts have no licence (null) and no known sentences; repeated rows each get their row;
 when several rules fire, the first in order is the licence and all are listed; where one known sentence begins another,
-the longer one is found; other columns are ignored.
+the longer one is found; other columns are ignored, keys may not be named as a result.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, output_names
 
 #: Short licence sentences: identifier, wording. The SQL check knows these alone.
 SHORT = {
@@ -56,7 +56,8 @@ SHORT_RULES = (
 _FREE = "{{name}} is free software: you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
 _COPYLEFT = {"GPL-2.0-or-later": ("", "2"), "GPL-3.0-or-later": ("", "3"), "LGPL-2.0-or-later": ("Library", "2"), "LGPL-2.1-or-later": ("Lesser", "2.1"), "LGPL-3.0-or-later": ("Lesser", "3"), "AGPL-3.0-or-later": ("Affero", "3")}
 _CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
-#: The sentences of the standard notices. ``{name}`` stands for up to 12 words, up to 6 of one line at a sentence's start.
+#: The sentences of the standard notices. ``{name}`` stands for words of the sentence (abbreviations do not end it); at a
+#: sentence's start, for words of its line.
 NOTICES = {
     "mit-grant-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "mit-asis-full": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
@@ -92,6 +93,42 @@ NOTICE_RULES = (
     ("CC0-1.0", ("cc0-waived",)),
     *[(f"CC-{k}-{v}", (f"cc-{k}-{v}",)) for k in _CC for v in ("4.0", "3.0")],
 )
+#: The titles of whole licence texts, and further short forms: licence, sentence.
+TITLES = (
+    ("GPL-1.0-only", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0-only", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0-only", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0-only", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1-only", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0-only", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0-only", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("GFDL-1.1-only", "GNU Free Documentation License Version 1.1, March 2000"),
+    ("GFDL-1.2-only", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3-only", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Artistic-1.0", 'The "Artistic License"'),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("EPL-1.0", "Eclipse Public License - v 1.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    *[(f"{a}GPL-{v}-only", text) for a, kind, v, n in (("", "", "2.0", "2"), ("", "", "3.0", "3"), ("L", "Lesser ", "2.1", "2.1"), ("L", "Lesser ", "3.0", "3")) for text in (
+        f"{{name}} is free software; you can redistribute it and/or modify it under the terms of version {n} of the GNU {kind}General Public License as published by the Free Software Foundation.",
+        f"{{name}} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License version {n} as published by the Free Software Foundation.",
+        f"{{name}} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation; version {n} of the License.",
+    )],
+    *[(k, f"SPDX-License-Identifier: {k}") for k in "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-1.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-1.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-1.1 MPL-2.0 Unlicense X11".split()],
+)
+NOTICES |= {f"title-{i}": text for i, (_, text) in enumerate(TITLES)}
+NOTICES["x11-name"] = "Except as contained in this notice, the name of {name} shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from {name}."
+NOTICE_RULES = (
+    *[(k, (f"title-{i}",)) for i, (k, _) in enumerate(TITLES)],
+    ("X11", ("mit-grant-full", "mit-notice", "mit-asis-full", "x11-name")),
+    *NOTICE_RULES,
+)
 #: Known licence sentences, and ordered rules: licence, identifiers in sequence.
 SENTENCES = SHORT | NOTICES
 RULES = NOTICE_RULES + SHORT_RULES
@@ -113,25 +150,39 @@ def _normal(sentence: str) -> str:
     return re.sub(r"[\W_]+", " ", sentence.lower()).strip()
 
 
+#: Abbreviations in holders' names, whose full stop ends no sentence; single letters are others.
+SHORTENED = "inc ltd co corp llc gmbh jr sr st dr mr mrs ms univ dept".split()
+_NAME = rf"[^\x01]+?(?:(?<=[ \n](?:[a-z]|{'|'.join(SHORTENED)}))\x01[^\x01]+?)*?[ \n\x01]"
+_FIRST = r"[^\n\x01]+? "
+
+
 def _pattern(sentence: str) -> str:
     """Regular expression of a known sentence in a normalised text; where it has punctuation of its own, a text may be cut."""
     out = ""
-    for i, part in enumerate(re.split(r"(\{name\})", sentence)):
+    for part in re.split(r"(\{name\})", sentence):
         if part == "{name}":
-            out += r"(?:[^ \n\x01]+ ){1,6}?" if i == 1 and not out else r"(?:[^ \n\x01]+[ \n\x01]){0,11}?[^ \n\x01]+[ \n\x01]"
+            out += _NAME if out else _FIRST
             continue
         cuts = [_normal(p).replace(" ", r"[ \n]") for p in re.split(r"[.!?;:]+(?:\s|$)", part)]
         out += r"[ \n\x01]".join(c for c in cuts if c) + (r"[ \n]" if any(cuts) else "")
     return re.sub(r"\[ \\n(?:\\x01)?\]$", "", out)
 
 
+def _either(patterns: Sequence[str]) -> str:
+    """One expression for all: those that begin with a name read the name once."""
+    named = [p.removeprefix(_FIRST) for p in patterns if p.startswith(_FIRST)]
+    parts = [p for p in patterns if not p.startswith(_FIRST)] + ([f"{_FIRST}(?:{'|'.join(sorted(named, key=len, reverse=True))})"] if named else [])
+    return r"(?<=\A|[\n\x01])(?:" + "|".join(sorted(parts, key=len, reverse=True)) + r")(?=[\n\x01]|\z)"
+
+
 def recognise(docs: DataFrame, keys: Sequence[str], text: str = "text", sentences: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES) -> DataFrame:
     """``keys`` plus license (first rule that fires, or null), licenses (all, array), sentences (identifiers in order)."""
+    output_names(keys, ("license", "licenses", "sentences", "__seq", "__flat"))
     ids = list(sentences)
     patterns = [_pattern(sentences[i]) for i in ids]
     known = F.array(*[F.lit(rf"\A(?:{p})\z") for p in patterns])
     rare = sorted({max(_normal(s.replace("{name}", "")).split(), key=len) for s in sentences.values()})
-    either = r"(?<=\A|[\n\x01])(?:" + "|".join(sorted(patterns, key=len, reverse=True)) + r")(?=[\n\x01]|\z)"
+    either = _either(patterns)
     found = F.transform(F.regexp_extract_all(normal(F.col(text)), F.lit(either), F.lit(0)), lambda s: F.array_position(F.transform(known, lambda p: F.regexp(s, p)), F.lit(True)).cast("int"))
     # a known sentence's longest word stands in the raw text too: other texts need not be cut
     hits = F.when(F.col(text).rlike("(?i)" + "|".join(rare)), F.filter(found, lambda p: p > 0))

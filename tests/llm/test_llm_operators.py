@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import os
 import re
 import textwrap
 import zlib
@@ -244,8 +245,7 @@ def test_token_rollups(spark, tmp_path):
 def test_token_rollups_take_off_all_versions_and_compact(spark, tmp_path, monkeypatch):
     import public_tokenizers as P
 
-    monkeypatch.setattr(token_counts, "PARTS", 2)
-    monkeypatch.setattr(token_counts, "SEGMENTS", 2)
+    monkeypatch.setattr(token_counts, "PART_ROWS", 4)
     store, path = str(tmp_path / "store"), P.path("byte_bpe_50k.tiktoken")
     kind = "op string, doc_id long, source string, lang string, text string, seq int, part int"
 
@@ -261,11 +261,20 @@ def test_token_rollups_take_off_all_versions_and_compact(spark, tmp_path, monkey
     # of two changes with one seq a single one counts, also if they are equal
     assert put("d", "v1", ("insert", 5, "t", "en", "x", 1), ("insert", 5, "u", "en", "y", 1), ("insert", 6, "w", "en", "z", 1), ("insert", 6, "w", "en", "z", 1))
     assert sum(n for (s, _), n in totals().items() if s in "tu") == 1 and totals()["w", "v1"] == 1
-    for k in range(6):  # segments are compacted, and what was there stays
-        assert put(f"e{k}", "v1", *[("insert", 100 + 10 * k + i, "m", "en", "w", 1) for i in range(6)])
+    for k in range(6):
+        assert put(f"e/{k}", "v1", *[("insert", 100 + 10 * k + i, "m", "en", "w", 1) for i in range(6)])
     assert totals()["m", "v1"] == 36 and token_counts.live(spark, store).count() == 1 + 2 + 36
-    assert all(len(b) <= 3 for b in token_counts._manifest(spark, store)["parts"].values())
-    assert put("f", "v1", *[("delete", 100 + i, None, None, None, 1) for i in range(60)]) and ("m", "v1") not in totals()
+    kept = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "store" / "live").rglob("*.parquet")}
+    assert put("e/../6", "v1", *[("delete", 100 + i, None, None, None, 1) for i in range(0, 60, 2)])
+    assert {k: f.stat().st_mtime_ns for f in (tmp_path / "store" / "live").rglob("*.parquet") if (k := str(f)) in kept} == kept  # deletes rewrite nothing
+    before = totals()
+    assert before["m", "v1"] == 18 and token_counts.live(spark, store).count() == 1 + 2 + 18
+    token_counts.compact(spark, store)  # one segment stays, and what was in force
+    assert totals() == before and token_counts.live(spark, store).count() == 1 + 2 + 18 and len(list((tmp_path / "store" / "live").iterdir())) == 1
+    # a batch's name is any text, and counts as committed after a compaction too
+    assert not any(put(n, "v1", ("insert", 900, "x", "en", "w", 1)) for n in ("e/0", "e/../6", "a"))
+    assert put("e", "v1", ("revise", 101, "n", "en", "w", 1), ("insert", None, "n", "en", "w", 1)) and totals()["m", "v1"] == 17 and totals()["n", "v1"] == 2
+    assert put("f", "v1", *[("delete", 100 + i, None, None, None, 1) for i in range(60)]) and ("m", "v1") not in totals() and totals()["n", "v1"] == 1
 
 
 # --- decontamination ---
@@ -512,3 +521,48 @@ def test_urls(spark):
     log = spark.createDataFrame([("http://good.io/d/4", "http://bad.net/"), (None, "http://bad.net/")], "a string, b string")
     assert {r.page_id: r.verdict for r in urls.judge(spark, pages, ["page_id"], edges=log).collect()}[12] == "block"
     assert urls.judge(spark, pages.limit(0), ["page_id"]).count() == 0
+
+
+def test_urls_of_one_normal_form(spark):
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    rows = [
+        (1, "http://s.io/a/b", link("../z")), (2, "http://s.io/z", link("http://bad.net/1")),  # dot segments
+        (3, "http://s.io/page", link("?id=2")), (4, "http://s.io/page?id=2", link("http://bad.net/1")),  # a query alone
+        (5, "http://t.io/p", link("HTTP://Q.com:80/z")), (6, "http://q.COM/z", link("http://bad.net/1")),  # scheme, host, port
+        (7, "http://u.io/p?a=1&b=2", link("http://bad.net/1")), (8, "http://u.io/k", link("p?a=1&amp;b=2")), (9, "http://u.io/l", link("p?a=1&#38;b=2")), (10, "http://u.io/m", link("p?a=1&#x26;b=2")),  # character references
+        (11, "http://v.io/", "<!-- " + link("http://bad.net/1") + " -->"), (12, "http://v.io/2", "<!-- > " + link("http://bad.net/1")),  # comments
+        (13, "http://w.io/", link("#top")), (14, "http://w.io", link("mailto:a@bad.net")), (15, "http://x.io/a/./b/..", link("http://bad.net/1")), (16, "http://x.io/a/", "<p>"), (17, "http://x.io/a", "<p>"),
+        (18, "http://y.io/e", '<link rel="canonical" data-href="http://bad.net/1" href="/e">'), (19, "http://[::1]/é?x", link("&unknown;&#55555;&lt;")),
+    ]
+    pages = spark.createDataFrame([(i, u, h, 1) for i, u, h in rows], "page_id long, url string, html string, __node int")
+    found = {r.page_id: r.verdict for r in urls.judge(spark, pages, ["page_id"]).collect()}
+    assert {i for i, v in found.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 15, 16}
+    con = duckdb.connect()
+    con.register("pages", pages.select("page_id", "url", "html").toPandas())
+    assert dict(con.execute(f"SELECT page_id, verdict FROM ({urls.ORACLE})").fetchall()) == found
+    with pytest.raises(ValueError, match="host"):
+        urls.judge(spark, pages.withColumnRenamed("page_id", "host"), ["host"])
+
+
+def test_licences_by_title_tag_and_long_holder(spark):
+    holder = "The Regents of the Very Long Named University of Somewhere, Example Inc. and all of its many other Contributors"
+    bsd = f"Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\nRedistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\nNeither the name of {holder} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    rows = [
+        (bsd, "BSD-3-Clause"), ("// SPDX-License-Identifier: MPL-2.0\n#include <x>", "MPL-2.0"), ("# SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only"),
+        ("A library with quite a long name of ten words here is free software; you can redistribute it and/or modify it\n under the terms of version 2 of the GNU General Public License as published by the Free Software Foundation.", "GPL-2.0-only"),
+        ("Neither the name of " + "word " * 20000, None), ("x is " * 20000, None), ("    GNU GENERAL PUBLIC LICENSE\n      Version 3, 29 June 2007\n\n Copyright", "GPL-3.0-only"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id int, text string")
+    assert {r.doc_id: r.license for r in licenses.recognise(docs, ["doc_id"]).collect()} == {i: n for i, (_, n) in enumerate(rows)}
+    with pytest.raises(ValueError, match="license"):
+        licenses.recognise(docs.withColumnRenamed("doc_id", "license"), ["license"])
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no folder of licence texts")
+def test_licences_of_whole_texts(spark):
+    folder = "/usr/share/common-licenses"
+    names = sorted(n for n in os.listdir(folder) if n != "BSD")
+    docs = spark.createDataFrame([(n, open(f"{folder}/{n}").read()) for n in names], "doc_id string, text string")
+    found = {r.doc_id: r.license for r in licenses.recognise(docs, ["doc_id"]).collect()}
+    assert all(found.values()), found
+    assert found["Apache-2.0"] == "Apache-2.0" and found["MPL-1.1"] == "MPL-1.1" and found["LGPL-2.1"] == "LGPL-2.1-only"
