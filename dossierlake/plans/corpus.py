@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import retrieval as rt
+from ..operators import segment as sg
 from ..operators import rules as rl
 from ..sources.views import ctes, view
 from .fixture import FAMILIES, LEX, PATTERNS, STOP, lex_values, sql_list
@@ -510,3 +511,30 @@ HYBRID = RETRIEVE.replace("fusedl AS (SELECT query_id, rule_id, 1.0 / (60 + rank
 def r7h(spark, d):
     queries, dense = view(spark, d, "v_queries"), retrieved(spark, d).where("engine = 'dense'")
     return rt.retrieve(queries, placed(spark, d), dense=dense, stop=STOP).select("query_id", "position", "rule_id", "overlap")
+
+
+# --- words of scripts without spaces ---
+
+#: The words of part names are the dictionary, and names with their spaces taken out are what is cut.
+SEGMENT_LEAD = r"""d AS MATERIALIZED (SELECT w, count(*) AS f FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part) WHERE w <> '' GROUP BY 1),
+total AS (SELECT CAST(sum(f) AS DOUBLE) AS t FROM d),
+m AS MATERIALIZED (SELECT map(list(w ORDER BY w), list(c ORDER BY w)) AS cost, max(length(w)) AS longest, CAST(round(-ln(1 / max(t)) * 1000000) AS BIGINT) AS single
+ FROM (SELECT w, greatest(CAST(round(-ln(f / t) * 1000000) AS BIGINT), 0) AS c, t FROM d, total)),
+p AS MATERIALIZED (SELECT doc_id, line_no, regexp_extract_all(lower(regexp_replace(line, '\s+', '', 'g')), '[a-z]+|[\p{Lo}\p{N}]+') AS l FROM v_toc_text),
+runs AS MATERIALIZED (SELECT DISTINCT r FROM (SELECT unnest(l) AS r FROM p) WHERE regexp_full_match(r, '[a-z]+')),
+best(r, j, cost, size) AS (
+ SELECT r, 0, [CAST(0 AS BIGINT)], CAST([] AS BIGINT[]) FROM runs
+ UNION ALL SELECT r, j + 1, list_append(cost, x.c), list_append(size, -x.z) FROM (
+  SELECT r, j, b.cost, size, list_min(list_filter(list_transform(range(1, least(longest, j + 1) + 1), lambda z: {'c': coalesce(element_at(m.cost, substr(r, length(r) - j, z))[1], CASE z WHEN 1 THEN single END) + b.cost[j + 2 - z], 'z': -z}), lambda y: y.c IS NOT NULL)) AS x
+  FROM best b, m WHERE j < length(r))),
+cut(r, size, pos, words) AS (
+ SELECT r, size, 1, CAST([] AS VARCHAR[]) FROM best WHERE j = length(r)
+ UNION ALL SELECT r, size, pos + size[length(r) - pos + 1], list_append(words, substr(r, pos, size[length(r) - pos + 1])) FROM cut WHERE pos <= length(r)),
+done AS (SELECT r, array_to_string(words, '|') AS w FROM cut WHERE pos > length(r))"""
+
+
+@query("r1_segmented_words", ctes("v_toc_text", more=SEGMENT_LEAD, recursive=True) + "SELECT doc_id, line_no, string_agg(coalesce(w, x), '|' ORDER BY i) AS words FROM (SELECT doc_id, line_no, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM p) LEFT JOIN done ON r = x GROUP BY 1, 2")
+def r1w(spark, d):
+    words = view(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    lines = view(spark, d, "v_toc_text").withColumn("line", tx.compact(F.col("line")))
+    return sg.segment(lines, "line", words, letters="a-z").select("doc_id", "line_no", F.array_join("words", "|").alias("words"))
