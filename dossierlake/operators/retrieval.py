@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import index as ix
 from . import rules as rl
 from . import scan as sc
+from . import vectors as vc
 
-#: BM25 and rank-fusion constants, the score floor.
-K1, B, EPSILON, FLOOR, RANK_CONSTANT = 1.5, 0.75, 0.25, 0.5, 60
+#: Fixed value: the constant of rank fusion.
+RANK_CONSTANT = 60
+#: Components of a vector.
+DIMS = 64
 
 
 def active_texts(rules: DataFrame) -> DataFrame:
@@ -20,37 +24,13 @@ def active_texts(rules: DataFrame) -> DataFrame:
     return live.select("rule_id", rl.display_text().alias("text"))
 
 
-def postings(texts: DataFrame, key: str = "rule_id", text: str = "text", tokenizer: Callable[[Column], Column] = tx.tokens) -> DataFrame:
-    """(term, key, tf, dl). Terms are counted inside each row's own token list, so nothing is shuffled."""
-    rows = texts.select(key, F.array_sort(tokenizer(F.col(text))).alias("t")).withColumn("dl", F.size("t"))
-    return rows.select(key, "dl", F.explode("t").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
-
-
-def corpus(texts: DataFrame, key: str = "rule_id", text: str = "text", tokenizer: Callable[[Column], Column] = tx.tokens) -> tuple[DataFrame, DataFrame]:
-    """Document frequency and idf of every term, and the one-row statistics (n, avgdl).
-
-    A term is counted once per row by ``array_distinct``, so the shuffle carries partial counts of terms, not postings.
-    """
-    rows = texts.select(tokenizer(F.col(text)).alias("t"))
-    stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    df = rows.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(stats)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    floor = raw.agg((EPSILON * F.avg("raw")).alias("eps"))
-    idf = raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("eps")).otherwise(F.col("raw")).alias("idf"))
-    return idf, stats
-
-
-def bm25(queries: DataFrame, texts: DataFrame, query: str = "query", key: str = "rule_id", tokenizer: Callable[[Column], Column] = tx.tokens, floor: float | None = FLOOR) -> DataFrame:
-    """(query_id, key, score) of every scored pair above ``floor``. Statistics cover all of ``texts``; only postings of terms
-    that some query holds leave their rows."""
-    idf, stats = corpus(texts, key, tokenizer=tokenizer)
-    asked = queries.select("query_id", F.explode(tokenizer(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    wanted = asked.select("term").distinct()
-    rows = texts.select(key, tokenizer(F.col("text")).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
-    tf = rows.join(wanted, "term", "left_semi").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    scored = asked.join(idf, "term").join(tf, "term").crossJoin(F.broadcast(stats)).groupBy("query_id", key).agg(F.sum(part).alias("score"))
+def bm25(queries: DataFrame, texts: DataFrame, query: str = "query", key: str = "rule_id", floor: float | None = ix.FLOOR) -> DataFrame:
+    """(query_id, key, score) of every scored pair above ``floor``: the whole scoring, where all scores are wanted. The best
+    rows alone are found by ``index.search``."""
+    index = ix.build(texts, key)
+    asked = queries.select("query_id", F.explode(tx.tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    rows = asked.join(index.idf, "term").join(index.postings, "term").crossJoin(F.broadcast(index.stats))
+    scored = rows.groupBy("query_id", key).agg(F.sum(F.col("qf") * F.col("idf") * ix.share()).alias("score"))
     return scored if floor is None else scored.where(F.col("score") > floor)
 
 
@@ -59,28 +39,13 @@ def top(scored: DataFrame, k: int, by: Sequence[Column], group: str = "query_id"
     return scored.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*by))).where(F.col(name) <= k)
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, slices: int = 32, fits: Column | None = None) -> DataFrame:
-    """Exact nearest vectors: (query_id, vec_id, distance, rank). ``queries(query_id, q)`` meet the rows in ``slices``
-    blocks of vectors, so neither side has to be broadcast and each task keeps ``k`` a query. ``fits``: a condition on the
-    columns of both sides that a vector must meet to be considered at all."""
-    v = vectors.withColumn("__s", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int"))
-    q = queries.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    both = q.join(v, "__s")
-    pairs = (both if fits is None else both.where(fits)).select("query_id", "vec_id", "__s", squared_distance(F.col("q"), F.col("embedding")).alias("distance"))
-    near = top(pairs.withColumn("__g", F.concat_ws("/", "query_id", "__s")), k, [F.asc("distance"), F.asc("vec_id")], "__g", "__r")
-    return top(near.select("query_id", "vec_id", "distance"), k, [F.asc("distance"), F.asc("vec_id")])
-
-
 def nearest_rules(queries: DataFrame, vectors: DataFrame, rules: DataFrame, k: int, generic: str = "GEN") -> DataFrame:
     """Dense recall with its filter before the cut: (query_id, rule_id, rank) of active rules of the query's life cycle.
     ``queries``: query_id, q, lifecycle; ``vectors``: vec_id, which is the rule's id, and embedding."""
     meta = rules.where((F.col("status") == "active") & (F.col("index_source") != rl.EXPERIENCE)).select(F.col("rule_id").alias("vec_id"), "lifecycle_phase")
-    fits = (F.col("lifecycle_phase") == generic) | (F.col("lifecycle_phase") == F.col("lifecycle"))
-    return nearest(queries, vectors.join(meta, "vec_id"), k, fits=fits).select("query_id", F.col("vec_id").alias("rule_id"), "rank")
+    asked = queries.select("query_id", "q", F.array(F.lit(generic), tx.blank(F.col("lifecycle"))).alias("facets"))
+    found, _ = vc.nearest(asked, vectors.join(meta.where("lifecycle_phase is not null"), "vec_id"), k, DIMS, "lifecycle_phase")
+    return found.select("query_id", F.col("vec_id").alias("rule_id"), "rank")
 
 
 def ranked(lists: DataFrame) -> DataFrame:
@@ -89,9 +54,15 @@ def ranked(lists: DataFrame) -> DataFrame:
     return lists.withColumn("rank", F.row_number().over(w))
 
 
-def fuse(lists: DataFrame, constant: int = RANK_CONSTANT) -> DataFrame:
-    """Reciprocal-rank fusion of ranked lists: (query_id, rule_id, score, engines)."""
-    return lists.groupBy("query_id", "rule_id").agg(F.sum(F.lit(1.0) / (F.lit(constant) + F.col("rank"))).alias("score"), F.array_join(F.sort_array(F.collect_set("engine")), ",").alias("engines"))
+def fuse(lists: DataFrame, constant: int = RANK_CONSTANT, content: str | None = None) -> DataFrame:
+    """Reciprocal-rank fusion of ranked lists: (query_id, rule_id, score, engines). With ``content``, rows without an id are
+    one where their content is, and that column is returned too."""
+    gain = [F.sum(F.lit(1.0) / (F.lit(constant) + F.col("rank"))).alias("score"), F.array_join(F.sort_array(F.collect_set("engine")), ",").alias("engines")]
+    if content is None:
+        return lists.groupBy("query_id", "rule_id").agg(*gain)
+    named = tx.blank(F.col("rule_id").cast("string")) != ""
+    keyed = lists.withColumn("__id", F.when(named, F.col("rule_id"))).withColumn("__text", F.when(~named, tx.blank(F.col(content))))
+    return keyed.groupBy("query_id", "__id", "__text").agg(*gain, F.min(content).alias(content)).select("query_id", F.col("__id").alias("rule_id"), content, "score", "engines")
 
 
 def date_key(c: Column) -> Column:
@@ -136,21 +107,27 @@ def tag_fallback(queries: DataFrame, found: DataFrame, tagged: DataFrame, k: int
     return top(hit.select("query_id", "rule_id", "level").distinct(), k, [F.asc("level"), F.asc("rule_id")])
 
 
-def retrieve(queries: DataFrame, rules: DataFrame, n: int = 2, dense: DataFrame | None = None, fused: int = 10, generic: str = "GEN", stop: Sequence[str] = ()) -> DataFrame:
-    """(query_id, position, rule_id, context): the whole retrieval for a batch of queries, in one plan.
+def retrieve(queries: DataFrame, rules: DataFrame, n: int = 2, dense: DataFrame | None = None, fused: int = 10, generic: str = "GEN", stop: Sequence[str] = (), index: ix.Index | None = None) -> DataFrame:
+    """(query_id, position, rule_id, context): the whole retrieval for a batch of queries.
 
-    ``dense(query_id, rule_id, rank)``: a ranked list of a vector engine, already filtered. Texts join only after the cuts.
+    ``dense(query_id, rule_id, rank)``: a ranked list of a vector engine, already filtered; ``index``: the index of the
+    active texts, built here where none is given. Ranked lists are written once; texts join only after the cuts.
     """
     live = queries.where(tx.u_trim(F.col("query")) != "")
     fits = rules.where((F.col("status") == "active") & (F.col("index_source") != rl.EXPERIENCE)).select("rule_id", "lifecycle_phase", "wbs_code", "level", "publish_date")
     chain = live.select("query_id", "lifecycle", F.when(tx.blank(F.col("wbs_code")).isin("", generic), F.lit(None)).otherwise(tx.ancestry(F.col("wbs_code"), generic)).alias("chain"))
-    scored = bm25(live, active_texts(rules)).join(fits, "rule_id").join(chain, "query_id")
-    scored = scored.where(F.col("lifecycle_phase").isin(generic) | (F.col("lifecycle_phase") == F.col("lifecycle")))
-    scored = scored.where(F.col("chain").isNull() | F.array_contains("chain", F.col("wbs_code")))
-    lexical = top(scored.select("query_id", "rule_id", "score"), 3 * n, [F.round("score", 9).desc(), F.asc("rule_id")]).select("query_id", "rule_id", "rank", F.lit("lexical").alias("engine"))
-    lists = lexical if dense is None else lexical.unionByName(dense.select("query_id", "rule_id", "rank", F.lit("dense").alias("engine")))
+
+    def keep(scored: DataFrame) -> DataFrame:
+        rows = scored.join(fits, "rule_id").join(chain, "query_id")
+        rows = rows.where(F.col("lifecycle_phase").isin(generic) | (F.col("lifecycle_phase") == F.col("lifecycle")))
+        return rows.where(F.col("chain").isNull() | F.array_contains("chain", F.col("wbs_code")))
+
+    lexical, _ = ix.search(index or ix.build(active_texts(rules)), live, 3 * n, keep=keep)
+    lists = lexical.select("query_id", "rule_id", "rank", F.lit("lexical").alias("engine"))
+    if dense is not None:
+        lists = lists.unionByName(dense.select("query_id", "rule_id", "rank", F.lit("dense").alias("engine")))
     merged = fuse(lists).join(fits.select("rule_id", "level", "publish_date"), "rule_id")
-    cut = top(merged, fused, resolution_order()).select("query_id", "rule_id", "rank")
+    cut = ix.kept(top(merged, fused, resolution_order()).select("query_id", "rule_id", "rank"), "cut")
     best = rerank(expand(cut, rules), live, stop=stop)
     return best.where(F.col("position") <= n).select("query_id", "position", "rule_id", "overlap", "context")
 

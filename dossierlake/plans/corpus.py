@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from ..operators import index as ix
 from ..operators import retrieval as rt
-from ..operators import segment as sg
 from ..operators import rules as rl
+from ..operators import segment as sg
+from ..operators import vectors as vc
 from ..sources.views import ctes, view
 from .fixture import FAMILIES, LEX, PATTERNS, STOP, lex_values, sql_list
 from .registry import query
@@ -164,7 +166,7 @@ def j2(spark, d):
 def retrieved(spark, d):
     """The ranked lists of both engines: BM25 over all active rules, and exact vector search over all eligible ones."""
     queries, rules, vectors = view(spark, d, "v_queries"), view(spark, d, "v_rules"), view(spark, d, "embeddings")
-    lexical = rt.top(rt.bm25(queries, rt.active_texts(rules)), 6, [F.round("score", 9).desc(), F.asc("rule_id")])
+    lexical, _ = ix.search(ix.build(rt.active_texts(rules)), queries, 6)
     asked = queries.select("query_id", "lifecycle").join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
     dense = rt.nearest_rules(asked, vectors, rules, 6)
     return dense.select("query_id", F.lit("dense").alias("engine"), "rank", "rule_id").unionByName(lexical.select("query_id", F.lit("lexical").alias("engine"), "rank", "rule_id"))
@@ -410,18 +412,17 @@ scored AS (SELECT query_id, rule_id, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25
 
 @query("r1_postings", ctes("v_rules", more=rf"tok AS (SELECT rule_id, {TOKENS.format(c=DISPLAY)} AS t FROM v_rules WHERE {LIVE})") + "SELECT term, rule_id, dl, count(*) AS tf FROM (SELECT rule_id, CAST(len(t) AS INT) AS dl, unnest(t) AS term FROM tok) GROUP BY 1, 2, 3")
 def r1(spark, d):
-    return rt.postings(rt.active_texts(view(spark, d, "v_rules")))
+    return ix.postings(rt.active_texts(view(spark, d, "v_rules")))
 
 
 @query("r1_term_statistics", ctes("v_rules", more=rf"tok AS (SELECT rule_id, {TOKENS.format(c=DISPLAY)} AS t FROM v_rules WHERE {LIVE})") + "SELECT term, count(DISTINCT rule_id) AS df FROM (SELECT rule_id, unnest(t) AS term FROM tok) GROUP BY 1")
 def r1s(spark, d):
-    return rt.corpus(rt.active_texts(view(spark, d, "v_rules")))[0].select("term", "df")
+    return ix.build(rt.active_texts(view(spark, d, "v_rules"))).idf.select("term", "df")
 
 
 @query("r2_bm25_topk", ctes("v_rules", "v_queries", more=BM25.strip()) + "SELECT query_id, rule_id, rank, score FROM (SELECT query_id, rule_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, rule_id) AS rank FROM scored) WHERE rank <= 5")
 def r2(spark, d):
-    scored = rt.bm25(view(spark, d, "v_queries"), rt.active_texts(view(spark, d, "v_rules")))
-    best = rt.top(scored, 5, [F.round("score", 9).desc(), F.asc("rule_id")])
+    best, _ = ix.search(ix.build(rt.active_texts(view(spark, d, "v_rules"))), view(spark, d, "v_queries"), 5)
     return best.select("query_id", "rule_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -431,7 +432,18 @@ s AS (SELECT query_id, vec_id, list_sum(list_transform(range(1, 65), lambda i: (
 SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM s) WHERE rank <= 6""")
 def r3(spark, d):
     rows = view(spark, d, "embeddings")
-    return rt.nearest(rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), rows, 6).select("query_id", "vec_id", "rank")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return vc.nearest(asked, rows, 6, rt.DIMS)[0].select("query_id", "vec_id", "rank")
+
+
+NAMELESS = "CASE WHEN rule_id % 3 <> 0 THEN rule_id END"
+
+
+@query("r4_nameless_fusion", ctes("v_retrieval", "v_rules") + f"SELECT query_id, coalesce({NAMELESS}, -1) AS rule_id, md5(min(content)) AS content, round(sum(1.0 / (60 + rank)), 9) AS score FROM v_retrieval JOIN v_rules USING (rule_id) GROUP BY query_id, {NAMELESS}, CASE WHEN rule_id % 3 = 0 THEN content END")
+def r4n(spark, d):
+    """Every third rule has lost its id: its content stands for it."""
+    lists = retrieved(spark, d).join(view(spark, d, "v_rules").select("rule_id", "content"), "rule_id").withColumn("rule_id", F.when(F.col("rule_id") % 3 != 0, F.col("rule_id")))
+    return rt.fuse(lists, content="content").select("query_id", F.coalesce("rule_id", F.lit(-1)).alias("rule_id"), F.md5("content").alias("content"), F.round("score", 9).alias("score"))
 
 
 @query("r4_rank_fusion", ctes("v_retrieval") + "SELECT query_id, rule_id, round(sum(1.0 / (60 + rank)), 9) AS score, array_to_string(list_sort(list(DISTINCT engine)), ',') AS engines FROM v_retrieval GROUP BY 1, 2")

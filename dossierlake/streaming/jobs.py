@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as tx
+from ..operators import index as ix
 from ..operators import retrieval as rt
 from ..operators import rules as rl
 
@@ -83,7 +84,7 @@ def refresh(rules: DataFrame, out: str, n: int) -> None:
     last = before.groupBy("rule_id").agg(F.max_by("said", "batch").alias("old"))
     said = F.xxhash64(tx.blank(rl.display_text()), "status")
     new = rules.withColumn("said", said).join(last, "rule_id", "left").where(F.col("old").isNull() | (F.col("old") != F.col("said")))
-    rt.postings(rt.active_texts(new)).write.mode("overwrite").parquet(f"{out}/postings/batch={n}")
+    ix.postings(rt.active_texts(new)).write.mode("overwrite").parquet(f"{out}/postings/batch={n}")
     new.select("rule_id", "said").write.mode("overwrite").parquet(f"{out}/rules/batch={n}")
 
 
