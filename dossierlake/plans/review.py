@@ -15,7 +15,7 @@ from ..operators import structure as st
 from ..sources import documents as sd
 from ..sources.shared import shared_path
 from ..sources.views import ctes, view
-from ..streaming import jobs
+from ..streaming import cache, jobs
 from .fixture import ATTRIBUTIONS, FAMILIES, FINDINGS, FOCUS, GUIDE, INTENTS, LEX, PRICES, PROFILES, REFERENCES, STOP, family_values, lex_values, sql_case, sql_list
 from .registry import query
 
@@ -1017,12 +1017,20 @@ def a5(spark, d):
     return rows.groupBy("status").agg(F.count("*").alias("calls"), F.count_if("cache_hit").alias("hits"))
 
 
-@query("t11_response_cache", ctes("v_calls") + ", s AS (SELECT cache_key, max(created_at) + INTERVAL 10 DAY AS expires FROM v_calls WHERE created_at < TIMESTAMP '2024-01-15' GROUP BY 1) SELECT event_id, coalesce(expires >= created_at, FALSE) AS hit FROM v_calls v LEFT JOIN s ON s.cache_key = v.cache_key WHERE created_at >= TIMESTAMP '2024-01-15'")
+#: Seconds that an answer is kept, by the status of its call; other answers are not kept.
+LIVES = {"view": 10 * 86400, "click": 600, "purchase": 2 * 86400}
+SQL_LIFE = "CASE status " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LIVES.items()) + " ELSE 0 END"
+
+
+@query("t11_response_cache", ctes("v_calls") + f", s AS (SELECT cache_key, max_by(created_at + to_seconds({SQL_LIFE}), (created_at, event_id)) AS expires FROM v_calls WHERE created_at < TIMESTAMP '2024-01-15' AND {SQL_LIFE} > 0 GROUP BY 1) SELECT event_id, coalesce(expires >= created_at, FALSE) AS hit FROM v_calls v LEFT JOIN s ON s.cache_key = v.cache_key WHERE created_at >= TIMESTAMP '2024-01-15'")
 def t11(spark, d):
+    """The last stored answer of a key counts, for the lifetime of its outcome."""
     rows, cut = view(spark, d, "v_calls"), F.lit("2024-01-15").cast("timestamp")
-    stored = rows.where(F.col("created_at") < cut).groupBy("cache_key").agg((F.max("created_at") + F.expr("INTERVAL 10 DAYS")).alias("expires"))
+    life = F.expr(SQL_LIFE).cast("long")
+    end = F.max_by(F.timestamp_micros(F.unix_micros(F.col("created_at").cast("timestamp")) + F.col("life") * 1_000_000), F.struct("created_at", "event_id"))
+    stored = rows.withColumn("life", life).where((F.col("created_at") < cut) & (F.col("life") > 0)).groupBy("cache_key").agg(end.alias("expires"))
     asked = rows.where(F.col("created_at") >= cut)
-    return asked.join(stored, "cache_key", "left").select("event_id", F.coalesce(F.col("expires") >= F.col("created_at"), F.lit(False)).alias("hit"))
+    return asked.join(stored, "cache_key", "left").select("event_id", F.coalesce(F.col("expires") >= F.col("created_at").cast("timestamp"), F.lit(False)).alias("hit"))
 
 
 @query("t12_call_log", ctes("v_calls") + "SELECT status, count(*) AS n FROM v_calls GROUP BY 1")
@@ -1130,3 +1138,17 @@ def x1(spark, d):
     jobs.audit(docs, lambda df: au.run(df, sd.located_lines(df), ALIASES, FINDINGS, TERMS), out, failed, shared_path(spark, "x1")).awaitTermination()
     lost = spark.read.parquet(failed).select("doc_id", "error")
     return spark.read.parquet(out).select("doc_id", "work_item", "n").unionByName(lost, allowMissingColumns=True)
+
+
+@query("x3_cached_requests", ctes("v_calls", more="""c AS MATERIALIZED (SELECT event_id, user_id AS k, created_at AS t, status, epoch_ms(created_at) AS ms FROM v_calls JOIN events USING (event_id)),
+call(k, event_id, ms, ends) AS (
+ SELECT k, event_id, ms, CASE WHEN SQL_LIFE > 0 THEN ms + 1000 * SQL_LIFE ELSE ms - 1 END FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ms, event_id) AS r FROM c) WHERE r = 1
+ UNION ALL SELECT k, event_id, ms, CASE WHEN SQL_LIFE > 0 THEN ms + 1000 * SQL_LIFE ELSE ends END FROM (
+  SELECT c.k, c.event_id, c.ms, c.status, call.ends, row_number() OVER (PARTITION BY c.k ORDER BY c.ms, c.event_id) AS r FROM call JOIN c ON c.k = call.k AND (c.ms, c.event_id) > (call.ms, call.event_id) AND c.ms > call.ends) WHERE r = 1)""".replace("SQL_LIFE", SQL_LIFE), recursive=True) + "SELECT c.event_id, call.event_id IS NULL AS hit FROM c LEFT JOIN call USING (event_id)")
+def x3c(spark, d):
+    """Every call of the log decided by a cache with a lifetime for each outcome; a user is a key."""
+    events = jobs.source(spark, f"{d}/events.parquet", view(spark, d, "events").schema)
+    calls = events.select(F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("cache_key"), F.col("ts").cast("timestamp").alias("created_at"), F.col("event_type").alias("status"))
+    out = shared_path(spark, "x3c")
+    with cache.keyed_state(spark):
+        return jobs.drain(cache.decided(calls, LIVES, late="40 days"), f"x3c_{out[-8:]}", "append", out).select(F.col("request_id").alias("event_id"), "hit")
