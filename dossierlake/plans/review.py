@@ -15,7 +15,7 @@ from ..operators import structure as st
 from ..sources import documents as sd
 from ..sources.shared import shared_path
 from ..sources.views import ctes, view
-from ..streaming import cache, jobs
+from ..streaming import cache, jobs, tasks
 from .fixture import ATTRIBUTIONS, FAMILIES, FINDINGS, FOCUS, GUIDE, INTENTS, LEX, PRICES, PROFILES, REFERENCES, STOP, family_values, lex_values, sql_case, sql_list
 from .registry import query
 
@@ -1131,13 +1131,39 @@ def x2(spark, d):
     return jobs.postings_now(spark, out).agg(F.countDistinct("rule_id").alias("rules"))
 
 
-@query("x1_continuous_audit")
-def x1(spark, d):
+def _audited(spark, d):
+    """All documents audited as they arrive: the rows of the audit, the failed documents."""
     docs = jobs.source(spark, f"{d}/documents.parquet", view(spark, d, "documents").schema)
     out, failed = shared_path(spark, "audits"), shared_path(spark, "failed")
-    jobs.audit(docs, lambda df: au.run(df, sd.located_lines(df), ALIASES, FINDINGS, TERMS), out, failed, shared_path(spark, "x1")).awaitTermination()
-    lost = spark.read.parquet(failed).select("doc_id", "error")
-    return spark.read.parquet(out).select("doc_id", "work_item", "n").unionByName(lost, allowMissingColumns=True)
+    checks = [("no text", tx.u_trim(F.col("text")) == ""), ("many stars", F.contains("text", F.lit("***"))), ("odd source", F.col("source").isNull())]
+    run = jobs.guarded(lambda df: au.run(df, sd.located_lines(df), ALIASES, FINDINGS, TERMS), checks)
+    jobs.audit(docs, run, out, failed, shared_path(spark, "x1")).awaitTermination()
+    return spark.read.parquet(out), spark.read.schema("doc_id long, error string").parquet(failed)
+
+
+@query("x1_continuous_audit")
+def x1(spark, d):
+    rows, _ = _audited(spark, d)
+    return rows.select("doc_id", "work_item", "n", "error")
+
+
+@query("x1_task_states", """
+WITH e AS (SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'no text' WHEN contains(text, '***') THEN 'many stars' WHEN source IS NULL THEN 'odd source' END AS error FROM documents)
+SELECT doc_id AS task_id, CASE WHEN doc_id % 9 = 0 THEN 'CANCELLED' WHEN doc_id % 11 = 5 THEN 'PAUSED' WHEN error IS NOT NULL THEN 'FAILED' WHEN doc_id % 4 = 1 THEN 'COMPLETED' ELSE 'REVIEW_PENDING' END AS status,
+ CASE WHEN doc_id % 9 <> 0 AND doc_id % 11 <> 5 AND error IS NULL AND doc_id % 4 <> 1 THEN concat('out/', CAST(doc_id AS VARCHAR)) ELSE '' END AS path,
+ CASE WHEN doc_id % 9 <> 0 AND doc_id % 11 <> 5 THEN coalesce(error, '') ELSE '' END AS error FROM e""")
+def x1s(spark, d):
+    """Every document is a task: submitted, started, audited; some are cancelled or paused before the result, some approved."""
+    docs = view(spark, d, "documents").select(F.col("doc_id").alias("task_id"))
+    event = lambda rows, no, kind: rows.select("task_id", F.lit(no).cast("long").alias("event_no"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("error"))
+    asked = event(docs, 1, "submit").unionByName(event(docs, 2, "start")).unionByName(event(docs.where("task_id % 9 = 0"), 3, "cancel")).unionByName(event(docs.where("task_id % 11 = 5"), 4, "pause"))
+    _, failed = _audited(spark, d)
+    told = tasks.outcomes(view(spark, d, "documents"), failed, "doc_id", 5, F.concat(F.lit("out/"), F.col("doc_id").cast("string")))
+    path = shared_path(spark, "events")
+    asked.unionByName(told).unionByName(event(docs.where("task_id % 4 = 1"), 6, "approve")).write.parquet(path)
+    events, out = jobs.source(spark, path, spark.read.parquet(path).schema, files=10_000), shared_path(spark, "x1s")
+    with cache.keyed_state(spark):
+        return tasks.latest(jobs.drain(tasks.transitions(events), f"x1s_{out[-8:]}", "append", out))
 
 
 @query("x3_cached_requests", ctes("v_calls", more="""c AS MATERIALIZED (SELECT event_id, user_id AS k, created_at AS t, status, epoch_ms(created_at) AS ms FROM v_calls JOIN events USING (event_id)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,28 +52,46 @@ def _failing(df: DataFrame, run: Callable[[DataFrame], DataFrame], mark: Column,
 
 
 def audit(stream: DataFrame, run: Callable[[DataFrame], DataFrame], out: str, failed: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
-    """Each micro-batch is audited and written under its number, so a replayed batch overwrites itself; documents whose own
-    audit raises go to the failed table with their error, the others are audited. Other errors fail the batch, which the
-    stream tries again when it is started anew. ``run`` audits each document by itself."""
+    """Each micro-batch is audited once and written under its number, so a replayed batch overwrites itself. ``run`` audits each
+    document by itself and tells what is wrong with a document in a column ``error`` of its rows: these go to the failed table,
+    however many they are, and the others stand. A ``run`` that raises for a document instead is tried on ever smaller parts
+    of the batch to find it, which is dear; other errors fail the batch, which the stream tries again when it is started anew."""
     mark = F.xxhash64(key)
 
     def batch(df: DataFrame, n: int) -> None:
         bad: dict[int, str] = {}
+        where = f"{out}/batch={n}"
         try:
-            run(df).write.mode("overwrite").parquet(f"{out}/batch={n}")
+            run(df).write.mode("overwrite").parquet(where)
         except Exception as e:
             if not _of_data(e):
                 raise
             bad = _failing(df, run, mark)
             if not bad:
                 raise
-            run(df.where(~mark.isin(list(bad)))).write.mode("overwrite").parquet(f"{out}/batch={n}")
-        errors = df.sparkSession.createDataFrame(list(bad.items()), "__m long, error string")
-        df.withColumn("__m", mark).join(F.broadcast(errors), "__m").drop("__m").write.mode("overwrite").parquet(f"{failed}/batch={n}")
+            run(df.where(~mark.isin(list(bad)))).write.mode("overwrite").parquet(where)
+        spark = df.sparkSession
+        raised = df.select(key, mark.alias("__m")).join(spark.createDataFrame(list(bad.items()), "__m long, error string"), "__m").select(key, "error").distinct()
+        rows = spark.read.parquet(where)
+        if "error" in rows.columns:
+            raised = raised.unionByName(rows.where("error is not null").select(key, "error").distinct())
+        raised.write.mode("overwrite").parquet(f"{failed}/batch={n}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def guarded(run: Callable[[DataFrame], DataFrame], checks: Sequence[tuple[str, Column]]) -> Callable[[DataFrame], DataFrame]:
+    """A ``run`` that is given only the documents that pass all checks (what is wrong, and a condition that holds where it is;
+    null counts as wrong): the others come back with the first error."""
+
+    def both(df: DataFrame) -> DataFrame:
+        wrong = F.coalesce(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(what)) for what, bad in checks])
+        told = df.withColumn("error", wrong)
+        return run(told.where("error is null").drop("error")).unionByName(told.where("error is not null").select("doc_id", "error"), allowMissingColumns=True)
+
+    return both
+
+
 def refresh(rules: DataFrame, out: str, n: int) -> None:
     """Batch ``n`` of the index: postings of rules whose text or status changed since the batches before, under their number.
     ``rules`` holds a rule once. A replayed batch overwrites itself; rules that retire get no postings."""
