@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as tx
-from ..operators import index as ix
-from ..operators import retrieval as rt
-from ..operators import rules as rl
+from . import segments
 
 
 def source(spark: SparkSession, path: str, schema, files: int = 16) -> DataFrame:
@@ -92,29 +90,9 @@ def guarded(run: Callable[[DataFrame], DataFrame], checks: Sequence[tuple[str, C
     return both
 
 
-def refresh(rules: DataFrame, out: str, n: int) -> None:
-    """Batch ``n`` of the index: postings of rules whose text or status changed since the batches before, under their number.
-    ``rules`` holds a rule once. A replayed batch overwrites itself; rules that retire get no postings."""
-    spark = rules.sparkSession
-    seen = "rule_id " + dict(rules.dtypes)["rule_id"] + ", said long"
-    spark.createDataFrame([], seen).write.mode("ignore").parquet(f"{out}/rules/batch=-1")
-    before = spark.read.schema(f"{seen}, batch long").parquet(f"{out}/rules").where(F.col("batch") < n)
-    last = before.groupBy("rule_id").agg(F.max_by("said", "batch").alias("old"))
-    said = F.xxhash64(tx.blank(rl.display_text()), "status")
-    new = rules.withColumn("said", said).join(last, "rule_id", "left").where(F.col("old").isNull() | (F.col("old") != F.col("said")))
-    ix.postings(rt.active_texts(new)).write.mode("overwrite").parquet(f"{out}/postings/batch={n}")
-    new.select("rule_id", "said").write.mode("overwrite").parquet(f"{out}/rules/batch={n}")
-
-
-def postings_now(spark: SparkSession, out: str) -> DataFrame:
-    """The postings of every rule from the last batch that changed it; document frequencies are aggregates over them."""
-    last = spark.read.parquet(f"{out}/rules").groupBy("rule_id").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{out}/postings").join(last, ["rule_id", "batch"]).drop("batch")
-
-
 def index(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keep the index of ``refresh`` up to date with a stream of new and changed rules."""
-    return stream.writeStream.foreachBatch(lambda df, n: refresh(df, out, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Keep the index of ``segments`` up to date with a stream of new and changed rules."""
+    return stream.writeStream.foreachBatch(lambda df, n: segments.refresh(df, out, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def task_states(events: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import pytest
-from dossierlake.streaming import jobs
+from dossierlake.operators import index as ix
+from dossierlake.operators import retrieval as rt
+from dossierlake.streaming import jobs, segments
 from pyspark.sql import functions as F
 
 
@@ -42,13 +44,33 @@ def test_index_refresh_drops_retired_and_replays(spark, tmp_path):
     row = "rule_id long, status string, content string, is_washed boolean, condensed_content string"
     make = lambda *r: spark.createDataFrame([(i, s, t, False, "") for i, s, t in r], row)
     out = str(tmp_path / "index")
-    jobs.refresh(make((1, "active", "a b"), (2, "active", "b"), (3, "inactive", "c")), out, 0)
+    segments.refresh(make((1, "active", "a b"), (2, "active", "b"), (3, "inactive", "c")), out, 0)
     changed = make((1, "active", "a d"), (2, "inactive", "b"), (3, "active", "c"))
     for _ in range(2):
-        jobs.refresh(changed, out, 1)
-        assert {(r.rule_id, r.term) for r in jobs.postings_now(spark, out).collect()} == {(1, "a"), (1, "d"), (3, "c")}
-    jobs.refresh(changed, out, 2)
-    assert spark.read.parquet(f"{out}/rules/batch=2").count() == 0 and jobs.postings_now(spark, out).count() == 3
+        segments.refresh(changed, out, 1)
+        assert {(r.rule_id, r.term) for r in segments.postings_now(spark, out).collect()} == {(1, "a"), (1, "d"), (3, "c")}
+    segments.refresh(changed, out, 2)
+    assert segments.manifest(spark, out)["segments"][-1]["name"] == "segment-1" and segments.postings_now(spark, out).count() == 3
+
+
+def test_statistics_equal_a_rebuild_after_many_batches(spark, tmp_path):
+    import random
+
+    draw, out, now = random.Random(8), str(tmp_path / "index"), {}
+    row = "rule_id long, status string, content string, is_washed boolean, condensed_content string"
+    for n in range(20):
+        some = {draw.randrange(40): ("inactive" if draw.random() < 0.2 else "active", " ".join(draw.choice("abcdefgh") for _ in range(draw.randrange(0, 6)))) for _ in range(draw.randrange(0, 9))}
+        now |= some
+        segments.refresh(spark.createDataFrame([(i, s, t, False, "") for i, (s, t) in some.items()], row).coalesce(1), out, n)
+    state = segments.manifest(spark, out)
+    assert len(state["segments"]) <= 2 * (segments.FAN - 1) and max(s["level"] for s in state["segments"]) == 2 - (len(state["segments"]) > 4)
+    whole = ix.build(rt.active_texts(spark.createDataFrame([(i, s, t, False, "") for i, (s, t) in now.items()], row)))
+    terms, stats = segments.statistics(spark, out)
+    assert {tuple(r) for r in terms.collect()} == {(r.term, r.df) for r in whole.idf.collect()}
+    assert stats.first().n == whole.stats.first().n and abs(stats.first().avgdl - whole.stats.first().avgdl) < 1e-12
+    asked = spark.createDataFrame([(1, "a b"), (2, "h")], "query_id int, query string")
+    found = [{(r.query_id, r.rule_id, round(r.score, 9)) for r in ix.search(i, asked, 5, floor=-9.0)[0].collect()} for i in (whole, segments.searchable(spark, out))]
+    assert found[0] == found[1] and found[0]
 
 
 def test_task_states(spark):
