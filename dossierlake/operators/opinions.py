@@ -446,12 +446,14 @@ def cards_of(rules: DataFrame, schema: str | StructType) -> DataFrame:
 SURE = "high"
 
 
-def card_words(cards_: DataFrame, generic: Sequence[str] = (), strong: Sequence[str] = ()) -> DataFrame:
-    """One row for each distinct non-generic trigger of a card, in lower case: card_id, confidence, word, strong, project."""
+def card_words(cards_: DataFrame, generic: Sequence[str] = (), strong: Sequence[str] = (), guard: Sequence[tuple[str, Sequence[str]]] = ()) -> DataFrame:
+    """One row for each distinct non-generic trigger of a card, in lower case: card_id, confidence, word, strong, project and
+    needs, the domains of ``guard`` whose term stands in the card's opinion."""
     project = F.col("project_name") if "project_name" in cards_.columns else F.lit(None).cast("string")
-    rows = cards_.select("card_id", "confidence", F.explode(F.array_except("keywords", tx.strings(generic))).alias("w"), project.alias("project")).where(F.trim("w") != "")
+    needs = F.filter(F.array(*[F.when(tx.contains_any(F.col("opinion"), (term,)), F.lit(i)) for i, (term, _) in enumerate(guard)]), lambda i: i.isNotNull()) if guard else F.array().cast("array<int>")
+    rows = cards_.select("card_id", "confidence", F.explode(F.array_except("keywords", tx.strings(generic))).alias("w"), project.alias("project"), needs.alias("needs")).where(F.trim("w") != "")
     mark = F.col("w").isin(*strong).cast("int") if strong else F.lit(0)
-    return rows.select("card_id", "confidence", F.lower("w").alias("word"), mark.alias("strong"), "project", "w").distinct().drop("w")
+    return rows.select("card_id", "confidence", F.lower("w").alias("word"), mark.alias("strong"), "project", "needs", "w").distinct().drop("w")
 
 
 def overlaps(docs: DataFrame, cards_: DataFrame, doc: str = "doc_id", text: str = "text", generic: Sequence[str] = (), strong: Sequence[str] = (), least: int = 1, limit: int | None = None) -> DataFrame:
@@ -472,11 +474,15 @@ def match_cards(docs: DataFrame, cards_: DataFrame, doc: str = "doc_id", text: s
     return found.withColumn("place", F.row_number().over(_best_first(doc))).where(F.col("place") <= limit).select(doc, "card_id", "overlap", "place")
 
 
-def two_tier(docs: DataFrame, cards_: DataFrame, limit: int = 8, cross: int = 4, least: int = 2, doc: str = "doc_id", text: str = "text", name: str = "project_key", generic: Sequence[str] = (), strong: Sequence[str] = ()) -> DataFrame:
+def two_tier(docs: DataFrame, cards_: DataFrame, limit: int = 8, cross: int = 4, least: int = 2, doc: str = "doc_id", text: str = "text", name: str = "project_key", generic: Sequence[str] = (), strong: Sequence[str] = (), guard: Sequence[tuple[str, Sequence[str]]] = ()) -> DataFrame:
     """Same-project matches (one name contains the other) with one shared trigger first; where they are few, others with
-    ``least`` shared triggers. (doc, card_id, overlap, place, match_scope). One scan of the texts serves both tiers."""
+    ``least`` shared triggers. (doc, card_id, overlap, place, match_scope). One scan of the texts serves both tiers.
+
+    ``guard``: domains as (term, aliases). Another project's card whose opinion names the term is left out where none of the
+    aliases stands in the document, so experience of other trades does not come through."""
+    lowered = [(term, [a.lower() for a in own]) for term, own in guard]
     low = docs.select(doc, name, F.lower(text).alias("__t"))
-    found = sc.card_hits(low, card_words(cards_, generic, strong), doc, "__t", least, cross, name, 1, limit)
+    found = sc.card_hits(low, card_words(cards_, generic, strong, guard), doc, "__t", least, cross, name, 1, limit, lowered)
     ranked = found.withColumn("place", F.row_number().over(Window.partitionBy(doc, "own").orderBy(F.desc("overlap"), F.desc(F.col("confidence") == SURE), F.asc("card_id"))))
     kept = ranked.where((F.col("own") & (F.col("place") <= limit)) | (~F.col("own") & (F.col("place") <= cross)))
     mine = F.sum(F.col("own").cast("int")).over(Window.partitionBy(doc))
@@ -606,18 +612,41 @@ def card_findings(aligned: DataFrame, markers: Sequence[str], templates: dict[st
     return rows.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
 
 
+def realigned(matched: DataFrame, points: Sequence[Checkpoint], fallback: Sequence[Checkpoint] = ()) -> DataFrame:
+    """Cards assessed anew against another document: rows with the card's opinion, its own alignment and scheme_gap, and the
+    document's text as evidence. The card's old verdict and gap stay as source_alignment and source_scheme_gap."""
+    old = [F.col("alignment").alias("source_alignment"), F.col("scheme_gap").alias("source_scheme_gap")]
+    plain = [c for c in matched.columns if c not in ("alignment", "scheme_gap", "assessments", "covered", "partial", "absent")]
+    out = assess(matched.select(*plain, *old), points, fallback)
+    return out.withColumn("scheme_gap", gap(F.col("alignment"), F.col("evidence"), F.col("covered"), F.col("partial"), F.col("absent"))).withColumn("alignment_basis", F.lit("current_scheme"))
+
+
 def experience_search(queries: DataFrame, cards_: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, card_id, place): cards whose triggers stand in the query; for queries without any, cards whose opinion holds
     one of the query's words."""
     hit = match_cards(queries, cards_, doc="query_id", text="query", limit=k, least=1).select("query_id", "card_id", "place")
     lost = queries.join(hit.select("query_id").distinct(), "query_id", "left_anti")
     word = lost.select("query_id", F.explode(F.transform(tx.query_tokens(F.col("query")), lambda t: F.lower(t))).alias("word"))
-    held = cards_.select("card_id", F.explode(F.array_distinct(tx.tokens(F.col("opinion")))).alias("word"))
-    near = word.join(held, "word").select("query_id", "card_id").distinct()
+    opinions_ = cards_.select(F.col("card_id").alias("__card"), F.lower("opinion").alias("__t"))
+    near = word.join(sc.hits(opinions_, "__card", "__t", word, "word"), "word").select("query_id", F.col("__card").alias("card_id")).distinct()
     order = Window.partitionBy("query_id").orderBy("card_id")
     return hit.unionByName(near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k))
 
 
+#: What a summary of a card tells.
+SUMMARY = ("project_name", "work_category", "opinion", "alignment", "absent", "partial", "scheme_gap", "generalization_rule")
+
+
+def experience_summaries(queries: DataFrame, cards_: DataFrame, texts: DataFrame, points: Sequence[Checkpoint], fallback: Sequence[Checkpoint] = (), k: int = 3) -> DataFrame:
+    """(query_id, answer): the cards found for each query, aligned to the text that it asks about, as a JSON array in order.
+    ``queries``: query_id, query, doc_id; ``texts``: doc_id, text; cards: what ``realigned`` and ``SUMMARY`` name."""
+    hit = experience_search(queries, cards_, k).join(queries.select("query_id", "doc_id"), "query_id")
+    rows = hit.join(cards_, "card_id").join(texts.select("doc_id", F.col("text").alias("evidence")), "doc_id", "left")
+    told = realigned(rows, points, fallback).select("query_id", "place", F.struct(*SUMMARY).alias("s"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("place", F.to_json("s", {"ignoreNullFields": "false"}).alias("s")))), lambda x: x["s"])
+    return told.groupBy("query_id").agg(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("answer"))
+
+
 def fetch(actions: DataFrame, found: DataFrame, experience: DataFrame, texts: DataFrame, size: int = 1200) -> DataFrame:
     """Results of planned actions (doc_id, query_id, tool, query): ``standards`` reads retrieved answers (query_id, answer),
     ``experience`` reads card summaries (query_id, answer), ``snippet`` cuts the document's own text around the query."""

@@ -1,19 +1,23 @@
 """Dictionary scans: which words of a dictionary stand in a text, found in one pass over each text.
 
 The dictionary is a table. Its distinct words are dealt into blocks of bounded size; a block is broadcast as an automaton
-and the texts are read once for each block, where they lie: texts never shuffle, and a larger dictionary takes more passes,
-not more memory. Words and texts are compared as they are; lower both sides for a comparison without case.
+and the texts are read once for each block, where they lie: texts never shuffle. What a block finds is written and the block
+given up before the next is broadcast, so a larger dictionary takes more passes, not more memory. Words and texts are
+compared as they are; lower both sides for a comparison without case.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.shared import shared_path
 
 #: Words, and card words, in one broadcast block.
 BLOCK_WORDS = 200_000
@@ -40,12 +44,22 @@ def standing(machine, text: str | None) -> np.ndarray:
     return np.array(sorted({i for _, i in machine.iter(text)}), np.int64)
 
 
-def blocks(words: DataFrame, key: str, most: int | None = None) -> list[Broadcast]:
-    """The rows of a table as broadcast lists of tuples, dealt by a hash of ``key`` into blocks of about ``most`` rows."""
+def passes(words: DataFrame, key: str, one: Callable[[Broadcast], DataFrame], most: int | None = None) -> DataFrame:
+    """The results of ``one`` for every block of a table, united. A block is a broadcast list of tuples, about ``most`` rows,
+    dealt by a hash of ``key``; of several, each is given up when its results are written."""
     spark, most = words.sparkSession, most or BLOCK_WORDS
     n = max(1, -(-words.count() // most))
-    part = lambda i: words if n == 1 else words.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)
-    return [spark.sparkContext.broadcast([tuple(r) for r in part(i).toLocalIterator()]) for i in range(n)]
+    block = lambda rows: spark.sparkContext.broadcast([tuple(r) for r in rows.toLocalIterator()])
+    if n == 1:
+        return one(block(words))
+    paths = []
+    for i in range(n):
+        shared = block(words.where(F.pmod(F.xxhash64(key), F.lit(n)) == i))
+        found = one(shared)
+        paths.append(shared_path(spark, "pass"))
+        found.write.parquet(paths[-1])
+        shared.destroy()
+    return spark.read.schema(found.schema).parquet(*paths)
 
 
 def hits(rows: DataFrame, key: str, text: str, words: DataFrame, word: str = "word") -> DataFrame:
@@ -72,10 +86,7 @@ def hits(rows: DataFrame, key: str, text: str, words: DataFrame, word: str = "wo
 
         return rows.select(key, F.col(text).alias("__t")).mapInArrow(run, schema)
 
-    first, *more = (one(s) for s in blocks(known, word))
-    for df in more:
-        first = first.unionByName(df)
-    return first
+    return passes(known, word, one)
 
 
 def containing(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -86,38 +97,40 @@ def containing(left: DataFrame, right: DataFrame) -> DataFrame:
     return down.unionByName(up).distinct()
 
 
-def card_hits(docs: DataFrame, words: DataFrame, doc: str, text: str, least: int = 1, limit: int | None = None, name: str | None = None, own_least: int = 1, own_limit: int | None = None) -> DataFrame:
+def card_hits(docs: DataFrame, words: DataFrame, doc: str, text: str, least: int = 1, limit: int | None = None, name: str | None = None, own_least: int = 1, own_limit: int | None = None, guard: Sequence[tuple[str, Sequence[str]]] = ()) -> DataFrame:
     """``(doc, card_id, confidence, overlap, strong, own)``: how many words of each card stand in each text.
 
-    ``words``: card_id, confidence, word, strong and project, one row for each distinct word of a card. A row comes back
+    ``words``: card_id, confidence, word, strong, project and needs, one row for each distinct word of a card. A row comes back
     where ``least`` words stand in the text, or, if ``least`` is at most two, one strong word. With ``name``, cards whose
     project contains the document's name, or is contained in it, are ``own`` and judged by ``own_least`` and
-    ``own_limit`` instead. Only the best ``limit`` cards of a document and block are returned: more overlap first, then
-    high confidence, then the smaller id; so the best of all blocks are among them.
+    ``own_limit`` instead. ``guard`` lists domains, each a term and its aliases: a card that ``needs`` a domain (its number
+    in the list) is no match for a text without any of its aliases, unless the card is the document's own. Only the best
+    ``limit`` cards of a document and block are returned: more overlap first, then high confidence, then the smaller id; so the
+    best of all blocks are among them. Work and memory go by what stands in a text, not by the number of cards.
     """
-    schema = docs.select(doc).schema.add("card_id", "string").add("confidence", "string").add("overlap", "long").add("strong", "integer").add("own", "boolean")
+    schema = T.StructType([docs.schema[doc], *(T.StructField(n, t) for n, t in (("card_id", T.StringType()), ("confidence", T.StringType()), ("overlap", T.LongType()), ("strong", T.IntegerType()), ("own", T.BooleanType())))])
     columns = [doc, text] + ([name] if name else [])
+    aliases = sorted({a for _, own in guard for a in own if a})
+    spot_of = {a: i for i, a in enumerate(aliases)}
+    domains = [np.array([spot_of[a] for a in own if a], np.int64) for _, own in guard]
 
     def one(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = shared.value
-            cards = sorted({(c != "high", i, c, p) for i, c, _, _, p in rows})
-            place = {(i, c, p): k for k, (_, i, c, p) in enumerate(cards)}
-            names = sorted({w for _, _, w, _, _ in rows})
+            rows = [(i, c, w, s, p, tuple(n or ())) for i, c, w, s, p, n in shared.value]
+            cards = sorted({(c != "high", i, c, p or "", n) for i, c, _, _, p, n in rows})
+            place = {card: k for k, card in enumerate(cards)}
+            names = sorted({w for _, _, w, *_ in rows})
             spot = {w: k for k, w in enumerate(names)}
-            link = np.array(sorted((spot[w], place[i, c, p], s) for i, c, w, s, p in rows), np.int64).reshape(-1, 3)
+            link = np.array(sorted((spot[w], place[c != "high", i, c, p or "", n], s) for i, c, w, s, p, n in rows), np.int64).reshape(-1, 3)
             start = np.searchsorted(link[:, 0], np.arange(len(names) + 1))
-            machine, n = automaton(names), len(cards)
+            machine, guarding, n = automaton(names), automaton(aliases), len(cards)
             ids, sure = pa.array([c[1] for c in cards], pa.string()), pa.array([c[2] for c in cards], pa.string())
-            projects = sorted({c[3] for c in cards if (c[3] or "").strip()})
-            nth = {p: k for k, p in enumerate(projects)}
-            project = np.array([nth.get(c[3], -1) for c in cards], np.int64)
 
-            def best(at: np.ndarray, counts: np.ndarray, most: int | None) -> np.ndarray:
+            def best(at: np.ndarray, count: np.ndarray, most: int | None) -> np.ndarray:
+                """Places within ``at``, cards in order, of the best ones."""
                 if most is None or len(at) <= most:
-                    return at
-                order = -counts[at] * n + at
-                return at[np.argpartition(order, most - 1)[:most]]
+                    return np.arange(len(at))
+                return np.argpartition(-count * n + at, most - 1)[:most]
 
             out, size = [], 0
             for b in batches:
@@ -128,17 +141,24 @@ def card_hits(docs: DataFrame, words: DataFrame, doc: str, text: str, least: int
                         continue
                     many = start[found + 1] - start[found]
                     at = np.repeat(start[found] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-                    counts = np.bincount(link[at, 1], minlength=n)
-                    strong = np.bincount(link[at, 1], weights=link[at, 2], minlength=n) > 0
-                    own = np.zeros(n, bool)
+                    hit, which, count = np.unique(link[at, 1], return_inverse=True, return_counts=True)
+                    strong = np.bincount(which, link[at, 2]) > 0
+                    own = np.zeros(len(hit), bool)
                     if mine and mine[i]:
-                        same = np.array([p in mine[i] or mine[i] in p for p in projects] + [False], bool)
-                        own = same[project]
-                    fits = (counts >= least) | (strong & (least <= 2))
-                    a, c = best(np.flatnonzero(fits & ~own), counts, limit), best(np.flatnonzero(own & (counts >= own_least)), counts, own_limit)
-                    pick = np.concatenate([a, c])
+                        projects = {cards[k][3] for k in hit}
+                        same = {p for p in projects if p.strip() and (p in mine[i] or mine[i] in p)}
+                        own = np.array([cards[k][3] in same for k in hit])
+                    open_ = np.ones(len(hit), bool)
+                    if domains:
+                        told = np.zeros(len(aliases), bool)
+                        told[standing(guarding, t)] = True
+                        shut = {k for k, d in enumerate(domains) if not told[d].any()}
+                        open_ = np.array([shut.isdisjoint(cards[k][4]) for k in hit])
+                    fits = ((count >= least) | (strong & (least <= 2))) & ~own & open_
+                    other, own = np.flatnonzero(fits), np.flatnonzero(own & (count >= own_least))
+                    pick = np.concatenate([other[best(hit[other], count[other], limit)], own[best(hit[own], count[own], own_limit)]])
                     if len(pick):
-                        out.append((b[doc].slice(i, 1), pick, counts[pick], strong[pick], own[pick]))
+                        out.append((b[doc].slice(i, 1), hit[pick], count[pick], strong[pick], np.isin(pick, own)))
                         size += len(pick)
                     if size >= BATCH_ROWS:
                         yield _rows(out, ids, sure, schema.names)
@@ -148,10 +168,7 @@ def card_hits(docs: DataFrame, words: DataFrame, doc: str, text: str, least: int
 
         return docs.select(*columns).mapInArrow(run, schema)
 
-    first, *more = (one(s) for s in blocks(words.select("card_id", "confidence", "word", "strong", "project"), "card_id"))
-    for df in more:
-        first = first.unionByName(df)
-    return first
+    return passes(words.select("card_id", "confidence", "word", "strong", "project", "needs"), "card_id", one)
 
 
 def _rows(out: list[tuple], ids: pa.Array, sure: pa.Array, names: list[str]) -> pa.RecordBatch:

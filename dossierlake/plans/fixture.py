@@ -29,6 +29,8 @@ FINDINGS = (
     FindingRule("parts", (("tion", "ción"), ("ing", "que")), needs=("license", "ouen", "quell"), message="items missing"),
     FindingRule("markup", (("%%%", "***"),), message="markup left"),
 )
+#: Domains: a term in an opinion, and what a text of that domain holds.
+GUARD = (("the ", ("the ", "and ")), ("ción", ("ción", "que ")), ("ung", ("der ", "Die ")))
 PRICES = (("red", 950.0), ("PROMO", 0.0))
 STOP = ("the", "of", "and", "to")
 

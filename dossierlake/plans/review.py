@@ -16,7 +16,7 @@ from ..sources import documents as sd
 from ..sources.shared import shared_path
 from ..sources.views import ctes, view
 from ..streaming import cache, jobs, segments, tasks
-from .fixture import ATTRIBUTIONS, FAMILIES, FINDINGS, FOCUS, GUIDE, INTENTS, LEX, PRICES, PROFILES, REFERENCES, STOP, family_values, lex_values, sql_case, sql_list
+from .fixture import ATTRIBUTIONS, FAMILIES, FINDINGS, FOCUS, GUARD, GUIDE, INTENTS, LEX, PRICES, PROFILES, REFERENCES, STOP, family_values, lex_values, sql_case, sql_list
 from .registry import query
 
 TERMS = ("tion", "ing", "que", "ent", "der", "und")
@@ -534,9 +534,10 @@ def r8(spark, d):
     return op.match_cards(view(spark, d, "documents"), carded(spark, d))
 
 
-TIERS = f"""tm AS (SELECT *, concat('conv_', CAST(doc_id AS VARCHAR)) AS key FROM m),
+_SHUT = " OR ".join(f"(contains(lo, '{t.lower()}') AND NOT ({' OR '.join(f"contains(lt, '{a.lower()}')" for a in own)}))" for t, own in GUARD)
+TIERS = f"""tm AS (SELECT m.*, concat('conv_', CAST(doc_id AS VARCHAR)) AS key, NOT ({_SHUT}) AS ok FROM m JOIN (SELECT DISTINCT card_id, lower(opinion) AS lo FROM cards) USING (card_id) JOIN (SELECT doc_id, lower(text) AS lt FROM documents) USING (doc_id)),
 tw AS (SELECT *, contains(key, project_name) OR contains(project_name, key) AS own FROM tm),
-tp AS (SELECT *, {_PLACE.format(g='doc_id, own')} AS place FROM tw WHERE own OR overlap >= 2),
+tp AS (SELECT *, {_PLACE.format(g='doc_id, own')} AS place FROM tw WHERE own OR (overlap >= 2 AND ok)),
 tn AS (SELECT *, count(*) FILTER (WHERE own AND place <= 8) OVER (PARTITION BY doc_id) AS n FROM tp),
 tier AS (SELECT doc_id, card_id, overlap, place, CASE WHEN own THEN 'same_project' ELSE 'cross_project' END AS match_scope FROM tn WHERE (own AND place <= 8) OR (NOT own AND n < 4 AND place <= least(4, 8 - n)))"""
 
@@ -544,18 +545,30 @@ tier AS (SELECT doc_id, card_id, overlap, place, CASE WHEN own THEN 'same_projec
 @query("r9_two_tier_match", ctes("v_opinions", more=f"{COUNTS}, {MATCH}, {TIERS}") + "SELECT doc_id, card_id, overlap, place, match_scope FROM tier")
 def r9(spark, d):
     docs = view(spark, d, "documents").withColumn("project_key", F.concat(F.lit("conv_"), F.col("doc_id")))
-    return op.two_tier(docs, carded(spark, d))
+    return op.two_tier(docs, carded(spark, d), guard=GUARD)
 
 
 _REALIGN = ALIGN.replace("src AS (SELECT v.row_index, v.item_index, opinion AS o, coalesce(x.text, '') AS e FROM v_opinions v LEFT JOIN documents x ON x.doc_id = v.row_index)", "src AS (SELECT doc_id AS row_index, card_id AS item_index, opinion AS o, text AS e FROM b8 JOIN cards USING (card_id) JOIN documents USING (doc_id))")
 
 
-@query("e4_realigned_cards", ctes("v_opinions", more=f"{COUNTS}, {MATCH}, b8 AS (SELECT * FROM (SELECT doc_id, card_id, {_PLACE.format(g='doc_id')} AS place FROM m WHERE overlap >= 2) WHERE place <= 8), {_REALIGN}") + "SELECT row_index AS doc_id, item_index AS card_id, alignment, array_to_string(list_filter(names, lambda n, i: st[i] = 'missing'), ',') AS absent FROM v")
+_OLD = ALIGN.replace("src AS (", "osrc AS (").replace("FROM src)", "FROM osrc)")
+for _n in "pwav":
+    _OLD = _OLD.replace(f"\n{_n} AS (", f"\no{_n} AS (").replace(f"FROM {_n})", f"FROM o{_n})")
+_NAMED = ", ".join(f"array_to_string(list_filter(names, lambda n, i: st[i] = '{s}'), ',') AS {c}_points" for s, c in (("covered", "covered"), ("vague", "partial"), ("missing", "missing")))
+
+
+@query("e4_realigned_cards", ctes("v_opinions", more=f"{COUNTS}, {MATCH}, b8 AS (SELECT * FROM (SELECT doc_id, card_id, {_PLACE.format(g='doc_id')} AS place FROM m WHERE overlap >= 2) WHERE place <= 8), {_REALIGN}, {_OLD}, old AS (SELECT DISTINCT card_id, alignment AS source_alignment, {_GAP} AS source_scheme_gap FROM (SELECT *, {_NAMED} FROM ov) JOIN cards USING (row_index, item_index))") + f"SELECT row_index AS doc_id, item_index AS card_id, alignment, missing_points AS absent, {_GAP} AS scheme_gap, source_alignment, source_scheme_gap FROM (SELECT *, {_NAMED} FROM v) JOIN old ON old.card_id = item_index")
 def e4(spark, d):
-    docs = view(spark, d, "documents")
-    hit = op.match_cards(docs, carded(spark, d))
-    rows = hit.join(carded(spark, d).select("card_id", "opinion"), "card_id").join(docs.select("doc_id", F.col("text").alias("evidence")), "doc_id")
-    return op.assess(rows, POINTS, FALLBACK).select("doc_id", "card_id", "alignment", F.array_join("absent", ",").alias("absent"))
+    docs, cards = view(spark, d, "documents"), told_cards(spark, d)
+    rows = op.match_cards(docs, carded(spark, d)).join(cards, "card_id").join(docs.select("doc_id", F.col("text").alias("evidence")), "doc_id")
+    return op.realigned(rows, POINTS, FALLBACK).select("doc_id", "card_id", "alignment", F.array_join("absent", ",").alias("absent"), "scheme_gap", "source_alignment", "source_scheme_gap")
+
+
+def told_cards(spark, d):
+    """Whole cards with what a realignment needs of them."""
+    names = {"id": "card_id", "source_project": "project_name", "source_opinion": "opinion", "alignment_status": "alignment", "trigger_keywords": "keywords"}
+    same = ("scheme_gap", "work_category", "generalization_rule", "confidence")
+    return whole_cards(spark, d).select(*[F.col(a).alias(b) for a, b in names.items()], *same)
 
 
 MARKERS = (":", ",", " the ", ".")
@@ -582,23 +595,25 @@ def p22(spark, d):
 @query("e5_card_findings")
 def e5(spark, d):
     docs, cards = view(spark, d, "documents").withColumn("project_key", F.concat(F.lit("conv_"), F.col("doc_id"))), carded(spark, d)
-    hit = op.two_tier(docs, cards).join(cards.select("card_id", "opinion", "work_category"), "card_id").join(docs.select("doc_id", F.col("text").alias("evidence")), "doc_id")
+    hit = op.two_tier(docs, cards, guard=GUARD).join(cards.select("card_id", "opinion", "work_category"), "card_id").join(docs.select("doc_id", F.col("text").alias("evidence")), "doc_id")
     return op.card_findings(op.assess(hit, POINTS, FALLBACK), MARKERS, WORDING, "price|cost").select("doc_id", "card_id", "work_item", "alignment", "recommendation")
 
 
 @query("r10_experience_search")
 def r10(spark, d):
-    return op.experience_search(view(spark, d, "v_queries"), carded(spark, d))
+    """What was found for each query, aligned to the document of the query's number and summarised."""
+    docs = view(spark, d, "documents")
+    asked = view(spark, d, "v_queries").withColumn("doc_id", F.col("query_id"))
+    return op.experience_summaries(asked, told_cards(spark, d), docs, POINTS, FALLBACK)
 
 
 @query("r11_evidence_fetch")
 def r11(spark, d):
-    queries, cards = view(spark, d, "v_queries"), carded(spark, d)
+    queries = view(spark, d, "v_queries")
     kind = F.when(F.col("query_id") % 3 == 0, "standards").when(F.col("query_id") % 3 == 1, "experience").otherwise("snippet")
     actions = queries.select(F.col("query_id").alias("doc_id"), "query_id", kind.alias("tool"), "query")
     found = rt.answers(queries, rt.retrieve(queries, view(spark, d, "v_rules"), stop=STOP))
-    hit = op.experience_search(queries, cards).join(cards.select("card_id", "opinion"), "card_id")
-    summaries = hit.groupBy("query_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("place", "opinion")))).alias("answer"))
+    summaries = op.experience_summaries(queries.withColumn("doc_id", F.col("query_id")), told_cards(spark, d), view(spark, d, "documents"), POINTS, FALLBACK)
     return op.fetch(actions, found, summaries, view(spark, d, "documents")).select("doc_id", "query_id", "tool", F.md5("answer").alias("answer"))
 
 

@@ -364,3 +364,40 @@ def test_tree_ingestion_replaces_and_retires(spark):
     assert len(new) == 1 and got.pop(new[0]) == ("active", "pageindex", 0)
     assert {k: v[0] for k, v in got.items()} == {"2": "inactive", "3": "inactive", "4": "active"}
     assert st.ingest(rules, leaf.withColumn("text", F.lit("too short, it is")), ("leaf",), "s").count() == 4
+
+
+# --- the guard of cross-project experience, realignment, summaries ---
+
+
+def test_domain_guard_keeps_other_trades_out(spark):
+    rows = [("own", "p one", "pump must be tested", ["pump"], "high"), ("far", "q", "Pump and roof need a test", ["pump", "roof"], "high"), ("roof", "q", "roof needs a seal", ["roof", "seal"], "medium"), ("free", "q", "seal well", ["seal", "roof"], "low")]
+    cards = spark.createDataFrame(rows, "card_id string, project_name string, opinion string, keywords array<string>, confidence string")
+    docs = spark.createDataFrame([(1, "p one two", "a roof with a seal, and a pump"), (2, "x", "a roof with a seal, and a PUMP room"), (3, "x", "roof seal tiles"), (4, "x", None)], "doc_id int, project_key string, text string")
+    guard = [("pump", ("pump room",)), ("roof", ("tiles", "Room")), ("never", ())]
+    found = {(r.doc_id, r.card_id) for r in op.two_tier(docs, cards, guard=guard).collect()}
+    assert found == {(1, "own"), (1, "free"), (2, "far"), (2, "roof"), (2, "free"), (3, "roof"), (3, "free")}
+    open_ = {(r.doc_id, r.card_id) for r in op.two_tier(docs, cards).collect()}
+    assert open_ - found == {(1, "far"), (1, "roof")} and found <= open_
+
+
+def test_scans_in_several_passes_equal_one(spark, monkeypatch):
+    cards = spark.createDataFrame([(f"c{i}", "p", f"op {i}", [f"w{i}", f"w{i + 1}", "all"], "high") for i in range(30)], "card_id string, project_name string, opinion string, keywords array<string>, confidence string")
+    docs = spark.createDataFrame([(i, f"w{i} w{i + 1} w{i + 2} all", "none") for i in range(20)], "doc_id int, text string, project_key string")
+    one = sorted(map(tuple, op.two_tier(docs, cards).collect()))
+    monkeypatch.setattr(sc, "BLOCK_WORDS", 9)
+    assert sorted(map(tuple, op.two_tier(docs, cards).collect())) == one and one
+
+
+def test_summaries_keep_the_old_verdict(spark):
+    points = [op.Checkpoint("seal", ("seal",), ("seal",), "presence"), op.Checkpoint("size", ("size",), ("size",), "number")]
+    kind = "card_id string, project_name string, opinion string, keywords array<string>, confidence string, alignment string, scheme_gap string, work_category string, generalization_rule string"
+    cards = spark.createDataFrame([("a", "p", "name the seal and size", ["seal"], "high", "resolved", "none", "R", "g"), ("b", "q", "Sizes of the doors", ["door"], "high", "unresolved", "all", "D", None)], kind)
+    texts = spark.createDataFrame([(1, "the seal is there, the size is not"), (2, None)], "doc_id int, text string")
+    hit = cards.join(texts.withColumnRenamed("text", "evidence"))
+    again = {(r.card_id, r.doc_id): (r.alignment, r.source_alignment, r.source_scheme_gap) for r in op.realigned(hit, points).collect()}
+    assert again["a", 1] == ("partly_resolved", "resolved", "none") and again["a", 2][0] == "undecided"
+    asked = spark.createDataFrame([(1, "which seal", 1), (2, "doorway sizes", 1), (3, "ofthe", 2), (4, "zzz", 1)], "query_id int, query string, doc_id int")
+    import json
+
+    found = {r.query_id: [(s["opinion"], s["alignment"], s["generalization_rule"]) for s in json.loads(r.answer)] for r in op.experience_summaries(asked, cards, texts, points).collect()}
+    assert found == {1: [("name the seal and size", "partly_resolved", "g")], 2: [("Sizes of the doors", "partly_resolved", None)]}
