@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conditions import compiled
 from .text import blank, contains_any, strings
 
 #: Above so many rows a lexicon should be a table that is joined, not a literal.
@@ -94,13 +95,23 @@ def implied(codes: Column, lists: dict[str, Sequence[str]], default: Column) ->
 @dataclass(frozen=True)
 class FindingRule:
     """A declarative rule: every group of ``all_of`` has a hit, no word of ``none_of`` has; ``needs`` are items that the
-    text should name, and with ``needs`` the rule fires only where one is missing."""
+    text should name, and with ``needs`` the rule fires only where one is missing. ``when``: a condition (see
+    ``functions.conditions``) that must hold too; ``points``: further items as (name, condition), missing where theirs fails."""
 
     rule_id: str
-    all_of: tuple[tuple[str, ...], ...]
+    all_of: tuple[tuple[str, ...], ...] = ()
     none_of: tuple[str, ...] = ()
     needs: tuple[str, ...] = ()
     message: str = ""
+    when: str = ""
+    points: tuple[tuple[str, str], ...] = ()
+
+
+def finding_rules(table) -> list[FindingRule]:
+    """Rules of a table (rule_id, priority, when, message, points), in order of priority and id: ``when`` is JSON, ``points``
+    an array of (name, condition). A table of rules is small by nature and read on the driver."""
+    rows = table.orderBy("priority", "rule_id").collect()
+    return [FindingRule(r.rule_id, message=r.message or "", when=r.when or "", points=tuple((p.name, p.condition) for p in r.points or ())) for r in rows]
 
 
 def fire(docs: DataFrame, text: str, rules: Sequence[FindingRule]) -> DataFrame:
@@ -113,8 +124,13 @@ def fire(docs: DataFrame, text: str, rules: Sequence[FindingRule]) -> DataFrame:
             ok = ok & contains_any(F.col(text), group)
         if r.none_of:
             ok = ok & ~contains_any(F.col(text), r.none_of)
+        if r.when:
+            ok = ok & compiled(r.when, F.col(text))
         gaps = F.filter(strings(r.needs), lambda w: ~F.contains(low, F.lower(w)))
-        if r.needs:
+        if r.points:
+            told = F.array(*[F.when(~compiled(spec, F.col(text)), F.lit(name)) for name, spec in r.points])
+            gaps = F.concat(gaps, F.filter(told, lambda w: w.isNotNull()))
+        if r.needs or r.points:
             ok = ok & (F.size(gaps) > 0)
         out.append(F.when(ok, F.struct(F.lit(i).alias("ordinal"), F.lit(r.rule_id).alias("rule_id"), gaps.alias("missing"), F.lit(r.message).alias("message"))))
     fired = F.filter(F.array(*out), lambda x: x.isNotNull())

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions import conditions as cn
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from . import scan as sc
@@ -107,19 +108,23 @@ def classify(rows: DataFrame, categories: Sequence[lx.Entry], dimensions: Sequen
 @dataclass(frozen=True)
 class Checkpoint:
     """What an opinion asks to verify. Policies: ``presence`` (a mention covers it), ``exact`` (the pattern covers it, a
-    mention is vague), ``number`` (a mention with a number or threshold covers it, without one is vague)."""
+    mention is vague), ``number`` (a mention with a number or threshold covers it, without one is vague), ``cases`` (the
+    first of ``cases``, (status, condition), that holds decides, else it is missing: order of mention, distances, values)."""
 
     name: str
     triggers: tuple[str, ...]
     aliases: tuple[str, ...]
     policy: str = "number"
     exact: str = ""
+    cases: tuple[tuple[str, str], ...] = ()
 
 
 COVERED, VAGUE, ABSENT = "covered", "vague", "missing"
 
 
 def status(point: Checkpoint, evidence: Column) -> Column:
+    if point.policy == "cases":
+        return cn.decided(point.cases, evidence, ABSENT)
     mention = tx.contains_any(evidence, point.aliases)
     if point.policy == "presence":
         return F.when(mention, COVERED).otherwise(ABSENT)
@@ -127,21 +132,26 @@ def status(point: Checkpoint, evidence: Column) -> Column:
     return F.when(~mention, ABSENT).when(full, COVERED).otherwise(VAGUE)
 
 
-def expected(opinion: Column, points: Sequence[Checkpoint], fallback: Sequence[Checkpoint] = ()) -> Column:
-    """Names of the checkpoints an opinion triggers, each once; else the first four of the fallback."""
+def expected(opinion: Column, points: Sequence[Checkpoint], fallback: Sequence[Checkpoint] | Column = ()) -> Column:
+    """Names of the checkpoints an opinion triggers, each once; else the first four of the fallback: a list for all, or a
+    column of arrays, such as the artifacts that the opinion's attribution requires."""
     hit = F.filter(F.array(*[F.when(tx.contains_any(opinion, p.triggers), F.lit(p.name)) for p in points]), lambda n: n.isNotNull())
-    return F.when(F.size(hit) > 0, F.array_distinct(hit)).otherwise(tx.strings([p.name for p in fallback[:4]]))
+    rest = F.slice(F.coalesce(fallback, F.array().cast("array<string>")), 1, 4) if isinstance(fallback, Column) else tx.strings([p.name for p in fallback[:4]])
+    return F.when(F.size(hit) > 0, F.array_distinct(hit)).otherwise(rest)
 
 
-def assess(rows: DataFrame, points: Sequence[Checkpoint], fallback: Sequence[Checkpoint] = (), opinion: str = "opinion", evidence: str = "evidence") -> DataFrame:
-    """Rows with assessments (name, status), covered, partial and missing names, and the verdict.
+def assess(rows: DataFrame, points: Sequence[Checkpoint], fallback: Sequence[Checkpoint] | Column = (), opinion: str = "opinion", evidence: str = "evidence") -> DataFrame:
+    """Rows with assessments (name, status), covered, partial and missing names, and the verdict. A name of a ``fallback``
+    column that is no checkpoint is covered where it stands in the evidence.
 
     Order of precedence: no action needed; undecided without evidence or checkpoints; all covered; some covered or vague;
     missing.
     """
-    known = F.create_map(*[x for p in {q.name: q for q in [*fallback, *points]}.values() for x in (F.lit(p.name), status(p, F.col(evidence)))])
+    listed = [] if isinstance(fallback, Column) else fallback
+    known = F.create_map(*[x for p in {q.name: q for q in [*listed, *points]}.values() for x in (F.lit(p.name), status(p, F.col(evidence)))])
     wanted = expected(F.col(opinion), points, fallback)
-    out = rows.withColumn("assessments", F.transform(wanted, lambda n: F.struct(n.alias("name"), known[n].alias("status"))))
+    plain = lambda n: F.when(F.contains(F.lower(tx.blank(F.col(evidence))), F.lower(n)), COVERED).otherwise(ABSENT)
+    out = rows.withColumn("assessments", F.transform(wanted, lambda n: F.struct(n.alias("name"), F.coalesce(F.try_element_at(known, n), plain(n)).alias("status"))))
     names = lambda s: F.transform(F.filter("assessments", lambda a: a["status"] == s), lambda a: a["name"])
     out = out.withColumn("covered", names(COVERED)).withColumn("partial", names(VAGUE)).withColumn("absent", names(ABSENT))
     none = tx.blank(F.col(evidence)) == ""

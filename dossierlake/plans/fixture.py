@@ -31,6 +31,15 @@ FINDINGS = (
 )
 #: Domains: a term in an opinion, and what a text of that domain holds.
 GUARD = (("the ", ("the ", "and ")), ("ción", ("ción", "que ")), ("ung", ("der ", "Die ")))
+#: Rules as rows: id, priority, condition, message, items as (name, condition).
+CONDITIONS = (
+    ("far_terms", 2, '{"and": [{"any": ["license", "copyright"]}, {"not": {"near": [["license"], ["copyright", "notice"]], "within": 60, "stop": "."}}]}', "terms apart", ()),
+    ("amounts", 1, '{"or": [{"value": ["the", "la", "der"], "unit": [], "within": 20, "stop": ".", "least": 10, "most": 99.5}, {"number": ["%", "mm", "days"]}]}', "amounts", (("bounded", '{"threshold": true}'), ("few", '{"value": ["of", "de"], "within": 30, "stop": ".", "most": 5}'))),
+    ("order", 3, '{"and": [{"before": [["license"], {"pattern": "software|files?"}], "within": 200, "stop": "@"}, {"all": ["the", "of"]}]}', "order told", ()),
+    ("bare", 1, '{"not": {"any": ["the", "der", "que", "la"]}}', "no plain words", (("letters", '{"pattern": "[a-z]{3}"}'),)),
+)
+#: A checkpoint on the order of mention: covered, then the reversed order, then a bare mention.
+ORDERED = (("covered", '{"before": [["ing"], ["ent"]], "within": 40, "stop": "."}'), ("missing", '{"before": [["ent"], ["ing"]], "within": 40, "stop": "."}'), ("vague", '{"any": ["ing", "ent"]}'))
 PRICES = (("red", 950.0), ("PROMO", 0.0))
 STOP = ("the", "of", "and", "to")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import conditions as cn
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import audit as au
@@ -16,7 +17,7 @@ from ..sources import documents as sd
 from ..sources.shared import shared_path
 from ..sources.views import ctes, view
 from ..streaming import cache, jobs, segments, tasks
-from .fixture import ATTRIBUTIONS, FAMILIES, FINDINGS, FOCUS, GUARD, GUIDE, INTENTS, LEX, PRICES, PROFILES, REFERENCES, STOP, family_values, lex_values, sql_case, sql_list
+from .fixture import ATTRIBUTIONS, CONDITIONS, FAMILIES, FINDINGS, FOCUS, GUARD, GUIDE, INTENTS, LEX, ORDERED, PRICES, PROFILES, REFERENCES, STOP, family_values, lex_values, sql_case, sql_list
 from .registry import query
 
 TERMS = ("tion", "ing", "que", "ent", "der", "und")
@@ -58,6 +59,26 @@ def c15(spark, d):
 COUNTS = f"fam(o, code, pat) AS (VALUES {family_values()}), cnt AS (SELECT row_index, item_index, o, code, len(regexp_extract_all(opinion, pat)) AS n FROM v_opinions, fam), hit AS (SELECT *, row_number() OVER (PARTITION BY row_index, item_index ORDER BY n DESC, o) AS k FROM cnt WHERE n > 0)"
 
 
+def condition_rules(spark):
+    """The rules of the fixture as a table, read back in order."""
+    kind = "rule_id string, priority int, when string, message string, points array<struct<name: string, condition: string>>"
+    return lx.finding_rules(spark.createDataFrame([(*r[:4], list(r[4])) for r in CONDITIONS], kind))
+
+
+_TEXT = "text"
+_RULED = sorted(CONDITIONS, key=lambda r: (r[1], r[0]))
+_FIRED = " UNION ALL ".join(
+    f"SELECT doc_id, {i} AS ordinal, '{r[0]}' AS rule_id, '{r[3]}' AS message, array_to_string(gaps, ',') AS missing FROM (SELECT doc_id, text, list_filter([{', '.join(f'CASE WHEN NOT {cn.as_sql(c, _TEXT)} THEN {n!r} END' for n, c in r[4])}]::VARCHAR[], lambda x: x IS NOT NULL) AS gaps FROM :src) WHERE {cn.as_sql(r[2], 'text')}" + (" AND len(gaps) > 0" if r[4] else "")
+    for i, r in enumerate(_RULED)
+)
+
+
+@query("c14_condition_rules", "SELECT doc_id, rule_id, message, missing FROM (" + _FIRED.replace(":src", "documents") + ")")
+def c14c(spark, d):
+    fired = lx.fire(view(spark, d, "documents"), "text", condition_rules(spark))
+    return fired.select("doc_id", "rule_id", "message", F.array_join("missing", ",").alias("missing"))
+
+
 @query("c3_dimension", ctes("v_opinions", more=COUNTS) + "SELECT v.row_index, v.item_index, coalesce(code, 'complete') AS dimension FROM v_opinions v LEFT JOIN (SELECT * FROM hit WHERE k = 1) h ON h.row_index = v.row_index AND h.item_index = v.item_index")
 def c3(spark, d):
     return opinions(spark, d).select("row_index", "item_index", lx.top_label(F.col("opinion"), FAMILIES, "complete").alias("dimension"))
@@ -354,6 +375,28 @@ def e2(spark, d):
     return assessed(spark, d).select("row_index", "item_index", F.array_join(F.transform("assessments", lambda a: a["status"]), ",").alias("statuses"))
 
 
+_TURN = " ".join(f"WHEN {cn.as_sql(c, 'text')} THEN '{n}'" for n, c in ORDERED)
+
+
+@query("e2_ordered_checkpoints", f"SELECT doc_id, CASE {_TURN} ELSE 'missing' END AS status FROM documents")
+def e2o(spark, d):
+    """A checkpoint that the order of two mentions decides, over whole texts."""
+    point = op.Checkpoint("turn", ("ing",), (), "cases", cases=ORDERED)
+    return view(spark, d, "documents").select("doc_id", op.status(point, F.col("text")).alias("status"))
+
+
+_ARTIFACTS = "CASE professional_attribution " + " ".join(f"WHEN '{k}' THEN {sql_list(p.artifacts)}" for k, p in PROFILES.items()) + " END"
+
+
+@query("e1_attributed_checkpoints", _WHOLE + f"SELECT row_index, item_index, array_to_string(n, ',') AS names, array_to_string(list_transform(n, lambda x, i: CASE WHEN len(t) > 0 THEN st[i] WHEN contains(lower(e), lower(x)) THEN 'covered' ELSE 'missing' END), ',') AS statuses FROM (SELECT b.row_index, b.item_index, t, a.e, st, CASE WHEN len(t) > 0 THEN names ELSE {_ARTIFACTS} END AS n FROM bundle b JOIN a USING (row_index, item_index))")
+def e1a(spark, d):
+    """Opinions that trigger no checkpoint are checked for what their attribution requires."""
+    docs = view(spark, d, "documents").select(F.col("doc_id").alias("row_index"), F.col("text").alias("evidence"))
+    rows = op.assess(attributed(spark, d).join(docs, "row_index", "left"), POINTS, F.col("required_artifacts"))
+    each = lambda f: F.array_join(F.transform("assessments", lambda a: a[f]), ",")
+    return rows.select("row_index", "item_index", each("name").alias("names"), each("status").alias("statuses"))
+
+
 @query("e3_alignment", ctes("v_opinions", more=ALIGN) + "SELECT row_index, item_index, alignment FROM v")
 def e3(spark, d):
     return assessed(spark, d).select("row_index", "item_index", "alignment")
@@ -625,7 +668,18 @@ def u3(spark, d):
     return au.keep_first(view(spark, d, "v_findings"), ["doc_id", "dimension"], ["issue_no"]).select("doc_id", "issue_no", "dimension")
 
 
-@query("u4_semantic_dedupe")
+#: Findings f (doc_id, issue_no, work_item, dimension, finding, has_controls, origin) taken in order, each against those kept.
+GREEDY = rf"""fx AS MATERIALIZED (SELECT *, regexp_replace(coalesce(finding, ''), '[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+', '', 'g') AS x, list_filter({sql_list(TERMS)}, lambda w: contains(lower(coalesce(finding, '')), w)) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY issue_no) AS k FROM f),
+kept(doc_id, k, l) AS (
+ SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST([] AS STRUCT(no BIGINT, x VARCHAR, t VARCHAR[], w VARCHAR, d VARCHAR, c BOOLEAN)[]) FROM fx
+ UNION ALL SELECT doc_id, k, CASE WHEN len(list_filter(l, lambda e: (e.w = w AND e.d = d AND left(e.x, 32) = left(x, 32)) OR (e.x <> '' AND x <> '' AND (contains(x, e.x) OR contains(e.x, x)))
+   OR (len(list_intersect(e.t, t)) >= 2 AND ((ai AND e.c) OR len(list_intersect(e.t, t)) >= CASE WHEN e.w = w AND e.d = d THEN 3 ELSE 4 END)))) > 0 THEN l
+  ELSE list_append(l, {{'no': no, 'x': x, 't': t, 'w': w, 'd': d, 'c': c}}) END
+ FROM (SELECT kept.doc_id, fx.k, l, CAST(fx.issue_no AS BIGINT) AS no, fx.x, fx.t, fx.work_item AS w, fx.dimension AS d, fx.has_controls AS c, starts_with(fx.origin, 'ai_') AS ai FROM kept JOIN fx ON fx.doc_id = kept.doc_id AND fx.k = kept.k + 1)),
+chosen AS (SELECT doc_id, unnest(l).no AS issue_no FROM (SELECT doc_id, max_by(l, k) AS l FROM kept GROUP BY 1))"""
+
+
+@query("u4_semantic_dedupe", ctes("v_findings", more="f AS (SELECT * FROM v_findings), " + GREEDY, recursive=True) + "SELECT doc_id, issue_no FROM chosen")
 def u4(spark, d):
     return au.semantic_dedupe(view(spark, d, "v_findings"), TERMS).select("doc_id", "issue_no")
 
@@ -775,10 +829,22 @@ def a13(spark, d):
     return au.complexity(docs, [("long", F.col("n") > 2000), ("many", F.col("k") >= 5), ("license", F.col("l"))]).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("g1_local_audit")
+#: A document's lines as the audit reads them: trimmed, without row marks, put together.
+_READ = r"""ln AS (SELECT doc_id, line_no, regexp_replace(regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '^\[第\d+行\]:\s*', ''), '^\s+|\s+$', '', 'g') AS t FROM v_lines),
+whole AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY line_no) AS text FROM ln WHERE t <> '' GROUP BY 1)"""
+_G1 = f"""{_READ}, fired AS ({_FIRED.replace(":src", "whole")}),
+f0 AS (SELECT doc_id, 1000 + ordinal AS issue_no, rule_id AS work_item, 'complete' AS dimension, concat_ws(': ', message, nullif(missing, '')) AS finding, FALSE AS has_controls, 'local' AS origin FROM fired),
+f AS (SELECT * FROM f0), {GREEDY}"""
+
+
+@query("g1_local_audit", ctes("v_lines", more=_G1, recursive=True) + "SELECT doc_id, work_item, count(*) AS n, md5(string_agg(concat(CAST(issue_no AS VARCHAR), finding), '|' ORDER BY issue_no)) AS issues FROM f0 JOIN chosen USING (doc_id, issue_no) GROUP BY 1, 2 UNION ALL SELECT doc_id, 'overall', 0, md5('') FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f0)")
 def g1(spark, d):
+    """The audit by rules: conditions on numbers, distances, order and thresholds, from a table."""
     docs = view(spark, d, "documents")
-    return au.run(docs, view(spark, d, "v_lines"), ALIASES, FINDINGS, TERMS)
+    found = au.run(docs, view(spark, d, "v_lines"), ALIASES, condition_rules(spark), TERMS)
+    shape = "array<struct<issue_no:int,finding:string>>"
+    listed = F.array_join(F.transform(F.from_json("issues", shape), lambda x: F.concat(x["issue_no"].cast("string"), x["finding"])), "|")
+    return found.select("doc_id", "work_item", "n", F.md5(listed).alias("issues"))
 
 
 @query("g1_audit_with_experience")
