@@ -290,11 +290,33 @@ def _keys(items: DataFrame) -> DataFrame:
     return items.withColumn("__k", title).withColumn("__w", whole)
 
 
-def align(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, item_no, found_page): the first page of the document that holds the entry's title."""
-    p = pages.select("doc_id", "page_no", tx.title_key(F.col("text")).alias("__p"))
-    hit = _keys(items).where("__k <> ''").join(p, "doc_id").where(F.contains("__p", F.col("__k")) | F.contains("__p", F.col("__w")))
-    return hit.groupBy("doc_id", "item_no").agg(F.min("page_no").alias("found_page"))
+#: Letters of the piece of a title that is looked up in the pages.
+ANCHOR = 6
+
+
+def align(items: DataFrame, pages: DataFrame, size: int = ANCHOR) -> DataFrame:
+    """(doc_id, item_no, found_page): the first page of the document that holds the entry's title.
+
+    A title is looked up by its anchor, the piece of ``size`` letters that the fewest titles share (a shorter title by the
+    whole of it): pieces of the pages join anchors by equality, and only these pages are read for the title. Page texts are
+    written once, in the form that is compared. A title with its number before it holds the title alone, so that is enough.
+    """
+    spark, path = pages.sparkSession, shared_path(pages.sparkSession, "pages")
+    pieces = lambda c, m: F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{m}}}))"), F.lit(1))  # noqa: E731  from every letter on, in one pass
+    pages.select("doc_id", "page_no", tx.title_key(F.col("text")).alias("__p")).write.parquet(path)
+    p = spark.read.parquet(path)
+    n = F.least(F.length("__k"), F.lit(size))
+    _keys(items).where("__k <> ''").select("doc_id", "item_no", "__k", n.alias("n")).write.parquet(titles := shared_path(spark, "titles"))
+    keys = spark.read.parquet(titles)
+    cut = keys.select("*", F.explode(F.array_distinct(F.when(F.col("n") < size, F.array("__k")).otherwise(pieces("__k", size)))).alias("gram"))
+    shared = cut.groupBy("gram").agg(F.count("*").alias("titles"))
+    rare = F.min(F.struct("titles", "gram"))["gram"]
+    anchors = cut.join(shared, "gram").groupBy("doc_id", "item_no", "__k", "n").agg(rare.alias("gram")).select("doc_id", "item_no", "__k", "gram")
+    sizes = sorted(r[0] for r in keys.select("n").distinct().collect())  # ``size`` numbers at most
+    windows = [pieces("__p", m) for m in sizes]
+    held = p.select("doc_id", "page_no", F.explode(F.array_distinct(F.concat(*windows)) if windows else F.array().cast("array<string>")).alias("gram"))
+    met = anchors.join(held, ["doc_id", "gram"]).select("doc_id", "item_no", "__k", "page_no")
+    return met.join(p, ["doc_id", "page_no"]).where(F.contains("__p", F.col("__k"))).groupBy("doc_id", "item_no").agg(F.min("page_no").alias("found_page"))
 
 
 def fill(items: DataFrame, low: int = 1, high: Column | int | None = None) -> DataFrame:
@@ -318,6 +340,13 @@ def verify(items: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.withColumn("ok", ok).select(*items.columns, "ok")
 
 
+def accuracy(verified: DataFrame) -> DataFrame:
+    """(doc_id, n, accuracy, failing): of each document what ``verify`` found: entries, the share that stands on its page, and
+    the numbers of those that do not, in order."""
+    wrong = F.sort_array(F.collect_list(F.when(~F.col("ok"), F.col("item_no"))))
+    return verified.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg(F.col("ok").cast("int")).alias("accuracy"), wrong.alias("failing"))
+
+
 def appears_at_start(items: DataFrame, pages: DataFrame) -> DataFrame:
     p = pages.select("doc_id", F.col("page_no").alias("physical_index"), F.left(tx.title_key(F.left("text", F.lit(300))), F.lit(80)).alias("__p"))
     rows = _keys(items).join(p, ["doc_id", "physical_index"], "left")

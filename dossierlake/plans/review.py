@@ -1084,6 +1084,12 @@ def a18(spark, d):
     return st.verify(view(spark, d, "v_toc"), view(spark, d, "v_doc_pages")).select("doc_id", "item_no", "ok")
 
 
+@query("a18_accuracy_by_document", ctes("v_toc", "v_doc_pages") + f"SELECT doc_id, count(*) AS n, round(avg(CAST(ok AS INT)), 9) AS accuracy, coalesce(string_agg(CAST(item_no AS VARCHAR), ',' ORDER BY item_no) FILTER (WHERE NOT ok), '') AS failing FROM (SELECT i.doc_id, item_no, coalesce({_NORM.format(c='title')} <> '' AND contains({_NORM.format(c='text')}, {_NORM.format(c='title')}), FALSE) AS ok FROM v_toc i LEFT JOIN v_doc_pages p ON p.doc_id = i.doc_id AND p.page_no = i.physical_index) GROUP BY 1")
+def a18d(spark, d):
+    found = st.accuracy(st.verify(view(spark, d, "v_toc"), view(spark, d, "v_doc_pages")))
+    return found.select("doc_id", "n", F.round("accuracy", 9).alias("accuracy"), F.array_join(F.transform("failing", lambda i: i.cast("string")), ",").alias("failing"))
+
+
 @query("d10_title_at_start", ctes("v_toc", "v_doc_pages") + f"SELECT i.doc_id, item_no, CASE WHEN coalesce({_NORM.format(c='title')} <> '' AND contains(left({_NORM.format(c='left(text, 300)')}, 80), {_NORM.format(c='title')}), FALSE) THEN 'yes' ELSE 'no' END AS appear_start FROM v_toc i LEFT JOIN v_doc_pages p ON p.doc_id = i.doc_id AND p.page_no = i.physical_index")
 def d10(spark, d):
     return st.appears_at_start(view(spark, d, "v_toc"), view(spark, d, "v_doc_pages")).select("doc_id", "item_no", "appear_start")
