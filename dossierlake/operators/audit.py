@@ -130,15 +130,27 @@ def group(findings: DataFrame, docs: DataFrame, fields: Sequence[str] = ("issue_
     return by.unionByName(bare.select("doc_id", F.lit(placeholder).alias("work_item"), F.lit(0).cast("bigint").alias("n"), F.lit("[]").alias("issues")))
 
 
-def render(finding: str = "finding", reason: str = "dimension", origin: str = "origin") -> Column:
-    return F.concat_ws("\n", F.concat(F.lit("finding: "), F.col(finding)), F.concat(F.lit("reason: "), F.col(reason)), F.concat(F.lit("origin: "), F.col(origin)))
+def point_lines(assessments: Column) -> Column:
+    """Checkpoints as lines, ``- name: status``, in white space of one blank; those without a name or a status go."""
+    kept = F.filter(assessments, lambda a: (tx.compact(a["name"]) != "") & (tx.compact(a["status"]) != ""))
+    return F.array_join(F.transform(kept, lambda a: F.concat(F.lit("- "), tx.clean(a["name"]), F.lit(": "), tx.clean(a["status"]))), "\n")
 
 
-def scorecard(findings: DataFrame, expected: Sequence[str], forbidden: Sequence[str], group_by: str = "doc_id") -> DataFrame:
-    """Of each case: expected words found and missing, forbidden words found."""
+def render(finding: str = "finding", reason: str = "dimension", origin: str = "origin", points: Column | None = None) -> Column:
+    """A finding as text; ``points``: its assessments, which follow as lines where there are any."""
+    head = [F.concat(F.lit("finding: "), F.col(finding)), F.concat(F.lit("reason: "), F.col(reason)), F.concat(F.lit("origin: "), F.col(origin))]
+    if points is not None:
+        lines = point_lines(F.coalesce(points, F.array().cast("array<struct<name:string,status:string>>")))
+        head.append(F.when(lines != "", F.concat(F.lit("points:\n"), lines)))
+    return F.concat_ws("\n", *head)
+
+
+def scorecard(findings: DataFrame, expected: Sequence[str], forbidden: Sequence[str], group_by: str = "doc_id", suppressed: Sequence[str] = ()) -> DataFrame:
+    """Of each case: expected words found and missing, forbidden and suppressed words found."""
     text = findings.groupBy(group_by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("issue_no", "finding"))), lambda s: s["finding"]), "\n\n").alias("t"), F.count("*").alias("n"))
-    hit = F.filter(tx.strings(expected), lambda w: F.contains("t", w))
-    return text.select(group_by, "n", F.array_join(hit, ",").alias("found"), F.array_join(F.array_except(tx.strings(expected), hit), ",").alias("missing"), F.array_join(F.filter(tx.strings(forbidden), lambda w: F.contains("t", w)), ",").alias("forbidden"))
+    held = lambda words: F.filter(tx.strings(words), lambda w: F.contains("t", w))
+    hit = held(expected)
+    return text.select(group_by, "n", F.array_join(hit, ",").alias("found"), F.array_join(F.array_except(tx.strings(expected), hit), ",").alias("missing"), F.array_join(held(forbidden), ",").alias("forbidden"), F.array_join(held(suppressed), ",").alias("suppressed"))
 
 
 def failure_notices(answers: DataFrame, pattern: str, doc: str = "doc_id", label: str = "label", text: str = "text", show: int = 3) -> DataFrame:

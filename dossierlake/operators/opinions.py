@@ -516,12 +516,36 @@ def facets(rows: DataFrame, columns: Sequence[str], arrays: Sequence[str] = ())
     return rows.select(F.explode(pairs).alias("p")).groupBy("p.facet", "p.value").agg(F.count("*").alias("n"))
 
 
+#: Why an opinion is undecided, in order of precedence, and what is then asked for.
+NEEDED = {
+    "no_file": "give the original scheme or its attachments, or say which file the project's name stands for",
+    "mismatch": "the file was matched by a like name only: give the one that the opinion is about",
+    "no_evidence": "the file does not hold the passage: give older versions, price lists or attachments",
+    "no_checkpoint": "give the context of the opinion, so that points can be drawn from it",
+    "review": "read the scheme again at the passage and add page and section",
+}
+
+
+def gap_reason(rows: DataFrame, low: float = 0.55) -> Column:
+    """The reason of an undecided row: by matched_file and match_score (where there are such columns), evidence, assessments."""
+    none = tx.blank(F.col("evidence")) == ""
+    file = tx.blank(F.col("matched_file")) == "" if "matched_file" in rows.columns else F.lit(False)
+    poor = F.coalesce(F.col("match_score") < low, F.lit(False)) if "match_score" in rows.columns else F.lit(False)
+    return F.when(file, "no_file").when(none & poor, "mismatch").when(none, "no_evidence").when(F.size("assessments") == 0, "no_checkpoint").otherwise("review")
+
+
 def gap_report(rows: DataFrame, unresolved: str = "undecided") -> DataFrame:
-    """Unresolved opinions by project: their number, the total, the ratio, categories and reasons; most first."""
+    """Unresolved opinions by project: their number, the total, the ratio, categories, the files matched to them, a count for each
+    reason, and what is needed for the first of them; most first."""
     open_ = F.col("alignment") == unresolved
-    why = F.when(tx.blank(F.col("evidence")) == "", "no_evidence").when(F.size("assessments") == 0, "no_checkpoint").otherwise("review")
-    out = rows.withColumn("reason", why).groupBy("project_name").agg(F.count("*").alias("total"), F.count_if(open_).alias("unresolved"), F.array_join(F.sort_array(F.collect_set(F.when(open_, F.col("work_category")))), ",").alias("categories"), F.count_if(open_ & (F.col("reason") == "no_evidence")).alias("without_evidence"), F.count_if(open_ & (F.col("reason") == "no_checkpoint")).alias("without_checkpoint"))
-    return out.where("unresolved > 0").orderBy(F.desc("unresolved"), "project_name")
+    file = F.col("matched_file") if "matched_file" in rows.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("reason", F.when(open_, gap_reason(rows))).withColumn("__file", F.when(open_, F.nullif(tx.clean(file), F.lit(""))))
+    order = F.struct(*[c for c in ("row_index", "item_index") if c in rows.columns], "reason")
+    joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
+    counts = [F.count_if(F.col("reason") == r).alias(n) for r, n in zip(NEEDED, ("without_file", "mismatched", "without_evidence", "without_checkpoint", "to_review"))]
+    needed = F.create_map(*[F.lit(x) for kv in NEEDED.items() for x in kv])[F.min_by("reason", F.when(open_, order))]
+    out = rows.groupBy("project_name").agg(F.count("*").alias("total"), F.count_if(open_).alias("unresolved"), joined(F.when(open_, F.col("work_category"))).alias("categories"), joined("__file").alias("matched_files"), *counts, needed.alias("needed_source"))
+    return out.withColumn("ratio", F.col("unresolved") / F.col("total")).where("unresolved > 0").orderBy(F.desc("unresolved"), "project_name")
 
 
 def first_rows(rows: DataFrame, group: str, order: Sequence[str], n: int) -> DataFrame:

@@ -31,12 +31,20 @@ def display_text() -> Column:
 
 
 def metadata(rules: DataFrame) -> DataFrame:
-    """Search metadata: every field has its default, texts are cut, flags are joined."""
-    c = lambda name, default: tx.or_default(F.col(name), default).alias(name)
+    """The 20 fields of search metadata, and project_id where there is one: every field has its default, also where the column
+    is not there at all; texts are cut, an array of flags is joined by commas, a source without a name is its category."""
+    kinds = dict(rules.dtypes)
+    at = lambda name: F.col(name) if name in kinds else F.lit(None).cast("string")
+    c = lambda name, default: tx.or_default(at(name).cast("string"), default).alias(name)
+    number = lambda name, default: tx.safe_int(at(name), default).alias(name)
+    flags = F.array_join("quality_flags", ",") if kinds.get("quality_flags", "").startswith("array") else at("quality_flags")
+    more = [F.coalesce(F.col("project_id").cast("string"), F.lit("")).alias("project_id")] if "project_id" in kinds else []
     return rules.select(
-        "rule_id", c("source_file", ""), c("category", ""), c("wbs_code", "GEN"), c("lifecycle_phase", "BUILD"), c("status", "active"),
-        c("index_source", "legacy"), F.coalesce("level", F.lit(3)).alias("level"), tx.safe_int(F.col("seq_index"), -1).alias("seq_index"), c("publish_date", "2000-01-01"),
-        F.coalesce("is_washed", F.lit(False)).alias("is_washed"), F.left(tx.blank(F.col("condensed_content")), F.lit(500)).alias("condensed_content"), F.left(tx.blank(F.col("content")), F.lit(2000)).alias("full_text"),
+        "rule_id", c("category", ""), number("level", 3), c("wbs_code", "GEN"), F.coalesce(F.nullif(at("source_file"), F.lit("")), F.nullif(at("category"), F.lit("")), F.lit("")).alias("source_file"),
+        number("seq_index", -1), c("status", "active"), c("publish_date", "2000-01-01"), c("lifecycle_phase", "BUILD"), F.coalesce(at("is_washed").cast("boolean"), F.lit(False)).alias("is_washed"),
+        F.left(tx.blank(at("condensed_content")), F.lit(500)).alias("condensed_content"), tx.blank(F.coalesce(F.nullif(at("ingest_time").cast("string"), F.lit("")), at("ingested").cast("string"))).alias("ingested"),
+        c("index_source", "legacy"), F.left(tx.blank(at("content")), F.lit(2000)).alias("full_text"), number("start_index", -1), number("end_index", -1), c("node_title", ""), c("node_id", ""),
+        number("quality_score", -1), tx.blank(flags).alias("quality_flags"), F.left(tx.blank(at("quality_notes")), F.lit(500)).alias("quality_notes"), *more,
     )
 
 
@@ -243,6 +251,12 @@ def delete(base: DataFrame, ids: DataFrame, key: str = "rule_id") -> DataFrame:
     return base.join(ids.select(key).distinct(), key, "left_anti")
 
 
+def delete_where(base: DataFrame, column: str, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is left of the table without the rows whose ``column`` is among ``values``, and one row (deleted): how many went."""
+    gone = base.join(values.select(column).distinct(), column, "left_semi")
+    return base.join(values.select(column).distinct(), column, "left_anti"), gone.agg(F.count("*").alias("deleted"))
+
+
 def edit(base: DataFrame, edits: DataFrame, fields: Sequence[str], key: str = "rule_id") -> DataFrame:
     """Fields of ``edits`` that are not null replace those of the base; edited rows are marked as revised."""
     new = edits.select(key, *[F.col(f).alias(f"__{f}") for f in fields]).withColumn("__hit", F.lit(True))

@@ -135,6 +135,26 @@ def choose_text(original: DataFrame, other: DataFrame, force: bool = False) -> D
     return original.join(swap, "doc_id", "left_anti").unionByName(other.join(swap, "doc_id", "left_semi").select(*original.columns))
 
 
+#: Marks of tables that are no text.
+TABLE_MARKS = "|-\n \t"
+
+
+def chunk_quality(chunks: DataFrame, pages: DataFrame, chars: int = 50, density: int = 20) -> DataFrame:
+    """(doc_id, chunks, chars, sufficient) of parsed chunks (doc_id, text): characters without the marks of tables, at least
+    ``chars`` of them and ``density`` for each page of ``pages`` (doc_id, pages; a document without counts as one page)."""
+    n = F.length(F.translate(tx.blank(F.col("text")), TABLE_MARKS, ""))
+    q = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(n).alias("chars")).join(pages.select("doc_id", "pages"), "doc_id", "left")
+    return q.select("doc_id", "chunks", "chars", ((F.col("chars") >= chars) & (F.col("chars") >= density * F.greatest(F.coalesce("pages", F.lit(1)), F.lit(1)))).alias("sufficient"))
+
+
+def choose_chunks(original: DataFrame, other: DataFrame, pages: DataFrame) -> DataFrame:
+    """The chunks of the original where they are sufficient; else those of the source that has more, the original on a tie."""
+    a = chunk_quality(original, pages).select("doc_id", F.col("chunks").alias("__a"), "sufficient")
+    b = other.groupBy("doc_id").agg(F.count("*").alias("__b"))
+    swap = b.join(a, "doc_id", "left").where(~F.coalesce("sufficient", F.lit(False)) & (F.col("__b") > F.coalesce("__a", F.lit(0)))).select("doc_id")
+    return original.join(swap, "doc_id", "left_anti").unionByName(other.join(swap, "doc_id", "left_semi").select(*original.columns))
+
+
 def densify(sparse: DataFrame, counts: DataFrame) -> DataFrame:
     """Pages 1 to the larger of ``counts(doc_id, n)`` and the last page there is; gaps are blank, the last duplicate wins."""
     last = sparse.groupBy("doc_id").agg(F.max("page_no").alias("m"))

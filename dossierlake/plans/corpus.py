@@ -37,14 +37,29 @@ def s2(spark, d):
     return rl.lookup(view(spark, d, "v_rules"), ids).select("rule_id", "wbs_code", "level")
 
 
-@query("s11_vector_payload", ctes("v_rules") + f"SELECT rule_id, md5({DISPLAY}) AS document, level, md5(left(content, 2000)) AS full_text, left(condensed_content, 500) AS condensed_content FROM v_rules WHERE trim(content) <> ''")
+#: Rules with what a tree ingestion and a quality audit add to them; of some, the fields are empty.
+TOLD = """told AS (SELECT *, CASE WHEN rule_id % 3 = 0 THEN '' ELSE concat('2024-01-0', CAST(1 + rule_id % 9 AS VARCHAR)) END AS ingested, CASE WHEN rule_id % 4 = 1 THEN CAST(rule_id % 50 AS VARCHAR) WHEN rule_id % 4 = 2 THEN 'x' END AS start_index,
+ CASE WHEN rule_id % 4 = 1 THEN concat('node ', category) END AS node_title, CASE WHEN rule_id % 5 <> 0 THEN CAST(rule_id % 101 AS VARCHAR) END AS quality_score, rule_id % 2 = 0 AS short, rule_id % 7 = 0 AS washed_out FROM v_rules)"""
+_META = """rule_id, CASE WHEN source_file = '' THEN category ELSE source_file END AS source_file, category, wbs_code, lifecycle_phase, status, index_source, level, seq_index, publish_date, is_washed, left(condensed_content, 500) AS condensed_content, md5(left(content, 2000)) AS full_text,
+ ingested, coalesce(try_cast(start_index AS INT), -1) AS start_index, -1 AS end_index, coalesce(node_title, '') AS node_title, '' AS node_id, coalesce(CAST(quality_score AS INT), -1) AS quality_score, concat_ws(',', CASE WHEN short THEN 'short' END, CASE WHEN washed_out THEN 'washed_out' END) AS quality_flags, left(content, 500) AS quality_notes"""
+
+
+def told_rules(spark, d):
+    n = F.col("rule_id")
+    flags = F.filter(F.array(F.when(n % 2 == 0, "short"), F.when(n % 7 == 0, "washed_out")), lambda x: x.isNotNull())
+    start = F.when(n % 4 == 1, (n % 50).cast("string")).when(n % 4 == 2, "x")
+    more = {"ingest_time": F.when(n % 3 != 0, F.concat(F.lit("2024-01-0"), (1 + n % 9).cast("string"))), "start_index": start, "node_title": F.when(n % 4 == 1, F.concat(F.lit("node "), "category")), "quality_score": F.when(n % 5 != 0, (n % 101).cast("string")), "quality_flags": flags, "quality_notes": F.col("content")}
+    return placed(spark, d).withColumns(more)
+
+
+@query("s11_vector_payload", ctes("v_rules", more=TOLD) + f"SELECT md5({DISPLAY}) AS document, {_META} FROM told WHERE trim(content) <> ''")
 def s11(spark, d):
-    return rl.payload(placed(spark, d)).select("rule_id", F.md5("document").alias("document"), "level", F.md5("full_text").alias("full_text"), "condensed_content")
+    return rl.payload(told_rules(spark, d)).withColumn("document", F.md5("document")).withColumn("full_text", F.md5("full_text"))
 
 
-@query("p1_rule_metadata", ctes("v_rules") + "SELECT rule_id, source_file, category, wbs_code, lifecycle_phase, status, index_source, level, seq_index, publish_date, is_washed, left(condensed_content, 500) AS condensed_content, md5(left(content, 2000)) AS full_text FROM v_rules")
+@query("p1_rule_metadata", ctes("v_rules", more=TOLD) + f"SELECT {_META} FROM told")
 def p1(spark, d):
-    return rl.metadata(placed(spark, d)).withColumn("full_text", F.md5("full_text"))
+    return rl.metadata(told_rules(spark, d)).withColumn("full_text", F.md5("full_text"))
 
 
 @query("p2_safe_int", "SELECT page_id, coalesce(try_cast(regexp_extract(url, '[0-9]+') AS INT), -1) AS n FROM pages")
@@ -340,6 +355,15 @@ def t4(spark, d):
     return rl.delete(rules, rules.where("rule_id % 4 = 0")).groupBy("category").agg(F.count("*").alias("n"))
 
 
+@query("t4_delete_categories", ctes("v_rules") + "SELECT category, count(*) AS n, (SELECT count(*) FROM v_rules WHERE category IN (SELECT lang FROM documents GROUP BY 1 HAVING count(*) % 2 = 0)) AS deleted FROM v_rules WHERE category NOT IN (SELECT lang FROM documents GROUP BY 1 HAVING count(*) % 2 = 0) GROUP BY 1")
+def t4c(spark, d):
+    """Categories of an even number of rules go, and are counted."""
+    rules = view(spark, d, "v_rules")
+    even = rules.groupBy("category").agg(F.count("*").alias("n")).where("n % 2 = 0")
+    left, gone = rl.delete_where(rules, "category", even)
+    return left.groupBy("category").agg(F.count("*").alias("n")).crossJoin(F.broadcast(gone))
+
+
 def _edits(rules):
     return rules.where("rule_id % 5 = 1").select("rule_id", F.when(F.col("rule_id") % 2 == 0, 6).alias("level"), F.when(F.col("rule_id") % 3 == 0, "99-01").alias("wbs_code"))
 

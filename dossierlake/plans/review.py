@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import conditions as cn
@@ -423,6 +424,23 @@ def a2(spark, d):
     return op.gap_report(rows).select("project_name", "total", "unresolved", "without_evidence")
 
 
+_REASON = "CASE WHEN row_index % 5 = 0 THEN 'no_file' WHEN e = '' AND row_index % 7 < 3 THEN 'mismatch' WHEN e = '' THEN 'no_evidence' WHEN len(names) = 0 THEN 'no_checkpoint' ELSE 'review' END"
+_FILE = "CASE WHEN row_index % 5 <> 0 THEN concat('file ', CAST(row_index % 3 AS VARCHAR), '.', CAST(item_index % 2 AS VARCHAR)) END"
+
+
+@query("a2_gap_reasons", ctes("v_opinions", more=ALIGN) + f"""SELECT project_name, count(*) AS total, count(*) FILTER (WHERE o) AS unresolved, round(count(*) FILTER (WHERE o) / count(*), 9) AS ratio, coalesce(array_to_string(list_sort(list(DISTINCT f) FILTER (WHERE o AND f IS NOT NULL)), ','), '') AS matched_files,
+ {', '.join(f"count(*) FILTER (WHERE o AND r = '{r}') AS {n}" for r, n in (('no_file', 'without_file'), ('mismatch', 'mismatched'), ('no_evidence', 'without_evidence'), ('review', 'to_review')))}, min_by(r, item_index) FILTER (WHERE o) AS needed
+ FROM (SELECT concat('conv_', CAST(row_index AS VARCHAR)) AS project_name, item_index, alignment = 'unresolved' OR alignment = 'partly_resolved' AS o, {_REASON} AS r, {_FILE} AS f FROM v) GROUP BY 1 HAVING unresolved > 0""")
+def a2r(spark, d):
+    """Every reason: what is open is what is not resolved; files are matched to four projects in five, some of them poorly."""
+    n = F.col("row_index")
+    rows = assessed(spark, d).withColumns({"work_category": F.lit("all"), "matched_file": F.when(n % 5 != 0, F.concat(F.lit("file "), (n % 3).cast("string"), F.lit("."), (F.col("item_index") % 2).cast("string"))), "match_score": F.when(n % 7 < 3, 0.3).otherwise(0.9)})
+    rows = rows.withColumn("alignment", F.when(F.col("alignment").isin("unresolved", "partly_resolved"), "open").otherwise(F.col("alignment")))
+    back = F.create_map(*[F.lit(x) for k, v in op.NEEDED.items() for x in (v, k)])
+    found = op.gap_report(rows, "open").withColumn("needed", back[F.col("needed_source")])
+    return found.select("project_name", "total", "unresolved", F.round("ratio", 9).alias("ratio"), "matched_files", "without_file", "mismatched", "without_evidence", "to_review", "needed")
+
+
 @query("k6_group_order", ctes("v_opinions", more=ALIGN) + "SELECT project_name, unresolved FROM (SELECT concat('conv_', CAST(row_index AS VARCHAR)) AS project_name, count(*) FILTER (WHERE alignment = 'partly_resolved') AS unresolved FROM v GROUP BY 1) WHERE unresolved > 0 ORDER BY unresolved DESC, project_name")
 def k6(spark, d):
     by = op.gap_report(assessed(spark, d).withColumn("work_category", F.lit("all")), "partly_resolved").select("project_name", "unresolved")
@@ -706,9 +724,9 @@ def a10(spark, d):
     return rows.withColumn("issues", F.array_join(F.transform(F.from_json("issues", "array<struct<issue_no:bigint>>"), lambda s: s["issue_no"].cast("string")), ","))
 
 
-@query("a14_scorecard", ctes("v_findings", more="t AS (SELECT doc_id, count(*) AS n, string_agg(finding, concat(chr(10), chr(10)) ORDER BY issue_no) AS t FROM v_findings GROUP BY 1)") + f"SELECT doc_id, n, array_to_string(list_filter({sql_list(TERMS)}, lambda w: contains(t, w)), ',') AS found, array_to_string(list_filter({sql_list(TERMS)}, lambda w: NOT contains(t, w)), ',') AS missing, CASE WHEN contains(t, 'license') THEN 'license' ELSE '' END AS forbidden FROM t")
+@query("a14_scorecard", ctes("v_findings", more="t AS (SELECT doc_id, count(*) AS n, string_agg(finding, concat(chr(10), chr(10)) ORDER BY issue_no) AS t FROM v_findings GROUP BY 1)") + f"SELECT doc_id, n, array_to_string(list_filter({sql_list(TERMS)}, lambda w: contains(t, w)), ',') AS found, array_to_string(list_filter({sql_list(TERMS)}, lambda w: NOT contains(t, w)), ',') AS missing, CASE WHEN contains(t, 'license') THEN 'license' ELSE '' END AS forbidden, array_to_string(list_filter(['www', 'der'], lambda w: contains(t, w)), ',') AS suppressed FROM t")
 def a14(spark, d):
-    return au.scorecard(view(spark, d, "v_findings"), TERMS, ("license",))
+    return au.scorecard(view(spark, d, "v_findings"), TERMS, ("license",), suppressed=("www", "der"))
 
 
 @query("a19_failure_notices", ctes("v_findings") + "SELECT doc_id, array_to_string(list_sort(list(DISTINCT dimension))[1:3], ',') AS labels, CAST(count(DISTINCT dimension) AS INT) AS n FROM v_findings WHERE regexp_matches(finding, '^(The|A|En|De)') GROUP BY 1")
@@ -721,6 +739,11 @@ def p16(spark, d):
     return view(spark, d, "v_findings").select("doc_id", "issue_no", F.md5(au.render()).alias("text"))
 
 
+@query("p16_render_points", ctes("v_opinions", more=ALIGN) + "SELECT row_index, item_index, concat('finding: ', opinion, chr(10), 'reason: ', alignment, chr(10), 'origin: ', project_name, CASE WHEN len(names) > 0 THEN concat(chr(10), 'points:', chr(10), array_to_string(list_transform(names, lambda n, i: concat('- ', n, ': ', st[i])), chr(10))) ELSE '' END) AS text FROM v JOIN v_opinions USING (row_index, item_index)")
+def p16p(spark, d):
+    return assessed(spark, d).select("row_index", "item_index", au.render("opinion", "alignment", "project_name", F.col("assessments")).alias("text"))
+
+
 @query("k5_query_list", ctes("v_findings", more=r"q AS (SELECT doc_id, min(issue_no) AS o, left(regexp_replace(concat(work_item, ' ', finding), '\s+', '', 'g'), 160) AS query FROM v_findings GROUP BY 1, 3)") + "SELECT doc_id, md5(query) AS query, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o, query) AS place FROM q) WHERE place <= 6")
 def k5(spark, d):
     none = spark.createDataFrame([], "doc_id long, ordinal int, query string")
@@ -982,6 +1005,23 @@ def f13(spark, d):
     return st.page_quality(view(spark, d, "v_doc_pages")).where("sufficient").select("doc_id")
 
 
+_EFFECT = "length(translate(translate(text, chr(10), ''), '|- \t', ''))".replace("\t", "' || chr(9) || '")
+_CHUNKS = f"c AS (SELECT doc_id, count(*) AS chunks, sum({_EFFECT}) AS chars, 1 + count(*) % 4 AS pages FROM v_doc_pages GROUP BY 1)"
+
+
+@query("f13_effective_characters", ctes("v_doc_pages", more=_CHUNKS) + "SELECT doc_id, chunks, CAST(chars AS BIGINT) AS chars, chars >= 50 AND chars >= 20 * pages AS sufficient FROM c")
+def f13e(spark, d):
+    chunks = view(spark, d, "v_doc_pages")
+    return st.chunk_quality(chunks, chunks.groupBy("doc_id").agg((1 + F.count("*") % 4).alias("pages")))
+
+
+@query("j16_chunk_choice", ctes("v_doc_pages", more=f"a AS (SELECT doc_id, count(*) AS n, sum({_EFFECT}) AS chars FROM v_doc_pages WHERE page_no % 2 = 0 GROUP BY 1), b AS (SELECT doc_id, count(*) AS n FROM v_doc_pages GROUP BY 1), s AS (SELECT b.doc_id FROM b LEFT JOIN a ON a.doc_id = b.doc_id WHERE NOT coalesce(a.chars >= 1500 AND a.chars >= 50, FALSE) AND b.n > coalesce(a.n, 0))") + "SELECT doc_id, page_no FROM v_doc_pages WHERE page_no % 2 = 0 OR doc_id IN (SELECT doc_id FROM s)")
+def j16c(spark, d):
+    """The even pages are one parse, all pages another; every document counts as 75 pages, so a parse may be too thin."""
+    pages = view(spark, d, "v_doc_pages")
+    return st.choose_chunks(pages.where("page_no % 2 = 0"), pages, pages.select("doc_id", F.lit(75).alias("pages")).distinct()).select("doc_id", "page_no")
+
+
 @query("j16_text_choice", ctes("v_doc_pages") + r", a AS (SELECT doc_id, sum(length(regexp_replace(text, '^\s+|\s+$', '', 'g'))) AS n FROM v_doc_pages WHERE page_no > 1 GROUP BY 1), b AS (SELECT doc_id, sum(length(regexp_replace(text, '^\s+|\s+$', '', 'g'))) AS n FROM v_doc_pages WHERE page_no <= 2 GROUP BY 1), s AS (SELECT b.doc_id FROM b LEFT JOIN a ON a.doc_id = b.doc_id WHERE b.n > coalesce(a.n, -1)) SELECT doc_id, page_no FROM v_doc_pages WHERE page_no > 1 AND doc_id NOT IN (SELECT doc_id FROM s) UNION ALL SELECT doc_id, page_no FROM v_doc_pages WHERE page_no <= 2 AND doc_id IN (SELECT doc_id FROM s)")
 def j16(spark, d):
     pages = view(spark, d, "v_doc_pages")
@@ -1156,6 +1196,13 @@ def k3(spark, d):
     return view(spark, d, "v_tasks").where("status = 'PENDING'").orderBy("created_at", "task_id").limit(1).select("task_id", "status")
 
 
+@query("k3_newest_tasks", ctes("v_tasks") + "SELECT task_id, status, row_number() OVER (ORDER BY created_at DESC, task_id) AS place FROM v_tasks ORDER BY place LIMIT 50")
+def k3n(spark, d):
+    """The list that users see: newest first."""
+    newest = view(spark, d, "v_tasks").orderBy(F.desc("created_at"), "task_id").limit(50)
+    return newest.withColumn("place", F.row_number().over(Window.orderBy(F.desc("created_at"), "task_id"))).select("task_id", "status", "place")
+
+
 @query("s14_grouped_reports", ctes("v_findings") + "SELECT work_item, count(*) AS n FROM v_findings GROUP BY 1")
 def s14(spark, d):
     path = shared_path(spark, "reports")
@@ -1170,10 +1217,34 @@ def s12(spark, d):
     return spark.read.parquet(path).agg(F.count("*").alias("n"))
 
 
-@query("s13_gap_manifest")
+@query("s12_three_results", CARDS + "SELECT 'cards' AS name, count(*) AS n FROM full_cards UNION ALL SELECT 'cases', count(DISTINCT project_name) FROM v_opinions UNION ALL SELECT 'methodology', count(DISTINCT work_category) FROM full_cards")
+def s12t(spark, d):
+    """Cards, cases and methodology written as JSON lines and read back."""
+    path, cards = shared_path(spark, "analysis"), carded(spark, d)
+    methods = cards.groupBy("work_category").agg(F.count("*").alias("n"))
+    sd.write_analysis(cards, op.status_distribution(assessed(spark, d)), methods, path)
+    back = [spark.read.json(f"{path}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in ("cards", "cases", "methodology")]
+    return back[0].unionByName(back[1]).unionByName(back[2])
+
+
+@query("s15_cards_from_file", CARDS + "SELECT card_id, md5(opinion) AS opinion FROM full_cards ORDER BY card_id LIMIT 40")
+def s15f(spark, d):
+    """The file of an analysis comes before the rules; the first forty cards of it."""
+    path, cards = shared_path(spark, "analysis"), carded(spark, d)
+    sd.write_reports(cards, path)
+    found = sd.load_cards(spark, path, "card_id string, opinion string", op.card_rules(cards), 40)
+    return found.select("card_id", F.md5("opinion").alias("opinion"))
+
+
+@query("s13_gap_manifest", ctes("v_opinions", more=ALIGN) + "SELECT project_name, unresolved, CASE WHEN unresolved > 0 THEN concat('{\"to_review\":', CAST(unresolved AS VARCHAR), '}') END AS reasons, CASE WHEN n % 3 = 0 THEN concat('old/', CAST(n AS VARCHAR)) ELSE '' END AS user_supplied_path FROM (SELECT row_index AS n, concat('conv_', CAST(row_index AS VARCHAR)) AS project_name, count(*) FILTER (WHERE alignment = 'partly_resolved') AS unresolved FROM v GROUP BY 1) WHERE unresolved > 0")
 def s13(spark, d):
+    """A third of the projects have a path that a user entered in the manifest before."""
     report = op.gap_report(assessed(spark, d).withColumn("work_category", F.lit("all")), "partly_resolved")
-    return sd.write_manifest(report, shared_path(spark, "manifest")).select("project_name", "unresolved", "user_supplied_path")
+    old = report.withColumn("n", F.split("project_name", "_")[1].cast("long")).where("n % 3 = 0").select("project_name", F.concat(F.lit("old/"), F.col("n").cast("string")).alias("source_path"))
+    path = shared_path(spark, "manifest")
+    old.write.option("header", True).csv(path)
+    rows = sd.write_manifest(report, shared_path(spark, "manifest"), sd.entered_paths(spark, path))
+    return rows.select("project_name", "unresolved", "reasons", "user_supplied_path")
 
 
 # --- streams ---

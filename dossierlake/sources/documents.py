@@ -138,17 +138,47 @@ def write_reports(df: DataFrame, path: str, by: str | None = None, kind: str = "
     (w.partitionBy(by) if by else w).format(kind).save(path)
 
 
+def entered_paths(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
+    """(project_name, user_supplied_path) of a manifest that users filled in: CSV with a header, or JSON rows. The path stands
+    in user_supplied_path, source_path or path, the first that is not empty; rows without one go."""
+    rows = spark.read.option("header", True).csv(path) if kind == "csv" else spark.read.option("multiLine", True).json(path)
+    names = [F.nullif(tx.clean(F.col(c)), F.lit("")) for c in ("user_supplied_path", "source_path", "path") if c in rows.columns]
+    found = rows.select(tx.clean(F.col("project_name")).alias("project_name"), F.coalesce(*names, F.lit(None).cast("string")).alias("user_supplied_path"))
+    return found.where("project_name <> '' and user_supplied_path is not null").groupBy("project_name").agg(F.max("user_supplied_path").alias("user_supplied_path"))
+
+
 def write_manifest(report: DataFrame, path: str, existing: DataFrame | None = None) -> DataFrame:
-    """One CSV row a project with counters as JSON; paths that users entered before are kept."""
+    """One CSV row a project, its counters by reason as JSON; paths that users entered before are kept."""
     rows = report
+    counters = [c for c in ("without_file", "mismatched", "without_evidence", "without_checkpoint", "to_review") if c in rows.columns]
+    if counters:
+        pairs = F.filter(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in counters]), lambda p: p["v"] > 0)
+        rows = rows.withColumn("reasons", F.to_json(F.map_from_entries(pairs)))
     if existing is not None:
-        rows = report.join(existing.select("project_name", "user_supplied_path"), "project_name", "left")
+        rows = rows.join(existing.select("project_name", "user_supplied_path"), "project_name", "left")
     else:
-        rows = report.withColumn("user_supplied_path", F.lit(""))
+        rows = rows.withColumn("user_supplied_path", F.lit(""))
     rows = rows.withColumn("user_supplied_path", tx.blank(F.col("user_supplied_path")))
     rows.write.mode("overwrite").option("header", True).csv(path)
     return rows
 
 
+def write_analysis(cards: DataFrame, cases: DataFrame, methodology: DataFrame, folder: str) -> None:
+    """The three results of an analysis as JSON lines, each in a folder of its own."""
+    for name, df in (("cards", cards), ("cases", cases), ("methodology", methodology)):
+        write_reports(df, f"{folder}/{name}")
+
+
+def load_cards(spark: SparkSession, path: str, schema, rules: DataFrame, limit: int | None = None, order: str = "card_id") -> DataFrame:
+    """Cards of the file of an earlier analysis; where there is none, or it is empty, those stored in experience rules. ``limit``:
+    only the first so many in order."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    found = spark.read.schema(schema).json(path) if there else None
+    if found is None or found.isEmpty():
+        found = rules.where("index_source = 'review_experience'").select(F.from_json("full_text", schema).alias("c")).where("c is not null").select("c.*")
+    return found if limit is None else found.orderBy(order).limit(limit)
+
+
 def registry_jobs(rows: DataFrame) -> DataFrame:
     return rows.where((tx.blank(F.col("path")) != "") & (tx.blank(F.col("category")) != ""))
