@@ -182,7 +182,8 @@ def is_noise(line: Column, opinion: Column, noise: Sequence[tuple[str, str | Seq
 def evidence(opinions: DataFrame, lines: DataFrame, key: str, words: str = "keywords", k: int = 3, noise: Sequence[tuple[str, str]] = (), opinion: str = "opinion") -> DataFrame:
     """The best ``k`` lines of each opinion's source: most keyword hits, then shorter, then earlier. ``noise``: (term in the
     line, terms of which the opinion must then hold one). Columns: those of ``opinions``, line_no, line, hits, place."""
-    rows = opinions.withColumn("__id", F.struct(*[c for c in opinions.columns if c != words])).join(lines, key)
+    own = [c for c in opinions.columns if c != words]
+    rows = opinions.withColumn("__id", F.struct(F.xxhash64(*own), F.hash(*own))).join(lines, key)
     if noise:
         rows = rows.where(~is_noise(F.col("line"), F.col(opinion), noise))
     rows = rows.withColumn("hits", F.size(tx.hits(F.col("line"), F.col(words)))).where("hits > 0")

@@ -302,11 +302,17 @@ def windows(blocks: DataFrame, doc: str, block: str, heading: str, text: str, si
     t = tx.u_trim(tx.blank(F.col(text)))
     h = tx.or_default(tx.u_trim(F.col(heading)), "untitled")
     parts = blocks.select(doc, F.col(block).alias("__b"), h.alias("h"), t.alias("t")).where(F.length("t") >= least).withColumn("x", F.concat(F.lit("### "), F.col("h"), F.lit("\n"), F.col("t")))
-    at = running(parts.select(doc, "__b", (F.length("x") + 2).alias("__step")), doc, "__b", "__step")
+    spark, sizes = blocks.sparkSession, shared_path(blocks.sparkSession, "sizes")
+    narrow = parts.select(doc, "__b", (F.length("x") + 2).alias("__step"))
+    narrow.write.parquet(sizes)  # the texts are measured once, not again to find the ranges
+    at = running(spark.read.schema(narrow.schema).parquet(sizes), doc, "__b", "__step")
     at = at.select(doc, "__b", F.col("__no").alias("no"), F.col("__before").alias("start"), (F.col("__before") + F.col("__step") - 2).alias("end"))
     total = at.groupBy(doc).agg(F.max("end").alias("total"), F.max("no").alias("last"))
-    parts = parts.join(at.join(total, doc), [doc, "__b"]).withColumn("y", F.when(F.col("no") < F.col("last"), F.concat("x", F.lit("\n\n"))).otherwise(F.col("x")))
-    until = F.col("start") + F.length("y")
+    # places are narrow: written, their size is known, so texts travel only where it is too large to be sent to them
+    placed, path = at.join(total, doc), shared_path(spark, "places")
+    placed.write.parquet(path)
+    parts = parts.join(spark.read.schema(placed.schema).parquet(path), [doc, "__b"]).withColumn("y", F.when(F.col("no") < F.col("last"), F.concat("x", F.lit("\n\n"))).otherwise(F.col("x")))
+    until = F.col("end") + F.when(F.col("no") < F.col("last"), 2).otherwise(0)  # known: the text is not measured again
     count = F.when(F.col("total") <= size, F.lit(1)).otherwise(1 + F.ceil((F.col("total") - size) / F.lit(step)))
     # a window w covers [w * step, w * step + size): the windows that a block touches, without a join
     first = F.greatest(F.lit(0), F.floor((F.col("start") - size) / F.lit(step)) + 1)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..sources.shared import shared_path
 from . import rules as rl
+from . import scan as sc
 
 #: Titles of front matter, contents markers and entry patterns.
 FRONT = ("preface", "front matter", "foreword", "cover", "前言", "目录", "封面", "公告")
@@ -311,30 +312,30 @@ def _keys(items: DataFrame) -> DataFrame:
 
 
 #: Letters of the piece of a title that is looked up in the pages.
-ANCHOR = 6
+ANCHOR = 12
 
 
 def align(items: DataFrame, pages: DataFrame, size: int = ANCHOR) -> DataFrame:
     """(doc_id, item_no, found_page): the first page of the document that holds the entry's title.
 
     A title is looked up by its anchor, the piece of ``size`` letters that the fewest titles share (a shorter title by the
-    whole of it): pieces of the pages join anchors by equality, and only these pages are read for the title. Page texts are
-    written once, in the form that is compared. A title with its number before it holds the title alone, so that is enough.
+    whole of it). One dictionary scan of the pages finds all anchors, where the pages lie; found anchors join those of their
+    document by equality, and only these pages are read for the whole title. Page texts are written once, in the form that
+    is compared. A title with its number before it holds the title alone, so that is enough.
     """
-    spark, path = pages.sparkSession, shared_path(pages.sparkSession, "pages")
-    pieces = lambda c, m: F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{m}}}))"), F.lit(1))  # noqa: E731  from every letter on, in one pass
+    spark, path, titles = pages.sparkSession, shared_path(pages.sparkSession, "pages"), shared_path(pages.sparkSession, "titles")
     pages.select("doc_id", "page_no", tx.title_key(F.col("text")).alias("__p")).write.parquet(path)
-    p = spark.read.parquet(path)
-    n = F.least(F.length("__k"), F.lit(size))
-    _keys(items).where("__k <> ''").select("doc_id", "item_no", "__k", n.alias("n")).write.parquet(titles := shared_path(spark, "titles"))
-    keys = spark.read.parquet(titles)
-    cut = keys.select("*", F.explode(F.array_distinct(F.when(F.col("n") < size, F.array("__k")).otherwise(pieces("__k", size)))).alias("gram"))
+    _keys(items).where("__k <> ''").select("doc_id", "item_no", "__k", F.md5("__k").alias("__h")).write.parquet(titles)
+    p, keys = spark.read.parquet(path), spark.read.parquet(titles)
+    pieces = F.array_distinct(F.regexp_extract_all("__k", F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))  # from every letter on, in one pass
+    # titles can be long: their pieces carry a digest
+    cut = keys.dropDuplicates(["__h"]).select("__h", F.explode(F.when(F.length("__k") < size, F.array("__k")).otherwise(pieces)).alias("gram"))
     shared = cut.groupBy("gram").agg(F.count("*").alias("titles"))
-    rare = F.min(F.struct("titles", "gram"))["gram"]
-    anchors = cut.join(shared, "gram").groupBy("doc_id", "item_no", "__k", "n").agg(rare.alias("gram")).select("doc_id", "item_no", "__k", "gram")
-    sizes = sorted(r[0] for r in keys.select("n").distinct().collect())  # ``size`` numbers at most
-    windows = [pieces("__p", m) for m in sizes]
-    held = p.select("doc_id", "page_no", F.explode(F.array_distinct(F.concat(*windows)) if windows else F.array().cast("array<string>")).alias("gram"))
+    rare = cut.join(shared, "gram").groupBy("__h").agg(F.min(F.struct("titles", "gram"))["gram"].alias("gram"))
+    rare.write.parquet(found := shared_path(spark, "anchors"))
+    rare = spark.read.parquet(found)
+    anchors = keys.join(rare, "__h")
+    held = sc.hits(p.withColumn("__at", F.struct("doc_id", "page_no")), "__at", "__p", rare, "gram").select("__at.doc_id", "__at.page_no", "gram")
     met = anchors.join(held, ["doc_id", "gram"]).select("doc_id", "item_no", "__k", "page_no")
     return met.join(p, ["doc_id", "page_no"]).where(F.contains("__p", F.col("__k"))).groupBy("doc_id", "item_no").agg(F.min("page_no").alias("found_page"))
 
