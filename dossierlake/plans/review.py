@@ -615,10 +615,10 @@ _REALIGN = ALIGN.replace("src AS (SELECT v.row_index, v.item_index, opinion AS o
 _OLD = ALIGN.replace("src AS (", "osrc AS (").replace("FROM src)", "FROM osrc)")
 for _n in "pwav":
     _OLD = _OLD.replace(f"\n{_n} AS (", f"\no{_n} AS (").replace(f"FROM {_n})", f"FROM o{_n})")
-_NAMED = ", ".join(f"array_to_string(list_filter(names, lambda n, i: st[i] = '{s}'), ',') AS {c}_points" for s, c in (("covered", "covered"), ("vague", "partial"), ("missing", "missing")))
+_POINT_TEXTS = ", ".join(f"array_to_string(list_filter(names, lambda n, i: st[i] = '{s}'), ',') AS {c}_points" for s, c in (("covered", "covered"), ("vague", "partial"), ("missing", "missing")))
 
 
-@query("e4_realigned_cards", ctes("v_opinions", more=f"{COUNTS}, {MATCH}, b8 AS (SELECT * FROM (SELECT doc_id, card_id, {_PLACE.format(g='doc_id')} AS place FROM m WHERE overlap >= 2) WHERE place <= 8), {_REALIGN}, {_OLD}, old AS (SELECT DISTINCT card_id, alignment AS source_alignment, {_GAP} AS source_scheme_gap FROM (SELECT *, {_NAMED} FROM ov) JOIN cards USING (row_index, item_index))") + f"SELECT row_index AS doc_id, item_index AS card_id, alignment, missing_points AS absent, {_GAP} AS scheme_gap, source_alignment, source_scheme_gap FROM (SELECT *, {_NAMED} FROM v) JOIN old ON old.card_id = item_index")
+@query("e4_realigned_cards", ctes("v_opinions", more=f"{COUNTS}, {MATCH}, b8 AS (SELECT * FROM (SELECT doc_id, card_id, {_PLACE.format(g='doc_id')} AS place FROM m WHERE overlap >= 2) WHERE place <= 8), {_REALIGN}, {_OLD}, old AS (SELECT DISTINCT card_id, alignment AS source_alignment, {_GAP} AS source_scheme_gap FROM (SELECT *, {_POINT_TEXTS} FROM ov) JOIN cards USING (row_index, item_index))") + f"SELECT row_index AS doc_id, item_index AS card_id, alignment, missing_points AS absent, {_GAP} AS scheme_gap, source_alignment, source_scheme_gap FROM (SELECT *, {_POINT_TEXTS} FROM v) JOIN old ON old.card_id = item_index")
 def e4(spark, d):
     docs, cards = view(spark, d, "documents"), told_cards(spark, d)
     rows = op.match_cards(docs, carded(spark, d)).join(cards, "card_id").join(docs.select("doc_id", F.col("text").alias("evidence")), "doc_id")
@@ -1277,7 +1277,7 @@ def x5(spark, d):
     return jobs.drain(rows.groupBy("task_id").agg(F.max_by("status", "ts").alias("status")), f"x5_{out[-8:]}", "complete", out)
 
 
-SHOWN = "CASE WHEN doc_id % 5 = 2 THEN left(text, 300) ELSE text END"
+CUT_TEXT = "CASE WHEN doc_id % 5 = 2 THEN left(text, 300) ELSE text END"
 
 
 def _refreshed(spark, d):
@@ -1286,7 +1286,7 @@ def _refreshed(spark, d):
     rules = lambda df: df.select(F.col("doc_id").alias("rule_id"), F.when(F.col("doc_id") % 11 == 0, "inactive").otherwise("active").alias("status"), F.col("text").alias("content"), F.lit(False).alias("is_washed"), F.lit("").alias("condensed_content"))
     out = shared_path(spark, "postings")
     jobs.index(rules(docs), out, shared_path(spark, "x2")).awaitTermination()
-    again = rules(view(spark, d, "documents").withColumn("text", F.expr(SHOWN))).withColumn("status", F.when(F.col("rule_id") % 10 == 3, "inactive").otherwise(F.col("status")))
+    again = rules(view(spark, d, "documents").withColumn("text", F.expr(CUT_TEXT))).withColumn("status", F.when(F.col("rule_id") % 10 == 3, "inactive").otherwise(F.col("status")))
     segments.refresh(again, out, 1_000_000)
     segments.refresh(again.where("rule_id % 10 = 4"), out, 1_000_001)  # nothing new
     return out
@@ -1298,7 +1298,7 @@ def x2(spark, d):
 
 
 @query("x2_index_statistics", f"""
-WITH t AS (SELECT regexp_extract_all(lower({SHOWN}), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 10 <> 3 AND trim(text) <> ''),
+WITH t AS (SELECT regexp_extract_all(lower({CUT_TEXT}), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 10 <> 3 AND trim(text) <> ''),
 s AS (SELECT count(*) AS n, round(avg(len(w)), 6) AS avgdl FROM t)
 SELECT term, count(*) AS df, n, avgdl FROM (SELECT unnest(list_distinct(w)) AS term FROM t), s GROUP BY term, n, avgdl""")
 def x2s(spark, d):
