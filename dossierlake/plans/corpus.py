@@ -92,7 +92,7 @@ def p7(spark, d):
     return placed(spark, d).select("rule_id", tx.hash_id("R", F.col("source_file"), F.col("seq_index")).alias("hash_id"))
 
 
-@query("p7_uuid5_ids")
+@query("p7_uuid5_ids", ctes("v_rules") + f"SELECT rule_id, upper(left(sha1(unhex('{tx.NAMESPACE_URL}') || encode(concat(source_file, '#', CAST(seq_index AS VARCHAR)))), 10)) AS uid FROM v_rules")
 def p7u(spark, d):
     return placed(spark, d).select("rule_id", tx.uuid5_prefix(F.concat_ws("#", "source_file", "seq_index")).alias("uid"))
 
@@ -401,7 +401,19 @@ def d1(spark, d):
     return rl.windows(docs, "doc_id", "block", "source", "text").select("doc_id", "window_no", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
 
 
-@query("d1_window_headings")
+#: Windows over the sections of documents, and the headings of the blocks that each touches.
+HEADINGS = r"""
+b AS (SELECT doc_id, section_no, section_type AS h, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM v_sections),
+k AS (SELECT *, concat('### ', h, chr(10), t) AS x FROM b WHERE length(t) >= 15),
+p AS (SELECT *, coalesce(sum(length(x) + 2) OVER (PARTITION BY doc_id ORDER BY section_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM k),
+a AS (SELECT doc_id, string_agg(x, concat(chr(10), chr(10)) ORDER BY section_no) AS x FROM k GROUP BY 1),
+w AS (SELECT doc_id, x, unnest(range(0, CASE WHEN length(x) <= 800 THEN 1 ELSE 1 + CAST(ceil((length(x) - 800) / 600.0) AS BIGINT) END)) AS n FROM a),
+z AS (SELECT doc_id, n FROM w WHERE length(regexp_replace(substring(x, n * 600 + 1, 800), '^\s+|\s+$', '', 'g')) >= 15),
+l AS (SELECT z.doc_id, n, list(h ORDER BY section_no) FILTER (WHERE h IS NOT NULL) AS l FROM z LEFT JOIN p ON p.doc_id = z.doc_id AND s + length(x) > n * 600 AND s < n * 600 + 800 GROUP BY 1, 2),
+u AS (SELECT list_filter(l, lambda h, i: list_position(l, h) = i) AS l FROM l)"""
+
+
+@query("d1_window_headings", ctes("v_sections", more=HEADINGS.strip()) + "SELECT CASE WHEN l IS NULL OR len(l) = 0 THEN 'continued' WHEN len(l) = 1 THEN l[1] ELSE concat(l[1], ' ... ', l[-1]) END AS heading, count(*) AS n FROM u GROUP BY 1")
 def d1h(spark, d):
     sections = view(spark, d, "v_sections")
     return rl.windows(sections, "doc_id", "section_no", "section_type", "text").groupBy("heading").agg(F.count("*").alias("n"))

@@ -762,12 +762,16 @@ def _answers(spark, d):
     return view(spark, d, "v_findings").groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("answer"))
 
 
-@query("p24_tool_plans")
+#: The items of the answers as rows, in the order in which they stand in them.
+ANSWERED = "an AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dimension, finding, work_item, origin) - 1 AS i FROM v_findings)"
+
+
+@query("p24_tool_plans", ctes("v_findings", more=ANSWERED + ", ok AS (SELECT doc_id, dimension AS tool, trim(finding) AS q, min(i) AS i FROM an WHERE dimension IN ('complete', 'logic') AND trim(finding) <> '' GROUP BY 1, 2, 3)") + "SELECT doc_id, tool, left(q, 160) AS query, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM ok) WHERE place <= 6")
 def p24(spark, d):
     return au.tool_plan(_answers(spark, d), "answer", ("complete", "logic")).select("doc_id", "tool", "query", "place")
 
 
-@query("p25_answer_findings")
+@query("p25_answer_findings", ctes("v_findings", more=ANSWERED) + r"SELECT doc_id, CAST(min(i) AS INT) AS issue_no, work_item, CASE WHEN min_by(dimension, i) IN ('complete', 'method') THEN min_by(dimension, i) ELSE 'complete' END AS dimension, 'medium' AS confidence FROM an WHERE regexp_replace(finding, '\s+', '', 'g') <> '' GROUP BY doc_id, work_item, finding")
 def p25(spark, d):
     return au.answer_findings(_answers(spark, d), "answer", ("complete", "method")).select("doc_id", "issue_no", "work_item", "dimension", "confidence")
 
