@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}]+"
 #: Fixed value: a query word is a run of two or more Latin letters or digits, or of two to eight Han characters.
 QUERY_WORD = r"[A-Za-z0-9]{2,}|[一-鿿]{2,8}"
+#: What names are cleaned of (codes, dates, asides, separators), then titles, contents lines, slugs; where an
+#: extract is cut into sentences, and what may not end it.
+CODE, DATE, ASIDE, SEPARATORS = r"(?i)F\d{2}", r"\d{6,8}", r"[（(].*?[）)]", r"(?U)[\s_+\-—、，,：:（）()]+"
+NO_TITLE = r"(?U)[^\w一-鿿]+"
+LEADERS, OUTER = r"[·•…⋯.。:：]+", r"(?U)^[\s,，、一\-—]+|[\s,，、一\-—]+$"
+NO_SLUG, SLUG_ENDS = r"(?U)[^\w一-鿿.-]+", r"^[._]+|[._]+$"
+SENTENCE_END, LOOSE_END = r"(?<=[。；;.])\s+|\n+", "[，,；; ]+$"
 #: Fixed value: the name space of URLs in RFC 4122.
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
@@ -117,36 +124,36 @@ def snippet(c: Column, words: Column, size: int = 600) -> Column:
 
 def entity_name(c: Column, generic: Sequence[str] = ()) -> Column:
     """A name without codes, dates, parentheses, generic words and separators, for fuzzy matching."""
-    x = F.regexp_replace(clean(c), r"(?i)F\d{2}", "")
-    x = F.regexp_replace(F.regexp_replace(x, r"\d{6,8}", ""), r"[（(].*?[）)]", "")
+    x = F.regexp_replace(clean(c), CODE, "")
+    x = F.regexp_replace(F.regexp_replace(x, DATE, ""), ASIDE, "")
     for w in generic:
         x = F.replace(x, F.lit(w), F.lit(""))
-    return F.regexp_replace(x, r"(?U)[\s_+\-—、，,：:（）()]+", "")
+    return F.regexp_replace(x, SEPARATORS, "")
 
 
 def title_key(c: Column) -> Column:
     """A title for matching: letters, digits and underscores in lower case."""
-    return F.lower(F.regexp_replace(blank(c), r"(?U)[^\w一-鿿]+", ""))
+    return F.lower(F.regexp_replace(blank(c), NO_TITLE, ""))
 
 
 def without_leaders(c: Column) -> Column:
     """A contents line without dot leaders and outer separators."""
-    x = F.regexp_replace(F.regexp_replace(c, r"[·•…⋯.。:：]+", " "), r"(?U)\s+", " ")
-    return F.regexp_replace(x, r"(?U)^[\s,，、一\-—]+|[\s,，、一\-—]+$", "")
+    x = F.regexp_replace(F.regexp_replace(c, LEADERS, " "), r"(?U)\s+", " ")
+    return F.regexp_replace(x, OUTER, "")
 
 
 def slug(c: Column, size: int = 120) -> Column:
-    x = F.regexp_replace(blank(c), r"(?U)[^\w一-鿿.-]+", "_")
-    return F.left(F.regexp_replace(x, r"^[._]+|[._]+$", ""), F.lit(size))
+    x = F.regexp_replace(blank(c), NO_SLUG, "_")
+    return F.left(F.regexp_replace(x, SLUG_ENDS, ""), F.lit(size))
 
 
 def fallback_summary(title: Column, path: Column, text: Column, words: Sequence[str], size: int = 360, least: int = 12) -> Column:
     """An extractive summary: the first four sentences with normative words, else the first four of any kind."""
     body = without_markup(text)
     name = F.coalesce(F.nullif(F.array_join(F.filter(path, lambda p: F.trim(p) != ""), " > "), F.lit("")), title)
-    parts = F.filter(F.transform(F.split(body, r"(?<=[。；;.])\s+|\n+"), lambda p: F.trim(p)), lambda p: F.length(p) >= least)
+    parts = F.filter(F.transform(F.split(body, SENTENCE_END), lambda p: F.trim(p)), lambda p: F.length(p) >= least)
     good = F.filter(parts, lambda p: F.exists(strings(words), lambda w: F.contains(p, w)))
     kept = F.slice(F.when(F.size(good) > 0, good).otherwise(parts), 1, 4)
     excerpt = F.coalesce(F.nullif(F.array_join(kept, "; "), F.lit("")), F.left(body, F.lit(size)))
     whole = F.concat(F.lit("path: "), name, F.lit(". key: "), excerpt)
-    return F.when(body == "", F.concat(F.lit("node: "), name)).otherwise(F.regexp_replace(F.left(whole, F.lit(size)), "[，,；; ]+$", ""))
+    return F.when(body == "", F.concat(F.lit("node: "), name)).otherwise(F.regexp_replace(F.left(whole, F.lit(size)), LOOSE_END, ""))
