@@ -1,3 +1,4 @@
+import pytest
 from dossierlake.functions import lexicon as lx
 from dossierlake.operators import audit as au
 from dossierlake.operators import opinions as op
@@ -401,3 +402,40 @@ def test_summaries_keep_the_old_verdict(spark):
 
     found = {r.query_id: [(s["opinion"], s["alignment"], s["generalization_rule"]) for s in json.loads(r.answer)] for r in op.experience_summaries(asked, cards, texts, points).collect()}
     assert found == {1: [("name the seal and size", "partly_resolved", "g")], 2: [("Sizes of the doors", "partly_resolved", None)]}
+
+
+@pytest.mark.parametrize("block", [1_000_000, 150])
+def test_best_cards_equal_a_count_of_all(spark, monkeypatch, block):
+    """The cards found level by level are the best of all cards, ties included, and few cards are counted for it."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    draw = random.Random(5)
+    words = [f"w{i:02d}x" for i in range(40)]
+    pick = lambda k: [words[min(39, int(draw.expovariate(0.12)))] for _ in range(k)]
+    rows = [(f"c{i:03d}", draw.choice(["high", "medium"]), list(dict.fromkeys(pick(draw.randint(1, 10)))), f"p{i % 50}") for i in range(300)]
+    texts = [(i, " ".join(pick(draw.randint(0, 40))), f"p{i}") for i in range(60)]
+    cards = spark.createDataFrame(rows, "card_id string, confidence string, keywords array<string>, project_name string")
+    docs = spark.createDataFrame(texts, "doc_id int, text string, project_key string")
+
+    def best(t, own, least, limit, projects=None):
+        held = [(-sum(w in t for w in k), c != "high", i) for i, c, k, p in rows if projects is None or own == projects(p)]
+        return {(i, -n) for n, _, i in sorted(h for h in held if -h[0] >= least)[:limit]}
+
+    monkeypatch.setattr(sc, "BLOCK_CARDS", block)
+    got = {}
+    for r in op.match_cards(docs, cards, limit=5).collect():
+        got.setdefault(r.doc_id, set()).add((r.card_id, r.overlap))
+    assert got == {i: b for i, t, _ in texts if (b := best(t, None, 2, 5))}
+    found = sc.card_hits(docs, op.card_words(cards), "doc_id", "text", 2, 4, "project_key", 1, 3).collect() if block > 300 else []
+    for i, t, name in texts if found else ():
+        mine = lambda p: p in name or name in p
+        for own, least, limit in ((True, 1, 3), (False, 2, 4)):
+            assert {(r.card_id, r.overlap) for r in found if r.doc_id == i and r.own == own} == best(t, own, least, limit, mine)
+    # many cards that share common words only: a text that holds eight rare ones counts few of them
+    many = pa.table({"card_id": [f"c{i}" for i in range(2008)], "confidence": ["high"] * 2008, "project": pa.array([None] * 2008, pa.string()), "needs": pa.array([[]] * 2008, pa.list_(pa.int32())), "words": [["all", "any", "few", f"r{i}" if i < 2000 else "rare"] for i in range(2008)], "strong": [[0] * 4] * 2008})
+    index = sc.Cards(many)
+    at = np.array(sorted(index.names.index(w) for w in ("all", "any", "few", "rare")))
+    assert len(index.entries(4, at)) == 8
