@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from . import index as ix
 
 #: Fixed value: the row mark of flattened sheets.
 ROW_MARK = r"^\[第\d+行\]:\s*"
@@ -209,4 +210,6 @@ def run(docs: DataFrame, lines: DataFrame, aliases: Sequence[lx.Entry], rules: S
     if cards_ is not None:  # experience comes before rules, so it is what the dedup keeps
         order = Window.partitionBy("doc_id").orderBy(F.desc("overlap"), "card_id")
         found = cards_.select("doc_id", F.row_number().over(order).alias("issue_no"), F.col("work_category").alias("work_item"), F.lit("complete").alias("dimension"), F.col("opinion").alias("finding"), F.lit(True).alias("has_controls"), F.lit("experience").alias("origin")).unionByName(local)
-    return group(semantic_dedupe(prefer_detailed(found, terms), terms), docs)
+    # each is read more than once: written, so that texts are matched and lines are put together once
+    found = ix.kept(found, "found")
+    return group(ix.kept(semantic_dedupe(prefer_detailed(found, terms), terms), "issues"), docs)

@@ -439,3 +439,39 @@ def test_best_cards_equal_a_count_of_all(spark, monkeypatch, block):
     index = sc.Cards(many)
     at = np.array(sorted(index.names.index(w) for w in ("all", "any", "few", "rare")))
     assert len(index.entries(4, at)) == 8
+
+
+def test_texts_are_read_once_for_all_opinions(spark):
+    points = [op.Checkpoint("seal", ("seal",), ("seal",), "presence"), op.Checkpoint("size", ("size",), ("size",), "number")]
+    rest = [op.Checkpoint("photo", (), ("photo",), "presence")]
+    said = spark.createDataFrame([("a", "name the seal and size"), ("b", "doors"), ("c", "the size")], "card_id string, opinion string")
+    texts = spark.createDataFrame([(1, "the seal is there, the size 5 mm"), (2, None), (3, ""), (4, "a photo of one size")], "doc_id int, evidence string")
+    kept = ("card_id", "doc_id", "alignment", "assessments", "covered", "partial", "absent")
+    whole = op.assess(said.join(texts), points, rest).select(*kept)
+    read = op.read(texts, points, rest)
+    assert max(len(r.evidence or "") for r in read.collect()) == 1
+    once = op.assess(said.join(read), points, rest).select(*kept)
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, whole.collect()))
+    missed = op.assess(said.withColumn("doc_id", F.lit(9)).join(read, "doc_id", "left"), points, rest)
+    assert {(r.alignment, *r.covered) for r in missed.collect()} == {("undecided",)}
+
+
+def test_audit_reads_matched_cards_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(x):
+        seen.add(1)
+        return x
+
+    lines = spark.createDataFrame([(i, 1, f"pipe {i}") for i in range(6)], "doc_id int, line_no int, line string")
+    cards = spark.createDataFrame([(i, "c", 2, "name the pipe", "R") for i in range(6)], "doc_id int, card_id string, overlap int, opinion string, work_category string").withColumn("opinion", told.asNondeterministic()("opinion"))
+    out = au.run(lines.select("doc_id"), lines, [lx.Entry("scope", keywords=("zzz",))], [lx.FindingRule("r", (("pipe",),), none_of=("x",), message="m")], ("pipe",), cards)
+    assert out.count() == 6 and seen.value == 6
+
+
+def test_cards_come_back_from_written_rules(spark):
+    from dossierlake.plans import review
+
+    plan = review.s15w(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" not in plan.lower()
