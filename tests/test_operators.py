@@ -475,3 +475,11 @@ def test_cards_come_back_from_written_rules(spark):
 
     plan = review.s15w(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "to_json" not in plan.lower()
+
+
+def test_dedupe_takes_many_documents_a_call(spark):
+    rows = [(i, k, "floor", "a", t, False, "local") for i in range(3) for k, t in ((2, "glue ratio missing!"), (1, "glue ratio missing"), (3, "paint"))]
+    out = au.semantic_dedupe(spark.createDataFrame([*rows, (7, 1, None, None, None, None, None)], FINDING), ("glue", "ratio"))
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == [f.split()[0] for f in FINDING.split(", ")]
+    assert {(r.doc_id, r.issue_no) for r in out.collect()} == {(i, k) for i in range(3) for k in (1, 3)} | {(7, 1)}
