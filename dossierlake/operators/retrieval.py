@@ -19,9 +19,19 @@ RANK_CONSTANT = 60
 DIMS = 64
 
 
+#: What tells which queries a rule may answer.
+FACET = ("index_source", "lifecycle_phase", "wbs_code")
+
+
+def facet() -> Column:
+    """The life cycle and the code of a rule in one; null where no query may find it."""
+    return F.when(F.col("index_source") != rl.EXPERIENCE, F.to_json(F.array("lifecycle_phase", "wbs_code")))
+
+
 def active_texts(rules: DataFrame) -> DataFrame:
-    live = rules.where((F.col("status") == "active") & (tx.u_trim(tx.blank(F.col("content"))) != ""))
-    return live.select("rule_id", rl.display_text().alias("text"))
+    """(rule_id, text) of active rules with text, and the columns that ``facet`` reads, where the rules have them."""
+    live = rules.where((F.col("status") == "active") & F.col("content").rlike(r"(?U)\S"))
+    return live.select("rule_id", rl.display_text().alias("text"), *[c for c in FACET if c in rules.columns])
 
 
 def bm25(queries: DataFrame, texts: DataFrame, query: str = "query", key: str = "rule_id", floor: float | None = ix.FLOOR) -> DataFrame:
@@ -29,7 +39,7 @@ def bm25(queries: DataFrame, texts: DataFrame, query: str = "query", key: str =
     rows alone are found by ``index.search``."""
     index = ix.build(texts, key)
     asked = queries.select("query_id", F.explode(tx.tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    rows = asked.join(index.idf, "term").join(index.postings, "term").crossJoin(F.broadcast(index.stats))
+    rows = asked.join(index.idf, "term").join(ix.flat(index), "term").crossJoin(F.broadcast(index.stats))
     scored = rows.groupBy("query_id", key).agg(F.sum(F.col("qf") * F.col("idf") * ix.share()).alias("score"))
     return scored if floor is None else scored.where(F.col("score") > floor)
 
@@ -111,18 +121,16 @@ def retrieve(queries: DataFrame, rules: DataFrame, n: int = 2, dense: DataFrame
     """(query_id, position, rule_id, context): the whole retrieval for a batch of queries.
 
     ``dense(query_id, rule_id, rank)``: a ranked list of a vector engine, already filtered; ``index``: the index of the
-    active texts, built here where none is given. Ranked lists are written once; texts join only after the cuts.
+    active texts with their ``facet``, built here where none is given. Ranked lists are written once; texts join only after the cuts.
     """
     live = queries.where(tx.u_trim(F.col("query")) != "")
     fits = rules.where((F.col("status") == "active") & (F.col("index_source") != rl.EXPERIENCE)).select("rule_id", "lifecycle_phase", "wbs_code", "level", "publish_date")
     chain = live.select("query_id", "lifecycle", F.when(tx.blank(F.col("wbs_code")).isin("", generic), F.lit(None)).otherwise(tx.ancestry(F.col("wbs_code"), generic)).alias("chain"))
 
-    def keep(scored: DataFrame) -> DataFrame:
-        rows = scored.join(fits, "rule_id").join(chain, "query_id")
-        rows = rows.where(F.col("lifecycle_phase").isin(generic) | (F.col("lifecycle_phase") == F.col("lifecycle")))
-        return rows.where(F.col("chain").isNull() | F.array_contains("chain", F.col("wbs_code")))
-
-    lexical, _ = ix.search(index or ix.build(active_texts(rules)), live, 3 * n, keep=keep)
+    kinds = fits.select("lifecycle_phase", "wbs_code").distinct()
+    fit = (F.col("lifecycle_phase").isin(generic) | (F.col("lifecycle_phase") == F.col("lifecycle"))) & (F.col("chain").isNull() | F.array_contains("chain", F.col("wbs_code")))
+    allowed = kinds.withColumn("index_source", F.lit("")).join(chain, fit).select("query_id", facet().alias("facet"))
+    lexical, _ = ix.search(index or ix.build(active_texts(rules).withColumn("facet", facet()), facet="facet"), live, 3 * n, allowed=allowed)
     lists = lexical.select("query_id", "rule_id", "rank", F.lit("lexical").alias("engine"))
     if dense is not None:
         lists = lists.unionByName(dense.select("query_id", "rule_id", "rank", F.lit("dense").alias("engine")))

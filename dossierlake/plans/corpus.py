@@ -26,6 +26,11 @@ def placed(spark, d):
     return rl.renumber(view(spark, d, "v_rules"), "source_file", "rule_id")
 
 
+def rule_index(spark, d):
+    """The index of the active rules, from the texts where they lie: numbering them would move them."""
+    return ix.build(rt.active_texts(view(spark, d, "v_rules")).withColumn("facet", rt.facet()), facet="facet")
+
+
 @query("s1_rule_scan", ctes("v_rules") + "SELECT rule_id, source_file, seq_index, status FROM v_rules WHERE status = 'active'")
 def s1(spark, d):
     return rl.scan(placed(spark, d)).select("rule_id", "source_file", "seq_index", "status")
@@ -178,13 +183,18 @@ def j2(spark, d):
     return rl.code_matches(view(spark, d, "v_queries"), view(spark, d, "v_rules"))
 
 
+def dense(spark, d):
+    """The ranked lists of exact vector search over all eligible rules."""
+    queries, rules, vectors = view(spark, d, "v_queries"), view(spark, d, "v_rules"), view(spark, d, "embeddings")
+    asked = queries.select("query_id", "lifecycle").join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+    return rt.nearest_rules(asked, vectors, rules, 6).select("query_id", F.lit("dense").alias("engine"), "rank", "rule_id")
+
+
 def retrieved(spark, d):
     """The ranked lists of both engines: BM25 over all active rules, and exact vector search over all eligible ones."""
-    queries, rules, vectors = view(spark, d, "v_queries"), view(spark, d, "v_rules"), view(spark, d, "embeddings")
+    queries, rules = view(spark, d, "v_queries"), view(spark, d, "v_rules")
     lexical, _ = ix.search(ix.build(rt.active_texts(rules)), queries, 6)
-    asked = queries.select("query_id", "lifecycle").join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
-    dense = rt.nearest_rules(asked, vectors, rules, 6)
-    return dense.select("query_id", F.lit("dense").alias("engine"), "rank", "rule_id").unionByName(lexical.select("query_id", F.lit("lexical").alias("engine"), "rank", "rule_id"))
+    return dense(spark, d).unionByName(lexical.select("query_id", F.lit("lexical").alias("engine"), "rank", "rule_id"))
 
 
 @query("j3_full_texts", ctes("v_retrieval", "v_rules") + "SELECT query_id, engine, h.rule_id, md5(coalesce(nullif(content, ''), 'cut')) AS full_text FROM v_retrieval h LEFT JOIN v_rules r ON r.rule_id = h.rule_id")
@@ -548,7 +558,7 @@ picked AS (SELECT query_id, rule_id, row_number() OVER (PARTITION BY query_id OR
 @query("r7_retrieve_batch", ctes("v_rules", "v_queries", more=RETRIEVE) + "SELECT q.query_id, md5(CASE WHEN trim(query) = '' THEN 'empty query' ELSE coalesce(a, 'nothing found') END) AS answer FROM v_queries q LEFT JOIN (SELECT query_id, string_agg(context, chr(10) ORDER BY position) AS a FROM pos WHERE position <= 2 GROUP BY 1) USING (query_id)")
 def r7(spark, d):
     queries = view(spark, d, "v_queries")
-    found = rt.retrieve(queries, placed(spark, d), stop=STOP)
+    found = rt.retrieve(queries, placed(spark, d), stop=STOP, index=rule_index(spark, d))
     return rt.answers(queries, found).withColumn("answer", F.md5("answer"))
 
 
@@ -557,8 +567,7 @@ HYBRID = RETRIEVE.replace("fusedl AS (SELECT query_id, rule_id, 1.0 / (60 + rank
 
 @query("r7_retrieve_hybrid", ctes("v_retrieval", "v_rules", "v_queries", more=HYBRID) + "SELECT query_id, position, rule_id, CAST(overlap AS INT) AS overlap FROM pos WHERE position <= 2")
 def r7h(spark, d):
-    queries, dense = view(spark, d, "v_queries"), retrieved(spark, d).where("engine = 'dense'")
-    return rt.retrieve(queries, placed(spark, d), dense=dense, stop=STOP).select("query_id", "position", "rule_id", "overlap")
+    return rt.retrieve(view(spark, d, "v_queries"), placed(spark, d), dense=dense(spark, d), stop=STOP, index=rule_index(spark, d)).select("query_id", "position", "rule_id", "overlap")
 
 
 # --- words of scripts without spaces ---

@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,8 +104,8 @@ def refresh(rules: DataFrame, out: str, n: int) -> None:
     said = F.xxhash64(tx.blank(rl.display_text()), "status")
     changed = rules.where("rule_id is not null").withColumn("said", said).join(before, F.col("rule_id") == F.col("id"), "left").where(F.col("old").isNull() | (F.col("old") != F.col("said")))
     name = f"segment-{n}"
-    rows = rt.active_texts(changed).withColumn("t", F.array_sort(tx.tokens(F.col("text"))))
-    flat = rows.select("rule_id", F.size("t").alias("dl"), F.explode_outer(ix.counted(F.col("t"))).alias("x")).select("x.term", "rule_id", "dl", "x.tf", F.lit(n).cast("long").alias("batch"))
+    rows = rt.active_texts(changed).withColumn("t", tx.tokens(F.col("text")))
+    flat = ix.counted(rows, "rule_id", "t", outer=True).withColumn("batch", F.lit(n).cast("long"))
     _write(spark, out, name, {"postings": flat})  # a live rule without words has one row without a term
     new = _table(spark, out, [{"name": name}], "postings", kinds["postings"])
     sizes = new.groupBy(F.col("rule_id").alias("r")).agg(F.max("dl").alias("dl"))
@@ -141,6 +143,13 @@ def searchable(spark: SparkSession, out: str, id_type: str = "long") -> ix.Index
     """What is in force as an index for ``index.search``: blocks by a hash of the rule."""
     terms, stats = statistics(spark, out)
     blocks = max(1, manifest(spark, out)["docs"] // ix.BLOCK_ROWS)
-    rows = ix.kept(postings_now(spark, out, id_type).withColumn("block", F.pmod(F.xxhash64("rule_id"), F.lit(blocks))).withColumn("head", F.lit(False)), "postings")
-    most = rows.crossJoin(F.broadcast(stats)).groupBy("term", "block").agg(F.max(ix.share()).alias("most"))
-    return ix.Index("rule_id", rows, ix.kept(most, "bounds"), ix.kept(ix.inverse(terms, stats), "idf"), stats)
+
+    def block(t: pa.Table) -> pa.Table:
+        keys, terms = (t[c].combine_chunks().dictionary_encode() for c in ("rule_id", "term"))
+        at = keys.indices.to_numpy()
+        sizes = np.zeros(len(keys.dictionary), np.int32)
+        sizes[at] = t["dl"].to_numpy()
+        return pa.Table.from_batches([ix.packed(keys.dictionary, pa.nulls(len(sizes), pa.string()), sizes, at, terms.indices.to_numpy(), t["tf"].to_numpy(), terms.dictionary, len(sizes))])
+
+    rows = postings_now(spark, out, id_type).groupBy(F.pmod(F.xxhash64("rule_id"), F.lit(blocks)).alias("block")).applyInArrow(block, ix.block_schema(id_type))
+    return ix.Index("rule_id", ix.kept(rows, "blocks"), ix.kept(ix.inverse(terms, stats), "idf"), stats)

@@ -35,6 +35,23 @@ def test_block_search_equals_scoring_everything(spark):
     assert ix.search(ix.build(texts.limit(0)), queries, 3)[0].count() == 0
 
 
+def test_facets_repeated_keys_and_many_queries_equal_scoring_everything(spark, monkeypatch):
+    texts = corpus(spark, 1500)
+    index = ix.build(texts.withColumn("f", F.when(F.col("rule_id") % 5 > 0, F.concat(F.lit("f"), F.col("rule_id") % 5))), facet="f")
+    assert index.blocks.count() <= 1503 // ix.BLOCK_ROWS + 4  # a block is a row: postings are not rows of their own
+    queries = spark.createDataFrame([(i, f"topic{i % 3} w{1 + i % 7} w2") for i in range(30)], "query_id int, query string")
+    allowed = queries.select("query_id", F.explode(F.array(F.concat(F.lit("f"), F.col("query_id") % 5), F.lit("f3"))).alias("facet"))
+    fits = F.col("rule_id") % 5 == 3
+    whole = rt.bm25(queries, texts).where(fits | ((F.col("rule_id") % 5 > 0) & (F.col("rule_id") % 5 == F.col("query_id") % 5)))
+    rows = lambda df: {(r.query_id, r["rank"], r.rule_id, round(r.score, 7)) for r in df.collect()}
+    by = [F.round("score", 9).desc(), F.asc("rule_id")]
+    assert rows(ix.search(index, queries, 4, allowed=allowed)[0]) == rows(rt.top(whole, 4, by))
+    monkeypatch.setattr(ix, "QUERY_ROWS", 7)  # several passes
+    assert rows(ix.search(index, queries, 4, allowed=allowed)[0]) == rows(rt.top(whole, 4, by))
+    twice = texts.unionByName(texts.where("rule_id < 40"))  # scores of a repeated key add up
+    assert rows(ix.search(ix.build(twice), queries, 3)[0]) == rows(rt.top(rt.bm25(queries, twice), 3, by))
+
+
 def test_postings_need_no_shuffle(spark):
     rows = ix.postings(spark.createDataFrame([(1, "b a b"), (2, ""), (3, None)], "rule_id int, text string"))
     assert {(r.rule_id, r.term, r.tf, r.dl) for r in rows.collect()} == {(1, "a", 1, 3), (1, "b", 2, 3)}
