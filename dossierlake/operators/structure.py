@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import re
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -311,33 +314,76 @@ def _keys(items: DataFrame) -> DataFrame:
     return items.withColumn("__k", title).withColumn("__w", whole)
 
 
-#: Letters of the piece of a title that is looked up in the pages.
-ANCHOR = 12
+#: Letters of a title that are looked up in the pages; titles of a document, and letters of pages, in one group.
+ANCHOR, TITLES, LETTERS = 12, 20_000, 1 << 22
+
+
+def _found(names: list[tuple[str, int, bytes | None]], pages: list[tuple[int, str]]) -> dict[tuple[str, int, bytes | None], int]:
+    """The first of the pages, in order, that holds each name: its head, its length and, where it is longer, its digest."""
+    wanted, found = {}, {}
+    for k in dict.fromkeys(names):
+        wanted.setdefault(k[0], {}).setdefault(k[1], {})[k[2]] = k
+    machine = sc.automaton(heads := list(wanted))
+    for no, text in pages:
+        for end, i in machine.iter(text) if text and heads else ():
+            start, sizes = end + 1 - len(heads[i]), wanted[heads[i]]
+            for n in list(sizes):
+                piece = text[start : start + n]
+                mark = hashlib.md5(piece.encode(), usedforsecurity=False).digest() if n > len(heads[i]) else None
+                if len(piece) == n and (k := sizes[n].pop(mark, None)):
+                    found[k] = no
+                    if not sizes[n]:
+                        del sizes[n]
+    return found
+
+
+def _first_pages(titles: pa.Table, pages: pa.Table) -> pa.Table:
+    """Of titles and pages of a group of documents: the first page of its document that holds each title."""
+    titles, by_doc, at, first = titles.sort_by("doc_id"), {}, [], []
+    for doc, no, text in sorted(zip(*(pages[c].to_pylist() for c in ("doc_id", "page_no", "p")), strict=True)):
+        by_doc.setdefault(doc, []).append((no, text))
+    rows = enumerate(zip(*(titles[c].to_pylist() for c in ("doc_id", "head", "n", "digest")), strict=True))
+    for doc, group in itertools.groupby(rows, lambda r: r[1][0]):
+        if doc in by_doc:
+            places, names = zip(*((i, k) for i, (_, *k) in group), strict=True)
+            names = [tuple(k) for k in names]
+            found = _found(names, by_doc[doc])
+            hit = [(i, found[k]) for i, k in zip(places, names, strict=True) if k in found]
+            at += [i for i, _ in hit]
+            first += [no for _, no in hit]
+    rows = titles.take(pa.array(at, pa.int64()))
+    return pa.table([rows["doc_id"], rows["item_no"], pa.array(first, pages["page_no"].type)], ["doc_id", "item_no", "found_page"])
 
 
 def align(items: DataFrame, pages: DataFrame, size: int = ANCHOR) -> DataFrame:
     """(doc_id, item_no, found_page): the first page of the document that holds the entry's title.
 
-    A title is looked up by its anchor, the piece of ``size`` letters that the fewest titles share (a shorter title by the
-    whole of it). One dictionary scan of the pages finds all anchors, where the pages lie; found anchors join those of their
-    document by equality, and only these pages are read for the whole title. Page texts are written once, in the form that
-    is compared. A title with its number before it holds the title alone, so that is enough.
+    Titles and pages meet once, by groups of documents that hold about ``LETTERS`` letters of pages. A document of more
+    letters or of more than ``TITLES`` titles has several groups of each, and each of its groups of titles meets each of its
+    groups of pages. There, one dictionary scan of a document's pages finds the heads of its titles, ``size`` letters at most,
+    and where a head stands the text of the title's length is compared by its MD5 digest: titles travel as head, length and
+    digest. Page texts are written once, in the form that is compared. A title with its number before it holds the title alone, so that is enough.
     """
-    spark, path, titles = pages.sparkSession, shared_path(pages.sparkSession, "pages"), shared_path(pages.sparkSession, "titles")
-    pages.select("doc_id", "page_no", tx.title_key(F.col("text")).alias("__p")).write.parquet(path)
-    _keys(items).where("__k <> ''").select("doc_id", "item_no", "__k", F.md5("__k").alias("__h")).write.parquet(titles)
-    p, keys = spark.read.parquet(path), spark.read.parquet(titles)
-    pieces = F.array_distinct(F.regexp_extract_all("__k", F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))  # from every letter on, in one pass
-    # titles can be long: their pieces carry a digest
-    cut = keys.dropDuplicates(["__h"]).select("__h", F.explode(F.when(F.length("__k") < size, F.array("__k")).otherwise(pieces)).alias("gram"))
-    shared = cut.groupBy("gram").agg(F.count("*").alias("titles"))
-    rare = cut.join(shared, "gram").groupBy("__h").agg(F.min(F.struct("titles", "gram"))["gram"].alias("gram"))
-    rare.write.parquet(found := shared_path(spark, "anchors"))
-    rare = spark.read.parquet(found)
-    anchors = keys.join(rare, "__h")
-    held = sc.hits(p.withColumn("__at", F.struct("doc_id", "page_no")), "__at", "__p", rare, "gram").select("__at.doc_id", "__at.page_no", "gram")
-    met = anchors.join(held, ["doc_id", "gram"]).select("doc_id", "item_no", "__k", "page_no")
-    return met.join(p, ["doc_id", "page_no"]).where(F.contains("__p", F.col("__k"))).groupBy("doc_id", "item_no").agg(F.min("page_no").alias("found_page"))
+    spark, path = pages.sparkSession, shared_path(pages.sparkSession, "pages")
+    text = pages.where("doc_id is not null and page_no is not null").select("doc_id", "page_no", tx.title_key(F.col("text")).alias("p"))
+    text.write.option("compression", "zstd").parquet(path)
+    text = spark.read.schema(text.schema).parquet(path)
+    keys = _keys(items).where("__k <> '' and doc_id is not null")
+    whole = F.length("__k") > size
+    keys = keys.select("doc_id", "item_no", F.left("__k", F.lit(size)).alias("head"), F.length("__k").alias("n"), F.when(whole, F.unhex(F.md5("__k"))).alias("digest"))
+    letters = _kept(spark, text.groupBy("doc_id").agg(F.sum(F.length("p")).alias("l")))
+    n = -(-(letters.agg(F.sum("l")).first()[0] or 1) // LETTERS)
+    parts = lambda c, most: F.ceil(F.col(c) / most).cast("int").alias(c)
+    wide, long = letters.where(F.col("l") > LETTERS).select("doc_id", parts("l", LETTERS)), keys.groupBy("doc_id").agg(F.count("*").alias("t")).where(F.col("t") > TITLES).select("doc_id", parts("t", TITLES))
+    large = _kept(spark, wide.join(long, "doc_id", "full_outer"))  # few documents are so large
+    one = lambda c: F.coalesce(F.col(c), F.lit(1))
+    every = lambda c: F.explode(F.sequence(F.lit(0), one(c) - 1))
+    group, by = F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("g"), ["g", "a", "b"]
+    left = keys.join(large, "doc_id", "left").select("doc_id", "item_no", "head", "n", "digest", group, F.pmod(F.xxhash64("head", "digest"), one("t")).cast("int").alias("a"), every("l").alias("b"))
+    right = text.join(large, "doc_id", "left").select("doc_id", "page_no", "p", group, every("t").alias("a"), F.pmod(F.xxhash64("page_no"), one("l")).cast("int").alias("b"))
+    kinds = dict(items.dtypes) | {"page_no": dict(pages.dtypes)["page_no"]}
+    met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_first_pages, f"doc_id {kinds['doc_id']}, item_no {kinds['item_no']}, found_page {kinds['page_no']}")
+    return met.groupBy("doc_id", "item_no").agg(F.min("found_page").alias("found_page"))
 
 
 def fill(items: DataFrame, low: int = 1, high: Column | int | None = None) -> DataFrame:

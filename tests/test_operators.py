@@ -483,3 +483,20 @@ def test_dedupe_takes_many_documents_a_call(spark):
     assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.columns == [f.split()[0] for f in FINDING.split(", ")]
     assert {(r.doc_id, r.issue_no) for r in out.collect()} == {(i, k) for i in range(3) for k in (1, 3)} | {(7, 1)}
+
+
+def test_titles_meet_pages_in_groups_of_any_size(spark, monkeypatch):
+    from dossierlake.operators import structure as st
+
+    titles = [(1, 1, "Alpha beta gamma delta"), (1, 2, "Alpha beta gamma epsilon"), (1, 3, "beta"), (1, 4, " - "), (1, 5, None), (1, 6, "nowhere"), (2, 1, "Alpha beta gamma delta"), (2, 2, "x1"), (3, 1, "beta"), (None, 1, "beta")]
+    items = spark.createDataFrame([(d, i, "1", t) for d, i, t in titles] + [(4, i, "1", f"head of many titles {i:03d}") for i in range(300)], "doc_id long, item_no int, structure string, title string")
+    rows = [(1, 1, "alpha BETA; gamma"), (1, 2, "so: Alpha-beta gamma epsilon."), (1, 3, "alphabetagammadelta, beta"), (2, 7, "X 1"), (2, 5, "ax1"), (2, 9, None)]
+    rows += [(4, p, " ".join(f"Head of many titles {i:03d}." for i in range(300) if i % 20 == p)) for p in range(20)]
+    pages = spark.createDataFrame(rows, "doc_id long, page_no int, text string")
+    want = {(1, 1): 3, (1, 2): 2, (1, 3): 1, (2, 2): 5} | {(4, i): i % 20 for i in range(300)}
+    got = lambda: {(r.doc_id, r.item_no): r.found_page for r in st.align(items, pages).collect()}
+    assert got() == want
+    monkeypatch.setattr(st, "TITLES", 40)  # a document in several groups of titles and of pages
+    monkeypatch.setattr(st, "LETTERS", 500)
+    assert got() == want
+    assert "MapInArrow" not in st.align(items, pages)._jdf.queryExecution().executedPlan().toString()  # no dictionary of all titles
