@@ -15,7 +15,8 @@ span are its context.
 3. A seed with more than ``GROUP`` different contexts is not sorted in one task: the hashes of its windows are grouped by
    Spark instead, which is exact as well and splits any hot seed.
 
-The removed runs are joined to the texts by their digests, so rows with equal texts share them.
+The removed runs are joined to the texts by their digests, so rows with equal texts share them. Bit tables tell before each of
+these joins which rows can find a partner: the others, and so most texts, stay where they are.
 
 ``passages`` looks beyond bytes: it tells the documents that share a passage of more than 50 words with another document,
 whatever its white space and the case of A-Z. Its anchors are strings of ``PHRASE`` words, the one of smallest hash in every
@@ -35,6 +36,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -311,17 +313,43 @@ def _bits(spark: SparkSession, values: DataFrame, column: str, bits: int = 27):
     return spark.sparkContext.broadcast(table)
 
 
+def _held(marks: np.ndarray, values: np.ndarray, bits: int = 27) -> np.ndarray:
+    """Which values the bit table holds."""
+    at = (values.view(np.uint64) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return (marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _likely(rows: DataFrame, column: str, shared: Broadcast) -> DataFrame:
+    """The rows whose ``column`` the bit table holds, where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_held(shared.value, b[column].to_numpy())))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _place(digest: bytes, p: np.ndarray) -> np.ndarray:
+    """One number for a text and a position in it."""
+    return _mixed(p.astype(np.uint64) * _BASE + np.uint64(int.from_bytes(digest[:8], "little")))
+
+
 def _contexts(spark: SparkSession, docs: DataFrame, text: str, wanted: DataFrame, size: int, seed: int) -> DataFrame:
     """The context bytes of the ``wanted`` anchors (d, p, lo, g, c), each once."""
-    shared, mask = _bits(spark, wanted, "g"), (1 << 27) - 1
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [_place(d, p) for d, p in zip(b["d"].to_pylist(), b["p"].to_numpy()[:, None], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64))], ["place"])
+
+    shared = _bits(spark, wanted.select("d", "p").mapInArrow(places, "place long"), "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, out, n = shared.value, [], 0
         names, kinds = ["d", "p", "lo", "x"], [pa.binary(), pa.int64(), pa.int64(), pa.binary()]
         for digest, x in _twice(batches, text, size):
-            p, lo, hi, g, _ = anchors(x, size, seed)
-            at = (g & np.uint64(mask)).astype(np.int64)
-            for i in np.flatnonzero(marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1):
+            p, lo, hi, *_ = anchors(x, size, seed)
+            for i in np.flatnonzero(_held(marks, _place(digest, p))):
                 out.append((digest, int(p[i]), int(lo[i]), x[lo[i] : hi[i] + size].tobytes()))
                 n += len(out[-1][3])
             if n >= 1 << 21:
@@ -331,7 +359,7 @@ def _contexts(spark: SparkSession, docs: DataFrame, text: str, wanted: DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     rows = docs.select(text).mapInArrow(run, "d binary, p long, lo long, x binary")
-    return rows.join(wanted, ["d", "p", "lo"])
+    return rows.join(wanted, ["d", "p", "lo"]).dropDuplicates(["d", "p", "lo"])  # as they were dealt for the join
 
 
 def repeats(spark: SparkSession, docs: DataFrame, text: str = "text", size: int = SIZE, seed: int = SEED) -> DataFrame:
@@ -343,9 +371,10 @@ def repeats(spark: SparkSession, docs: DataFrame, text: str = "text", size: int
     each = written(spark, found.groupBy("g", "c").agg(F.sum("n").alias("n"), F.min(F.struct("d", "p", "lo")).alias("first")), "contexts-counted")
     whole = found.join(each.where("n > 1").select("g", "c"), ["g", "c"], "left_semi").select("d", F.col("lo").alias("start"), (F.col("hi") + size).alias("end"))
     # one row for each different context of a seed that has several
-    several = each.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
-    wanted = each.join(several, "g").select("first.*", "g", "c", (F.col("n") > 1).alias("whole"), "k")
-    rows = written(spark, _contexts(spark, docs, text, written(spark, wanted, "wanted"), size, seed).dropDuplicates(["g", "c"]), "contexts")
+    several = written(spark, each.groupBy("g").agg(F.count("*").alias("k")).where("k > 1"), "several")
+    # most seeds have one context: these stay where they are
+    wanted = _likely(each, "g", _bits(spark, several, "g")).join(several, "g").select("first.*", "g", "c", (F.col("n") > 1).alias("whole"), "k")
+    rows = written(spark, _contexts(spark, docs, text, written(spark, wanted, "wanted"), size, seed), "contexts")
     count = rows.where(F.col("k") <= GROUP).count()
     buckets = max(1, -(-count // BUCKET))
 
@@ -414,14 +443,13 @@ def passages(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFr
 
     texts = docs.select(F.col(text).alias("x"), F.xxhash64(text).alias("d"))
     several = texts.select("x").mapInArrow(counted, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1")
-    shared, mask = _bits(spark, several, "g"), (1 << 27) - 1
+    shared = _bits(spark, several, "g")
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
         for b in batches:
             owner, best = phrases(b["x"])
-            at = (best & np.uint64(mask)).astype(np.int64)
-            hit = (marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            hit = _held(marks, best)
             rows = np.unique(np.rec.fromarrays([best[hit], owner[hit]], names="g,o")) if hit.any() else np.rec.fromarrays([best[:0], owner[:0]], names="g,o")
             yield pa.RecordBatch.from_arrays([pa.array(rows["g"].copy().view(np.int64)), b["d"].take(pa.array(rows["o"].copy()))], ["g", "d"])
 
@@ -442,7 +470,16 @@ def dedup(spark: SparkSession, docs: DataFrame, keys: Sequence[str], text: str =
     cuts = written(spark, islands.groupBy("d").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs")), "runs")
     keys = list(keys)
     rows = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("__d", F.unhex(F.md5("__text")))
-    both = rows.join(cuts.withColumnRenamed("d", "__d"), "__d", "left").select(*keys, "__text", "runs")
+    # only texts that may have runs travel to them
+    shared = _bits(spark, cuts.select(F.xxhash64("d").alias("h")), "h")
+
+    @F.pandas_udf("boolean")
+    def likely(h: pd.Series) -> pd.Series:
+        return pd.Series(_held(shared.value, h.to_numpy()))
+
+    may = likely(F.xxhash64("__d"))
+    some = rows.where(may).join(cuts.withColumnRenamed("d", "__d"), "__d", "left").select(*keys, "__text", "runs")
+    both = some.unionByName(rows.where(~may).select(*keys, "__text", F.lit(None).cast(cuts.schema["runs"].dataType).alias("runs")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

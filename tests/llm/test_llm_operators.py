@@ -566,3 +566,20 @@ def test_licences_of_whole_texts(spark):
     found = {r.doc_id: r.license for r in licenses.recognise(docs, ["doc_id"]).collect()}
     assert all(found.values()), found
     assert found["Apache-2.0"] == "Apache-2.0" and found["MPL-1.1"] == "MPL-1.1" and found["LGPL-2.1"] == "LGPL-2.1-only"
+
+
+def test_contexts_of_copies_come_once_and_other_texts_stay(spark):
+    import random
+
+    draw = random.Random(4)
+    long = lambda: "".join(draw.choice("abcdefgh ") for _ in range(900))
+    a, others = long(), [long() for _ in range(20)]
+    docs = spark.createDataFrame([(i, a) for i in range(6)] + [(10 + i, t) for i, t in enumerate(others)], "doc_id long, text string").repartition(6, "doc_id")
+    p, lo, hi, g, c = (x.astype(np.int64) for x in suffixes.anchors(np.frombuffer(a.encode(), np.uint8)))
+    digest = hashlib.md5(a.encode()).digest()
+    wanted = spark.createDataFrame([(digest, int(p[i]), int(lo[i]), int(g[i]), int(c[i]), False, 2) for i in range(2)], "d binary, p long, lo long, g long, c long, whole boolean, k long")
+    rows = suffixes._contexts(spark, docs, "text", wanted, 400, 128).collect()  # one a context, however many copies there are
+    assert sorted((r.p, bytes(r.x)) for r in rows) == sorted((int(p[i]), a.encode()[lo[i] : hi[i] + 400]) for i in range(2))
+    found = {r.doc_id: r for r in suffixes.dedup(spark, docs, ["doc_id"]).collect()}
+    assert all(bytes(found[i].kept) == b"" and [tuple(x) for x in found[i].runs] == [(0, 900)] for i in range(6))
+    assert all(bytes(found[10 + i].kept).decode() == t and found[10 + i].runs == [] for i, t in enumerate(others))
