@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .conditions import compiled
-from .text import blank, contains_any, strings
+from .text import blank, bound, contains_any, strings
 
 #: Above so many rows a lexicon should be a table that is joined, not a literal.
 MOST_ROWS = 5000
@@ -42,21 +42,23 @@ def _table(lexicon: Sequence[Entry]) -> Column:
 
 def matches(text: Column, lexicon: Sequence[Entry]) -> Column:
     """Rows with a hit in lower-cased ``text``: array of (o, code, weight, n, words), in lexicon order."""
-    low = F.lower(blank(text))
-    rows = F.transform(
+    rows = lambda low: F.transform(
         _table(lexicon),
         lambda r: F.struct(r["o"].alias("o"), r["code"].alias("code"), r["weight"].alias("weight"), F.size(F.filter(r["kw"], lambda k: F.contains(low, k))).alias("n"), F.filter(r["names"], lambda k: F.contains(low, F.lower(k))).alias("words")),
     )
-    return F.filter(rows, lambda r: r["n"] > 0)
+    return bound(F.lower(blank(text)), lambda low: F.filter(rows(low), lambda r: r["n"] > 0))
 
 
 def weighted(text: Column, lexicon: Sequence[Entry], least: int = 3, generic: str = "GEN", names: int = 4) -> Column:
     """Confidence ``min(5, weight + hits - 1)``; the first best row wins; below ``least`` the code is generic, with the
     weak confidence kept. Struct (code, confidence, reason)."""
     scored = F.transform(matches(text, lexicon), lambda r: F.struct(F.least(F.lit(5), r["weight"] + r["n"] - 1).alias("c"), (-r["o"]).alias("o"), r["code"].alias("code"), F.array_join(F.slice(r["words"], 1, names), "、").alias("why")))
-    best = F.array_max(scored)
-    conf = F.coalesce(best["c"], F.lit(0))
-    return F.struct(F.when(conf >= least, best["code"]).otherwise(generic).alias("code"), conf.alias("confidence"), F.coalesce(best["why"], F.lit("")).alias("reason"))
+
+    def told(best: Column) -> Column:
+        conf = F.coalesce(best["c"], F.lit(0))
+        return F.struct(F.when(conf >= least, best["code"]).otherwise(generic).alias("code"), conf.alias("confidence"), F.coalesce(best["why"], F.lit("")).alias("reason"))
+
+    return bound(F.array_max(scored), told)
 
 
 def most_hits(text: Column, lexicon: Sequence[Entry], default: str) -> Column:

@@ -17,6 +17,8 @@ NO_TITLE = r"(?U)[^\w一-鿿]+"
 LEADERS, OUTER = r"[·•…⋯.。:：]+", r"(?U)^[\s,，、一\-—]+|[\s,，、一\-—]+$"
 NO_SLUG, SLUG_ENDS = r"(?U)[^\w一-鿿.-]+", r"^[._]+|[._]+$"
 SENTENCE_END, LOOSE_END = r"(?<=[。；;.])\s+|\n+", "[，,；; ]+$"
+#: Fixed value: the characters of Unicode white space.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the name space of URLs in RFC 4122.
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
@@ -36,7 +38,7 @@ def or_default(c: Column, default) -> Column:
 
 def u_trim(c: Column) -> Column:
     """Trim of all Unicode white space, not of U+0020 alone."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def clean(c: Column) -> Column:

@@ -223,7 +223,11 @@ def renumber(rules: DataFrame, group: str, order: str, key: str = "rule_id") ->
 
 
 def append_numbers(stored: DataFrame, new: DataFrame, group: str = "source_file", order: str = "rule_id") -> DataFrame:
-    """New rules numbered after the largest position that their source holds. ``order`` is unique."""
+    """New rules numbered after the largest position that their source holds. ``order`` is unique. The new rules are made once
+    and written: numbering reads them three times."""
+    path = shared_path(new.sparkSession, "new")
+    new.write.parquet(path)
+    new = new.sparkSession.read.schema(new.schema).parquet(path)
     top = stored.groupBy(group).agg(F.max("seq_index").alias("__top"))
     placed = renumber(new, group, order, order).join(top, group, "left")
     return placed.withColumn("seq_index", F.coalesce(F.col("__top"), F.lit(-1)) + F.col("seq_index") + 1).select(*dict.fromkeys([*new.columns, "seq_index"]))

@@ -12,6 +12,22 @@ def test_white_space(spark):
     assert one(spark, "\u3000x ", tx.u_trim) == "x"
 
 
+def test_a_lexicon_reads_a_text_once(spark):
+    lexicon = [lx.Entry("A", 3, ("ab", "Cd")), lx.Entry("B", 2, ("ef",))]
+    df = spark.createDataFrame([("x A B y",), ("e f",), (None,)], "x string")
+    for f in (lambda c: lx.weighted(c, lexicon)["code"], lambda c: lx.first_hit(c, lexicon), lambda c: lx.most_hits(c, lexicon, "none")):
+        got = df.select(f(tx.compact(F.col("x"))).alias("y"))
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1  # inside a lambda it would run for every keyword
+    assert [r.y for r in df.select(lx.weighted(tx.compact(F.col("x")), lexicon)["code"].alias("y")).collect()] == ["A", "GEN", "GEN"]
+
+
+def test_all_unicode_white_space_is_trimmed(spark):
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    rows = spark.createDataFrame([(i, c + "x" + c + "y" + c + c) for i, c in enumerate(every) if i < 0x3100 or i % 97 == 0], "i int, x string")
+    assert rows.where(~tx.u_trim(F.col("x")).eqNullSafe(F.regexp_replace("x", r"(?U)^\s+|\s+$", ""))).count() == 0
+    assert one(spark, "\u2003\n\x85", tx.u_trim) == "" and one(spark, None, tx.u_trim) is None
+
+
 def test_safe_int(spark):
     assert [one(spark, v, lambda c: tx.safe_int(c, -1)) for v in (" 3 ", "3.5", "x", None)] == [3, -1, -1, -1]
 

@@ -313,6 +313,20 @@ def test_positions_span_ranges(spark):
     assert rl.running(rows.limit(0), "g", "i").count() == 0
 
 
+def test_appended_rules_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    new = spark.range(10).selectExpr("id as rule_id", "'s' as source_file").mapInArrow(run, "rule_id long, source_file string")
+    stored = spark.createDataFrame([("s", 4)], "source_file string, seq_index int")
+    assert sorted((r.rule_id, r.seq_index) for r in rl.append_numbers(stored, new).collect()) == [(i, 5 + i) for i in range(10)]
+    assert made.value == 10
+
+
 def test_contents_in_other_shapes(spark):
     def wrapped(*lines):
         df = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "doc_id int, line_no int, line string")
