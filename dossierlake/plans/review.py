@@ -900,7 +900,7 @@ def g3(spark, d):
 
 @query("s8_bill_items", ctes("v_cells", more="i AS (SELECT sheet, row, max(value) FILTER (WHERE col = 1) AS name, max(value) FILTER (WHERE col = 2) AS q, max(value) FILTER (WHERE col = 3) AS p FROM v_cells WHERE row > 2 GROUP BY 1, 2)") + "SELECT sheet, row, name, CASE WHEN try_cast(q AS DOUBLE) IS NULL OR try_cast(p AS DOUBLE) IS NULL THEN 1.0 ELSE CAST(q AS DOUBLE) END AS quantity, CASE WHEN try_cast(q AS DOUBLE) IS NULL OR try_cast(p AS DOUBLE) IS NULL THEN 0.0 ELSE CAST(p AS DOUBLE) END AS price FROM i")
 def s8(spark, d):
-    return sd.bill_items(view(spark, d, "v_cells"))
+    return sd.bill_items(view(spark, d, "v_cell_rows"))
 
 
 @query("s9_sheet_sections")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from .shared import shared_path
 
 #: Words of a bill's header and of its text, quantity and price columns.
 HEADER = ("特征", "名称", "内容", "单价", "合价", "数量")
@@ -80,28 +83,33 @@ def full_text(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def _has(c: Column, words: Sequence[str]) -> Column:
-    return F.exists(tx.strings(words), lambda w: F.contains(c, w))
+    return reduce(or_, [F.contains(c, F.lit(w)) for w in words])
+
+
+def cell_rows(cells: DataFrame) -> DataFrame:
+    """(sheet, row, cells) of a long cell table (sheet, row, col, value); a table that has its cells by row stays as it is."""
+    return cells if "cells" in cells.columns else cells.groupBy("sheet", "row").agg(F.collect_list(F.struct("col", "value")).alias("cells"))
 
 
 def bill_items(cells: DataFrame) -> DataFrame:
-    """Bill items of a long cell table (sheet, row, col, value): (sheet, row, name, quantity, price).
+    """Bill items of a long cell table, or of rows of cells (see ``cell_rows``): (sheet, row, name, quantity, price).
 
     The header is the first row of rows 2 to 14 with a header word, else row 1. Text columns are all that match, the
     quantity and price columns the last that match; if either number does not parse, both fall back to 1 and 0.
+    Cells are put together by row once and written; only headers and whole rows meet by sheet.
     """
-    head = cells.where(F.col("row").between(2, 14) & _has(F.col("value"), HEADER)).groupBy("sheet").agg(F.min("row").alias("h"))
-    rows = cells.join(head, "sheet", "left").withColumn("h", F.coalesce("h", F.lit(1)))
-    names = rows.where("row = h").select("sheet", "col", _has(F.col("value"), ITEM).alias("item"), _has(F.col("value"), QUANTITY).alias("q"), _has(F.col("value"), PRICE).alias("p"))
-    last = names.groupBy("sheet").agg(F.max(F.when(F.col("q"), F.col("col"))).alias("qc"), F.max(F.when(F.col("p"), F.col("col"))).alias("pc"), F.count_if("item").alias("items"))
-    body = rows.where("row > h").join(names.select("sheet", "col", "item"), ["sheet", "col"], "left").join(last, "sheet", "left")
-    is_text = F.coalesce("item", F.lit(False)) | ((F.coalesce("items", F.lit(0)) == 0) & (F.col("col") == 2))
-    got = body.groupBy("sheet", "row").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(is_text & (F.trim("value") != ""), F.struct("col", F.trim("value").alias("v"))))), lambda s: s["v"]), " | ").alias("name"),
-        F.max(F.when(F.col("col") == F.col("qc"), F.col("value"))).alias("q"),
-        F.max(F.when(F.col("col") == F.col("pc"), F.col("value"))).alias("p"),
-        F.max("qc").alias("qc"),
-        F.max("pc").alias("pc"),
-    )
+    spark, path, rows = cells.sparkSession, shared_path(cells.sparkSession, "rows"), cell_rows(cells)
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    of = lambda words: F.transform(F.filter("cells", lambda c: _has(c["value"], words)), lambda c: c["col"])
+    headed = F.col("row").between(2, 14) & F.exists("cells", lambda c: _has(c["value"], HEADER))
+    first = rows.where((F.col("row") == 1) | headed).select("sheet", "row", of(ITEM).alias("items"), F.array_max(of(QUANTITY)).alias("qc"), F.array_max(of(PRICE)).alias("pc"))
+    head = first.groupBy("sheet").agg(F.min_by(F.struct(F.col("row").alias("h"), "items", "qc", "pc"), F.when(F.col("row") == 1, 15).otherwise(F.col("row"))).alias("head"))
+    body = rows.join(head, "sheet", "left").select("sheet", "row", "cells", F.coalesce("head.h", F.lit(1)).alias("h"), F.coalesce("head.items", F.array()).alias("items"), "head.qc", "head.pc").where("row > h")
+    is_text = lambda c: F.array_contains("items", c["col"]) | ((F.size("items") == 0) & (c["col"] == 2))
+    texts = F.transform(F.filter("cells", lambda c: is_text(c) & (F.trim(c["value"]) != "")), lambda c: F.struct(c["col"].alias("col"), F.trim(c["value"]).alias("v")))
+    at = lambda k: F.array_max(F.transform(F.filter("cells", lambda c: c["col"] == F.col(k)), lambda c: c["value"]))
+    got = body.select("sheet", "row", F.array_join(F.transform(F.sort_array(texts), lambda s: s["v"]), " | ").alias("name"), at("qc").alias("q"), at("pc").alias("p"))
     bad = (F.col("q").isNotNull() & F.col("q").try_cast("double").isNull()) | (F.col("p").isNotNull() & F.col("p").try_cast("double").isNull())
     number = lambda c, d: F.when(bad, F.lit(d)).otherwise(F.coalesce(F.col(c).try_cast("double"), F.lit(d)))
     return got.where("name <> ''").select("sheet", "row", "name", number("q", 1.0).alias("quantity"), number("p", 0.0).alias("price"))

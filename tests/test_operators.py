@@ -236,6 +236,26 @@ def test_bills(spark):
     assert {(r.i, r.level) for r in sd.over_ceiling(bill, [("red", 950.0), ("PROMO", 0.0)]).collect()} == {(1, "YELLOW"), (3, "RED")}
 
 
+def test_cells_by_row(spark, tmp_path):
+    from dossierlake.sources.views import view
+
+    lines = [(1, 10, 1, 2.5, 7.0), (1, 11, 1, 3.0, 60.0), (1, 99, 2, 1.0, 1.0), (2, 12, 0, 4.0, 5.0), (2, None, 3, None, None), (None, 12, 1, 1.0, 2.0), (3, 13, 1, 1.0, 2.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(10, "b"), (11, "a red"), (12, "c"), (13, None)], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    flat, rows = (view(spark, str(tmp_path), n) for n in ("v_cells", "v_cell_rows"))
+    assert sorted(map(tuple, rows.selectExpr("sheet", "row", "inline(cells)").collect()), key=repr) == sorted(map(tuple, flat.collect()), key=repr)
+    scans = [x for x in rows._jdf.queryExecution().sparkPlan().toString().split("\n") if "FileScan" in x and "l_orderkey" in x]
+    assert len(scans) == 2  # the cells, and the sheets for their headers; one for each column and header cell before
+    assert sorted(map(tuple, sd.bill_items(rows).collect()), key=repr) == sorted(map(tuple, sd.bill_items(flat).collect()), key=repr)
+
+
+def test_bill_headers(spark):
+    """A header below row 1, none but row 1, none at all, and a sheet without a number: names, numbers."""
+    cells = [("a", 1, 1, "x"), ("a", 5, 1, "内容"), ("a", 5, 2, "说明"), ("a", 5, 3, "数量"), ("a", 5, 4, "数量"), ("a", 4, 1, "early"), ("a", 6, 2, " t "), ("a", 6, 1, "s"), ("a", 6, 3, "8"), ("a", 6, 4, "9"), ("b", 1, 1, "项目"), ("b", 2, 1, "in b"), ("b", 2, 2, "no"), ("c", 3, 2, "in c"), ("c", 3, 1, "no"), (None, 2, 2, "null"), ("d", 2, 1, "名称"), ("d", 3, 1, None), ("d", 4, 1, " ")]
+    got = sd.bill_items(spark.createDataFrame(cells, "sheet string, row int, col int, value string")).collect()
+    assert sorted((str(r.sheet), r.row, r.name, r.quantity, r.price) for r in got) == [("None", 2, "null", 1.0, 0.0), ("a", 6, "s | t", 9.0, 0.0), ("b", 2, "in b", 1.0, 0.0), ("c", 3, "in c", 1.0, 0.0)]
+
+
 def test_html_sections(spark):
     html = "<h1>One</h1><p>first paragraph text</p><p>second</p><table><tr><td>cell text that is long</td></tr></table><h2>Two</h2><p>tiny</p>"
     got = sd.html_sections(spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")).orderBy("section_no").collect()
