@@ -905,7 +905,7 @@ def s8(spark, d):
 
 @query("s9_sheet_sections")
 def s9(spark, d):
-    return sd.sheet_sections(view(spark, d, "v_cells"), (lx.Entry("head", keywords=("名称",)), lx.Entry("red", keywords=("red",)))).withColumn("text", F.md5("text"))
+    return sd.sheet_sections(view(spark, d, "v_cell_rows"), (lx.Entry("head", keywords=("名称",)), lx.Entry("red", keywords=("red",)))).withColumn("text", F.md5("text"))
 
 
 @query("j5_price_ceilings", ctes("v_bill") + "SELECT bill_id, row_no, keyword, CASE WHEN ceiling = 0 THEN 'RED' ELSE 'YELLOW' END AS level FROM v_bill, (VALUES ('red', 950.0), ('PROMO', 0.0)) AS t(keyword, ceiling) WHERE contains(name, keyword) AND (ceiling = 0 OR price > ceiling)")

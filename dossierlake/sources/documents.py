@@ -116,9 +116,11 @@ def bill_items(cells: DataFrame) -> DataFrame:
 
 
 def sheet_sections(cells: DataFrame, aliases: Sequence[lx.Entry]) -> DataFrame:
-    """Sections of sheets (sheet, section_no, heading, text): a row with an alias opens one, rows before the first go; a sheet
-    without any is one section."""
-    rows = cells.where(F.trim("value") != "").groupBy("sheet", "row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", "value"))), lambda s: s["value"]), " | ").alias("t"))
+    """Sections of sheets (sheet, section_no, heading, text) of a long cell table, or of rows of cells (see ``cell_rows``): a row
+    with an alias opens one, rows before the first go; a sheet without any is one section."""
+    told = F.filter("cells", lambda c: F.trim(c["value"]) != "")
+    rows = cell_rows(cells).select("sheet", "row", told.alias("told")).where(F.size("told") > 0)
+    rows = rows.select("sheet", "row", F.array_join(F.transform(F.sort_array("told"), lambda s: s["value"]), " | ").alias("t"))
     order = Window.partitionBy("sheet").orderBy("row")
     rows = rows.withColumn("k", lx.first_hit(F.col("t"), aliases)).withColumn("section_no", F.sum(F.col("k").isNotNull().cast("int")).over(order)).withColumn("any", F.max(F.col("k").isNotNull()).over(Window.partitionBy("sheet")))
     kept = rows.where((F.col("section_no") > 0) | ~F.col("any"))

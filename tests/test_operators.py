@@ -246,7 +246,9 @@ def test_cells_by_row(spark, tmp_path):
     assert sorted(map(tuple, rows.selectExpr("sheet", "row", "inline(cells)").collect()), key=repr) == sorted(map(tuple, flat.collect()), key=repr)
     scans = [x for x in rows._jdf.queryExecution().sparkPlan().toString().split("\n") if "FileScan" in x and "l_orderkey" in x]
     assert len(scans) == 2  # the cells, and the sheets for their headers; one for each column and header cell before
-    assert sorted(map(tuple, sd.bill_items(rows).collect()), key=repr) == sorted(map(tuple, sd.bill_items(flat).collect()), key=repr)
+    aliases = [lx.Entry("head", keywords=("名称",)), lx.Entry("red", keywords=("red",))]
+    for f in (sd.bill_items, lambda c: sd.sheet_sections(c, aliases)):
+        assert sorted(map(tuple, f(rows).collect()), key=repr) == sorted(map(tuple, f(flat).collect()), key=repr)
 
 
 def test_bill_headers(spark):
