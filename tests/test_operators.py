@@ -236,6 +236,29 @@ def test_bills(spark):
     assert {(r.i, r.level) for r in sd.over_ceiling(bill, [("red", 950.0), ("PROMO", 0.0)]).collect()} == {(1, "YELLOW"), (3, "RED")}
 
 
+def test_few_texts_are_sent_to_the_cards(spark, monkeypatch):
+    import random
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    r = random.Random(3)
+    names = [f"w{i}" for i in range(12)]
+    cards = spark.createDataFrame([(f"c{i:03}", r.choice(["high", "medium"]), f"p{i % 7}", r.sample(names, 3), r.choice(names)) for i in range(200)], "card_id string, confidence string, project_name string, keywords array<string>, opinion string")
+    docs = spark.createDataFrame([(i, " ".join(r.sample(names, 5)), f"p{i}") for i in range(20)] + [(20, None, "p1"), (21, "", None)], "doc_id int, text string, project_key string")
+    every = lambda: [sorted(map(tuple, f().collect()), key=repr) for f in (lambda: op.match_cards(docs, cards, limit=4), lambda: op.overlaps(docs, cards), lambda: op.two_tier(docs, cards, guard=[("w1", ("w2",))]))]
+    held, plain = [], DataFrame.toArrow
+
+    def counted(df):
+        held.append(plain(df))
+        return held[-1]
+
+    monkeypatch.setattr(DataFrame, "toArrow", counted)
+    monkeypatch.setattr(sc, "MET_CARDS", 30, raising=False)
+    few = every()
+    assert held and all("card_id" not in t.column_names for t in held)  # no card passes through the driver
+    monkeypatch.setattr(sc, "FEW_TEXTS", 0)
+    assert every() == few and all(few)
+
+
 def test_cells_by_row(spark, tmp_path):
     from dossierlake.sources.views import view
 
