@@ -100,16 +100,22 @@ def refresh(rules: DataFrame, out: str, n: int) -> None:
         return
     kinds = _kinds(dict(rules.dtypes)["rule_id"])
     held = lambda t: _table(spark, out, state["segments"], t, kinds[t])
-    before = _newest(held("rules")).select(F.col("rule_id").alias("id"), F.col("said").alias("old"), F.col("dl").alias("old_dl"), F.col("live").alias("was"), F.col("batch").alias("old_batch"))
-    said = F.xxhash64(tx.blank(rl.display_text()), "status")
-    changed = rules.where("rule_id is not null").withColumn("said", said).join(before, F.col("rule_id") == F.col("id"), "left").where(F.col("old").isNull() | (F.col("old") != F.col("said")))
-    name = f"segment-{n}"
-    rows = rt.active_texts(changed).withColumn("t", tx.tokens(F.col("text")))
+    rules, name = rules.where("rule_id is not null"), f"segment-{n}"
+    seen = rules.select("rule_id", F.xxhash64(tx.blank(rl.display_text()), "status").alias("said"))
+    if state["segments"]:
+        before = _newest(held("rules")).select(F.col("rule_id").alias("id"), F.col("said").alias("old"), F.col("dl").alias("old_dl"), F.col("live").alias("was"), F.col("batch").alias("old_batch"))
+        seen = seen.join(before, F.col("rule_id") == F.col("id"), "left").where(F.col("old").isNull() | (F.col("old") != F.col("said")))
+    else:  # nothing to compare with: no rule moves
+        seen = seen.select("*", F.lit(None).cast("int").alias("old_dl"), F.lit(None).cast("boolean").alias("was"), F.lit(None).cast("long").alias("old_batch"))
+    _write(spark, out, name, {"seen": seen.select("rule_id", "said", "old_dl", "was", "old_batch")})  # texts are compared once
+    changed = spark.read.parquet(f"{out}/{name}/seen")
+    texts = rules.join(changed.select("rule_id"), "rule_id", "left_semi") if state["segments"] else rules
+    rows = rt.active_texts(texts).withColumn("t", tx.tokens(F.col("text")))
     flat = ix.counted(rows, "rule_id", "t", outer=True).withColumn("batch", F.lit(n).cast("long"))
     _write(spark, out, name, {"postings": flat})  # a live rule without words has one row without a term
     new = _table(spark, out, [{"name": name}], "postings", kinds["postings"])
     sizes = new.groupBy(F.col("rule_id").alias("r")).agg(F.max("dl").alias("dl"))
-    told = changed.select("rule_id", "said", "old_dl", "was", "old_batch").join(sizes, F.col("rule_id") == F.col("r"), "left")
+    told = changed.join(sizes, F.col("rule_id") == F.col("r"), "left")
     _write(spark, out, name, {"changes": told.select("rule_id", "said", F.coalesce("dl", F.lit(0)).alias("dl"), F.col("dl").isNotNull().alias("live"), F.lit(n).cast("long").alias("batch"), "old_dl", "was", "old_batch")})
     changes = spark.read.parquet(f"{out}/{name}/changes")
     taken = held("postings").join(changes.where("was").select("rule_id", F.col("old_batch").alias("batch")), ["rule_id", "batch"], "left_semi")

@@ -77,3 +77,18 @@ def test_task_states(spark):
     rows = [(1, 1, "update", "PENDING", "", ""), (1, 2, "update", "DONE", "p", ""), (1, 3, "status", "CANCELLED", None, None), (2, 1, "update", "PENDING", "", ""), (2, 2, "delete", None, None, None), (3, 1, "delete", None, None, None), (3, 2, "update", "FAILED", None, "why")]
     events = spark.createDataFrame(rows, "task_id int, event_no int, kind string, status string, path string, error string")
     assert {tuple(r) for r in jobs.task_states(events).collect()} == {(1, "CANCELLED", "p", ""), (3, "FAILED", "", "why")}
+
+
+def test_first_rules_are_indexed_where_they_lie(spark, tmp_path, monkeypatch):
+    rows, plain, out = [], segments.ix.counted, str(tmp_path / "index")
+
+    def counted(df, *more, **named):
+        rows.append(df)
+        return plain(df, *more, **named)
+
+    monkeypatch.setattr(segments.ix, "counted", counted)
+    rules = spark.createDataFrame([(1, "active", "a b", False, ""), (None, "active", "c", False, "")], "rule_id long, status string, content string, is_washed boolean, condensed_content string")
+    segments.refresh(rules, out, 0)
+    assert "Join" not in rows[0]._jdf.queryExecution().optimizedPlan().toString()  # nothing is held yet, so no text moves
+    segments.refresh(rules, out, 1)
+    assert rows[1].count() == 0 and {(r.rule_id, r.term) for r in segments.postings_now(spark, out).collect()} == {(1, "a"), (1, "b")}
