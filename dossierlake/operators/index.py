@@ -33,8 +33,10 @@ from . import scan as sc
 K1, B, EPSILON, FLOOR = 1.5, 0.75, 0.25, 0.5
 #: Rows in a block, and blocks of a query that are scored before it has a limit.
 BLOCK_ROWS, SEEDS = 64, 4
-#: Queries of a pass and their terms, about; scores held before they are cut to the best.
-QUERY_ROWS, QUERY_TERMS, HELD = 512, 20_000, 50_000
+#: Blocks in a row group: Spark's reader unpacks a row group of wide rows at once. Rows of which a task counts the words at once.
+GROUP_BLOCKS, COUNT_ROWS = 32, 1024
+#: Queries of a pass and their terms, about; scores held before they are cut to the best; weights of blocks held at once.
+QUERY_ROWS, QUERY_TERMS, HELD, CELLS = 512, 20_000, 50_000, 4_000_000
 
 
 class Index(NamedTuple):
@@ -44,13 +46,18 @@ class Index(NamedTuple):
     stats: DataFrame  # n, avgdl: one row
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written in the shared folder and read again."""
+def kept(df: DataFrame, name: str, group: int | None = None) -> DataFrame:
+    """``df`` written in the shared folder and read again; ``group``: rows in a row group, for rows that are wide."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write if group is None else df.write.option("parquet.block.row.count.limit", group)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ``rows`` rows at most."""
+    return (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+
 def _counted(t: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
     """Of a column of words: row, place in ``names`` and count of every distinct word of a row; the names; words of each row."""
     sizes = pc.list_value_length(t).fill_null(0).to_numpy().astype(np.int64)
@@ -64,7 +71,7 @@ def counted(rows: DataFrame, key: str, words: str, outer: bool = False) -> DataF
     """(term, key, dl, tf) of the distinct words of each row; with ``outer``, a row without words has one without a term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, COUNT_ROWS):
             at, code, tf, names, sizes = _counted(b[words])
             cols = [names.take(pa.array(code)), b[key].take(pa.array(at)), pa.array(sizes[at]), pa.array(tf)]
             yield pa.RecordBatch.from_arrays(cols, ["term", key, "dl", "tf"])
@@ -123,12 +130,12 @@ def build(texts: DataFrame, key: str = "rule_id", words: Column | None = None, f
     rows = texts.select(key, one.cast("string").alias("__f"), (tx.tokens(F.col("text")) if words is None else words).alias("__t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, COUNT_ROWS):
             at, code, tf, names, sizes = _counted(b["__t"])
             if len(sizes):
                 yield packed(b[key], b["__f"], sizes, at, code, tf, names)
 
-    blocks = kept(rows.mapInArrow(run, block_schema(dict(texts.dtypes)[key])), "blocks")
+    blocks = kept(rows.mapInArrow(run, block_schema(dict(texts.dtypes)[key])), "blocks", GROUP_BLOCKS)
     stats = kept(blocks.select(F.explode("dls").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "stats")
     found = blocks.select(F.explode(F.arrays_zip("terms", "many")).alias("x")).groupBy("x.terms").agg(F.sum("x.many").alias("df"))
     return Index(key, blocks, kept(inverse(kept(found.select(F.col("terms").alias("term"), "df"), "counts"), stats), "idf"), stats)
@@ -214,8 +221,28 @@ def _best(key: str, kind: pa.DataType, k: int | None, avgdl: float, floor: float
         def full() -> bool:
             return sum(map(len, held)) >= HELD + (0 if k is None else 2 * k * n)
 
+        def met(known: list[tuple], bounds: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """Scores blocks in hand: the rows that are told at once, without ``k``."""
+            bound = np.array(bounds)
+            could = bound > low
+            blocks[:] += could.sum(axis=0)
+            first = np.zeros(bound.shape, bool)
+            np.put_along_axis(first, np.argsort(-bound, axis=0, kind="stable")[:SEEDS], True, axis=0)
+            for some in (first & could, ~first & could):
+                for i, block in enumerate(known):
+                    who = np.flatnonzero(some[i] & (bound[i] >= lowest - 1e-8))
+                    if len(who):
+                        score(block, who)
+                    if full():
+                        t = cut()
+                        if k is None:
+                            yield from rows(t)
+                        held[:] = [] if k is None else [t]
+                if held and k is not None:
+                    held[:] = [cut()]
+
         for b in batches:
-            known, bounds = [], []
+            known, bounds, cells = [], [], 0
             for i in range(b.num_rows):
                 keys, facet, dls, terms, many, places, tfs = (c[i].values for c in b.columns)
                 code = pc.index_in(terms, asked.terms)
@@ -235,25 +262,12 @@ def _best(key: str, kind: pa.DataType, k: int | None, avgdl: float, floor: float
                 known.append((keys, facet, shares, code))
                 may = np.maximum(shares.max(axis=0) @ np.maximum(asked.weight[code], 0.0), np.where(asked.has[code].any(axis=0), 0.0, -np.inf))
                 bounds.append(may)
-            if not known:
-                continue
-            bound = np.array(bounds)
-            could = bound > low
-            blocks += could.sum(axis=0)
-            first = np.zeros(bound.shape, bool)
-            np.put_along_axis(first, np.argsort(-bound, axis=0, kind="stable")[:SEEDS], True, axis=0)
-            for some in (first & could, ~first & could):
-                for i, block in enumerate(known):
-                    who = np.flatnonzero(some[i] & (bound[i] >= lowest - 1e-8))
-                    if len(who):
-                        score(block, who)
-                    if full():
-                        t = cut()
-                        if k is None:
-                            yield from rows(t)
-                        held[:] = [] if k is None else [t]
-                if held and k is not None:
-                    held[:] = [cut()]
+                cells += shares.size
+                if cells >= CELLS:
+                    yield from met(known, bounds)
+                    known, bounds, cells = [], [], 0
+            if known:
+                yield from met(known, bounds)
         if held:
             yield from rows(cut())
         said = np.flatnonzero(blocks)

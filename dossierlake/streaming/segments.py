@@ -158,4 +158,4 @@ def searchable(spark: SparkSession, out: str, id_type: str = "long") -> ix.Index
         return pa.Table.from_batches([ix.packed(keys.dictionary, pa.nulls(len(sizes), pa.string()), sizes, at, terms.indices.to_numpy(), t["tf"].to_numpy(), terms.dictionary, len(sizes))])
 
     rows = postings_now(spark, out, id_type).groupBy(F.pmod(F.xxhash64("rule_id"), F.lit(blocks)).alias("block")).applyInArrow(block, ix.block_schema(id_type))
-    return ix.Index("rule_id", ix.kept(rows, "blocks"), ix.kept(ix.inverse(terms, stats), "idf"), stats)
+    return ix.Index("rule_id", ix.kept(rows, "blocks", ix.GROUP_BLOCKS), ix.kept(ix.inverse(terms, stats), "idf"), stats)

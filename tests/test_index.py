@@ -96,3 +96,23 @@ def test_fusion_without_ids(spark):
     lists = spark.createDataFrame([(1, None, "a", 1, "x"), (1, None, "b", 2, "x"), (1, None, "a", 3, "y"), (1, 5, "a", 2, "x"), (1, 5, "b", 1, "z")], "query_id int, rule_id int, engine string, rank int, content string")
     found = {(r.rule_id, r.content): r.score for r in rt.fuse(lists, content="content").collect()}
     assert found == {(None, "x"): 1 / 61 + 1 / 62, (None, "y"): 1 / 63, (5, "x"): 1 / 62 + 1 / 61}
+
+
+def test_blocks_are_read_in_small_row_groups(spark, monkeypatch):
+    """Spark's reader unpacks a row group at once, so one of all blocks of a task does not fit an executor."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(ix, "GROUP_BLOCKS", 4)
+    texts, queries = corpus(spark), spark.createDataFrame([(1, "topic3 w5"), (2, "w1 w2")], "query_id int, query string")
+    index = ix.build(texts)
+    groups = [m.row_group(i).num_rows for f in index.blocks.inputFiles() for m in [pq.read_metadata(f.removeprefix("file:"))] for i in range(m.num_row_groups)]
+    assert sum(groups) >= 6003 // ix.BLOCK_ROWS and max(groups) <= 4
+    full = rt.top(rt.bm25(queries, texts), 10, [F.round("score", 9).desc(), F.asc("rule_id")])
+    assert {(r.query_id, r["rank"], r.rule_id) for r in ix.search(index, queries, 10)[0].collect()} == {(r.query_id, r["rank"], r.rule_id) for r in full.collect()}
+
+
+def test_pieces_of_batches_hold_all_rows():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(n))}) for n in (0, 5, 4, 9)]
+    assert [b["x"].to_pylist() for b in ix.pieces(iter(batches), 4)] == [[0, 1, 2, 3], [4], [0, 1, 2, 3], [0, 1, 2, 3], [4, 5, 6, 7], [8]]
