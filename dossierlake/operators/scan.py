@@ -9,9 +9,11 @@ compared as they are; lower both sides for a comparison without case.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ BLOCK_WORDS, BLOCK_CARDS, CARD_SIZE = 200_000, 1_000_000, 50
 FEW_TEXTS, FEW_CHARACTERS, MET_CARDS = 1_000, 4_000_000, 100_000
 #: Fixed value: the confidence that ranks first.
 SURE = "high"
+#: Words that an entry of a card knows besides its own.
+AHEAD = 3
 #: Rows in one batch of results.
 BATCH_ROWS = 100_000
 
@@ -45,7 +49,8 @@ def standing(machine, text: str | None) -> np.ndarray:
     """Places of the distinct words that stand in the text, in order."""
     if not text or not len(machine):
         return np.zeros(0, np.int64)
-    return np.array(sorted({i for _, i in machine.iter(text)}), np.int64)
+    found = set(map(itemgetter(1), machine.iter(text)))
+    return np.sort(np.fromiter(found, np.int64, len(found)))
 
 
 def passes(words: DataFrame, key: str, one: Callable[[Broadcast], DataFrame], most: int | None = None) -> DataFrame:
@@ -116,17 +121,20 @@ class Cards:
 
     A card of n words of which m stand in a text has one of them among its n - m + 1 rarest. So the word at place i of a card
     is entered under the level n - i, and who wants all cards with at least m words in a text reads the levels from the highest
-    down to m, of the words that stand there. Lists of common words are met only at low levels.
+    down to m, of the words that stand there. Lists of common words are met only at low levels. An entry knows the next
+    ``AHEAD`` words of its card: those that do not stand in the text tell how many of its words can at most, and the card is
+    counted at that level only, so most of what is entered is never counted.
     """
 
     def __init__(self, table: pa.Table) -> None:
-        column = lambda name: table[name].to_pylist()
-        sure, ids, projects, needs = column("confidence"), column("card_id"), column("project"), column("needs")
-        keys = [(c != SURE, i, c or "", p or "", tuple(n or ())) for c, i, p, n in zip(sure, ids, projects, needs)]
-        order = sorted(range(len(keys)), key=keys.__getitem__)
-        table = table.take(pa.array(order, pa.int64())).combine_chunks()
+        unsure = pc.not_equal(table["confidence"].fill_null(""), SURE)
+        ranks = pa.table({"unsure": unsure.cast(pa.int8()), "id": table["card_id"], "confidence": table["confidence"].fill_null(""), "project": table["project"].fill_null("")})
+        order = pc.sort_indices(ranks, [(c, "ascending") for c in ranks.column_names])
+        table = table.take(order).combine_chunks()
         self.ids, self.sure, projects = (table[n].combine_chunks() for n in ("card_id", "confidence", "project"))
-        self.needs = [keys[i][4] for i in order]
+        sets: dict[tuple, int] = {}  # cards need few different sets of domains
+        self.needs = np.array([sets.setdefault(tuple(n or ()), len(sets)) for n in table["needs"].to_pylist()], np.int32)
+        self.sets = list(sets)
         words, strong = table["words"].combine_chunks(), table["strong"].combine_chunks()
         many = words.value_lengths().to_numpy().astype(np.int64)
         coded = words.flatten().dictionary_encode()
@@ -137,26 +145,62 @@ class Cards:
         number[by] = np.arange(len(names))
         self.names = names.take(pa.array(by)).to_pylist()
         owner, flat = np.repeat(np.arange(len(many)), many), number[codes]
-        at = np.lexsort((flat, owner))
+        at = np.argsort(owner * len(names) + flat)
         self.begin = np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
         self.flat, self.strong = flat[at].astype(np.int32), strong.flatten().to_numpy().astype(np.int8)[at]
-        self.any_strong = bool(self.strong.any())
-        level = self.begin[owner + 1] - np.arange(len(owner))
-        key = level * len(self.names) + self.flat
-        by = np.argsort(key, kind="stable")
-        self.entered, self.key, self.top = owner[by].astype(np.int32), key[by], int(many.max(initial=0))
+        self.any_strong, self.top = bool(self.strong.any()), int(many.max(initial=0))
+        place = np.arange(len(owner)) - self.begin[owner]
+        level = many[owner] - place
+        by = np.argsort((self.flat.astype(np.int64) + 1) * (self.top + 1) - level, kind="stable")
+        self.entered, self.level = owner[by].astype(np.int32), np.append(level[by], 0).astype(np.int32)
+        self.ahead = np.full((len(owner), AHEAD), len(names), np.int32)  # the last word stands nowhere
+        for i in range(AHEAD):
+            more = np.flatnonzero(level[by] > i + 1)
+            self.ahead[more, i] = self.flat[by[more] + i + 1]
+        self.first = np.searchsorted(self.flat[by], np.arange(len(names) + 1))
+        heads = np.flatnonzero(np.concatenate([[True], (self.level[1:-1] != self.level[:-2]) | (np.diff(self.flat[by]) != 0)])) if len(owner) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(heads, len(owner)))
+        self.after = np.repeat(heads + sizes, sizes)
         coded = projects.fill_null("").dictionary_encode()
         self.projects, of = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         self.by_project = np.argsort(of, kind="stable")
         self.project_at = np.searchsorted(of[self.by_project], np.arange(len(self.projects) + 1))
+        self.machines: dict[str, object] = {}
+
+    def machine(self, of: str):
+        """The automaton of the words or of the projects, made once."""
+        if of not in self.machines:
+            self.machines[of] = automaton(self.names if of == "names" else [p or "\0" for p in self.projects])
+        return self.machines[of]
+
+    def walk(self, words: np.ndarray, lowest: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The levels down to ``lowest``, each with the entries of the distinct ``words`` under it. A word's entries lie by level,
+        and each knows where the next level begins, so words without cards at a level cost nothing."""
+        at, end = self.first[words], self.first[words + 1]
+        here = self.level[at]
+        for level in range(self.top, lowest - 1, -1):
+            on = np.flatnonzero(here == level)
+            start = at[on]
+            then = self.after[start]
+            yield level, _ranges(start, then - start)
+            at[on] = then
+            here[on] = np.where(then < end[on], self.level[then], 0)
 
     def entries(self, level: int, words: np.ndarray) -> np.ndarray:
         """Cards with one of ``words`` entered under ``level``, each once."""
-        key = level * len(self.names) + words
-        low = np.searchsorted(self.key, key)
-        many = np.searchsorted(self.key, key, "right") - low
-        held = np.flatnonzero(many)
-        return self.entered[_ranges(low[held], many[held])]
+        return next(self.entered[entry] for at, entry in self.walk(words, level) if at == level)
+
+    def levels(self, words: np.ndarray, mark: np.ndarray, lowest: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The levels down to ``lowest`` for the distinct ``words``, which are marked, each with the cards to be counted there:
+        after a level, all cards with so many marked words have been told, some more than once."""
+        later: list[list[np.ndarray]] = [[] for _ in range(self.top + 1)]
+        for level, entry in self.walk(words, lowest):
+            if len(entry):
+                cards, lacking = self.entered[entry], min(AHEAD, level - 1) - mark[self.ahead[entry]].sum(axis=1)
+                for i in range(min(AHEAD, level - lowest) + 1):
+                    later[level - i].append(cards[lacking == i])
+            yield level, np.concatenate(later[level]) if later[level] else self.entered[:0]
+            later[level] = []
 
     def counts(self, cards: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many words of each card are marked, and whether a strong one is; cards have words."""
@@ -173,6 +217,17 @@ class Cards:
         return cards[self.begin[cards + 1] > self.begin[cards]]
 
 
+#: The last broadcast block that this worker has read, and its cards: tasks of a worker share them.
+_last: list = []
+
+
+def _cards(table: pa.Table) -> Cards:
+    if not _last or _last[0] is not table:
+        _last[:] = []
+        _last[:] = [table, Cards(table)]
+    return _last[1]
+
+
 def _namesakes(names: list[str | None], projects: list[str], machine) -> list[list[int]]:
     """For each name the projects (their places) of which one contains the other; blank projects and empty names have none.
     ``machine``: the automaton of the projects."""
@@ -207,9 +262,9 @@ def card_hits(docs: DataFrame, words: DataFrame, doc: str, text: str, least: int
     grouped = words.groupBy("card_id", "confidence", "project", "needs").agg(F.collect_list("word").alias("words"), F.collect_list("strong").alias("strong"))
 
     def scanned(cards: Cards, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, guarding, n = automaton(cards.names), automaton(aliases), len(cards.ids)
-        sites = automaton([p or "\0" for p in cards.projects]) if name else None
-        mark, seen = np.zeros(len(cards.names), np.int8), np.zeros(n, bool)
+        machine, guarding, n = cards.machine("names"), automaton(aliases), len(cards.ids)
+        sites = cards.machine("projects") if name else None
+        mark, seen = np.zeros(len(cards.names) + 1, np.int8), np.zeros(n, bool)
 
         def best(at: np.ndarray, count: np.ndarray, most: int | None) -> np.ndarray:
             """Places within ``at``, cards in order, of the best ones."""
@@ -221,16 +276,17 @@ def card_hits(docs: DataFrame, words: DataFrame, doc: str, text: str, least: int
             """Other cards that fit, with counts and strong marks: all of them, or enough for the limit, ties included."""
             parts, met = [], [own]
             seen[own] = True
-            for level in range(cards.top, lowest - 1, -1):
-                new = cards.entries(level, here)
+            fits = np.array([shut.isdisjoint(s) for s in cards.sets]) if shut else None
+            for level, new in cards.levels(here, mark, lowest):
                 new = new[~seen[new]]
                 if len(new):
+                    new = np.unique(new)
                     seen[new] = True
                     met.append(new)
                     c, s = cards.counts(new, mark)
                     fit = (c >= least) | (s & (least <= 2))
-                    if shut:
-                        fit &= np.array([shut.isdisjoint(cards.needs[k]) for k in new])
+                    if fits is not None:
+                        fit &= fits[cards.needs[new]]
                     parts.append((new[fit], c[fit], s[fit]))
                 if limit is not None and sum(np.count_nonzero(c >= level) for _, c, _ in parts) >= limit:
                     break
@@ -278,7 +334,7 @@ def card_hits(docs: DataFrame, words: DataFrame, doc: str, text: str, least: int
             yield _rows(out, cards.ids, cards.sure, schema.names)
 
     def one(shared: Broadcast) -> DataFrame:
-        return docs.select(*columns).mapInArrow(lambda batches: scanned(Cards(shared.value), batches), schema)
+        return docs.select(*columns).mapInArrow(lambda batches: scanned(_cards(shared.value), batches), schema)
 
     def sent(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,6 +355,9 @@ def card_hits(docs: DataFrame, words: DataFrame, doc: str, text: str, least: int
         path = shared_path(spark, "met")  # written: the cards are made once, however often the result is read
         sent(spark.sparkContext.broadcast(texts.toArrow())).write.parquet(path)
         return spark.read.schema(schema).parquet(path)
+    path = shared_path(spark, "cards")  # made once: they are measured, then sent
+    grouped.write.parquet(path)
+    grouped = spark.read.schema(grouped.schema).parquet(path)
     rows, all_words = (grouped.agg(F.count("*").alias("cards"), F.sum(F.size("words")).alias("words")).first() or (0, 0))[:2]
     n = max(1, -(-rows // BLOCK_CARDS), -(-(all_words or 0) // (BLOCK_WORDS * CARD_SIZE)))
     return blocks(grouped, "card_id", n, lambda df: spark.sparkContext.broadcast(df.toArrow()), one)

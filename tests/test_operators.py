@@ -500,6 +500,34 @@ def test_best_cards_equal_a_count_of_all(spark, monkeypatch, block):
     assert len(index.entries(4, at)) == 8
 
 
+def test_cards_that_lack_words_are_not_counted():
+    """An entry tells how many words of its card can stand in a text at most; a worker makes the cards of a block once."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    held = [sorted({words[min(59, int(draw.expovariate(0.06)))] for _ in range(draw.randint(1, 9))}) for _ in range(900)]
+    held += [["r0", "a", "b", "c"]] * 500  # the rare word stands in the text, those ahead do not
+    n = len(held)
+    table = pa.table({"card_id": [f"c{i:04d}" for i in range(n)], "confidence": ["high"] * n, "project": pa.array([None] * n, pa.string()), "needs": pa.array([[]] * n, pa.list_(pa.int32())), "words": held, "strong": [[0] * len(h) for h in held]})
+    index = sc._cards(table)
+    assert sc._cards(table) is index
+    for _ in range(40):
+        text = {*draw.sample(words, draw.randint(1, 40)), "r0"}
+        at, mark = np.array(sorted(i for i, w in enumerate(index.names) if w in text)), np.zeros(len(index.names) + 1, np.int8)
+        mark[at] = 1
+        real = np.array([len(text.intersection(held[int(c[1:])])) for c in index.ids.to_pylist()])
+        told = set()
+        for level, cards in index.levels(at, mark, 2):
+            told.update(cards.tolist())
+            assert told >= set(np.flatnonzero(real >= level).tolist())
+            assert (index.counts(cards, mark)[0] == real[cards]).all() if len(cards) else True
+        assert not told.intersection(i for i, c in enumerate(index.ids.to_pylist()) if int(c[1:]) >= 900)
+
+
 def test_texts_are_read_once_for_all_opinions(spark):
     points = [op.Checkpoint("seal", ("seal",), ("seal",), "presence"), op.Checkpoint("size", ("size",), ("size",), "number")]
     rest = [op.Checkpoint("photo", (), ("photo",), "presence")]
