@@ -543,6 +543,23 @@ def test_texts_are_read_once_for_all_opinions(spark):
     assert {(r.alignment, *r.covered) for r in missed.collect()} == {("undecided",)}
 
 
+def test_opinions_are_read_once_for_all_texts(spark):
+    points = [op.Checkpoint("seal", ("seal",), ("seal",), "presence"), op.Checkpoint("size", ("size",), ("size",), "number")]
+    rest = [op.Checkpoint("photo", (), ("photo",), "presence")]
+    said = spark.createDataFrame([("a", "the size: name the seal"), ("b", "doors, and the price"), ("c", "/"), ("d", None)], "card_id string, opinion string").withColumn("work_category", F.lit("all"))
+    texts = spark.createDataFrame([(1, "the seal is there, the size 5 mm", "cross_project"), (2, None, "same_project"), (3, "a photo of one size", "same_project")], "doc_id int, evidence string, match_scope string")
+    known = op.worded(op.asked(said, points, rest), (":", ","), "price")
+    assert {(r.card_id, tuple(r.wanted), r.idle, r.work_item, r.hinted) for r in known.where("opinion is not null").collect()} == {("a", ("seal", "size"), False, "thesize", False), ("b", ("photo",), False, "doors", True), ("c", ("photo",), True, "all", False)}
+    rows = lambda cards: op.assess(cards.join(texts), points, rest)
+    kept = ("card_id", "doc_id", "alignment", "assessments", "covered", "partial", "absent")
+    assert sorted(map(repr, rows(known).select(*kept).collect())) == sorted(map(repr, rows(said).select(*kept).collect()))
+    found = lambda cards: sorted(map(repr, op.card_findings(rows(cards), (":", ","), {"size": "give it"}, "price").collect()))
+    assert found(known) == found(said) and len(found(known)) > 3
+    # what tells of an opinion is no part of the plan where cards and texts have met
+    top = op.card_findings(rows(known), (":", ","), {"size": "give it"}, "price")._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "price" not in top
+
+
 def test_audit_reads_matched_cards_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
